@@ -5,21 +5,61 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quarry.llm.packing import pack_along_curve
 from quarry.llm.sharding import shard_by_bytes
+from quarry.llm.warc import archive_pages
+
+TOKENIZER_FILE = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER_FILE)
+
+
+def op1_warc_capture_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, _ = archive_pages(_table(spark, sf_dir, "pages"), min_payload=0)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_byte_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_table(spark, sf_dir, "documents"), n_shards=16)
 
 
+def op7_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_along_curve(_table(spark, sf_dir, "documents"), tokenizer_path(), length=1024, end_id=0)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+_QUERIES = (op1_warc_capture_archive, op2_byte_balanced_shards, op7_hilbert_packing)
+
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (CAST('0x' || substr(hex, {5 * k + 1}, 5) AS BIGINT) // {32 ** (3 - j)}) % 32, 1)"
+    for k in range(8)
+    for j in range(4)
+)
+
+_SQL = {
+    "op1_warc_capture_archive": f"""
+        WITH h AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+        f AS (SELECT hex, min(page_id) AS first_id FROM h GROUP BY hex)
+        SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+               CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+        FROM h JOIN f USING (hex)""",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_balanced_shards,)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
