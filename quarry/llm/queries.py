@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.language import identify_languages
+from quarry.llm.licenses import label_rows, scan_licenses
 from quarry.llm.packing import pack_along_curve
 from quarry.llm.sharding import shard_by_bytes
+from quarry.llm.topk import exact_top_k
 from quarry.llm.warc import archive_pages
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -33,12 +36,35 @@ def op2_byte_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_table(spark, sf_dir, "documents"), n_shards=16)
 
 
+def op6_license_template_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = label_rows(scan_licenses(_table(spark, sf_dir, "documents"), threshold=0.8))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op7_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_along_curve(_table(spark, sf_dir, "documents"), tokenizer_path(), length=1024, end_id=0)
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
-_QUERIES = (op1_warc_capture_archive, op2_byte_balanced_shards, op7_hilbert_packing)
+def op8_segment_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+def op9_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 3 == 1
+    found = identify_languages(docs)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+_QUERIES = (
+    op1_warc_capture_archive,
+    op2_byte_balanced_shards,
+    op6_license_template_join,
+    op7_hilbert_packing,
+    op8_segment_top_k,
+    op9_kneser_ney_language,
+)
 
 _BASE32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (CAST('0x' || substr(hex, {5 * k + 1}, 5) AS BIGINT) // {32 ** (3 - j)}) % 32, 1)"
@@ -54,6 +80,16 @@ _SQL = {
                CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
         FROM h JOIN f USING (hex)""",
+    "op8_segment_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS w FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.w) = len(c.w) WHERE q.vec_id % 20 = 0),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
 }
 
 
