@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.language import identify_languages
 from quarry.llm.licenses import label_rows, scan_licenses
+from quarry.llm.neighbours import near_vectors
 from quarry.llm.packing import pack_along_curve
 from quarry.llm.sharding import shard_by_bytes
 from quarry.llm.topk import exact_top_k
@@ -36,6 +37,10 @@ def op2_byte_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_table(spark, sf_dir, "documents"), n_shards=16)
 
 
+def op4_hnsw_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op6_license_template_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = label_rows(scan_licenses(_table(spark, sf_dir, "documents"), threshold=0.8))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -60,6 +65,7 @@ def op9_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = (
     op1_warc_capture_archive,
     op2_byte_balanced_shards,
+    op4_hnsw_near_vectors,
     op6_license_template_join,
     op7_hilbert_packing,
     op8_segment_top_k,
