@@ -107,3 +107,44 @@ def _fingerprint(e: DataFrame) -> tuple:
         F.sum(F.xxhash64("v", "u").bitwiseAND(F.lit(0xFFFFFFFF))),
     ).first()
     return tuple(row)
+
+
+FILTER_BITS = 1 << 23  #: of a membership filter, whatever the number of keys
+
+
+def membership_filter(keys: DataFrame, column: str):
+    """A Bloom filter of fixed size over a long column, as a broadcast numpy array; more keys only make it pass more.
+
+    Its words are gathered by partially aggregated bit_or: at most FILTER_BITS / 64 rows reach the driver. What it passes still has to be
+    joined; it only keeps most of the rows that can't match out of that join's shuffle.
+    """
+    import numpy as np
+
+    spots = [F.pmod(F.xxhash64(F.col(column), F.lit(seed)), F.lit(FILTER_BITS)) for seed in (1, 2)]
+    bit = F.explode(F.array(*spots)).alias("spot")
+    words = keys.select(bit).groupBy(F.shiftright("spot", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(spot & 63 AS INT))")).alias("bits")
+    )
+    found = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in words.collect():
+        found[r["word"]] = r["bits"]
+    return keys.sparkSession.sparkContext.broadcast(found.view(np.uint64))
+
+
+def passing(rows: DataFrame, column: str, shared) -> DataFrame:
+    """Rows whose key the filter may hold; the two spot columns are computed by Spark, the lookup runs on Arrow batches."""
+    import numpy as np
+    import pyarrow as pa
+
+    spots = [F.pmod(F.xxhash64(F.col(column), F.lit(seed)), F.lit(FILTER_BITS)).alias(f"_spot{seed}") for seed in (1, 2)]
+
+    def run(batches):
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for seed in (1, 2):
+                spot = batch.column(f"_spot{seed}").to_numpy(zero_copy_only=False).astype(np.uint64)
+                keep &= (shared.value[spot >> np.uint64(6)] >> (spot & np.uint64(63))) & np.uint64(1) == 1
+            yield batch.select(names).filter(pa.array(keep))
+
+    names = rows.columns
+    return rows.select("*", *spots).mapInArrow(run, rows.schema)

@@ -11,6 +11,7 @@ from quarry.llm.language import identify_languages
 from quarry.llm.licenses import label_rows, scan_licenses
 from quarry.llm.neighbours import near_vectors
 from quarry.llm.packing import pack_along_curve
+from quarry.llm.repeats import repeat_digests
 from quarry.llm.sharding import shard_by_bytes
 from quarry.llm.topk import exact_top_k
 from quarry.llm.warc import archive_pages
@@ -62,6 +63,10 @@ def op9_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(_table(spark, sf_dir, "documents"), length=400, keep="none")
+
+
 _QUERIES = (
     op1_warc_capture_archive,
     op2_byte_balanced_shards,
@@ -70,6 +75,7 @@ _QUERIES = (
     op7_hilbert_packing,
     op8_segment_top_k,
     op9_kneser_ney_language,
+    op10_suffix_repeats,
 )
 
 _BASE32 = " || ".join(
