@@ -13,6 +13,7 @@ from quarry.llm.neighbours import near_vectors
 from quarry.llm.packing import pack_along_curve
 from quarry.llm.repeats import repeat_digests
 from quarry.llm.sharding import shard_by_bytes
+from quarry.llm.shingles import jaccard_components
 from quarry.llm.topk import exact_top_k
 from quarry.llm.warc import archive_pages
 
@@ -42,6 +43,10 @@ def op4_hnsw_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def op5_count_tree_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"), percent=80, size=5)
+
+
 def op6_license_template_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = label_rows(scan_licenses(_table(spark, sf_dir, "documents"), threshold=0.8))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -71,6 +76,7 @@ _QUERIES = (
     op1_warc_capture_archive,
     op2_byte_balanced_shards,
     op4_hnsw_near_vectors,
+    op5_count_tree_jaccard,
     op6_license_template_join,
     op7_hilbert_packing,
     op8_segment_top_k,
