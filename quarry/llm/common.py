@@ -131,8 +131,8 @@ def membership_filter(keys: DataFrame, column: str):
     return keys.sparkSession.sparkContext.broadcast(found.view(np.uint64))
 
 
-def passing(rows: DataFrame, column: str, shared) -> DataFrame:
-    """Rows whose key the filter may hold; the two spot columns are computed by Spark, the lookup runs on Arrow batches."""
+def passing(rows: DataFrame, column: str, shared, clear: bool = False) -> DataFrame:
+    """Rows whose key the filter may hold, or with `clear` the others; the two spot columns are computed by Spark, the lookup runs on Arrow batches."""
     import numpy as np
     import pyarrow as pa
 
@@ -144,7 +144,14 @@ def passing(rows: DataFrame, column: str, shared) -> DataFrame:
             for seed in (1, 2):
                 spot = batch.column(f"_spot{seed}").to_numpy(zero_copy_only=False).astype(np.uint64)
                 keep &= (shared.value[spot >> np.uint64(6)] >> (spot & np.uint64(63))) & np.uint64(1) == 1
-            yield batch.select(names).filter(pa.array(keep))
+            yield batch.select(names).filter(pa.array(keep ^ clear))
 
     names = rows.columns
     return rows.select("*", *spots).mapInArrow(run, rows.schema)
+
+
+def drop_keys(ws: Workspace, rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows whose long key is not among the written `keys`; only rows that a fixed-size filter can't clear are shuffled."""
+    shared = membership_filter(keys, column)
+    maybe = passing(rows, column, shared).join(keys.select(column), column, "left_anti").select(*rows.columns)
+    return passing(rows, column, shared, clear=True).unionByName(maybe)

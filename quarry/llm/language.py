@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm.common import Workspace
 
@@ -223,19 +224,17 @@ def _has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def _texts(batches, limit: int) -> Iterator[tuple[list, list[str | None]]]:
-    for batch in batches:
-        keys, texts, size = [], [], 0
-        for key, text in zip(batch.column(0), batch.column(1), strict=True):
-            t = text.as_py()
-            keys.append(key.as_py())
-            texts.append(t)
-            size += len(t or "") + ORDER
-            if size >= limit:
-                yield keys, texts
-                keys, texts, size = [], [], 0
-        if keys:
-            yield keys, texts
+def _texts(column: pa.Array, limit: int) -> Iterator[tuple[int, list[str | None]]]:
+    """(first row, texts) of stretches of about `limit` characters."""
+    first, texts, size = 0, [], 0
+    for text in column:
+        texts.append(text.as_py())
+        size += len(texts[-1] or "") + ORDER
+        if size >= limit:
+            yield first, texts
+            first, texts, size = first + len(texts), [], 0
+    if texts:
+        yield first, texts
 
 
 def _train(table: pa.Table) -> pa.Table:
@@ -279,35 +278,37 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, docs_a
 
 
 
-def _predict(shared):
+PREDICTED = "lang_pred string, score double, cross_entropy double, n_chars long, rejected boolean"
+
+
+def _predict(shared, n_own: int, prefix: str):
+    """Append the prediction to the first n_own columns of each batch; the text is the last one."""
+
     def run(batches):
         models: Models | None = shared.value
         kinds = [pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()]
-        for keys, texts in _texts(batches, CHUNK):
-            known = [t if t is not None and _has_letter(t) else None for t in texts]
-            use = [k for k, t in enumerate(known) if t is not None]
-            rows: list[tuple] = [(UNDETERMINED, 0.0, None, 0, True)] * len(texts)
-            if use and models is not None:
-                n, ce = models.score([known[k] for k in use])
-                best = ce.argmin(axis=1)
-                low = ce[np.arange(len(use)), best]
-                # Evidence of at most 64 characters counts, so that the score of a long text isn't always 1.
-                odds = np.exp(-np.minimum(n, 64)[:, None] * (ce - low[:, None]))
-                score = 1.0 / odds.sum(axis=1)
-                for i, k in enumerate(use):
-                    rows[k] = (models.languages[best[i]], float(score[i]), float(low[i]), int(n[i]), bool(low[i] > models.thresholds[best[i]]))
-            cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))],
-                ["id", "lang_pred", "score", "cross_entropy", "n_chars", "rejected"],
-            )
+        names = [prefix + x.split()[0] for x in PREDICTED.split(", ")]
+        for batch in batches:
+            for at, texts in _texts(batch.column(batch.num_columns - 1), CHUNK):
+                known = [t if t is not None and _has_letter(t) else None for t in texts]
+                use = [k for k, t in enumerate(known) if t is not None]
+                rows: list[tuple] = [(UNDETERMINED, 0.0, None, 0, True)] * len(texts)
+                if use and models is not None:
+                    n, ce = models.score([known[k] for k in use])
+                    best = ce.argmin(axis=1)
+                    low = ce[np.arange(len(use)), best]
+                    # Evidence of at most 64 characters counts, so that the score of a long text isn't always 1.
+                    odds = np.exp(-np.minimum(n, 64)[:, None] * (ce - low[:, None]))
+                    score = 1.0 / odds.sum(axis=1)
+                    for i, k in enumerate(use):
+                        rows[k] = (models.languages[best[i]], float(score[i]), float(low[i]), int(n[i]), bool(low[i] > models.thresholds[best[i]]))
+                own = batch.slice(at, len(texts))
+                new = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*own.columns[:n_own], *new], [*own.schema.names[:n_own], *names])
 
     return run
 
 
-PREDICTED = "id long, lang_pred string, score double, cross_entropy double, n_chars long, rejected boolean"
-
-
 def training_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows that may be learnt from: crc32 of the id as text, modulo 3, is not 1."""
     return docs.filter(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % 3 != 1)
@@ -320,6 +321,7 @@ def identify_languages(
     text_col: str = "text",
     lang_col: str = "lang",
     docs_a_language: int = DOCS_A_LANGUAGE,
+    whole_rows: bool = False,
 ) -> DataFrame:
     """Predict the language of every whole text.
 
@@ -330,10 +332,16 @@ def identify_languages(
 
     Returns id, lang_pred, score (posterior from at most 64 characters of evidence, 0 to 1), cross_entropy, n_chars, rejected. A text that is null or without a letter is
     `und`, score 0, rejected; so is everything if no row has a label. Null ids and repeated rows each get their row. Columns other than id, text and label are ignored;
-    label and id are never read when predicting.
+    label and id are never read when predicting. With whole_rows all columns of `docs` are returned, and the new ones are led by pred_ (and more underscores where a
+    column of `docs` has that name already).
     """
     spark = docs.sparkSession
     models = train(training_rows(docs, id_col) if labelled is None else labelled, id_col, text_col, lang_col, docs_a_language)
     shared = spark.sparkContext.broadcast(models)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_predict(shared), PREDICTED).withColumnRenamed("id", id_col)
+    own = docs if whole_rows else docs.select(id_col)
+    new, prefix = T._parse_datatype_string(PREDICTED).fields, "pred_" if whole_rows else ""
+    while any(f"{prefix}{f.name}" in own.columns for f in new):
+        prefix += "_"
+    schema = T.StructType(own.schema.fields + [T.StructField(f"{prefix}{f.name}", f.dataType) for f in new])
+    rows = docs.select(*own.columns, F.col(text_col).cast("string").alias("_text"))
+    return rows.mapInArrow(_predict(shared, len(own.columns), prefix), schema)

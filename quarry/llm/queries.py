@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.language import identify_languages
 from quarry.llm.licenses import label_rows, scan_licenses
+from quarry.llm.mixing import mix_sources
 from quarry.llm.neighbours import near_vectors
 from quarry.llm.packing import pack_along_curve
 from quarry.llm.repeats import repeat_digests
@@ -39,6 +40,11 @@ def op2_byte_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_table(spark, sf_dir, "documents"), n_shards=16)
 
 
+def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(_table(spark, sf_dir, "documents"), max_repetition=4.0, target_entropy=0.97)
+    return mixed.select("doc_id", "source", "mix_tokens", "mix_epoch", "mix_block", "mix_place")
+
+
 def op4_hnsw_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.95)
 
@@ -75,6 +81,7 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = (
     op1_warc_capture_archive,
     op2_byte_balanced_shards,
+    op3_temperature_mixing,
     op4_hnsw_near_vectors,
     op5_count_tree_jaccard,
     op6_license_template_join,
