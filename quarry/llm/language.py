@@ -18,6 +18,7 @@ DOCS_A_LANGUAGE = 400  #: documents of each language that a model is fitted on,
 LONGEST_TRAINING_TEXT = 100_000  #: characters; longer labelled texts are not used for fitting
 CHUNK = 1 << 19  #: characters of texts taken together
 SCORED = 1 << 16  #: characters scored at a time
+MARGIN, SHORT = 0.9, 3.0  #: nats above the sample's cross-entropies that are still accepted; more for texts of n characters by SHORT / sqrt(n)
 PAD, SPACE = 1, 32
 UNDETERMINED = "und"
 
@@ -247,7 +248,7 @@ def _train(table: pa.Table) -> pa.Table:
     _, ce = alone.score(held or texts)
     ce = np.sort(ce[:, 0])
     middle, high = np.quantile(ce, 0.5), np.quantile(ce, 0.95)
-    threshold = float(high + 2 * (high - middle) + 0.5)
+    threshold = float(high + 2 * (high - middle) + MARGIN)
     rows = [(table.column("lang")[0].as_py(), name, a.astype("<u8" if a.dtype.kind == "u" else "<f8").tobytes(), threshold) for name, a in model.items()]
     return pa.Table.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["lang", "part", "data", "threshold"])
 
@@ -301,7 +302,7 @@ def _predict(shared, n_own: int, prefix: str):
                     odds = np.exp(-np.minimum(n, 64)[:, None] * (ce - low[:, None]))
                     score = 1.0 / odds.sum(axis=1)
                     for i, k in enumerate(use):
-                        rows[k] = (models.languages[best[i]], float(score[i]), float(low[i]), int(n[i]), bool(low[i] > models.thresholds[best[i]]))
+                        rows[k] = (models.languages[best[i]], float(score[i]), float(low[i]), int(n[i]), bool(low[i] > models.thresholds[best[i]] + SHORT / np.sqrt(max(1, n[i]))))
                 own = batch.slice(at, len(texts))
                 new = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*own.columns[:n_own], *new], [*own.schema.names[:n_own], *names])
@@ -328,7 +329,8 @@ def identify_languages(
     For each label of `labelled` (default: the rows of `docs` that `training_rows` allows) an interpolated Kneser-Ney
     model of 5 characters is fitted on at most `docs_a_language` texts. A text gets the language of lowest cross-entropy a
     character. Four fifths of the sample give counts; the cross-entropies of the rest set the language's rejection
-    threshold: their 95th percentile, plus twice its distance from the median, plus half a nat.
+    threshold: their 95th percentile, plus twice its distance from the median, plus MARGIN; short texts get
+    more room.
 
     Returns id, lang_pred, score (posterior from at most 64 characters of evidence, 0 to 1), cross_entropy, n_chars, rejected. A text that is null or without a letter is
     `und`, score 0, rejected; so is everything if no row has a label. Null ids and repeated rows each get their row. Columns other than id, text and label are ignored;
