@@ -43,9 +43,10 @@ def extract_claims(answers: DataFrame) -> DataFrame:
 def resolve(claims: DataFrame, reg: DataFrame) -> DataFrame:
     """Join claims to registry rows by marker, else by file name without regard to case, the first in rank order."""
     by_name = reg.groupBy("answer_id", F.lower(F.concat(F.lit("["), "filename", F.lit("]"))).alias("named")).agg(F.min_by("marker", "rank").alias("by_name"))
-    rows = claims.join(reg.select("answer_id", "marker", F.lit(True).alias("known")), ["answer_id", "marker"], "left")
-    rows = rows.join(by_name, (rows["answer_id"] == by_name["answer_id"]) & (F.lower(rows["marker"]) == by_name["named"]), "left")
-    rows = rows.select(rows["answer_id"], "claim_no", "claim", "marker_no", rows["marker"], F.when(F.col("known"), F.col("marker")).otherwise(F.col("by_name")).alias("resolved"))
+    rows = claims.withColumn("named", F.lower("marker"))
+    rows = rows.join(reg.select("answer_id", "marker", F.lit(True).alias("known")), ["answer_id", "marker"], "left")
+    rows = rows.join(by_name, ["answer_id", "named"], "left")
+    rows = rows.select("answer_id", "claim_no", "claim", "marker_no", "marker", F.when(F.col("known"), F.col("marker")).otherwise(F.col("by_name")).alias("resolved"))
     own = reg.select("answer_id", F.col("marker").alias("resolved"), "id", "text")
     return rows.join(own, ["answer_id", "resolved"], "left")
 

@@ -23,8 +23,8 @@ def pack_until_full(hits: DataFrame, budget: int, token_col: str = "token_count"
     """Rows in rank order up to the first that overflows; the first row is always in."""
     order = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     rows = hits.withColumn("used", F.sum(token_col).over(order))
-    over = F.max((F.col("used") > budget).cast("int")).over(order)
-    return rows.filter((F.col("rank") == 1) | (over == 0))
+    # Running sums don't fall, so that a row is after an overflow exactly if its own sum overflows.
+    return rows.filter((F.col("rank") == 1) | (F.col("used") <= budget))
 
 
 def pack_greedy(hits: DataFrame, budget: int, truncate: bool = True) -> DataFrame:

@@ -29,8 +29,8 @@ def fold(events: DataFrame) -> DataFrame:
     return events.groupBy("request_id").agg(text.alias("answer"), F.count_if(F.col("event") == "token").cast("int").alias("tokens"), status.alias("status"))
 
 
-def _step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
+def _step(key, frames: Iterator[pd.DataFrame], state, timeout_ms: int) -> Iterator[pd.DataFrame]:
+    if timeout_ms and state.hasTimedOut:
         seqs, payloads, _ = state.get
         state.remove()
         text = "".join(p for _, p in sorted(zip(seqs, payloads, strict=True)))
@@ -52,11 +52,18 @@ def _step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(key[0], text, len(seqs), status or "COMPLETE")], columns=["request_id", "answer", "tokens", "status"])
     else:
         state.update((seqs, payloads, end))
-        state.setTimeoutDuration(600_000)
+        if timeout_ms:
+            state.setTimeoutDuration(timeout_ms)
 
 
-def fold_stream(events: DataFrame) -> DataFrame:
-    """Streaming form: state is keyed by request and dropped when its answer is complete, or after ten minutes without an event."""
-    return events.groupBy("request_id").applyInPandasWithState(
-        _step, FOLDED, "seqs array<int>, payloads array<string>, finish int", "append", "ProcessingTimeTimeout"
-    )
+def fold_stream(events: DataFrame, timeout_ms: int = 600_000) -> DataFrame:
+    """Streaming form: state is keyed by request and dropped when its answer is complete, or after ten minutes without an event.
+
+    With a timeout the query goes on as long as there may be state; 0 is for inputs that end, run with availableNow.
+    """
+
+    def step(key, frames, state):
+        return _step(key, frames, state, timeout_ms)
+
+    kind = "ProcessingTimeTimeout" if timeout_ms else "NoTimeout"
+    return events.groupBy("request_id").applyInPandasWithState(step, FOLDED, "seqs array<int>, payloads array<string>, finish int", "append", kind)

@@ -24,9 +24,10 @@ def run_to_end(stream: DataFrame, mode: str = "complete") -> DataFrame:
     return spark.table(name)
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
+def read_events(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """A stream over a table's files, with the schema that the table has now."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(glob or path)
 
 
 def ingest_stream(files: DataFrame, index_path: str, checkpoint: str, build):
