@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Characters and what replaces them.
 LIGATURES = {
@@ -43,11 +44,16 @@ BOILERPLATE_LINE = "(?i)^(?:" + "|".join(BOILERPLATE) + ")$"
 STRUCTURED_LINE = r"^(?:[#|\-*+>]|(?:\d+\.|\([a-z0-9]+\))\s)"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind around it."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def harmonise(text: Column) -> Column:
     """Ligatures, quotes, dashes and spaces replaced; zero-width and control characters dropped, but for line breaks and tabs."""
     out = F.translate(text, "".join(ONE_TO_ONE) + DELETED, "".join(ONE_TO_ONE.values()))
@@ -58,18 +64,18 @@ def harmonise(text: Column) -> Column:
 
 def drop_boilerplate(text: Column) -> Column:
     """Lines that aren't boilerplate; blank lines stay."""
-    keep = lambda line: ~F.rlike(F.trim(line), F.lit(BOILERPLATE_LINE))
+    keep = lambda line: ~F.rlike(strip(line), F.lit(BOILERPLATE_LINE))
     return F.array_join(F.filter(F.split(text, "\n"), keep), "\n")
 
 
 def is_structured(lines: Column) -> Column:
     """Whether at least one line, and 0.3 of the lines, start like a list, table, heading or quotation."""
-    n = F.size(F.filter(lines, lambda s: F.rlike(F.trim(s), F.lit(STRUCTURED_LINE))))
+    n = F.size(F.filter(lines, lambda s: F.rlike(strip(s), F.lit(STRUCTURED_LINE))))
     return n >= F.greatest(F.lit(1.0), F.size(lines) * 0.3)
 
 
 def _join_lines(lines: Column) -> Column:
-    parts = F.filter(F.transform(lines, F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(lines, strip), lambda s: s != "")
 
     def add(done: Column, line: Column) -> Column:
         glue = F.endswith(done, F.lit("-")) & ~F.endswith(done, F.lit(" --"))
@@ -99,7 +105,7 @@ def tidy_spaces(text: Column) -> Column:
     out = F.regexp_replace(out, r"(?m)[ \t]+$", "")
     out = F.regexp_replace(out, r"(?<=\S)[ \t]{2,}", " ")
     out = F.regexp_replace(out, r"\n{3,}", "\n\n")
-    return F.regexp_replace(out, r"^\s+|\s+$", "")
+    return strip(out)
 
 
 def clean(text: Column, unicode: bool = True, boilerplate: bool = True, lines: bool = True, spaces: bool = True) -> Column:

@@ -107,8 +107,16 @@ RICH = "path string, length long, kind string, title string, text string, page_b
 
 
 def scan_folder(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """path, length, content of all files."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder).select("path", "length", "content")
+    """path, length, content of all files; Spark's scan passes over files without bytes, so these are added from its listing."""
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
+    found = scan.select(_one_slash(F.col("path")).alias("path"), "length", "content")
+    listed = spark.createDataFrame([(p,) for p in scan.inputFiles()], "path string").select(_one_slash(F.col("path")).alias("path"))
+    bare = listed.join(found.select("path"), "path", "left_anti")
+    return found.unionByName(bare.select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")))
+
+
+def _one_slash(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/+", "file:/")
 
 
 def load_documents(files: DataFrame) -> DataFrame:
