@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import Workspace
 
-SEGMENTS = (2, 4, 8, 16)
+SEGMENTS = (4, 16, 32)
 CANDIDATES_A_BLOCK, QUERIES_A_BLOCK = 8192, 1024
+QUERIES_AT_ONCE, FIRST_PART = 128, 1024
 
 
 def usable(vec_col: str) -> Column:
@@ -34,37 +35,56 @@ def segment_statistics(x: np.ndarray, segments: int) -> np.ndarray:
     )
 
 
+def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """All inner products of two blocks of whole numbers, exactly: by a float product where every partial sum is a whole number that the float holds."""
+    most = int(np.abs(q).max(initial=0)) * int(np.abs(c).max(initial=0)) * q.shape[1]
+    if most < 1 << 24:
+        return q.astype(np.float32) @ c.astype(np.float32).T
+    if most < 1 << 53:
+        return q.astype(np.float64) @ c.astype(np.float64).T
+    return np.einsum("id,jd->ij", q, c)
+
+
 def block_top_k(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int):
-    """(query row, candidate row, score) of the k best candidates of each query in one block, ties to smaller ids."""
-    levels = [s for s in SEGMENTS if 2 * s < q.shape[1]] or [1]
+    """(query row, candidate row, score) of the k best candidates of each query in one block, ties to smaller ids.
+
+    The exact scores of a first part of the block give each query a score to beat. Bounds from coarse to fine then drop pairs that can't reach it;
+    survivors are scored one by one where few are left, else in one product of the blocks.
+    """
+    out = []
+    for a in range(0, len(q), QUERIES_AT_ONCE):
+        rows, cols, score = _some_top_k(q_ids[a : a + QUERIES_AT_ONCE], q[a : a + QUERIES_AT_ONCE], c_ids, c, k)
+        out.append((rows + a, cols, score))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _some_top_k(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int):
+    floor = np.full((len(q), 1), -np.inf)
+    first = min(len(c), max(FIRST_PART, 2 * k + 1))
+    if first > k:
+        tried = _products(q, c[:first]).astype(np.float64)
+        tried[q_ids[:, None] == c_ids[None, :first]] = -np.inf
+        floor[:, 0] = np.partition(tried, first - k, axis=1)[:, first - k]
     qf, cf = q.astype(np.float64), c.astype(np.float64)
-    slack = 1e-9 * np.outer(np.linalg.norm(qf, axis=1), np.linalg.norm(cf, axis=1)) + 1e-6
-    own = q_ids[:, None] == c_ids[None, :]
-    bound = segment_statistics(qf, levels[0]) @ segment_statistics(cf, levels[0]).T + slack
-    bound[own] = -np.inf
-    floor = np.full(len(q), -np.inf)
-    if c.shape[0] > k:  # exact scores of the candidates that look best give each query a score to beat
-        try_n = min(4 * k, c.shape[0])
-        for i in range(len(q)):
-            pick = np.argpartition(-bound[i], try_n - 1)[:try_n]
-            pick = pick[np.isfinite(bound[i][pick])]
-            if len(pick) >= k:
-                exact = (c[pick].astype(np.int64) * q[i].astype(np.int64)).sum(1)
-                floor[i] = np.partition(exact, len(exact) - k)[len(exact) - k]
-    alive = bound >= floor[:, None]
-    alive &= ~own
-    for s in levels[1:]:
-        finer = segment_statistics(qf, s) @ segment_statistics(cf, s).T + slack
-        alive &= finer >= floor[:, None]
-    rows, cols = np.nonzero(alive)
-    score = np.empty(len(rows), np.int64)
-    for a in range(0, len(rows), 1 << 17):
-        b = a + (1 << 17)
-        score[a:b] = np.einsum("ij,ij->i", q[rows[a:b]], c[cols[a:b]])
+    slack = 1e-5 * np.linalg.norm(qf, axis=1)[:, None] * np.linalg.norm(cf, axis=1).max(initial=0) + 1e-3
+    least = (floor - slack).astype(np.float32)
+    alive = np.ones((len(q), len(c)), bool)
+    for s in [s for s in SEGMENTS if 2 * s <= q.shape[1]] or [1]:
+        bound = segment_statistics(qf, s).astype(np.float32) @ segment_statistics(cf, s).astype(np.float32).T
+        alive &= bound >= least
+    if alive.mean() > 0.05:
+        exact = _products(q, c)
+        alive &= exact >= floor
+        rows, cols = np.nonzero(alive)
+        score = exact[rows, cols].astype(np.int64)
+    else:
+        rows, cols = np.nonzero(alive)
+        score = np.einsum("ij,ij->i", q[rows], c[cols])
+    other = q_ids[rows] != c_ids[cols]
+    rows, cols, score = rows[other], cols[other], score[other]
     order = np.lexsort((c_ids[cols], -score, rows))
     rows, cols, score = rows[order], cols[order], score[order]
-    first = np.searchsorted(rows, rows)
-    best = np.arange(len(rows)) - first < k
+    best = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
     return rows[best], cols[best], score[best]
 
 
