@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quarry.functions.lexical import salient_terms, tokens
+from quarry.functions.vectors import clip
 
 # Words of operative and of introductory text, and patterns of statutory entities.
 OPERATIVE = (
@@ -40,6 +41,7 @@ def sentences(text: Column) -> Column:
 
 def cross_parts(query: Column, text: Column, section: Column, vector_score: Column) -> Column:
     """struct(sentence, entity, directness, vector, score): 0.4, 0.3, 0.2 and 0.1 of the four parts."""
+    text, section = F.coalesce(text, F.lit("")), F.coalesce(section, F.lit(""))
     low = F.lower(text)
     wanted = F.array_distinct(salient_terms(query))
     shares = F.transform(
@@ -59,7 +61,7 @@ def cross_parts(query: Column, text: Column, section: Column, vector_score: Colu
     for p in INTRODUCTORY:
         intro = intro | F.contains(where, F.lit(p)) | F.contains(head, F.lit(p))
     directness = 0.5 + F.least(F.lit(0.35), operative * 0.07) - F.when(intro, 0.35).otherwise(0.0)
-    vector = F.greatest(F.lit(0.0), F.least(F.lit(1.0), vector_score))
+    vector = clip(F.coalesce(vector_score, F.lit(0.0)), 0.0, 1.0)
     score = 0.4 * sentence + 0.3 * entity + 0.2 * directness + 0.1 * vector
     return F.struct(
         sentence.alias("sentence"), entity.alias("entity"), directness.alias("directness"), vector.alias("vector"),

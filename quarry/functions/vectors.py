@@ -18,10 +18,15 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def clip(c: Column, low: float, high: float) -> Column:
+    """A value held between two bounds; null stays null, which greatest and least alone would pass over."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
+
+
 def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
-    """Cosine in [-1, 1]; 0 where a vector is zero. Norms may be given, so that they are computed once a vector and not once a pair."""
+    """Cosine in [-1, 1]; 0 where a vector is zero, null where one is null or holds a null. Norms may be given, so that they are computed once a vector and not once a pair."""
     scale = (norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b)
-    return F.when(scale == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / scale)))
+    return F.when(scale == 0, F.lit(0.0)).otherwise(clip(dot(a, b) / scale, -1.0, 1.0))
 
 
 def euclidean(a: Column, b: Column) -> Column:

@@ -157,6 +157,7 @@ def is_refusal(answer: Column) -> Column:
 
 def correctness(answer: Column, facts: Column, answerable: Column) -> Column:
     """Share of key facts in the answer, 0.85 of the score, and 0.15 unless it is too short; for unanswerable questions 1 if it refuses."""
+    answer, facts = F.coalesce(answer, F.lit("")), F.coalesce(facts, F.array().cast("array<string>"))
     low = F.lower(answer)
     bare = lambda c: F.regexp_replace(c, r"[^\w\s]", "")
     met = F.filter(facts, lambda f: F.contains(low, F.lower(f)) | F.contains(bare(low), F.trim(bare(F.lower(f)))))
@@ -168,6 +169,7 @@ def correctness(answer: Column, facts: Column, answerable: Column) -> Column:
 
 def grounding(answer: Column, context: Column) -> Column:
     """Share of the answer's sentences that the context supports: by keywords and numbers, or by three words in a row. 1 for refusals, 0 without context."""
+    answer, context = F.coalesce(answer, F.lit("")), F.coalesce(context, F.lit(""))
     corpus = F.lower(context)
     clean = F.transform(F.split(answer, r"(?<=[.!?])\s+"), lambda s: F.trim(F.regexp_replace(s, r"\[[^\]]+\]", "")))
     split = lambda s: F.filter(F.split(s, r"\s+"), lambda w: w != "")

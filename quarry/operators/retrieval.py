@@ -30,7 +30,7 @@ def pair_with_corpus(queries: DataFrame, corpus: DataFrame) -> DataFrame:
 def scored_pairs(queries: DataFrame, corpus: DataFrame, metric: str = "cosine") -> DataFrame:
     """(query_id, id, score) of all pairs. cosine: clipped cosine; l2: 1 / (1 + distance); ip: inner product.
 
-    queries has query_id and query_vec, corpus has id and vec; corpus columns other than vec stay.
+    queries has query_id and query_vec, corpus has id and vec; corpus columns other than vec stay. Vectors that are null or hold nulls have no score and no row.
     """
     q = queries.select("query_id", V.doubles("query_vec").alias("query_vec")).withColumn("query_norm", V.norm(F.col("query_vec")))
     c = corpus.withColumn("vec", V.doubles("vec")).withColumn("vec_norm", V.norm(F.col("vec")))
@@ -41,7 +41,7 @@ def scored_pairs(queries: DataFrame, corpus: DataFrame, metric: str = "cosine")
         "l2": 1 / (1 + V.euclidean(a, b)),
         "ip": V.dot(a, b),
     }[metric]
-    return pairs.withColumn("score", score).drop("query_vec", "query_norm", "vec", "vec_norm")
+    return pairs.withColumn("score", score).filter("score IS NOT NULL").drop("query_vec", "query_norm", "vec", "vec_norm")
 
 
 def ranked(pairs: DataFrame, k: int | None = None, bottom: bool = False) -> DataFrame:

@@ -296,3 +296,17 @@ def stream_hourly(spark, d):
     events = SU.read_events(spark, f"{d}/events.parquet", f"{d}/events.parque[t]")  # a glob, since the table may be one file
     events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     return SU.run_to_end(SU.hourly(events)).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+@query()
+def question_runs(spark, d):
+    """Retrieval, gate, packing, a stand-in generator and the citation audit in one plan."""
+    from quarry.operators.pipeline import answer_questions, extractive_generator
+    from quarry.plans.retrieval import asks, corpus
+    from quarry.plans.texts import question_texts
+
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("source_document"))
+    rows = corpus(spark, d).join(docs, "id").withColumns({"section": F.col("label").cast("string"), "page_number": F.lit(1)})
+    questions = asks(spark, d).join(question_texts(spark, d).withColumnRenamed("query_text", "question"), "query_id")
+    out = answer_questions(questions, rows, extractive_generator, k=5, min_similarity=0.3)
+    return rounded(out, "citation_precision")

@@ -37,6 +37,15 @@ def test_cosine_limits(spark):
         assert r["s"] == pytest.approx(r["c"]) and r["d"] == pytest.approx(math.dist(r["a"], r["b"]))
 
 
+def test_null_vectors_and_texts_have_no_score(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, query_vec array<double>")
+    c = spark.createDataFrame([(1, None), (2, [1.0, None]), (3, [0.5, 0.5]), (4, [0.0, 0.0])], "id int, vec array<double>")
+    assert [(r["id"], round(r["score"], 6)) for r in R.top_k(q, c, 5).orderBy("rank").collect()] == [(3, 0.707107), (4, 0.0)]
+    assert R.top_k(q, c.limit(0), 5).count() == 0
+    df = spark.createDataFrame([("a b", None)], "q string, t string")
+    assert df.select(L.keyword_parts(F.col("q"), F.col("t")).alias("k")).first()["k"]["score"] == 0.0
+
+
 def test_cleaning_cases(spark):
     cases = {
         "Page 1 of 5\nkeep this\n- 2 -\nPAGE 3/5\n--- Page 4 ---\nDO NOT DISTRIBUTE\nHome > a > b\nkeep too": "keep this keep too",
