@@ -258,12 +258,13 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, docs_a
     ws = Workspace(labelled.sparkSession, "language")
     length = F.length(text_col)
     usable = labelled.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (length > 0) & (length <= LONGEST_TRAINING_TEXT))
+    named = ws.save(usable.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id")), "labelled")
+    counts = named.groupBy("lang").agg(F.count("*").alias("n"))  # a row a language
+    # A part of the hash range that holds a little over the wanted number keeps a frequent language's ids out of the window.
+    part = F.ceil(F.lit(1.5 * docs_a_language) / F.col("n") * (1 << 30))
+    few = named.join(F.broadcast(counts), "lang").filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < part)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = (
-        usable.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"))
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= docs_a_language)
-    )
+    picked = few.select("lang", "id", F.row_number().over(order).alias("rank")).filter(F.col("rank") <= docs_a_language)
     picked = ws.save(picked, "picked")  # docs_a_language rows a language at most
     texts = usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     sample = texts.join(F.broadcast(picked), ["id", "lang"]).dropDuplicates(["id", "lang", "text"])
