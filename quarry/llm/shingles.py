@@ -16,8 +16,9 @@ from quarry.llm.neighbours import Forest
 
 FREQUENT_TOKENS = 1 << 18  #: tokens at most that are ordered last because they are frequent
 FREQUENT_IN_PART = 3  #: texts of one batch that make a token count as repeated there
-BATCH_TOKENS = 4 << 20
-BLOB_TOKENS = 1 << 20
+BATCH_TOKENS = 2 << 20
+BLOB_TOKENS = 1 << 19
+CACHED_WORDS = 150_000  #: words whose hashes a Python worker remembers
 TASK_TEXTS = 512  #: texts of small shards that share a task
 SHARD_TEXTS = 1024  #: texts of one shard beyond which it is dealt out in pairs of blocks
 GROUPS = (32, 64, 128, 256, 512, 1024, 2048, 4096)
@@ -32,7 +33,7 @@ def _word_hash(word: bytes) -> int:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_WORD_CACHE) > 1_000_000:
+    if len(_WORD_CACHE) > CACHED_WORDS:
         _WORD_CACHE.clear()
     for w in set(words).difference(_WORD_CACHE):
         _WORD_CACHE[w] = _word_hash(w)
