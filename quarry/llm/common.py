@@ -13,13 +13,23 @@ from pyspark.sql import functions as F
 SHARED_DIR_SETTING = "spark.checkpoint.dir"
 
 
+#: Rows of an Arrow batch where the session has Spark's default: texts are long, and a batch is held by the JVM and by Python.
+ARROW_ROWS = "1000"
+#: Freed memory of Python workers goes back to the system, since an executor's JVM and its workers share one limit.
+WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "131072", "MALLOC_MMAP_THRESHOLD_": "131072"}
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers of a local session import this package; on a cluster it is installed or added with addPyFile."""
+    """Let Python workers of a local session import this package (on a cluster it is installed or added with addPyFile), and bound their memory."""
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
     if root not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
+    for k, v in WORKER_ENV.items():
+        env.setdefault(k, v)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
 def shared_dir(spark: SparkSession) -> str:
