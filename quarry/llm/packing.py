@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,8 @@ BATCH_CHARS = 1 << 20
 class ByteBpe:
     """Ids by a byte-level BPE file of the tokenizers library, encoded by tiktoken from the same vocabulary.
 
-    The vocabulary's ids below its special tokens are the merge ranks; strings of special tokens in a text are ordinary text.
+    The vocabulary's ids below its special tokens are the merge ranks. `ids` takes strings of added tokens as ordinary text; `text_ids`
+    takes them as the tokens, as the library does by default.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -35,13 +37,24 @@ class ByteBpe:
         alphabet = {chr(b): b for b in plain}
         alphabet |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
         ranks = {bytes(alphabet[c] for c in t): i for t, i in found["model"]["vocab"].items() if i not in special}
-        self.size = max(ranks.values()) + 1 + len(special)
+        self.added = {t["content"]: t["id"] for t in found.get("added_tokens", ())}
+        if any(t.get(k) for t in found.get("added_tokens", ()) for k in ("lstrip", "rstrip", "single_word")):
+            raise ValueError(f"{path}: added tokens that take in spaces or stand at word bounds are not supported")
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.cuts = re.compile(f"({'|'.join(map(re.escape, longest_first))})") if self.added else None
+        self.size = max([*ranks.values(), *special, *self.added.values()]) + 1
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.encoding = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
         return np.asarray(self.encoding.encode_to_numpy(text, disallowed_special=()), self.dtype)
 
+    def text_ids(self, text: str) -> np.ndarray:
+        if self.cuts is None or not self.cuts.search(text):
+            return self.ids(text)
+        parts = self.cuts.split(text)  # text, token, text, ...
+        return np.concatenate([np.array([self.added[t]], self.dtype) if k % 2 else self.ids(t) for k, t in enumerate(parts)])
+
 
 @functools.cache
 def _tokenizer(path: str, pattern: str) -> ByteBpe:
@@ -120,7 +133,7 @@ def _tokenise(path: str, pattern: str, end_id: int):
         tokenizer = _tokenizer(path, pattern)
         end = np.array([end_id], tokenizer.dtype)
         for keys, texts in _chunks(batches, BATCH_CHARS):
-            ids = [np.concatenate([tokenizer.ids(t), end]) for t in texts]
+            ids = [np.concatenate([tokenizer.text_ids(t), end]) for t in texts]
             curve = hilbert_keys(curve_points([a[:-1] for a in ids], tokenizer.size), CURVE_BITS)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.int64()), pa.array(curve, pa.int64()), pa.array([len(a) for a in ids], pa.int64()), pa.array([a.tobytes() for a in ids], pa.binary())],
@@ -173,7 +186,7 @@ def pack_along_curve(
 ) -> DataFrame:
     """Pack whole texts into sequences of `length` tokens, neighbours on the Hilbert curve together.
 
-    A document is its text's ids and `end_id`. Its token counts, hashed to signed dimensions and normalised, are
+    A document is its text's ids, those of added tokens in it included, and `end_id`. Its token counts, hashed to signed dimensions and normalised, are
     projected to four dimensions; the point's Hilbert key orders the documents. The table is range-partitioned by (key,
     id), so that a group of copies that shares one key may spread over partitions; each partition fills its
     sequences one after another and cuts documents where a sequence is full. Only the last sequence of a partition is

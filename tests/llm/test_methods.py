@@ -53,6 +53,18 @@ def test_token_ids_are_those_of_the_tokenizers_library():
         assert own.ids(t).tolist() == ref.encode(t, add_special_tokens=False).ids, repr(t[:20])
 
 
+def test_added_tokens_in_a_text_have_their_own_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ref, own = Tokenizer.from_file(path), packing.ByteBpe(path, packing.PRE_TOKENS)
+    end = "<|endoftext|>"
+    assert own.text_ids(f"a {end} b").tolist() == [64, 220, 50256, 275]
+    for t in ["", "a b", end, f"a  {end}  \n", f"{end}{end}x", f"it's{end}'s", "<|endoftext|", f"é {end[:-1]}{end} 12"]:
+        assert own.text_ids(t).tolist() == ref.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_kneser_ney_sums_to_one_in_the_training_language():
     text = "the cat sat on the mat and the dog ran to the hat " * 5
     model = language.Models({"x": language.fit([text])}, {"x": 9.0})

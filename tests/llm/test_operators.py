@@ -259,6 +259,15 @@ def test_packing(spark, corpus):
     assert packing.pack_along_curve(empty(spark), path).count() == 0
 
 
+def test_packing_of_added_tokens(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")
+    (piece,) = packing.pack_along_curve(docs, path).collect()
+    assert np.frombuffer(piece.ids, "<u4").tolist() == [64, 220, 50256, 275, 0] and piece.doc_tokens == 5
+
+
 def test_languages(spark):
     rng = random.Random(5)
     syllables = {"xx": ["ba", "do", "ki", "lu"], "yy": ["sch", "ein", "tz", "ung"], "zz": ["ço", "ãe", "lh", "nho"]}
