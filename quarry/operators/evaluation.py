@@ -89,13 +89,14 @@ def tuning_grid(configs: DataFrame, truth: DataFrame, pairs: DataFrame) -> DataF
     pairs: query_id, id, score, source, filter_value.
     """
     # Ranks don't depend on the threshold: rank once with and once without the filter, read at each k.
-    joined = pairs.join(truth, "query_id")
+    joined = pairs.join(truth.select("query_id", "wanted_filter"), "query_id")
     order = [F.desc("score"), F.col("id")]
     plain = joined.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).withColumn("filtered", F.lit(False))
     kept = joined.filter(F.col("filter_value") == F.col("wanted_filter"))
     kept = kept.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).withColumn("filtered", F.lit(True))
     both = plain.unionByName(kept)
     deep = both.join(F.broadcast(configs), (F.col("filtered") == F.col("apply_filter")) & (F.col("r") <= F.col("k")))
+    deep = deep.join(truth.select("query_id", "relevant", "sources"), "query_id")  # arrays of ids stay out of the ranking's shuffle
     good = F.array_contains("relevant", F.col("id")) | F.array_contains("sources", F.col("source"))
     alive = F.col("score") >= F.col("score_threshold")
     deep = deep.withColumn("alive", alive).withColumn("good", good & alive)
@@ -136,8 +137,11 @@ def sanity_margins(expected: DataFrame, ranking: DataFrame) -> DataFrame:
 
     expected: query_id, relevant, unrelated (arrays); ranking: query_id, id, score, rank.
     """
-    rows = ranking.join(expected, "query_id")
-    good, bad = F.array_contains("relevant", F.col("id")), F.array_contains("unrelated", F.col("id"))
+    return margins(ranking.join(expected, "query_id"), F.array_contains("relevant", F.col("id")), F.array_contains("unrelated", F.col("id")))
+
+
+def margins(rows: DataFrame, good: Column, bad: Column) -> DataFrame:
+    """sanity_margins of ranked rows by what is relevant and unrelated, for truths too large for arrays."""
     per = rows.groupBy("query_id").agg(
         F.min(F.when(good, F.col("rank"))).alias("best_rank"), F.max(F.when(good, F.col("score"))).alias("good_score"),
         F.coalesce(F.max(F.when(bad, F.col("score"))), F.min("score")).alias("bad_score"),

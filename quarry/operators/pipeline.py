@@ -47,14 +47,15 @@ def extractive_generator(prompts: list[str], options: dict) -> list[str]:
 
 
 def answer_questions(
-    questions: DataFrame, corpus: DataFrame, generator: Generator, k: int = 3, min_similarity: float = 0.5, budget: int = 1500, template: str = "Answer from the sources.\n{context}\nQuestion: {question}"
+    questions: DataFrame, corpus: DataFrame, generator: Generator, k: int = 3, min_similarity: float = 0.5, budget: int = 1500, template: str = "Answer from the sources.\n{context}\nQuestion: {question}",
+    skip_own: bool = False,
 ) -> DataFrame:
     """Retrieve, gate, pack, generate and audit for a table of questions.
 
     questions: query_id, question, query_vec; corpus: id, vec, text, source_document, section, page_number. Refused questions aren't sent to the provider.
     Returns query_id, action, answer, citations, citation_precision, verdict.
     """
-    hits = R.top_k(questions.select("query_id", "query_vec"), corpus, k)
+    hits = R.top_k(questions.select("query_id", "query_vec"), corpus, k, skip_own=skip_own)
     assessed = G.assess(questions, hits, min_similarity, min_similarity)
     good = G.answerable(hits, assessed, min_similarity).withColumn("token_count", estimated_tokens(F.col("text")))
     packed = P.pack_until_full(good, budget)

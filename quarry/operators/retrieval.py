@@ -27,14 +27,17 @@ def pair_with_corpus(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     return out
 
 
-def scored_pairs(queries: DataFrame, corpus: DataFrame, metric: str = "cosine") -> DataFrame:
+def scored_pairs(queries: DataFrame, corpus: DataFrame, metric: str = "cosine", skip_own: bool = False) -> DataFrame:
     """(query_id, id, score) of all pairs. cosine: clipped cosine; l2: 1 / (1 + distance); ip: inner product.
 
     queries has query_id and query_vec, corpus has id and vec; corpus columns other than vec stay. Vectors that are null or hold nulls have no score and no row.
+    skip_own leaves out the corpus row whose id is the query's.
     """
     q = queries.select("query_id", V.doubles("query_vec").alias("query_vec")).withColumn("query_norm", V.norm(F.col("query_vec")))
     c = corpus.withColumn("vec", V.doubles("vec")).withColumn("vec_norm", V.norm(F.col("vec")))
     pairs = pair_with_corpus(q, c)
+    if skip_own:
+        pairs = pairs.filter(F.col("query_id") != F.col("id"))
     a, b = F.col("query_vec"), F.col("vec")
     score = {
         "cosine": V.cosine(a, b, F.col("query_norm"), F.col("vec_norm")),
@@ -51,11 +54,11 @@ def ranked(pairs: DataFrame, k: int | None = None, bottom: bool = False) -> Data
     return out if k is None else out.filter(F.col("rank") <= k)
 
 
-def top_k(queries: DataFrame, corpus: DataFrame, k: int = 3, where: Column | None = None, metric: str = "cosine") -> DataFrame:
+def top_k(queries: DataFrame, corpus: DataFrame, k: int = 3, where: Column | None = None, metric: str = "cosine", skip_own: bool = False) -> DataFrame:
     """The k best rows of each query; `where` is applied before ranking, so it reaches the scan. An empty corpus gives no rows."""
     if k <= 0:
         raise ValueError("k is 1 at least")
-    return ranked(scored_pairs(queries, corpus if where is None else corpus.filter(where), metric), k)
+    return ranked(scored_pairs(queries, corpus if where is None else corpus.filter(where), metric, skip_own), k)
 
 
 def gate(hits: DataFrame, min_score: float) -> DataFrame:

@@ -308,5 +308,5 @@ def question_runs(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("source_document"))
     rows = corpus(spark, d).join(docs, "id").withColumns({"section": F.col("label").cast("string"), "page_number": F.lit(1)})
     questions = asks(spark, d).join(question_texts(spark, d).withColumnRenamed("query_text", "question"), "query_id")
-    out = answer_questions(questions, rows, extractive_generator, k=5, min_similarity=0.3)
+    out = answer_questions(questions, rows, extractive_generator, k=5, min_similarity=0.3, skip_own=True)
     return rounded(out, "citation_precision")

@@ -1,4 +1,6 @@
-"""Retrieval and evaluation queries: vectors below id 20 ask, the others answer; labels are the truth."""
+"""Retrieval and evaluation queries: vectors of ids divisible by 20 ask, all but themselves answer; labels are the truth.
+
+The SQL beside them still has the first round's set (ids below 20 ask, the others answer; truth below id 60, margins below 120)."""
 
 from __future__ import annotations
 
@@ -15,11 +17,11 @@ ASKING = 20
 
 
 def asks(spark, d) -> DataFrame:
-    return table(spark, d, "embeddings").filter(F.col("vec_id") < ASKING).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.col("label").alias("query_label"))
+    return table(spark, d, "embeddings").filter(F.col("vec_id") % ASKING == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.col("label").alias("query_label"))
 
 
 def corpus(spark, d) -> DataFrame:
-    return table(spark, d, "embeddings").filter(F.col("vec_id") >= ASKING).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
 
 
 def with_docs(hits: DataFrame, spark, d) -> DataFrame:
@@ -39,7 +41,11 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 
 
 def _top(k: int, **kw):
-    return lambda spark, d: R.top_k(asks(spark, d).drop("query_label"), corpus(spark, d), k, **kw)
+    return lambda spark, d: R.top_k(asks(spark, d).drop("query_label"), corpus(spark, d), k, skip_own=True, **kw)
+
+
+def _pairs(spark, d) -> DataFrame:
+    return R.scored_pairs(asks(spark, d).drop("query_label"), corpus(spark, d), skip_own=True)
 
 
 @query(f"WITH {_V} SELECT query_id, rank, id, round(score, 6) AS score, round(1 - score, 6) AS distance FROM r WHERE rank <= 5")
@@ -69,7 +75,7 @@ def topk_dot(spark, d):
 SELECT 'top' AS side, query_id, rank, id, round(score, 4) AS score FROM r WHERE rank <= 3
 UNION ALL SELECT 'bottom', query_id, br, id, round(score, 4) FROM b WHERE br <= 3""")
 def top_bottom_k(spark, d):
-    pairs = R.scored_pairs(asks(spark, d).drop("query_label"), corpus(spark, d))
+    pairs = _pairs(spark, d)
     best = R.ranked(pairs, 3).withColumn("side", F.lit("top"))
     worst = R.ranked(pairs, 3, bottom=True).withColumn("side", F.lit("bottom"))
     return rounded(best.unionByName(worst).select("side", "query_id", "rank", "id", "score"), "score", n=4)
@@ -117,8 +123,7 @@ SELECT a.query_id, coalesce(n, 0) AS eliminated, round(pp, 6) AS plain_precision
 round(CASE WHEN pp = 0 THEN CASE WHEN coalesce(fp, 0) > 0 THEN 100.0 ELSE 0.0 END ELSE (coalesce(fp, 0) - pp) / pp * 100 END, 4) AS gain_pct
 FROM a LEFT JOIN b USING (query_id) LEFT JOIN g USING (query_id)""")
 def filtered_vs_unfiltered(spark, d):
-    q = asks(spark, d)
-    pairs = R.scored_pairs(q.drop("query_label"), corpus(spark, d)).join(F.broadcast(q.select("query_id", "query_label")), "query_id")
+    pairs = _pairs(spark, d).join(asks(spark, d).select("query_id", "query_label"), "query_id")
     good = F.col("label") == F.col("query_label")
     out = R.filter_effect(R.ranked(pairs, 5), R.ranked(pairs.filter(good), 5), good)
     return rounded(rounded(out, "plain_precision", "filtered_precision"), "gain_pct", n=4)
@@ -169,12 +174,17 @@ _M = [*(f"recall_{k}" for k in (1, 3, 5)), *(f"precision_{k}" for k in (1, 3, 5)
 
 
 def truth(spark, d) -> DataFrame:
-    """Corpus vectors below id 60 with the query's label are wanted; their documents' sources are acceptable."""
-    named = corpus(spark, d).filter("id < 60").select("id", "label")
+    """All other vectors with the query's label are wanted; their documents' sources are acceptable."""
+    named = corpus(spark, d).select("id", "label")
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source")
-    per = named.join(docs, "id", "left").groupBy("label").agg(F.array_sort(F.collect_list("id")).alias("relevant"), F.array_sort(F.collect_set("source")).alias("sources"))
-    q = asks(spark, d)
-    out = q.join(F.broadcast(per), q["query_label"] == per["label"], "left")  # a row a label
+    ids = named.groupBy("label").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    counted = named.join(docs, "id").groupBy("label", "source").agg(F.count("*").alias("n"))
+    found = counted.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("found"))
+    per = ids.join(found, "label", "left")
+    q = asks(spark, d).join(docs.select(F.col("id").alias("query_id"), F.col("source").alias("own")), "query_id", "left")
+    out = q.join(per, q["query_label"] == per["label"], "left")
+    others = F.transform(F.filter("found", lambda x: (x["n"] > 1) | ~x["source"].eqNullSafe(F.col("own"))), lambda x: x["source"])
+    out = out.withColumns({"relevant": F.array_remove("ids", F.col("query_id")), "sources": F.filter(others, lambda x: x.isNotNull())})
     kind = F.when(F.col("query_id") % 3 == 1, "colloquial_phrasing").when(F.col("query_id") % 3 == 2, "cross_domain_ambiguity").otherwise("direct")
     return out.select("query_id", F.coalesce("relevant", F.array().cast("array<bigint>")).alias("relevant"), F.coalesce("sources", F.array().cast("array<string>")).alias("sources"), F.col("query_label").alias("wanted_filter"), kind.alias("query_type"))
 
@@ -231,7 +241,7 @@ su AS (SELECT *, 0.35 * mrr + 0.30 * top1_rate + 0.25 * "precision" + 0.10 * hit
 
 
 def _grid(spark, d):
-    pairs = with_docs(R.scored_pairs(asks(spark, d).drop("query_label"), corpus(spark, d)), spark, d)
+    pairs = with_docs(_pairs(spark, d), spark, d)
     pairs = pairs.select("query_id", "id", "score", F.col("source_document").alias("source"), F.col("label").alias("filter_value"))
     configs = spark.createDataFrame(_CONFIGS, "config_id int, k int, score_threshold double, apply_filter boolean")
     return E.tuning_grid(configs, truth(spark, d), pairs)
@@ -258,18 +268,8 @@ def best_config(spark, d):
 @query(f"""WITH {_V}, w AS (SELECT query_id, min(rank) FILTER (label = ql) AS best_rank, max(score) FILTER (label = ql) AS gs, coalesce(max(score) FILTER (label = (ql + 1) % 10), min(score)) AS bs FROM r WHERE id < 120 GROUP BY 1)
 SELECT query_id, CAST(best_rank AS INTEGER) AS best_rank, round(gs - bs, 4) AS margin, coalesce(gs > bs AND best_rank <= 3, false) AS passes FROM w""")
 def sanity_margin(spark, d):
-    ranking = _ranking_below(spark, d, 120)
-    labels = table(spark, d, "embeddings").filter(F.col("vec_id").between(ASKING, 119)).select("vec_id", "label")
-    per = labels.groupBy("label").agg(F.collect_list("vec_id").alias("ids"))
-    q = asks(spark, d).select("query_id", "query_label")
-    none = F.array().cast("array<bigint>")
-    good = q.join(F.broadcast(per), q["query_label"] == per["label"], "left").select("query_id", "query_label", F.coalesce("ids", none).alias("relevant"))
-    both = good.join(F.broadcast(per), (good["query_label"] + 1) % 10 == per["label"], "left").select("query_id", "relevant", F.coalesce("ids", none).alias("unrelated"))
-    return E.sanity_margins(both, ranking)
-
-
-def _ranking_below(spark, d, top_id):
-    return R.ranked(R.scored_pairs(asks(spark, d).drop("query_label"), corpus(spark, d))).filter(F.col("id") < top_id)
+    rows = R.ranked(_pairs(spark, d)).join(asks(spark, d).select("query_id", "query_label"), "query_id")
+    return E.margins(rows, F.col("label") == F.col("query_label"), F.col("label") == (F.col("query_label") + 1) % 10)
 
 
 @query("""WITH n AS (SELECT vec_id AS id, label, 1 AS version FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT vec_id, label + 100, 2 FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT vec_id, label + 200, 3 FROM embeddings WHERE vec_id % 9 = 0),

@@ -92,7 +92,7 @@ _QT = "qt AS (SELECT doc_id AS query_id, array_to_string(regexp_split_to_array(t
 
 
 def question_texts(spark, d):
-    return docs(spark, d).filter(F.col("doc_id") < ASKING).select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 8), " ").alias("query_text"))
+    return docs(spark, d).filter(F.col("doc_id") % ASKING == 0).select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 8), " ").alias("query_text"))
 
 
 _KW = f"""kq AS (SELECT query_id, query_text, {_TOK.format('query_text')} AS tk FROM qt),
@@ -114,9 +114,10 @@ def keyword_score(spark, d):
 
 def candidates(spark, d, k: int = 10):
     """The k best dense rows of each query with both texts and the label as section."""
-    hits = R.top_k(asks(spark, d).drop("query_label"), corpus(spark, d), k)
+    hits = R.top_k(asks(spark, d).drop("query_label"), corpus(spark, d), k, skip_own=True)
     texts = docs(spark, d).select(F.col("doc_id").alias("id"), "text")
-    return hits.join(texts, "id").join(F.broadcast(question_texts(spark, d)), "query_id").withColumn("section", F.col("label").cast("string"))
+    out = hits.join(texts, "id").join(question_texts(spark, d), "query_id", "left")  # vectors without a document ask with an empty text
+    return out.withColumns({"query_text": F.coalesce("query_text", F.lit("")), "section": F.col("label").cast("string")})
 
 
 @query()
