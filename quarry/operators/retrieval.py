@@ -16,17 +16,19 @@ BROADCAST_QUERIES = 4096  #: queries that are broadcast at a time
 
 def pair_with_corpus(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """Each query beside each corpus row. Queries are broadcast in blocks of BROADCAST_QUERIES, so that what is broadcast has a bound."""
-    blocks = math.ceil(queries.count() / BROADCAST_QUERIES) or 1
-    if blocks == 1:
-        return corpus.crossJoin(F.broadcast(queries))
     out = None
-    for b in range(blocks):
-        block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+    for block in blocks_of(queries, "query_id"):
         part = corpus.crossJoin(F.broadcast(block))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def blocks_of(rows: DataFrame, key: str) -> list[DataFrame]:
+    """All rows in blocks of about BROADCAST_QUERIES, by hash of the key."""
+    blocks = math.ceil(rows.count() / BROADCAST_QUERIES) or 1
+    return [rows] if blocks == 1 else [rows.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b) for b in range(blocks)]
+
+
 def scored_pairs(queries: DataFrame, corpus: DataFrame, metric: str = "cosine", skip_own: bool = False) -> DataFrame:
     """(query_id, id, score) of all pairs. cosine: clipped cosine; l2: 1 / (1 + distance); ip: inner product.
 
@@ -146,10 +148,16 @@ def rerank(candidates: DataFrame, k: int = 3) -> DataFrame:
 
 
 def similarity_matrix(samples: DataFrame) -> DataFrame:
-    """(a, b, similarity) of all ordered pairs of a small sample, the diagonal included; each unordered pair is computed once."""
+    """(a, b, similarity) of all ordered pairs of a sample, the diagonal included; each unordered pair is computed once.
+
+    One side is broadcast in blocks. The output has the square of the sample's rows.
+    """
     s = samples.select("id", V.doubles("vec").alias("vec"))
-    half = s.alias("x").join(F.broadcast(s.limit(BROADCAST_QUERIES)).alias("y"), F.col("x.id") < F.col("y.id"))
-    half = half.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), V.cosine(F.col("x.vec"), F.col("y.vec")).alias("similarity"))
+    half = None
+    for block in blocks_of(s, "id"):
+        part = s.alias("x").join(F.broadcast(block).alias("y"), F.col("x.id") < F.col("y.id"))
+        part = part.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), V.cosine(F.col("x.vec"), F.col("y.vec")).alias("similarity"))
+        half = part if half is None else half.unionByName(part)
     mirror = half.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")
     return half.unionByName(mirror).unionByName(s.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
 

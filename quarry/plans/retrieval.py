@@ -85,8 +85,7 @@ def top_bottom_k(spark, d):
 round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) END AS similarity
 FROM embeddings a, embeddings b WHERE a.vec_id < {ASKING} AND b.vec_id < {ASKING}""")
 def similarity_matrix(spark, d):
-    s = table(spark, d, "embeddings").filter(F.col("vec_id") < ASKING).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return rounded(R.similarity_matrix(s), "similarity", n=4)
+    return rounded(R.similarity_matrix(corpus(spark, d).drop("label")), "similarity", n=4)
 
 
 @query("""SELECT count(*) AS n, CAST(min(len(embedding)) AS INTEGER) AS smallest, CAST(max(len(embedding)) AS INTEGER) AS largest,

@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from quarry.operators import retrieval as R
 from quarry.plans import retrieval
 
 
@@ -49,3 +50,15 @@ def test_margins_read_the_whole_ranking(spark, tables):
         good = [(k, s) for k, label, s in rows if label == own]
         bad = [s for _, label, s in rows if label == (own + 1) % 10] or [rows[-1][2]]
         assert got[q][0] == good[0][0] and abs(got[q][1] - (good[0][1] - max(bad))) < 1e-4
+
+
+def test_matrix_has_all_pairs_above_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(R, "BROADCAST_QUERIES", 4)
+    df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(11)], "id long, vec array<double>")
+    got = [(r["a"], r["b"]) for r in R.similarity_matrix(df).collect()]
+    assert sorted(got) == [(a, b) for a in range(11) for b in range(11)]
+
+
+def test_matrix_query_takes_all_vectors(spark, tables):
+    got = {(r["a"], r["b"]) for r in retrieval.similarity_matrix(spark, tables[0]).collect()}
+    assert got == {(a, b) for a in range(130) for b in range(130)}
