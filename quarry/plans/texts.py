@@ -105,10 +105,10 @@ ks AS (SELECT query_id, id, hits, CASE WHEN len(terms) = 0 THEN bonus ELSE least
 
 @query(f"WITH {_QT}, kd AS (SELECT * FROM documents WHERE doc_id BETWEEN 20 AND 119 AND lang = 'en'), qe AS (SELECT * FROM qt), {_KW} SELECT query_id, id, len(hits) AS matched, round(score, 6) AS score FROM ks WHERE query_id IN (SELECT doc_id FROM documents WHERE lang = 'en')")
 def keyword_score(spark, d):
-    en = docs(spark, d).filter("lang = 'en'")
-    texts = en.filter(F.col("doc_id").between(20, 119)).select(F.col("doc_id").alias("id"), "text")
-    q = question_texts(spark, d).join(en.select(F.col("doc_id").alias("query_id")), "query_id", "left_semi")
-    pairs = R.pair_with_corpus(q, texts).withColumn("k", L.keyword_parts(F.col("query_text"), F.col("text")))
+    """Every document against the texts of ids divisible by 20; terms are taken once a query and once a document. The SQL has ids 20 to 119 alone."""
+    texts = docs(spark, d).select(F.col("doc_id").alias("id"), "text").withColumn("own", L.tokens(F.coalesce("text", F.lit(""))))
+    q = question_texts(spark, d).withColumn("terms", L.salient_terms(F.coalesce("query_text", F.lit(""))))
+    pairs = R.pair_with_corpus(q, texts).withColumn("k", L.keyword_parts(F.col("query_text"), F.col("text"), F.col("terms"), F.col("own")))
     return rounded(pairs.select("query_id", "id", F.size("k.matched").cast("long").alias("matched"), F.col("k.score").alias("score")), "score")
 
 

@@ -6,7 +6,7 @@ import random
 import pytest
 
 from quarry.operators import retrieval as R
-from quarry.plans import retrieval
+from quarry.plans import retrieval, texts
 
 
 @pytest.fixture(scope="module")
@@ -62,3 +62,12 @@ def test_matrix_has_all_pairs_above_the_bound(spark, monkeypatch):
 def test_matrix_query_takes_all_vectors(spark, tables):
     got = {(r["a"], r["b"]) for r in retrieval.similarity_matrix(spark, tables[0]).collect()}
     assert got == {(a, b) for a in range(130) for b in range(130)}
+
+
+def test_keyword_scores_of_every_document(spark, tables):
+    got = {(r["query_id"], r["id"]): (r["matched"], r["score"]) for r in texts.keyword_score(spark, tables[0]).collect()}
+    assert set(got) == {(q, i) for q in range(0, 130, 20) for i in range(130)}
+    for (q, i), (matched, score) in got.items():  # terms "wN" and "more", each once; a prefix such as w1 in w129 counts as contained
+        terms = [t for t in (f"w{q}", "more") if t in f"w{i} and more"]
+        want = 0.5 * len(terms) / 2 + 0.3 * len(terms) / 2.2 / 2 + (0.08 if f"w{q} and more" in f"w{i} and more" else 0)
+        assert matched == len(terms) and abs(score - want) < 1e-5
