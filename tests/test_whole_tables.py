@@ -1,12 +1,13 @@
 """Registered queries over whole small tables, against plain Python models."""
 
+import hashlib
 import math
 import random
 
 import pytest
 
 from quarry.operators import retrieval as R
-from quarry.plans import retrieval, texts
+from quarry.plans import answers, retrieval, texts
 
 
 @pytest.fixture(scope="module")
@@ -71,3 +72,9 @@ def test_keyword_scores_of_every_document(spark, tables):
         terms = [t for t in (f"w{q}", "more") if t in f"w{i} and more"]
         want = 0.5 * len(terms) / 2 + 0.3 * len(terms) / 2.2 / 2 + (0.08 if f"w{q} and more" in f"w{i} and more" else 0)
         assert matched == len(terms) and abs(score - want) < 1e-5
+
+
+@pytest.mark.parametrize("fold", [answers.token_fold, answers.stream_token_fold])
+def test_folds_replay_every_document(spark, tables, fold):
+    got = {r["request_id"]: (r["digest"], r["tokens"], r["status"]) for r in fold(spark, tables[0]).collect()}
+    assert got == {i: (hashlib.md5(f"w{i} and more".encode()).hexdigest(), 3, "COMPLETE") for i in range(130)}
