@@ -30,7 +30,7 @@ ENTITIES = [
 def entities(text: Column) -> Column:
     """Distinct times, percentages, durations, circular codes, acronyms and severities, in lower case and sorted."""
     low = F.lower(text)
-    return F.array_sort(F.array_distinct(F.concat(*(F.regexp_extract_all(low, F.lit(p), F.lit(0)) for p in ENTITIES))))
+    return F.array_sort(F.array_distinct(F.concat(*(F.regexp_extract_all(low, F.lit("(?U)" + p), F.lit(0)) for p in ENTITIES))))
 
 
 def sentences(text: Column) -> Column:

@@ -52,7 +52,7 @@ def resolve(claims: DataFrame, reg: DataFrame) -> DataFrame:
 
 
 def _informative(low: Column) -> Column:
-    words = F.regexp_extract_all(low, F.lit(r"\b[a-z0-9_\-]{3,}\b"), F.lit(0))
+    words = F.regexp_extract_all(low, F.lit(r"(?U)\b[a-z0-9_\-]{3,}\b"), F.lit(0))
     kept = F.filter(words, lambda w: ~w.isin(WEAK))
     return F.when(F.size(kept) > 0, kept).otherwise(words)
 
@@ -64,8 +64,8 @@ def verify(resolved: DataFrame) -> DataFrame:
     rows = resolved.withColumns({"_keys": _informative(low), "_numbers": F.regexp_extract_all(low, F.lit(NUMBER), F.lit(0))})
     rows = rows.withColumns(
         {
-            "_words": F.regexp_extract_all(low, F.lit(r"\b[a-z0-9_\-]+\b"), F.lit(0)),
-            "_run": F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(text, F.lit(r"\b[a-z0-9_\-]+\b"), F.lit(0)), " "), F.lit(" ")),
+            "_words": F.regexp_extract_all(low, F.lit(r"(?U)\b[a-z0-9_\-]+\b"), F.lit(0)),
+            "_run": F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(text, F.lit(r"(?U)\b[a-z0-9_\-]+\b"), F.lit(0)), " "), F.lit(" ")),
         }
     )
     # A longer run holds a run of three, so that three words decide whether there is one.

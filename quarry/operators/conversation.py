@@ -38,7 +38,7 @@ def history_text(turns: DataFrame, k: int = 6) -> DataFrame:
 
 def has_cues(q: Column) -> Column:
     low = F.lower(q)
-    out = F.arrays_overlap(F.regexp_extract_all(low, F.lit(r"\b[a-z0-9_\-]+\b"), F.lit(0)), F.array(*(F.lit(w) for w in CUE_WORDS)))
+    out = F.arrays_overlap(F.regexp_extract_all(low, F.lit(r"(?U)\b[a-z0-9_\-]+\b"), F.lit(0)), F.array(*(F.lit(w) for w in CUE_WORDS)))
     for p in CUE_PHRASES:
         out = out | F.contains(low, F.lit(p))
     return out

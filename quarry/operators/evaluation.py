@@ -163,7 +163,7 @@ def correctness(answer: Column, facts: Column, answerable: Column) -> Column:
     """Share of key facts in the answer, 0.85 of the score, and 0.15 unless it is too short; for unanswerable questions 1 if it refuses."""
     answer, facts = F.coalesce(answer, F.lit("")), F.coalesce(facts, F.array().cast("array<string>"))
     low = F.lower(answer)
-    bare = lambda c: F.regexp_replace(c, r"[^\w\s]", "")
+    bare = lambda c: F.regexp_replace(c, r"(?U)[^\w\s]", "")
     met = F.filter(facts, lambda f: F.contains(low, F.lower(f)) | F.contains(bare(low), F.trim(bare(F.lower(f)))))
     words = F.size(F.filter(F.split(answer, r"\s+"), lambda w: w != ""))
     short = (words < 15) & (F.size(facts) > 2)
@@ -181,8 +181,8 @@ def grounding(answer: Column, context: Column) -> Column:
     weak = F.array(*(F.lit(w) for w in WEAK_KEYWORDS))
 
     def supported(s: Column) -> Column:
-        numbers = F.regexp_extract_all(s, F.lit(r"\b\d+\s*(?:hours?|days?|business days?|years?|months?|%|percent)?\b"), F.lit(0))
-        words = F.filter(F.regexp_extract_all(s, F.lit(r"\b[a-z0-9_\-]{4,}\b"), F.lit(0)), lambda w: ~F.array_contains(weak, w))
+        numbers = F.regexp_extract_all(s, F.lit(r"(?U)\b\d+\s*(?:hours?|days?|business days?|years?|months?|%|percent)?\b"), F.lit(0))
+        words = F.filter(F.regexp_extract_all(s, F.lit(r"(?U)\b[a-z0-9_\-]{4,}\b"), F.lit(0)), lambda w: ~F.array_contains(weak, w))
         ratio = F.size(F.filter(words, lambda w: F.contains(corpus, w))) / F.greatest(F.lit(1), F.size(words))
         parts = split(s)
         three = F.exists(

@@ -60,14 +60,14 @@ def source_excerpts(spark, d):
 
 #: Answers are made from documents: a sentence of their own, one of another document, and one whose marker nothing has.
 def made_answers(spark, d) -> DataFrame:
-    docs = table(spark, d, "documents").filter("lang = 'en'")
+    docs = table(spark, d, "documents")
     first = F.array_join(F.slice(F.split("text", r"\s+"), 1, 9), " ")
     text = F.concat(first, F.lit(". [1] It takes 6 hours to report this at all. [2, Section 4] Nothing like that was said. [9] Plain end"))
     return docs.select(F.col("doc_id").alias("answer_id"), text.alias("answer"), F.col("text").alias("context"))
 
 
 def made_registry(spark, d) -> DataFrame:
-    docs = table(spark, d, "documents").filter("lang = 'en'")
+    docs = table(spark, d, "documents")
     one = docs.select(F.col("doc_id").alias("answer_id"), F.lit("[1]").alias("marker"), F.lit(1).alias("rank"), F.col("source").alias("filename"), F.col("doc_id").alias("id"), "text")
     two = one.withColumns({"marker": F.lit("[2]"), "rank": F.lit(2), "id": F.col("id") + 1_000_000, "text": F.lit("Entities report within 6 hours.")})
     return one.unionByName(two)
@@ -83,8 +83,7 @@ def citation_extract(spark, d):
 @query("""SELECT doc_id AS answer_id, 3::BIGINT AS citations, 2::BIGINT AS verified, 1::BIGINT AS fabricated, 1::BIGINT AS unsupported, round(2 / 3, 6) AS citation_precision, 'REJECTED' AS verdict FROM documents
 WHERE lang = 'en' AND regexp_full_match(lower(array_to_string(regexp_split_to_array(text, '\\s+')[1:9], ' ')), '[a-z]+( [a-z]+){8}')""")
 def citation_audit(spark, d):
-    plain = F.rlike(F.lower(F.array_join(F.slice(F.split("context", r"\s+"), 1, 9), " ")), F.lit("^[a-z]+( [a-z]+){8}$"))
-    answers = made_answers(spark, d).filter(plain)
+    answers = made_answers(spark, d)
     verified = C.verify(C.resolve(C.extract_claims(answers), made_registry(spark, d)))
     return rounded(C.audit(answers, verified), "citation_precision")
 
@@ -98,9 +97,7 @@ def citation_claims(spark, d):
 @query("""SELECT doc_id AS answer_id, 1 AS claims, CASE WHEN contains(lower(text), '6 hours') THEN 1 ELSE 0 END AS supported, CASE WHEN contains(lower(text), '6 hours') THEN 1.0 ELSE 0.0 END AS fidelity, contains(lower(text), '6 hours') AS grounded FROM documents
 WHERE lang = 'en' AND NOT regexp_matches(lower(array_to_string(regexp_split_to_array(text, '\\s+')[1:9], ' ')), '\\d|insufficient|rbi|kyc|soc|siem|edd|cdd|2fa|totp')""")
 def source_accuracy(spark, d):
-    made = made_answers(spark, d)
-    plain = made.filter(~F.rlike(F.lower(F.array_join(F.slice(F.split("context", r"\s+"), 1, 9), " ")), F.lit(r"\d|insufficient|rbi|kyc|soc|siem|edd|cdd|2fa|totp")))
-    return plain.select("answer_id", C.source_accuracy(F.col("answer"), F.col("context"), F.lit("")).alias("s")).select("answer_id", "s.*")
+    return made_answers(spark, d).select("answer_id", C.source_accuracy(F.col("answer"), F.col("context"), F.lit("")).alias("s")).select("answer_id", "s.*")
 
 
 @query()
@@ -111,7 +108,7 @@ def grounding(spark, d):
 @query("""WITH x AS (SELECT doc_id, text, regexp_split_to_array(text, '\\s+') AS w FROM documents WHERE lang = 'en')
 SELECT doc_id, round(CASE WHEN doc_id % 5 = 0 THEN 0.0 ELSE (CASE WHEN len(w) >= 4 THEN 1.0 ELSE 1.0 END * 2 / 3) * 0.85 + 0.15 END, 6) AS correctness FROM x WHERE len(list_filter(w, lambda z: z <> '')) >= 15""")
 def correctness(spark, d):
-    docs = table(spark, d, "documents").filter("lang = 'en'").filter(word_count(F.col("text")) >= 15)
+    docs = table(spark, d, "documents")
     facts = F.array(F.substring("text", 1, 12), F.upper(F.substring("text", 3, 12)), F.lit("no such fact anywhere"))
     return rounded(docs.select("doc_id", E.correctness(F.col("text"), facts, F.col("doc_id") % 5 != 0).alias("correctness")), "correctness")
 
@@ -163,8 +160,7 @@ def status_breakdown(spark, d):
 
 @query("""SELECT doc_id, substr(sha256('{"f": "", "k": 3, "m": "gpt-x", "q": "' || lower(trim(regexp_replace(replace(left(text, 60), '"', ''), '\\s+', ' ', 'g'))) || '"}'), 1, 24) AS key FROM documents WHERE lang = 'en' AND regexp_full_match(left(text, 60), '[ -~\\n\\t]*') AND NOT contains(left(text, 60), '\\')""")
 def cache_key(spark, d):
-    docs = table(spark, d, "documents").filter("lang = 'en'").withColumn("h", F.substring("text", 1, 60))
-    docs = docs.filter(F.rlike("h", F.lit(r"^[ -~\n\t]*$")) & ~F.contains("h", F.lit("\\")))
+    docs = table(spark, d, "documents").withColumn("h", F.substring("text", 1, 60))
     return docs.select("doc_id", U.cache_key(F.replace(F.col("h"), F.lit('"'), F.lit("")), F.lit(3), F.lit("GPT-x "), F.lit(None).cast("string")).alias("key"))
 
 
@@ -237,15 +233,13 @@ _CUES = f"(list_has_any(regexp_extract_all(lower(text), '\\b[a-z0-9_\\-]+\\b'),
 
 @query(f"SELECT conv_id, turn, {_CUES} AS cues FROM conversations WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
 def followup_cues(spark, d):
-    ascii_ = turns(spark, d).filter(F.rlike("text", F.lit(r"^[\x00-\x7F]*$")))
-    return ascii_.select("conv_id", "turn", V.has_cues(F.col("text")).alias("cues"))
+    return turns(spark, d).select("conv_id", "turn", V.has_cues(F.col("text")).alias("cues"))
 
 
 @query(f"""WITH u AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations WHERE role = 'user'), x AS (SELECT *, p IS NOT NULL AND {_CUES} AS f FROM u)
 SELECT conv_id, turn, f AS is_follow_up, md5(CASE WHEN f THEN text || ' regarding ' || left(p, 50) ELSE text END) AS digest FROM x WHERE regexp_full_match(text, '[\\x00-\\x7F]*')""")
 def rewritten_queries(spark, d):
-    out = V.rewrite(turns(spark, d)).join(turns(spark, d).select("conv_id", "turn", "text"), ["conv_id", "turn"])
-    return out.filter(F.rlike("text", F.lit(r"^[\x00-\x7F]*$"))).select("conv_id", "turn", "is_follow_up", F.md5("rewritten").alias("digest"))
+    return V.rewrite(turns(spark, d)).select("conv_id", "turn", "is_follow_up", F.md5("rewritten").alias("digest"))
 
 
 def raw_outputs(spark, d) -> DataFrame:

@@ -83,7 +83,7 @@ _STOP = "[" + ", ".join(f"'{w}'" for w in L.STOP_WORDS) + "]"
 @query(f"""WITH t AS (SELECT doc_id, {_TOK.format('text')} AS tk FROM documents WHERE lang = 'en'), s AS (SELECT doc_id, tk, list_filter(tk, lambda x: NOT list_contains({_STOP}, x) AND length(x) > 1) AS k FROM t)
 SELECT doc_id, len(tk) AS tokens, CASE WHEN len(k) > 0 THEN len(k) ELSE len(tk) END AS salient, md5(array_to_string(tk, ' ')) AS digest FROM s""")
 def tokenize_terms(spark, d):
-    out = docs(spark, d).filter("lang = 'en'").withColumns({"tk": L.tokens(F.col("text")), "s": L.salient_terms(F.col("text"))})
+    out = docs(spark, d).withColumns({"tk": L.tokens(F.col("text")), "s": L.salient_terms(F.col("text"))})
     return out.select("doc_id", F.size("tk").cast("long").alias("tokens"), F.size("s").cast("long").alias("salient"), F.md5(F.array_join("tk", " ")).alias("digest"))
 
 
@@ -137,7 +137,7 @@ _ENT = "list_sort(list_distinct(list_concat(" + ", ".join(f"regexp_extract_all(l
 
 @query(f"SELECT doc_id, array_to_string({_ENT}, '|') AS entities FROM documents WHERE lang = 'en'")
 def statutory_entities(spark, d):
-    return docs(spark, d).filter("lang = 'en'").select("doc_id", F.array_join(K.entities(F.col("text")), "|").alias("entities"))
+    return docs(spark, d).select("doc_id", F.array_join(K.entities(F.col("text")), "|").alias("entities"))
 
 
 @query()

@@ -1,11 +1,15 @@
 """Registered queries over whole small tables, against plain Python models."""
 
 import hashlib
+import json
 import math
 import random
+import re
 
 import pytest
 
+from quarry.functions import lexical as L
+from quarry.operators import conversation as V
 from quarry.operators import retrieval as R
 from quarry.plans import answers, retrieval, texts
 
@@ -78,3 +82,48 @@ def test_keyword_scores_of_every_document(spark, tables):
 def test_folds_replay_every_document(spark, tables, fold):
     got = {r["request_id"]: (r["digest"], r["tokens"], r["status"]) for r in fold(spark, tables[0]).collect()}
     assert got == {i: (hashlib.md5(f"w{i} and more".encode()).hexdigest(), 3, "COMPLETE") for i in range(130)}
+
+
+TEXTS = [
+    (0, "Größe über alles, sagt it und Straße 12 heute noch einmal so", "de"), (1, 'Él dijo "sí" en c:\\x y luego nada más que eso hoy', "es"),
+    (2, "one two three four five six seven eight nine ten", "en"), (3, "kurz", None), (4, "12 insufficient kyc words stand in here as a text", "en"),
+]
+
+
+@pytest.fixture(scope="module")
+def languages(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("languages"))
+    spark.createDataFrame([(i, t, lang, "s") for i, t, lang in TEXTS], "doc_id long, text string, lang string, source string").write.parquet(f"{d}/documents.parquet")
+    turns = [(1, 0, "user", "Größe"), (1, 1, "user", "what about Köln"), (1, 2, "user", "naïveit héit"), (1, 3, "user", "it är ok")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{d}/conversations.parquet")
+    return d
+
+
+def test_text_queries_take_every_language(spark, languages):
+    for q in (texts.tokenize_terms, texts.statutory_entities, answers.correctness, answers.cache_key):
+        assert q(spark, languages).count() == len(TEXTS), q.__name__
+    for q in (answers.citation_extract, answers.citation_audit, answers.source_accuracy, answers.grounding):
+        assert {r["answer_id"] for r in q(spark, languages).collect()} == set(range(len(TEXTS))), q.__name__
+    assert answers.answer_verdicts(spark, languages).first()["cases"] == len(TEXTS)
+    got = {r["doc_id"]: (r["tokens"], r["digest"]) for r in texts.tokenize_terms(spark, languages).collect()}
+    for i, t, _ in TEXTS:
+        terms = [x for x in (m.strip(".,;:!?()[]{}'\"") for m in re.findall(r"[a-z0-9_\-.%]+", t.lower())) if x]
+        assert got[i] == (len(terms), hashlib.md5(" ".join(terms).encode()).hexdigest())
+    keys = {r["doc_id"]: r["key"] for r in answers.cache_key(spark, languages).collect()}
+    for i, t, _ in TEXTS:
+        body = {"q": re.sub(r"\s+", " ", t[:60].replace('"', "").strip()).lower(), "k": 3, "m": "gpt-x", "f": ""}
+        assert keys[i] == hashlib.sha256(json.dumps(body, sort_keys=True).encode()).hexdigest()[:24]
+
+
+def test_turns_of_every_alphabet(spark, languages):
+    cue = lambda t: bool(set(re.findall(r"\b[a-z0-9_\-]+\b", t.lower())) & set(V.CUE_WORDS)) or any(p in t.lower() for p in V.CUE_PHRASES)
+    said = ["Größe", "what about Köln", "naïveit héit", "it är ok"]
+    assert {r["turn"]: r["cues"] for r in answers.followup_cues(spark, languages).collect()} == {k: cue(t) for k, t in enumerate(said)}
+    got = {r["turn"]: r["digest"] for r in answers.rewritten_queries(spark, languages).collect()}
+    want = [f"{t} regarding {said[k - 1][:50]}" if k and cue(t) else t for k, t in enumerate(said)]
+    assert got == {k: hashlib.md5(t.encode()).hexdigest() for k, t in enumerate(want)}
+
+
+def test_phrases_keep_their_letters(spark):
+    row = spark.createDataFrame([("Größe, über!", "die größe über alles")], "q string, t string")
+    assert row.select(L.phrase_bonus(row["q"], row["t"]).alias("b")).first()["b"] == 0.4
