@@ -15,7 +15,7 @@ from quarry.llm.common import Workspace
 
 ORDER = 5
 DOCS_A_LANGUAGE = 400  #: documents of each language that a model is fitted on, by hash order
-LONGEST_TRAINING_TEXT = 100_000  #: characters; longer labelled texts are not used for fitting
+LONGEST_TRAINING_TEXT = 100_000  #: characters; longer labelled texts are used for fitting only where a language has no others
 CHUNK = 1 << 19  #: characters of texts taken together
 SCORED = 1 << 16  #: characters scored at a time
 MARGIN, SHORT = 0.9, 3.0  #: nats above the sample's cross-entropies that are still accepted; more for texts of n characters by SHORT / sqrt(n)
@@ -254,20 +254,28 @@ def _train(table: pa.Table) -> pa.Table:
 
 
 def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, docs_a_language: int) -> Models | None:
-    """Fit a model for each label on at most `docs_a_language` texts, chosen by hash order of their ids."""
+    """Fit a model for each label on at most `docs_a_language` texts, chosen by hash order of their ids.
+
+    Texts over LONGEST_TRAINING_TEXT are used only for languages without shorter ones, whole, until as many characters are reached as
+    `docs_a_language` texts of that bound have; one at least.
+    """
     ws = Workspace(labelled.sparkSession, "language")
     length = F.length(text_col)
-    usable = labelled.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (length > 0) & (length <= LONGEST_TRAINING_TEXT))
-    named = ws.save(usable.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id")), "labelled")
-    counts = named.groupBy("lang").agg(F.count("*").alias("n"))  # a row a language
+    usable = labelled.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (length > 0))
+    named = ws.save(usable.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), length.alias("chars")), "labelled")
+    short = F.col("chars") <= LONGEST_TRAINING_TEXT
+    counts = named.groupBy("lang").agg(F.count_if(short).alias("short"), F.count("*").alias("n"))  # a row a language
+    counts = counts.select("lang", (F.col("short") > 0).alias("has_short"), F.when(F.col("short") > 0, F.col("short")).otherwise(F.col("n")).alias("n"))
     # A part of the hash range that holds a little over the wanted number keeps a frequent language's ids out of the window.
     part = F.ceil(F.lit(1.5 * docs_a_language) / F.col("n") * (1 << 30))
-    few = named.join(F.broadcast(counts), "lang").filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < part)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = few.select("lang", "id", F.row_number().over(order).alias("rank")).filter(F.col("rank") <= docs_a_language)
+    few = named.join(F.broadcast(counts), "lang").filter(short | ~F.col("has_short")).filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < part)
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "chars")
+    before = F.sum("chars").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("chars")
+    picked = few.select("lang", "id", "chars", F.row_number().over(order).alias("rank"), before.alias("before"))
+    picked = picked.filter((F.col("rank") <= docs_a_language) & (F.col("before") < docs_a_language * LONGEST_TRAINING_TEXT)).drop("before")
     picked = ws.save(picked, "picked")  # docs_a_language rows a language at most
-    texts = usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sample = texts.join(F.broadcast(picked), ["id", "lang"]).dropDuplicates(["id", "lang", "text"])
+    texts = usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), length.alias("chars"))
+    sample = texts.join(F.broadcast(picked), ["id", "lang", "chars"]).dropDuplicates(["id", "lang", "text"])
     fitted = sample.groupBy("lang").applyInArrow(_train, "lang string, part string, data binary, threshold double")
     by_language: dict[str, dict[str, np.ndarray]] = {}
     thresholds: dict[str, float] = {}

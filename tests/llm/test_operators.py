@@ -287,6 +287,15 @@ def test_languages(spark):
     assert language.identify_languages(docs_frame(spark, [(1, "abc", None, "s")])).first()["lang_pred"] == "und"
 
 
+def test_languages_of_long_texts_alone(spark, monkeypatch):
+    monkeypatch.setattr(language, "LONGEST_TRAINING_TEXT", 100)
+    rows = [(i, "the cat sat on the mat and the dog ran", "en") for i in range(20)] + [(20 + i, "der hund lief zum haus und die katze schlief " * 5, "de") for i in range(20)]
+    rows += [(40 + i, "xyz zyx " * 40, "en") for i in range(3)]  # not learnt from: there are shorter ones
+    out = language.identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert all(r["lang_pred"] == "de" and not r["rejected"] for r in out if 20 <= r["doc_id"] < 40)
+    assert all(r["rejected"] for r in out if r["doc_id"] >= 40)
+
+
 def test_pipeline_stages(spark, tmp_path, corpus):
     import corpus_pipeline as P
 
