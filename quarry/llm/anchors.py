@@ -11,15 +11,15 @@ GRAM = 32  #: bytes of the k-grams whose hashes are compared; less than the wind
 SEGMENT = 1 << 20  #: window starts handled at a time
 
 _rng = np.random.default_rng(11)
-_BYTES = _rng.integers(0, 1 << 63, 256, dtype=np.uint64)
-_STEPS = _rng.integers(0, 1 << 63, 5, dtype=np.uint64) | np.uint64(1)
+BYTE_HASHES = _rng.integers(0, 1 << 63, 256, dtype=np.uint64)
+STEP_HASHES = _rng.integers(0, 1 << 63, 5, dtype=np.uint64) | np.uint64(1)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the GRAM bytes from each position on, by five doublings."""
-    h = _BYTES[data]
+    h = BYTE_HASHES[data]
     width = 1
-    for m in _STEPS:
+    for m in STEP_HASHES:
         h = h[: len(h) - width] * m + h[width:]
         width *= 2
     h ^= h >> np.uint64(32)

@@ -2,75 +2,108 @@
 
 from __future__ import annotations
 
-import os
+import contextlib
+import math
+import re
 import tempfile
 import uuid
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SHARED_DIR_SETTING = "spark.checkpoint.dir"
+from quarry.session import ship_package
 
+SHARED_DIR_SETTING = "spark.checkpoint.dir"
 
-#: Rows of an Arrow batch where the session has Spark's default: texts are long, and a batch is held by the JVM and by Python.
+#: Rows of an Arrow batch while an operator writes: texts are long, and a batch is held by the JVM and by Python.
 ARROW_ROWS = "1000"
+ARROW_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Freed memory of Python workers goes back to the system, since an executor's JVM and its workers share one limit.
 WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "131072", "MALLOC_MMAP_THRESHOLD_": "131072"}
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Let Python workers of a local session import this package (on a cluster it is installed or added with addPyFile), and bound their memory."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    have = env.get("PYTHONPATH", "")
-    if root not in have.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
+def bound_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package, and bound their memory."""
+    ship_package(spark)
     for k, v in WORKER_ENV.items():
-        env.setdefault(k, v)
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+        spark.sparkContext.environment.setdefault(k, v)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """ARROW_ROWS rows a batch inside the block, where the session has no smaller number; the session's own setting comes back."""
+    own = spark.conf.get(ARROW_SETTING)
+    if 0 < int(own) <= int(ARROW_ROWS):
+        yield
+        return
+    spark.conf.set(ARROW_SETTING, ARROW_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_SETTING, own)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors and the driver share: spark.checkpoint.dir of the session.
 
-    Where it is unset (tests on one machine) a fresh temporary folder is chosen once for the session.
+    Where it is unset and all runs in one process (tests), a fresh temporary folder is chosen once for the session; on a cluster that is an
+    error, since executors would write to disks of their own.
     """
     found = spark.conf.get(SHARED_DIR_SETTING, None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"set {SHARED_DIR_SETTING} to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quarry-shared-")
         spark.conf.set(SHARED_DIR_SETTING, found)
     return found.rstrip("/")
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Folders of this process's workspaces that still stand, in order.
+_STANDING: list[str] = []
+
+
+@contextlib.contextmanager
+def passing_workspaces(spark: SparkSession):
+    """Delete, at the end, what operators called inside the block have written: for blocks that end with the result stored elsewhere."""
+    before = set(_STANDING)
+    yield
+    for folder in [f for f in _STANDING if f not in before]:
+        delete_folder(spark, folder)
+        _STANDING.remove(folder)
+
+
 class Workspace:
     """Intermediate tables of one operator call, written as Parquet into the shared folder.
 
-    A written table cuts lineage: a lost executor costs at most the stage that was running, never the ones before.
+    A written table cuts lineage: a lost executor costs at most the stage that was running, never the ones before. A result that reads them
+    keeps them alive; passing_workspaces deletes them where the result has been stored.
     """
 
     def __init__(self, spark: SparkSession, label: str):
-        ship_package(spark)
+        bound_workers(spark)
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
+        _STANDING.append(self.base)
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         path = f"{self.base}/{self._n:03d}-{name}"
         self._n += 1
-        df.write.option("compression", "zstd").parquet(path)
+        with small_batches(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._quarry_path = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete written tables that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._quarry_path)
-            path.getFileSystem(conf).delete(path, True)
+            delete_folder(self.spark, table._quarry_path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -119,49 +152,62 @@ def _fingerprint(e: DataFrame) -> tuple:
     return tuple(row)
 
 
-FILTER_BITS = 1 << 23  #: of a membership filter, whatever the number of keys
+BITS_A_KEY = 16  #: of a membership filter
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27  #: of a membership filter: the largest one is 16 MB
 
 
-def membership_filter(keys: DataFrame, column: str):
-    """A Bloom filter of fixed size over a long column, as a broadcast numpy array; more keys only make it pass more.
+def free_name(name: str, taken: list[str]) -> str:
+    """`name`, lengthened until no column has it."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
 
-    Its words are gathered by partially aggregated bit_or: at most FILTER_BITS / 64 rows reach the driver. What it passes still has to be
-    joined; it only keeps most of the rows that can't match out of that join's shuffle.
+
+def _spots(column: str, bits: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(F.col(column), F.lit(seed)), F.lit(bits)) for seed in (1, 2)]
+
+
+def membership_filter(keys: DataFrame, column: str) -> DataFrame | None:
+    """A Bloom filter over a long column of BITS_A_KEY bits a key, MOST_BITS at most, as a table of one row (its words); None where there are so many keys that it would pass nearly all.
+
+    Its words are gathered by partially aggregated bit_or and reach the driver as one Arrow table of at most MOST_BITS / 64 rows. What it passes still has
+    to be joined; it only keeps most of the rows that can't match out of that join's shuffle.
     """
     import numpy as np
+    import pyarrow as pa
 
-    spots = [F.pmod(F.xxhash64(F.col(column), F.lit(seed)), F.lit(FILTER_BITS)) for seed in (1, 2)]
-    bit = F.explode(F.array(*spots)).alias("spot")
+    n = keys.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << math.ceil(math.log2(max(1, n) * BITS_A_KEY))))
+    if n * 2 > bits:  # more than two thirds of the bits would be set
+        return None
+    bit = F.explode(F.array(*_spots(column, bits))).alias("spot")
     words = keys.select(bit).groupBy(F.shiftright("spot", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, CAST(spot & 63 AS INT))")).alias("bits")
     )
-    found = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in words.collect():
-        found[r["word"]] = r["bits"]
-    return keys.sparkSession.sparkContext.broadcast(found.view(np.uint64))
+    table = words.toArrow()
+    found = np.zeros(bits // 64, np.int64)
+    found[table.column("word").to_numpy()] = table.column("bits").to_numpy()
+    row = pa.table({"words": pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), pa.array(found))})
+    out = keys.sparkSession.createDataFrame(row)
+    out._quarry_bits = bits
+    return out
 
 
-def passing(rows: DataFrame, column: str, shared, clear: bool = False) -> DataFrame:
-    """Rows whose key the filter may hold, or with `clear` the others; the two spot columns are computed by Spark, the lookup runs on Arrow batches."""
-    import numpy as np
-    import pyarrow as pa
-
-    spots = [F.pmod(F.xxhash64(F.col(column), F.lit(seed)), F.lit(FILTER_BITS)).alias(f"_spot{seed}") for seed in (1, 2)]
+def passing(rows: DataFrame, column: str, shared: DataFrame | None, clear: bool = False) -> DataFrame:
+    """Rows whose key the filter may hold, or with `clear` the others. Without a filter (None) all rows may be held.
 
-    def run(batches):
-        for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            for seed in (1, 2):
-                spot = batch.column(f"_spot{seed}").to_numpy(zero_copy_only=False).astype(np.uint64)
-                keep &= (shared.value[spot >> np.uint64(6)] >> (spot & np.uint64(63))) & np.uint64(1) == 1
-            yield batch.select(names).filter(pa.array(keep ^ clear))
-
-    names = rows.columns
-    return rows.select("*", *spots).mapInArrow(run, rows.schema)
+    The filter is a scalar subquery: its one value goes out with the tasks and is read where the rows are scanned.
+    """
+    if shared is None:
+        return rows.filter(F.lit(not clear))
+    size, words = shared._quarry_bits, shared.select("words").scalar()
+    hold = [F.getbit(F.get(words, F.shiftright(s, 6).cast("int")), (s.bitwiseAND(F.lit(63))).cast("int")) == 1 for s in _spots(column, size)]
+    return rows.filter(~(hold[0] & hold[1]) if clear else hold[0] & hold[1])
 
 
 def drop_keys(ws: Workspace, rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """Rows whose long key is not among the written `keys`; only rows that a fixed-size filter can't clear are shuffled."""
+    """Rows whose long key is not among the written `keys`; only rows that a filter of bounded size can't clear are shuffled."""
     shared = membership_filter(keys, column)
     maybe = passing(rows, column, shared).join(keys.select(column), column, "left_anti").select(*rows.columns)
     return passing(rows, column, shared, clear=True).unionByName(maybe)

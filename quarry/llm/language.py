@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import Workspace
+from quarry.llm.common import Workspace, free_name
 
 ORDER = 5
 DOCS_A_LANGUAGE = 400  #: documents of each language that a model is fitted on, by hash order
@@ -354,5 +354,5 @@ def identify_languages(
     while any(f"{prefix}{f.name}" in own.columns for f in new):
         prefix += "_"
     schema = T.StructType(own.schema.fields + [T.StructField(f"{prefix}{f.name}", f.dataType) for f in new])
-    rows = docs.select(*own.columns, F.col(text_col).cast("string").alias("_text"))
-    return rows.mapInArrow(_predict(shared, len(own.columns), prefix), schema)
+    rows = docs.select(*own.columns, F.col(text_col).cast("string").alias(free_name("_text", own.columns)))
+    return Workspace(spark, "predicted").save(rows.mapInArrow(_predict(shared, len(own.columns), prefix), schema))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ship_package
+from quarry.llm.common import Workspace
 
 # Phrases and their labels.
 PHRASES = {
@@ -204,14 +204,14 @@ def scan_licenses(
     """
     templates = TEMPLATES if templates is None else templates
     phrases = PHRASES if phrases is None else phrases
-    ship_package(docs.sparkSession)
+    ws = Workspace(docs.sparkSession, "licences")
     vocabulary = frozenset(w for t in templates.values() for w in words_of(t))
     text = F.col(text_col).cast("string")
-    counted = docs.select(text.alias("text")).mapInArrow(_count(vocabulary), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = ws.save(docs.select(text.alias("text")).mapInArrow(_count(vocabulary), "word binary, n long")).groupBy("word").agg(F.sum("n").alias("n"))
     counts = {bytes(r["word"]): r["n"] for r in counted.collect()}  # a row a template word
     ordered = order_templates(templates, counts, threshold)
     found = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).mapInArrow(_scan(ordered, phrases), SCAN_SCHEMA)
-    return found.withColumnRenamed("id", id_col)
+    return ws.save(found).withColumnRenamed("id", id_col)
 
 
 def label_rows(found: DataFrame) -> DataFrame:

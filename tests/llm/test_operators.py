@@ -199,8 +199,9 @@ def brute_repeats(corpus, length):
 def test_repeats(spark, corpus, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT_CONTENTS", hot)
     docs = docs_frame(spark, corpus)
-    got = sorted((tuple(r) for r in repeats.repeat_digests(docs, length=100, keep="none").collect()), key=str)
-    assert got == brute_repeats(corpus, 100)
+    got = sorted((tuple(r) for r in repeats.repeat_digests(docs, length=100, keep="none", passage=64).collect()), key=str)
+    assert [r[:5] for r in got] == brute_repeats(corpus, 100)
+    assert [(r[0], r[1], r[5], r[6]) for r in got] == [r[:4] for r in brute_repeats(corpus, 64)]
     if hot == 512:
         assert repeats.repeat_digests(empty(spark)).count() == 0
 
@@ -225,6 +226,61 @@ def test_repeats_keep_the_first_copy(spark, corpus, monkeypatch, hot):
         repeats.find_repeats(docs_frame(spark, rows), keep="last")
 
 
+def test_repeats_of_an_id_on_different_texts(spark, corpus):
+    rows = [*corpus, (3, corpus[30][1], "en", "a"), (4, corpus[40][1] + " tail", "en", "a"), (4, corpus[40][1] + " tail", "en", "a")]
+    got = sorted((tuple(r) for r in repeats.repeat_digests(docs_frame(spark, rows), length=100, passage=100).collect()), key=str)
+    assert [r[:5] for r in got] == brute_repeats(rows, 100)
+
+
+def brute_cut(texts, length):
+    """Each text of a list in order without later copies; characters covered in part stay."""
+    seen, out = set(), []
+    for t in texts:
+        b = t.encode()
+        cover = np.zeros(len(b) + 1, bool)
+        for k in range(len(b) - length + 1):
+            if b[k : k + length] in seen:
+                cover[k : k + length] = True
+            seen.add(b[k : k + length])
+        at, kept = 0, []
+        for c in t:
+            n = len(c.encode())
+            if not cover[at : at + n].all():
+                kept.append(c)
+            at += n
+        out.append("".join(kept))
+    return out
+
+
+def test_texts_without_later_copies(spark, corpus):
+    rows = sorted((r for r in corpus if r[0] is not None and r[0] != 3), key=lambda r: r[0])
+    rows += [(70, "é" + "ab" * 60 + "è und", "de", "a"), (71, "è" + "ab" * 60 + "é oder", "de", "a"), (72, "é" * 300, "fr", "b")]
+    docs = docs_frame(spark, rows)
+    out = repeats.without_repeats(docs, 100)
+    assert out.columns == docs.columns
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    want = brute_cut([r[1] or "" for r in rows], 100)
+    assert got == {r[0]: None if r[1] is None else w for r, w in zip(rows, want, strict=True)}
+    more = [(None, rows[30][1], "en", "a"), (None, rows[30][1], "en", "a"), (30, "another text under an id that is there", "en", "a")]
+    assert repeats.without_repeats(docs_frame(spark, rows + more), 100).count() == len(rows) + 3
+    assert repeats.without_repeats(empty(spark)).count() == 0
+
+
+def test_planted_passages_of_51_words(spark):
+    import corpus_pipeline as P
+
+    rng = random.Random(8)
+    prose = lambda n: " ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randrange(2, 6))) for _ in range(n))
+    passages = [prose(51) for _ in range(6)]
+    assert all(P.PASSAGE_BYTES <= len(p) < 400 for p in passages)
+    rows = [(i, f"{prose(40)} {passages[i % 6]} {prose(40)}", "en", "a") for i in range(30)] + [(i, prose(120), "en", "a") for i in range(30, 50)]
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in P.cut_repeats(spark, docs_frame(spark, rows), "").collect()}
+    for i, t, _, _ in rows:
+        assert (got[i][0] == t) if i < 6 or i >= 30 else (passages[i % 6] not in got[i][0] and len(got[i][0]) <= len(t) - 190 and got[i][1] == len(got[i][0])), i
+    flags = {r["doc_id"]: (r["n_removed"], r["passage_bytes"] > 0) for r in repeats.repeat_digests(docs_frame(spark, rows), 400).collect()}
+    assert flags == {i: (0, i < 30) for i in range(50)}
+
+
 def test_licenses(spark, corpus):
     rows = corpus + [(90, "Foo. Licensed under the Apache License, Version 2.0. CC BY cc-by", "en", "a"), (91, "This work is licenced under the GNU general public license version 3", "en", "a"), (92, "x " * 50_000 + "MIT License", "en", "a")]
     out = {r["doc_id"]: r for r in licenses.label_rows(licenses.scan_licenses(docs_frame(spark, rows))).collect()}
