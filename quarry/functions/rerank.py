@@ -9,10 +9,10 @@ from quarry.functions.lexical import salient_terms, tokens
 from quarry.functions.vectors import clip
 
 # Words of operative and of introductory text, and patterns of statutory entities.
-OPERATIVE = (
-    "shall must required mandate prohibited penalty sanction within exceeding minimum maximum between hours timeline "
-    "obligation conduct strictly failure"
-).split()
+OPERATIVE = [
+    "shall", "must", "required", "mandate", "prohibited", "penalty", "sanction", "within", "exceeding", "minimum", "maximum", "between", "hours",
+    "timeline", "obligation", "conduct", "strictly", "failure",
+]
 INTRODUCTORY = [
     "preamble", "preliminary", "circular no", "to all", "in exercise of the powers",
     "subject:", "reference:", "central office", "mumbai",

@@ -24,12 +24,19 @@ def retrieval_metrics(truth: DataFrame, hits: DataFrame, ks: tuple[int, ...] = (
 
     truth: query_id, relevant ids (array); hits: query_id, id, rank. An empty truth has recall and average precision 1 and precision 0.
     """
-    rows = truth.select("query_id", F.col("relevant")).join(hits.select("query_id", "id", "rank"), "query_id", "left")
-    hit = F.coalesce(F.array_contains("relevant", F.col("id")), F.lit(False))
+    rows = truth.select("query_id", "relevant", F.size("relevant").alias("wanted")).join(hits.select("query_id", "id", "rank"), "query_id", "left")
+    return metrics_of_hits(rows.withColumn("hit", F.coalesce(F.array_contains("relevant", F.col("id")), F.lit(False))), ks)
+
+
+def metrics_of_hits(rows: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+    """retrieval_metrics of rows (query_id, wanted, id, rank, hit) that say of themselves whether they are wanted, for truths too large for arrays.
+
+    A query without rows has one with a null id.
+    """
     order = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("hit", hit).withColumn("upto", F.sum(F.col("hit").cast("int")).over(order))
+    rows = rows.withColumn("upto", F.sum(F.col("hit").cast("int")).over(order))
     aggs = [
-        F.count("id").alias("retrieved"), F.first(F.size("relevant")).alias("wanted"),
+        F.count("id").alias("retrieved"), F.first("wanted").alias("wanted"),
         F.min(F.when(F.col("hit"), F.col("rank"))).alias("first_hit"),
         F.sum(F.when(F.col("hit"), F.col("upto") / F.col("rank")).otherwise(0.0)).alias("gain"),
         *(F.count_if(F.col("hit") & (F.col("rank") <= k)).alias(f"hits_{k}") for k in ks),
@@ -57,23 +64,23 @@ def macro_means(metrics: DataFrame) -> DataFrame:
 def verdicts(truth: DataFrame, hits: DataFrame, source_col: str = "source") -> DataFrame:
     """relevant where the id is wanted, peripheral where its source is acceptable, else irrelevant. truth has relevant and sources (arrays)."""
     rows = hits.join(truth.select("query_id", "relevant", "sources"), "query_id")
-    verdict = (
-        F.when(F.array_contains("relevant", F.col("id")), "relevant")
-        .when(F.array_contains("sources", F.col(source_col)), "peripheral")
-        .otherwise("irrelevant")
-    )
+    verdict = verdict_of(F.array_contains("relevant", F.col("id")), F.array_contains("sources", F.col(source_col)))
     return rows.select("query_id", "rank", "id", verdict.alias("verdict"))
 
 
+def verdict_of(wanted: Column, from_source: Column) -> Column:
+    return F.when(wanted, "relevant").when(from_source, "peripheral").otherwise("irrelevant")
+
+
 def failure_taxonomy(truth: DataFrame, judged: DataFrame, metrics: DataFrame) -> DataFrame:
     """OUT_OF_CORPUS without wanted ids; else what the query type says if none of the wanted is in the top 3; DILUTION with two or more
-    irrelevant rows there and precision below 0.34; else NONE. truth: query_id, relevant, query_type."""
+    irrelevant rows there and precision below 0.34; else NONE. truth: query_id, wanted (how many ids), query_type."""
     top = judged.filter("rank <= 3").groupBy("query_id").agg(
         F.count_if(F.col("verdict") == "relevant").alias("good"), F.count_if(F.col("verdict") == "irrelevant").alias("bad")
     )
     rows = truth.join(top, "query_id", "left").join(metrics.select("query_id", "precision_3"), "query_id", "left")
     kind = (
-        F.when(F.size("relevant") == 0, "OUT_OF_CORPUS")
+        F.when(F.col("wanted") == 0, "OUT_OF_CORPUS")
         .when(F.coalesce("good", F.lit(0)) == 0,
               F.when(F.col("query_type") == "colloquial_phrasing", "VOCABULARY_MISMATCH").when(F.col("query_type") == "cross_domain_ambiguity", "AMBIGUOUS_QUERY").otherwise("RANKING_MISS"))
         .when((F.coalesce("bad", F.lit(0)) >= 2) & (F.col("precision_3") < 0.34), "DILUTION")
@@ -82,31 +89,33 @@ def failure_taxonomy(truth: DataFrame, judged: DataFrame, metrics: DataFrame) ->
     return rows.select("query_id", kind.alias("failure"), (kind != "NONE").alias("is_failure"))
 
 
-def tuning_grid(configs: DataFrame, truth: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Per configuration and query: survivors of top-k and threshold, re-ranked after the gate, hit, top-1, reciprocal rank, precision, noise.
+def tuning_candidates(configs: DataFrame, pairs: DataFrame, passes_filter: Column) -> DataFrame:
+    """The rows that each configuration reads: (config_id, query_id, id, score, r, alive, and the other columns of `pairs`).
 
-    configs: config_id, k, score_threshold, apply_filter (few rows, broadcast); truth: query_id, relevant, sources, wanted_filter;
-    pairs: query_id, id, score, source, filter_value.
+    configs: config_id, k, score_threshold, apply_filter (few rows: the largest k is read first, so that no ranking is deeper). Ranks don't depend on the
+    threshold: they are taken once with and once without the filter.
     """
-    # Ranks don't depend on the threshold: rank once with and once without the filter, read at each k.
-    joined = pairs.join(truth.select("query_id", "wanted_filter"), "query_id")
-    order = [F.desc("score"), F.col("id")]
-    plain = joined.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).withColumn("filtered", F.lit(False))
-    kept = joined.filter(F.col("filter_value") == F.col("wanted_filter"))
-    kept = kept.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).withColumn("filtered", F.lit(True))
-    both = plain.unionByName(kept)
+    deepest = configs.agg(F.max("k")).first()[0] or 0
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("id"))
+    ranked = lambda rows, flag: rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= deepest).withColumn("filtered", F.lit(flag))
+    both = ranked(pairs, False).unionByName(ranked(pairs.filter(passes_filter), True))
     deep = both.join(F.broadcast(configs), (F.col("filtered") == F.col("apply_filter")) & (F.col("r") <= F.col("k")))
-    deep = deep.join(truth.select("query_id", "relevant", "sources"), "query_id")  # arrays of ids stay out of the ranking's shuffle
-    good = F.array_contains("relevant", F.col("id")) | F.array_contains("sources", F.col("source"))
-    alive = F.col("score") >= F.col("score_threshold")
-    deep = deep.withColumn("alive", alive).withColumn("good", good & alive)
+    return deep.withColumn("alive", F.col("score") >= F.col("score_threshold")).drop("filtered", "apply_filter", "k", "score_threshold")
+
+
+def tuning_grid(configs: DataFrame, queries: DataFrame, deep: DataFrame) -> DataFrame:
+    """Per configuration and query: survivors of top-k and threshold, re-ranked after the gate, hit, top-1, reciprocal rank, precision, noise.
+
+    queries: query_id; deep: rows of tuning_candidates with `good`, whether a row is wanted or from an acceptable source.
+    """
+    deep = deep.withColumn("good", F.col("good") & F.col("alive"))
     # The gate keeps a prefix of the ranking, so that ranks after it are the ranks before it.
     per = deep.groupBy("config_id", "query_id").agg(
         F.count_if("alive").alias("survivors"), F.count_if(~F.col("alive")).alias("noise_dropped"),
         F.count_if("good").alias("good"), F.min(F.when(F.col("good"), F.col("r"))).alias("first"),
         F.sum(F.when(F.col("alive"), F.col("score")).otherwise(0.0)).alias("score_sum"),
     )
-    every = F.broadcast(configs.select("config_id")).crossJoin(truth.select("query_id"))
+    every = queries.select("query_id").crossJoin(F.broadcast(configs.select("config_id")))  # few configurations
     out = every.join(per, ["config_id", "query_id"], "left").na.fill(0, ["survivors", "noise_dropped", "good", "score_sum"])
     return out.select(
         "config_id", "query_id", "survivors", "noise_dropped",
@@ -135,20 +144,24 @@ def best_config(summary: DataFrame) -> DataFrame:
 def sanity_margins(expected: DataFrame, ranking: DataFrame) -> DataFrame:
     """Per case: best relevant rank and score, best unrelated score (the lowest row's if none is named), margin, and whether it passes.
 
-    expected: query_id, relevant, unrelated (arrays); ranking: query_id, id, score, rank.
+    expected: query_id, relevant, unrelated (arrays); ranking: query_id, id, score.
     """
     return margins(ranking.join(expected, "query_id"), F.array_contains("relevant", F.col("id")), F.array_contains("unrelated", F.col("id")))
 
 
 def margins(rows: DataFrame, good: Column, bad: Column) -> DataFrame:
-    """sanity_margins of ranked rows by what is relevant and unrelated, for truths too large for arrays."""
-    per = rows.groupBy("query_id").agg(
-        F.min(F.when(good, F.col("rank"))).alias("best_rank"), F.max(F.when(good, F.col("score"))).alias("good_score"),
-        F.coalesce(F.max(F.when(bad, F.col("score"))), F.min("score")).alias("bad_score"),
-    )
-    margin = F.round(F.col("good_score") - F.col("bad_score"), 4)
-    passes = F.coalesce((F.col("good_score") > F.col("bad_score")) & (F.col("best_rank") <= 3), F.lit(False))
-    return per.select("query_id", "best_rank", margin.alias("margin"), passes.alias("passes"))
+    """sanity_margins of scored rows by what is relevant and unrelated, for truths too large for arrays.
+
+    The best relevant row's rank is one more than the rows before it, by score and then id: two partial aggregations, no sort of the corpus.
+    """
+    rows = rows.withColumns({"_good": F.coalesce(good, F.lit(False)), "_bad": F.coalesce(bad, F.lit(False))})
+    best = F.max(F.when(F.col("_good"), F.struct("score", (-F.col("id")).alias("low"))))
+    per = rows.groupBy("query_id").agg(best.alias("best"), F.coalesce(F.max(F.when(F.col("_bad"), F.col("score"))), F.min("score")).alias("bad_score"))
+    before = (F.col("score") > F.col("best.score")) | ((F.col("score") == F.col("best.score")) & (-F.col("id") > F.col("best.low")))
+    rank = rows.select("query_id", "id", "score").join(per, "query_id").groupBy("query_id", "best", "bad_score").agg((F.count_if(before) + 1).cast("int").alias("rank"))
+    good_score, found = F.col("best.score"), F.col("best").isNotNull()
+    passes = F.coalesce((good_score > F.col("bad_score")) & (F.col("rank") <= 3), F.lit(False))
+    return rank.select("query_id", F.when(found, F.col("rank")).alias("best_rank"), F.round(good_score - F.col("bad_score"), 4).alias("margin"), passes.alias("passes"))
 
 
 def is_refusal(answer: Column) -> Column:

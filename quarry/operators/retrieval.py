@@ -16,26 +16,31 @@ BROADCAST_QUERIES = 4096  #: queries that are broadcast at a time
 
 def pair_with_corpus(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """Each query beside each corpus row. Queries are broadcast in blocks of BROADCAST_QUERIES, so that what is broadcast has a bound."""
-    out = None
+    out, corpus = None, once_a_row(corpus)
     for block in blocks_of(queries, "query_id"):
         part = corpus.crossJoin(F.broadcast(block))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def once_a_row(rows: DataFrame) -> DataFrame:
+    """The same rows, with their columns computed here: Spark would else compute a derived column of the streamed side anew for every pair of a nested loop join."""
+    return rows.select(F.inline(F.array(F.struct(*rows.columns))))
+
+
 def blocks_of(rows: DataFrame, key: str) -> list[DataFrame]:
     """All rows in blocks of about BROADCAST_QUERIES, by hash of the key."""
     blocks = math.ceil(rows.count() / BROADCAST_QUERIES) or 1
     return [rows] if blocks == 1 else [rows.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b) for b in range(blocks)]
 
 
-def scored_pairs(queries: DataFrame, corpus: DataFrame, metric: str = "cosine", skip_own: bool = False) -> DataFrame:
+def scored_pairs(queries: DataFrame, corpus: DataFrame, metric: str = "cosine", skip_own: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, id, score) of all pairs. cosine: clipped cosine; l2: 1 / (1 + distance); ip: inner product.
 
     queries has query_id and query_vec, corpus has id and vec; corpus columns other than vec stay. Vectors that are null or hold nulls have no score and no row.
-    skip_own leaves out the corpus row whose id is the query's.
+    skip_own leaves out the corpus row whose id is the query's. Columns of queries that are named in `carry` stay, too.
     """
-    q = queries.select("query_id", V.doubles("query_vec").alias("query_vec")).withColumn("query_norm", V.norm(F.col("query_vec")))
+    q = queries.select("query_id", *carry, V.doubles("query_vec").alias("query_vec")).withColumn("query_norm", V.norm(F.col("query_vec")))
     c = corpus.withColumn("vec", V.doubles("vec")).withColumn("vec_norm", V.norm(F.col("vec")))
     pairs = pair_with_corpus(q, c)
     if skip_own:
@@ -152,11 +157,11 @@ def similarity_matrix(samples: DataFrame) -> DataFrame:
 
     One side is broadcast in blocks. The output has the square of the sample's rows.
     """
-    s = samples.select("id", V.doubles("vec").alias("vec"))
-    half = None
+    s = samples.select("id", V.doubles("vec").alias("vec")).withColumn("norm", V.norm(F.col("vec")))
+    half, left = None, once_a_row(s)
     for block in blocks_of(s, "id"):
-        part = s.alias("x").join(F.broadcast(block).alias("y"), F.col("x.id") < F.col("y.id"))
-        part = part.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), V.cosine(F.col("x.vec"), F.col("y.vec")).alias("similarity"))
+        part = left.alias("x").join(F.broadcast(block).alias("y"), F.col("x.id") < F.col("y.id"))
+        part = part.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), V.cosine(F.col("x.vec"), F.col("y.vec"), F.col("x.norm"), F.col("y.norm")).alias("similarity"))
         half = part if half is None else half.unionByName(part)
     mirror = half.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")
     return half.unionByName(mirror).unionByName(s.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")))

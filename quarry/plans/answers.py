@@ -26,9 +26,9 @@ def _hits(spark, d) -> DataFrame:
     return candidates(spark, d, 5).withColumn("token_count", estimated_tokens(F.col("text")))
 
 
-_V = """q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id < 20),
-c AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id >= 20),
-r AS (SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(qv, v) DESC, id) AS INTEGER) AS rank FROM q CROSS JOIN c),
+_V = """q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 20 = 0),
+c AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+r AS (SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(qv, v) DESC, id) AS INTEGER) AS rank FROM q JOIN c ON query_id <> id),
 nw AS (SELECT doc_id, text, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n FROM documents),
 h AS (SELECT query_id, rank, id, text, CASE WHEN n = 0 THEN 0 ELSE greatest(1, CAST(floor(n * 1.3) AS INTEGER)) END AS tk FROM r JOIN nw ON nw.doc_id = r.id WHERE rank <= 5)"""
 
@@ -73,40 +73,61 @@ def made_registry(spark, d) -> DataFrame:
     return one.unionByName(two)
 
 
-@query("""WITH a AS (SELECT doc_id, array_to_string(regexp_split_to_array(text, '\\s+')[1:9], ' ') AS f FROM documents WHERE lang = 'en')
-SELECT doc_id AS answer_id, 3::BIGINT AS markers FROM a""")
+@query("""WITH a AS (SELECT doc_id, array_to_string(regexp_split_to_array(text, '\\s+')[1:9], ' ') AS f FROM documents)
+SELECT doc_id AS answer_id, len(regexp_extract_all(f || '. [1] It takes 6 hours to report this at all. [2, Section 4] Nothing like that was said. [9] Plain end', '\\[(?:\\d+|[\\w.\\-]+\\.(?:pdf|txt|md|html|json))[^\\]]*\\]')) AS markers FROM a""")
 def citation_extract(spark, d):
     """Markers of three sentences each; what stands in the documents' own words is kept free of markers by their alphabet."""
     return C.extract_claims(made_answers(spark, d)).groupBy("answer_id").agg(F.count("*").alias("markers"))
 
 
-@query("""SELECT doc_id AS answer_id, 3::BIGINT AS citations, 2::BIGINT AS verified, 1::BIGINT AS fabricated, 1::BIGINT AS unsupported, round(2 / 3, 6) AS citation_precision, 'REJECTED' AS verdict FROM documents
-WHERE lang = 'en' AND regexp_full_match(lower(array_to_string(regexp_split_to_array(text, '\\s+')[1:9], ' ')), '[a-z]+( [a-z]+){8}')""")
+#: The made answer's claim with its three markers, held against both registry texts. Letters beyond ASCII become a capital, which bounds words but is in none.
+_LETTERS = "'[\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]', 'Z', 'g'"
+_CLAIM = f"""a AS (SELECT doc_id, text, list_extract(regexp_split_to_array(array_to_string(regexp_split_to_array(text, '\\s+')[1:9], ' '), '[.!?]\\s+'), -1) || '. [1] It takes 6 hours to report this at all. [2, Section 4] Nothing like that was said. [9] Plain end' AS claim FROM documents),
+b AS (SELECT *, regexp_replace(lower(trim(regexp_replace(claim, '\\[[^\\]]+\\]', '', 'g'))), {_LETTERS}) AS c FROM a),
+k AS (SELECT *, list_filter(regexp_extract_all(c, '\\b[a-z0-9_\\-]{{3,}}\\b'), lambda w: NOT list_contains({C.WEAK!r}, w)) AS keys, regexp_extract_all(c, '{C.NUMBER}') AS nums, regexp_extract_all(c, '\\b[a-z0-9_\\-]+\\b') AS w FROM b),
+m AS (SELECT doc_id, claim, keys, nums, w, unnest([0, 1, 2]) AS marker_no, unnest(['[1]', '[2]', '[9]']) AS marker, unnest([lower(text), 'entities report within 6 hours.', NULL]) AS low FROM k),
+r AS (SELECT *, len(list_filter(keys, lambda x: contains(low, x))) / greatest(1, len(keys)) AS ratio,
+ ' ' || array_to_string(regexp_extract_all(regexp_replace(low, {_LETTERS}), '\\b[a-z0-9_\\-]+\\b'), ' ') || ' ' AS run FROM m),
+v AS (SELECT *, (ratio >= 0.35 AND len(list_filter(nums, lambda x: NOT contains(low, x))) = 0) OR len(list_filter(nums, lambda x: contains(low, x))) > 0
+ OR len(list_filter(range(1, len(w) - 1), lambda i: contains(run, ' ' || array_to_string(w[i:i + 2], ' ') || ' '))) > 0 AS ok FROM r),
+s AS (SELECT doc_id AS answer_id, 0 AS claim_no, claim, CAST(marker_no AS INTEGER) AS marker_no, marker, CASE WHEN low IS NULL THEN 'FABRICATED_MARKER' WHEN ok THEN 'VERIFIED' WHEN ratio >= 0.25 THEN 'PARTIALLY_SUPPORTED' ELSE 'UNSUPPORTED' END AS status,
+ round(CASE WHEN low IS NULL THEN 0.0 WHEN ok THEN least(1.0, ratio + 0.3) ELSE ratio END, 6) AS confidence FROM v)"""
+
+
+@query(f"""WITH {_CLAIM} SELECT answer_id, count(*) AS citations, count(*) FILTER (status = 'VERIFIED') AS verified, count(*) FILTER (status = 'FABRICATED_MARKER') AS fabricated, count(*) FILTER (status IN ('UNSUPPORTED', 'FABRICATED_MARKER')) AS unsupported,
+round(count(*) FILTER (status = 'VERIFIED') / count(*), 6) AS citation_precision, CASE WHEN count(*) FILTER (status = 'FABRICATED_MARKER') > 0 THEN 'REJECTED' WHEN count(*) FILTER (status = 'UNSUPPORTED') > 0 THEN 'FLAGGED' ELSE 'PASS' END AS verdict FROM s GROUP BY answer_id""")
 def citation_audit(spark, d):
     answers = made_answers(spark, d)
     verified = C.verify(C.resolve(C.extract_claims(answers), made_registry(spark, d)))
     return rounded(C.audit(answers, verified), "citation_precision")
 
 
-@query()
+@query(f"WITH {_CLAIM} SELECT * FROM s")
 def citation_claims(spark, d):
     verified = C.verify(C.resolve(C.extract_claims(made_answers(spark, d)), made_registry(spark, d)))
     return rounded(verified, "confidence")
 
 
-@query("""SELECT doc_id AS answer_id, 1 AS claims, CASE WHEN contains(lower(text), '6 hours') THEN 1 ELSE 0 END AS supported, CASE WHEN contains(lower(text), '6 hours') THEN 1.0 ELSE 0.0 END AS fidelity, contains(lower(text), '6 hours') AS grounded FROM documents
-WHERE lang = 'en' AND NOT regexp_matches(lower(array_to_string(regexp_split_to_array(text, '\\s+')[1:9], ' ')), '\\d|insufficient|rbi|kyc|soc|siem|edd|cdd|2fa|totp')""")
+@query("""SELECT doc_id AS answer_id, 1 AS claims, CASE WHEN contains(lower(text), '6 hours') THEN 1 ELSE 0 END AS supported, CASE WHEN contains(lower(text), '6 hours') THEN 1.0 ELSE 0.0 END AS fidelity, contains(lower(text), '6 hours') AS grounded FROM documents""")
 def source_accuracy(spark, d):
     return made_answers(spark, d).select("answer_id", C.source_accuracy(F.col("answer"), F.col("context"), F.lit("")).alias("s")).select("answer_id", "s.*")
 
 
-@query()
+_GROUND = f"""ga AS (SELECT doc_id, lower(text) AS low, array_to_string(regexp_split_to_array(text, '\\s+')[1:9], ' ') || '. [1] It takes 6 hours to report this at all. [2, Section 4] Nothing like that was said. [9] Plain end' AS answer FROM documents),
+gs AS (SELECT *, list_transform(list_filter(list_transform(string_split(regexp_replace(answer, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(regexp_replace(x, '\\[[^\\]]+\\]', '', 'g'))), lambda x: len(list_filter(regexp_split_to_array(x, '\\s+'), lambda y: y <> '')) >= 4), lambda x: lower(x)) AS said FROM ga),
+gt AS (SELECT doc_id, low, unnest(said) AS one FROM gs),
+gw AS (SELECT doc_id, low, list_filter(regexp_extract_all(regexp_replace(one, {_LETTERS}), '\\b[a-z0-9_\\-]{{4,}}\\b'), lambda x: NOT list_contains({E.WEAK_KEYWORDS!r}, x)) AS w, regexp_extract_all(regexp_replace(one, {_LETTERS}), '\\b\\d+\\s*(?:hours?|days?|business days?|years?|months?|%|percent)?\\b') AS nums, list_filter(regexp_split_to_array(one, '\\s+'), lambda y: y <> '') AS p FROM gt),
+gg AS (SELECT doc_id, (len(list_filter(w, lambda x: contains(low, x))) / greatest(1, len(w)) >= 0.35 AND len(list_filter(nums, lambda x: NOT contains(low, x))) = 0) OR len(list_filter(range(1, len(p) - 1), lambda i: contains(low, array_to_string(p[i:i + 2], ' ')))) > 0 AS ok FROM gw),
+gr AS (SELECT ga.doc_id AS answer_id, CASE WHEN contains(lower(answer), 'insufficient information') THEN 1.0 WHEN low = '' THEN 0.0 ELSE coalesce(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 1.0) END AS grounding FROM ga LEFT JOIN gg USING (doc_id) GROUP BY ga.doc_id, answer, low)"""
+
+
+@query(f"WITH {_GROUND} SELECT answer_id, round(grounding, 6) AS grounding FROM gr")
 def grounding(spark, d):
     return rounded(made_answers(spark, d).select("answer_id", E.grounding(F.col("answer"), F.col("context")).alias("grounding")), "grounding")
 
 
-@query("""WITH x AS (SELECT doc_id, text, regexp_split_to_array(text, '\\s+') AS w FROM documents WHERE lang = 'en')
-SELECT doc_id, round(CASE WHEN doc_id % 5 = 0 THEN 0.0 ELSE (CASE WHEN len(w) >= 4 THEN 1.0 ELSE 1.0 END * 2 / 3) * 0.85 + 0.15 END, 6) AS correctness FROM x WHERE len(list_filter(w, lambda z: z <> '')) >= 15""")
+@query("""WITH x AS (SELECT doc_id, text, regexp_split_to_array(text, '\\s+') AS w FROM documents)
+SELECT doc_id, round(CASE WHEN doc_id % 5 = 0 THEN 0.0 ELSE 2 / 3 * 0.85 + CASE WHEN len(list_filter(w, lambda z: z <> '')) < 15 THEN 0.0 ELSE 0.15 END END, 6) AS correctness FROM x""")
 def correctness(spark, d):
     docs = table(spark, d, "documents")
     facts = F.array(F.substring("text", 1, 12), F.upper(F.substring("text", 3, 12)), F.lit("no such fact anywhere"))
@@ -158,7 +179,11 @@ def status_breakdown(spark, d):
     return _audit(spark, d).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT doc_id, substr(sha256('{"f": "", "k": 3, "m": "gpt-x", "q": "' || lower(trim(regexp_replace(replace(left(text, 60), '"', ''), '\\s+', ' ', 'g'))) || '"}'), 1, 24) AS key FROM documents WHERE lang = 'en' AND regexp_full_match(left(text, 60), '[ -~\\n\\t]*') AND NOT contains(left(text, 60), '\\')""")
+_JSON = "array_to_string(list_transform(string_split(q, ''), lambda c: CASE WHEN c = '\\' THEN '\\\\' WHEN unicode(c) < 128 THEN c ELSE '\\u' || lpad(lower(to_hex(unicode(c))), 4, '0') END), '')"
+
+
+@query(f"""WITH h AS (SELECT doc_id, lower(trim(regexp_replace(replace(left(text, 60), '"', ''), '\\s+', ' ', 'g'))) AS q FROM documents)
+SELECT doc_id, substr(sha256('{{"f": "", "k": 3, "m": "gpt-x", "q": "' || {_JSON} || '"}}'), 1, 24) AS key FROM h""")
 def cache_key(spark, d):
     docs = table(spark, d, "documents").withColumn("h", F.substring("text", 1, 60))
     return docs.select("doc_id", U.cache_key(F.replace(F.col("h"), F.lit('"'), F.lit("")), F.lit(3), F.lit("GPT-x "), F.lit(None).cast("string")).alias("key"))
@@ -231,13 +256,13 @@ _CUE = "[" + ", ".join(f"'{w}'" for w in V.CUE_WORDS) + "]"
 _CUES = f"(list_has_any(regexp_extract_all(lower(text), '\\b[a-z0-9_\\-]+\\b'), {_CUE}) OR " + " OR ".join(f"contains(lower(text), '{p}')" for p in V.CUE_PHRASES) + ")"
 
 
-@query(f"SELECT conv_id, turn, {_CUES} AS cues FROM conversations WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
+@query(f"SELECT conv_id, turn, {_CUES} AS cues FROM conversations")
 def followup_cues(spark, d):
     return turns(spark, d).select("conv_id", "turn", V.has_cues(F.col("text")).alias("cues"))
 
 
 @query(f"""WITH u AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations WHERE role = 'user'), x AS (SELECT *, p IS NOT NULL AND {_CUES} AS f FROM u)
-SELECT conv_id, turn, f AS is_follow_up, md5(CASE WHEN f THEN text || ' regarding ' || left(p, 50) ELSE text END) AS digest FROM x WHERE regexp_full_match(text, '[\\x00-\\x7F]*')""")
+SELECT conv_id, turn, f AS is_follow_up, md5(CASE WHEN f THEN text || ' regarding ' || left(p, 50) ELSE text END) AS digest FROM x""")
 def rewritten_queries(spark, d):
     return V.rewrite(turns(spark, d)).select("conv_id", "turn", "is_follow_up", F.md5("rewritten").alias("digest"))
 
@@ -271,7 +296,7 @@ def _answers(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("request_id"), F.col("text").alias("answer"))
 
 
-@query("SELECT doc_id AS request_id, md5(text) AS digest, CAST(len(string_split(text, ' ')) AS INTEGER) AS tokens, 'COMPLETE' AS status FROM documents WHERE doc_id < 50")
+@query("SELECT doc_id AS request_id, md5(text) AS digest, CAST(len(string_split(text, ' ')) AS INTEGER) AS tokens, 'COMPLETE' AS status FROM documents")
 def stream_token_fold(spark, d):
     """Events written as files, read as a stream, folded by request with state."""
     folder = tempfile.mkdtemp(prefix="quarry-events-") if not spark.conf.get("spark.checkpoint.dir", None) else spark.conf.get("spark.checkpoint.dir") + "/token-events"
@@ -280,7 +305,7 @@ def stream_token_fold(spark, d):
     return folded.select("request_id", F.md5("answer").alias("digest"), "tokens", "status")
 
 
-@query("SELECT doc_id AS request_id, md5(text) AS digest, CAST(len(string_split(text, ' ')) AS INTEGER) AS tokens, 'COMPLETE' AS status FROM documents WHERE doc_id < 50")
+@query("SELECT doc_id AS request_id, md5(text) AS digest, CAST(len(string_split(text, ' ')) AS INTEGER) AS tokens, 'COMPLETE' AS status FROM documents")
 def token_fold(spark, d):
     return SA.fold(SA.replay(_answers(spark, d))).select("request_id", F.md5("answer").alias("digest"), "tokens", "status")
 

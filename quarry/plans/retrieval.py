@@ -1,6 +1,4 @@
-"""Retrieval and evaluation queries: vectors of ids divisible by 20 ask, all but themselves answer; labels are the truth.
-
-The SQL beside them still has the first round's set (ids below 20 ask, the others answer; truth below id 60, margins below 120)."""
+"""Retrieval and evaluation queries: vectors of ids divisible by 20 ask, all but themselves answer; labels are the truth."""
 
 from __future__ import annotations
 
@@ -34,9 +32,9 @@ def rounded(df: DataFrame, *cols: str, n: int = 6) -> DataFrame:
 
 
 _V = f"""
-q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv, label AS ql FROM embeddings WHERE vec_id < {ASKING}),
-c AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings WHERE vec_id >= {ASKING}),
-p AS (SELECT query_id, id, label, ql, list_cosine_similarity(qv, v) AS score FROM q CROSS JOIN c),
+q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv, label AS ql FROM embeddings WHERE vec_id % {ASKING} = 0),
+c AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
+p AS (SELECT query_id, id, label, ql, list_cosine_similarity(qv, v) AS score FROM q JOIN c ON query_id <> id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM p)"""
 
 
@@ -57,14 +55,14 @@ def topk_cosine(spark, d):
 _L2 = """1 / (1 + sqrt(list_sum(list_transform(list_zip(qv, v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))))"""
 
 
-@query(f"""WITH {_V}, s AS (SELECT query_id, id, {_L2} AS score FROM q CROSS JOIN c),
+@query(f"""WITH {_V}, s AS (SELECT query_id, id, {_L2} AS score FROM q JOIN c ON query_id <> id),
 t AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, id, round(score, 6) AS score FROM t WHERE rank <= 5""")
 def topk_l2(spark, d):
     return rounded(_top(5, metric="l2")(spark, d).select("query_id", "rank", "id", "score"), "score")
 
 
-@query(f"""WITH {_V}, s AS (SELECT query_id, id, list_inner_product(qv, v) AS score FROM q CROSS JOIN c),
+@query(f"""WITH {_V}, s AS (SELECT query_id, id, list_inner_product(qv, v) AS score FROM q JOIN c ON query_id <> id),
 t AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, id, round(score, 6) AS score FROM t WHERE rank <= 5""")
 def topk_dot(spark, d):
@@ -81,9 +79,9 @@ def top_bottom_k(spark, d):
     return rounded(best.unionByName(worst).select("side", "query_id", "rank", "id", "score"), "score", n=4)
 
 
-@query(f"""SELECT a.vec_id AS a, b.vec_id AS b, CASE WHEN a.vec_id = b.vec_id THEN 1.0 ELSE
+@query("""SELECT a.vec_id AS a, b.vec_id AS b, CASE WHEN a.vec_id = b.vec_id THEN 1.0 ELSE
 round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) END AS similarity
-FROM embeddings a, embeddings b WHERE a.vec_id < {ASKING} AND b.vec_id < {ASKING}""")
+FROM embeddings a, embeddings b""")
 def similarity_matrix(spark, d):
     return rounded(R.similarity_matrix(corpus(spark, d).drop("label")), "similarity", n=4)
 
@@ -122,7 +120,7 @@ SELECT a.query_id, coalesce(n, 0) AS eliminated, round(pp, 6) AS plain_precision
 round(CASE WHEN pp = 0 THEN CASE WHEN coalesce(fp, 0) > 0 THEN 100.0 ELSE 0.0 END ELSE (coalesce(fp, 0) - pp) / pp * 100 END, 4) AS gain_pct
 FROM a LEFT JOIN b USING (query_id) LEFT JOIN g USING (query_id)""")
 def filtered_vs_unfiltered(spark, d):
-    pairs = _pairs(spark, d).join(asks(spark, d).select("query_id", "query_label"), "query_id")
+    pairs = R.scored_pairs(asks(spark, d), corpus(spark, d), skip_own=True, carry=("query_label",))
     good = F.col("label") == F.col("query_label")
     out = R.filter_effect(R.ranked(pairs, 5), R.ranked(pairs.filter(good), 5), good)
     return rounded(rounded(out, "plain_precision", "filtered_precision"), "gain_pct", n=4)
@@ -159,7 +157,7 @@ def refusal_text(spark, d):
     return G.refusals(_assessed(spark, d))
 
 
-_TRUTH = """truth AS (SELECT q.query_id, list(id) AS relevant, count(*) AS n FROM q JOIN (SELECT id, label FROM c WHERE id < 60) x ON x.label = q.ql GROUP BY 1),
+_TRUTH = """truth AS (SELECT q.query_id, list(id) AS relevant, count(*) AS n FROM q JOIN c x ON x.label = q.ql AND x.id <> q.query_id GROUP BY 1),
 allq AS (SELECT query_id, coalesce(relevant, []) AS relevant, coalesce(n, 0) AS n FROM q LEFT JOIN truth USING (query_id)),
 h AS (SELECT r.query_id, r.id, r.rank, list_contains(a.relevant, r.id) AS hit, a.n FROM r JOIN allq a USING (query_id) WHERE rank <= 10),
 hu AS (SELECT *, sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank) AS upto FROM h),
@@ -173,39 +171,51 @@ _M = [*(f"recall_{k}" for k in (1, 3, 5)), *(f"precision_{k}" for k in (1, 3, 5)
 
 
 def truth(spark, d) -> DataFrame:
-    """All other vectors with the query's label are wanted; their documents' sources are acceptable."""
-    named = corpus(spark, d).select("id", "label")
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source")
-    ids = named.groupBy("label").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    counted = named.join(docs, "id").groupBy("label", "source").agg(F.count("*").alias("n"))
-    found = counted.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("found"))
-    per = ids.join(found, "label", "left")
-    q = asks(spark, d).join(docs.select(F.col("id").alias("query_id"), F.col("source").alias("own")), "query_id", "left")
-    out = q.join(per, q["query_label"] == per["label"], "left")
-    others = F.transform(F.filter("found", lambda x: (x["n"] > 1) | ~x["source"].eqNullSafe(F.col("own"))), lambda x: x["source"])
-    out = out.withColumns({"relevant": F.array_remove("ids", F.col("query_id")), "sources": F.filter(others, lambda x: x.isNotNull())})
+    """Per query: how many other vectors have its label (these are wanted), and its type."""
+    counts = table(spark, d, "embeddings").groupBy(F.col("label").alias("query_label")).agg((F.count("*") - 1).alias("wanted"))
     kind = F.when(F.col("query_id") % 3 == 1, "colloquial_phrasing").when(F.col("query_id") % 3 == 2, "cross_domain_ambiguity").otherwise("direct")
-    return out.select("query_id", F.coalesce("relevant", F.array().cast("array<bigint>")).alias("relevant"), F.coalesce("sources", F.array().cast("array<string>")).alias("sources"), F.col("query_label").alias("wanted_filter"), kind.alias("query_type"))
+    return asks(spark, d).join(counts, "query_label", "left").select("query_id", "query_label", F.coalesce("wanted", F.lit(0).cast("long")).alias("wanted"), kind.alias("query_type"))
+
+
+def flagged(hits: DataFrame, spark, d) -> DataFrame:
+    """Ranked rows with `hit`: the row has its query's label. Queries without rows stay, with nulls."""
+    rows = truth(spark, d).join(hits, "query_id", "left")
+    return rows.withColumn("hit", F.coalesce(F.col("label") == F.col("query_label"), F.lit(False)))
+
+
+def acceptable(rows: DataFrame, spark, d) -> DataFrame:
+    """Rows with `own_source`: the row's source is one of a document, not the query's, whose vector has the query's label."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source")
+    named = corpus(spark, d).select("id", F.col("label").alias("query_label")).join(docs, "id")
+    found = named.groupBy("query_label", F.col("source").alias("source_document")).agg(F.count("*").alias("named"))
+    own = docs.select(F.col("id").alias("query_id"), F.col("source").alias("query_source"))
+    rows = rows.join(found, ["query_label", "source_document"], "left").join(own, "query_id", "left")
+    others = F.col("named") - F.coalesce((F.col("query_source") == F.col("source_document")).cast("int"), F.lit(0))
+    return rows.withColumn("own_source", F.coalesce(others > 0, F.lit(False))).drop("named", "query_source")
+
+
+def _metrics(spark, d) -> DataFrame:
+    return E.metrics_of_hits(flagged(_top(10)(spark, d), spark, d))
 
 
 @query(f"WITH {_V}, {_TRUTH} SELECT query_id, {', '.join(f'round({c}, 6) AS {c}' for c in _M)} FROM mm")
 def recall_precision_at_k(spark, d):
-    return rounded(E.retrieval_metrics(truth(spark, d), _top(10)(spark, d)), *_M)
+    return rounded(_metrics(spark, d), *_M)
 
 
 @query(f"WITH {_V}, {_TRUTH} SELECT count(*) AS queries, {', '.join(f'round(avg({c}), 6) AS {c}' for c in _M)} FROM mm")
 def mrr_map(spark, d):
-    return rounded(E.macro_means(E.retrieval_metrics(truth(spark, d), _top(10)(spark, d))), *_M)
+    return rounded(E.macro_means(_metrics(spark, d)), *_M)
 
 
-_SRC = """src AS (SELECT q.query_id, list(DISTINCT d.source) AS sources FROM q JOIN (SELECT id, label FROM c WHERE id < 60) x ON x.label = q.ql JOIN documents d ON d.doc_id = x.id GROUP BY 1),
+_SRC = """src AS (SELECT q.query_id, list(DISTINCT d.source) AS sources FROM q JOIN c x ON x.label = q.ql AND x.id <> q.query_id JOIN documents d ON d.doc_id = x.id GROUP BY 1),
 v AS (SELECT r.query_id, r.rank, r.id, CASE WHEN list_contains(a.relevant, r.id) THEN 'relevant' WHEN list_contains(coalesce(s.sources, []), d.source) THEN 'peripheral' ELSE 'irrelevant' END AS verdict
  FROM r JOIN allq a USING (query_id) LEFT JOIN src s USING (query_id) JOIN documents d ON d.doc_id = r.id WHERE rank <= 5)"""
 
 
 def _judged(spark, d):
-    hits = with_docs(_top(5)(spark, d), spark, d)
-    return E.verdicts(truth(spark, d), hits, "source_document")
+    rows = acceptable(flagged(with_docs(_top(5)(spark, d), spark, d), spark, d).filter("id IS NOT NULL"), spark, d)
+    return rows.select("query_id", "rank", "id", E.verdict_of(F.col("hit"), F.col("own_source")).alias("verdict"))
 
 
 @query(f"WITH {_V}, {_TRUTH}, {_SRC} SELECT * FROM v")
@@ -218,8 +228,7 @@ f AS (SELECT a.query_id, CASE WHEN a.n = 0 THEN 'OUT_OF_CORPUS' WHEN coalesce(go
  WHEN coalesce(bad, 0) >= 2 AND precision_3 < 0.34 THEN 'DILUTION' ELSE 'NONE' END AS failure FROM allq a LEFT JOIN t USING (query_id) LEFT JOIN mm USING (query_id))
 SELECT query_id, failure, failure <> 'NONE' AS is_failure FROM f""")
 def failure_taxonomy(spark, d):
-    t = truth(spark, d)
-    return E.failure_taxonomy(t, _judged(spark, d), E.retrieval_metrics(t, _top(10)(spark, d)))
+    return E.failure_taxonomy(truth(spark, d), _judged(spark, d), _metrics(spark, d))
 
 
 _CONFIGS = [(1, 2, 0.0, False), (2, 5, 0.0, False), (3, 5, 0.3, False), (4, 3, 0.0, True), (5, 3, 0.3, True)]
@@ -240,10 +249,14 @@ su AS (SELECT *, 0.35 * mrr + 0.30 * top1_rate + 0.25 * "precision" + 0.10 * hit
 
 
 def _grid(spark, d):
-    pairs = with_docs(_pairs(spark, d), spark, d)
-    pairs = pairs.select("query_id", "id", "score", F.col("source_document").alias("source"), F.col("label").alias("filter_value"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("source_document"))
+    there = corpus(spark, d).join(docs.select("id"), "id", "left_semi")
+    pairs = R.scored_pairs(asks(spark, d), there, skip_own=True, carry=("query_label",))
     configs = spark.createDataFrame(_CONFIGS, "config_id int, k int, score_threshold double, apply_filter boolean")
-    return E.tuning_grid(configs, truth(spark, d), pairs)
+    deep = E.tuning_candidates(configs, pairs, F.col("label") == F.col("query_label"))
+    deep = acceptable(deep.join(docs, "id"), spark, d)
+    good = F.coalesce(F.col("label") == F.col("query_label"), F.lit(False)) | F.col("own_source")
+    return E.tuning_grid(configs, asks(spark, d).select("query_id"), deep.withColumn("good", good))
 
 
 @query(f"""WITH {_V}, {_TRUTH}, {_SRC}, {_GRID} SELECT config_id, query_id, survivors, noise_dropped, hit, top1, round(rr, 6) AS rr, round("precision", 6) AS "precision" FROM grid""")
@@ -264,10 +277,10 @@ def best_config(spark, d):
     return rounded(E.best_config(E.tuning_summary(_grid(spark, d))).select("config_id", "utility"), "utility")
 
 
-@query(f"""WITH {_V}, w AS (SELECT query_id, min(rank) FILTER (label = ql) AS best_rank, max(score) FILTER (label = ql) AS gs, coalesce(max(score) FILTER (label = (ql + 1) % 10), min(score)) AS bs FROM r WHERE id < 120 GROUP BY 1)
+@query(f"""WITH {_V}, w AS (SELECT query_id, min(rank) FILTER (label = ql) AS best_rank, max(score) FILTER (label = ql) AS gs, coalesce(max(score) FILTER (label = (ql + 1) % 10), min(score)) AS bs FROM r GROUP BY 1)
 SELECT query_id, CAST(best_rank AS INTEGER) AS best_rank, round(gs - bs, 4) AS margin, coalesce(gs > bs AND best_rank <= 3, false) AS passes FROM w""")
 def sanity_margin(spark, d):
-    rows = R.ranked(_pairs(spark, d)).join(asks(spark, d).select("query_id", "query_label"), "query_id")
+    rows = R.scored_pairs(asks(spark, d), corpus(spark, d), skip_own=True, carry=("query_label",))
     return E.margins(rows, F.col("label") == F.col("query_label"), F.col("label") == (F.col("query_label") + 1) % 10)
 
 

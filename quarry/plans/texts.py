@@ -80,7 +80,7 @@ _TOK = "list_filter(list_transform(regexp_extract_all(lower({0}), '[a-z0-9_\\-.%
 _STOP = "[" + ", ".join(f"'{w}'" for w in L.STOP_WORDS) + "]"
 
 
-@query(f"""WITH t AS (SELECT doc_id, {_TOK.format('text')} AS tk FROM documents WHERE lang = 'en'), s AS (SELECT doc_id, tk, list_filter(tk, lambda x: NOT list_contains({_STOP}, x) AND length(x) > 1) AS k FROM t)
+@query(f"""WITH t AS (SELECT doc_id, {_TOK.format('text')} AS tk FROM documents), s AS (SELECT doc_id, tk, list_filter(tk, lambda x: NOT list_contains({_STOP}, x) AND length(x) > 1) AS k FROM t)
 SELECT doc_id, len(tk) AS tokens, CASE WHEN len(k) > 0 THEN len(k) ELSE len(tk) END AS salient, md5(array_to_string(tk, ' ')) AS digest FROM s""")
 def tokenize_terms(spark, d):
     out = docs(spark, d).withColumns({"tk": L.tokens(F.col("text")), "s": L.salient_terms(F.col("text"))})
@@ -88,27 +88,28 @@ def tokenize_terms(spark, d):
 
 
 #: A query's text: the first eight words of its document. Texts of candidates: documents of the same id.
-_QT = "qt AS (SELECT doc_id AS query_id, array_to_string(regexp_split_to_array(text, '\\s+')[1:8], ' ') AS query_text FROM documents WHERE doc_id < 20)"
+_QT = "qt AS (SELECT doc_id AS query_id, array_to_string(regexp_split_to_array(text, '\\s+')[1:8], ' ') AS query_text FROM documents WHERE doc_id % 20 = 0)"
 
 
 def question_texts(spark, d):
     return docs(spark, d).filter(F.col("doc_id") % ASKING == 0).select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 8), " ").alias("query_text"))
 
 
-_KW = f"""kq AS (SELECT query_id, query_text, {_TOK.format('query_text')} AS tk FROM qt),
+_KW = f"""kd AS (SELECT doc_id, lower(text) AS low, {_TOK.format('text')} AS own FROM documents),
+kq AS (SELECT query_id, query_text, {_TOK.format('query_text')} AS tk FROM qt),
 kt AS (SELECT query_id, query_text, list_transform(CASE WHEN len(list_filter(tk, lambda x: NOT list_contains({_STOP}, x) AND length(x) > 1)) > 0 THEN list_filter(tk, lambda x: NOT list_contains({_STOP}, x) AND length(x) > 1) ELSE tk END, lambda x: lower(x)) AS terms,
- trim(regexp_replace(lower(query_text), '[^a-z0-9_\\s]', '', 'g')) AS phrase FROM kq),
-kp AS (SELECT query_id, doc_id AS id, terms, lower(text) AS low, {_TOK.format('text')} AS own, CASE WHEN len(regexp_split_to_array(phrase, '\\s+')) >= 2 AND contains(lower(text), phrase) THEN 0.4 ELSE 0.0 END AS bonus FROM kt, kd),
+ trim(regexp_replace(lower(query_text), '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]', '', 'g')) AS phrase FROM kq),
+kp AS (SELECT query_id, doc_id AS id, terms, low, own, CASE WHEN len(regexp_split_to_array(phrase, '\\s+')) >= 2 AND contains(low, phrase) THEN 0.4 ELSE 0.0 END AS bonus FROM kt JOIN kd ON @pairs),
 kh AS (SELECT *, list_filter(terms, lambda t: contains(low, t)) AS hits FROM kp),
 ks AS (SELECT query_id, id, hits, CASE WHEN len(terms) = 0 THEN bonus ELSE least(1.0, 0.5 * len(hits) / len(terms) + 0.3 * least(1.0, coalesce(list_sum(list_transform(list_transform(hits, lambda t: CASE WHEN list_contains(own, t) THEN CAST(len(list_filter(own, lambda w: w = t)) AS DOUBLE) ELSE (length(low) - length(replace(low, t, ''))) / length(t) END), lambda n: n / (n + 1.2))), 0.0) / len(terms)) + 0.2 * bonus) END AS score FROM kh)"""
 
 
-@query(f"WITH {_QT}, kd AS (SELECT * FROM documents WHERE doc_id BETWEEN 20 AND 119 AND lang = 'en'), qe AS (SELECT * FROM qt), {_KW} SELECT query_id, id, len(hits) AS matched, round(score, 6) AS score FROM ks WHERE query_id IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+@query(f"WITH {_QT}, {_KW.replace('@pairs', 'true')} SELECT query_id, id, len(hits) AS matched, round(score, 6) AS score FROM ks")
 def keyword_score(spark, d):
-    """Every document against the texts of ids divisible by 20; terms are taken once a query and once a document. The SQL has ids 20 to 119 alone."""
-    texts = docs(spark, d).select(F.col("doc_id").alias("id"), "text").withColumn("own", L.tokens(F.coalesce("text", F.lit(""))))
-    q = question_texts(spark, d).withColumn("terms", L.salient_terms(F.coalesce("query_text", F.lit(""))))
-    pairs = R.pair_with_corpus(q, texts).withColumn("k", L.keyword_parts(F.col("query_text"), F.col("text"), F.col("terms"), F.col("own")))
+    """Every document against the texts of ids divisible by 20; terms are taken once a query and once a document."""
+    texts = docs(spark, d).select(F.col("doc_id").alias("id"), L.text_side(F.col("text")).alias("t"))
+    q = question_texts(spark, d).select("query_id", L.query_side(F.col("query_text")).alias("q"))
+    pairs = R.pair_with_corpus(q, texts).select("query_id", "id", L.keyword_sides(F.col("q"), F.col("t")).alias("k"))
     return rounded(pairs.select("query_id", "id", F.size("k.matched").cast("long").alias("matched"), F.col("k.score").alias("score")), "score")
 
 
@@ -120,22 +121,38 @@ def candidates(spark, d, k: int = 10):
     return out.withColumns({"query_text": F.coalesce("query_text", F.lit("")), "section": F.col("label").cast("string")})
 
 
-@query()
+#: Dense candidates: rank and score of the best rows of every query, as `candidates` has them.
+_DENSE = f"""dq AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % {ASKING} = 0),
+dp AS (SELECT query_id, vec_id AS id, label, list_cosine_similarity(qv, CAST(embedding AS DOUBLE[])) AS score FROM dq JOIN embeddings ON query_id <> vec_id),
+dr AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM dp)"""
+_PAIR = _KW.replace("@pairs", "(query_id, doc_id) IN (SELECT query_id, id FROM dr WHERE rank <= 15)")
+
+
+def _hybrid_sql(pool: int, k: int, alpha: float) -> str:
+    return f"""WITH {_DENSE}, {_QT}, {_PAIR}, hp AS (SELECT dr.query_id, dr.id, dr.rank AS dense_rank, greatest(0.0, dr.score) AS dense_score, ks.score AS keyword_score FROM dr JOIN ks USING (query_id, id) WHERE rank <= {pool}),
+hm AS (SELECT *, {alpha} * dense_score + (1 - {alpha}) * keyword_score AS hybrid_score FROM hp),
+hr AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, dense_rank) AS INTEGER) AS rank FROM hm)"""
+
+
+@query(f"{_hybrid_sql(9, 3, 0.7)} SELECT query_id, rank, id, dense_rank, round(dense_score, 6) AS dense_score, round(keyword_score, 6) AS keyword_score, round(hybrid_score, 6) AS hybrid_score FROM hr WHERE rank <= 3")
 def hybrid_topk(spark, d):
     out = R.hybrid(candidates(spark, d, 15), k=3, alpha=0.7)
     return rounded(out.select("query_id", "rank", "id", "dense_rank", "dense_score", "keyword_score", "hybrid_score"), "dense_score", "keyword_score", "hybrid_score")
 
 
-@query()
+@query(f"""{_hybrid_sql(15, 5, 0.65)} SELECT hr.query_id, hr.id, hr.rank AS new_rank, o.rank AS old_rank, coalesce(o.rank > hr.rank, true) AS promoted
+FROM hr LEFT JOIN (SELECT query_id, id, rank FROM dr WHERE rank <= 5) o ON o.query_id = hr.query_id AND o.id = hr.id WHERE hr.rank <= 5""")
 def rank_movement(spark, d):
     c = candidates(spark, d, 15)
     return R.rank_movement(c, R.hybrid(c, k=5, alpha=0.65), 5)
 
 
-_ENT = "list_sort(list_distinct(list_concat(" + ", ".join(f"regexp_extract_all(lower(text), '{p}')" for p in K.ENTITIES) + ")))"
+#: Letters beyond ASCII become underscores, since only ASCII letters bound words here.
+_ASCII = "regexp_replace(lower(text), '[\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]', '_', 'g')"
+_ENT = "list_sort(list_distinct(list_concat(" + ", ".join(f"regexp_extract_all({_ASCII}, '{p}')" for p in K.ENTITIES) + ")))"
 
 
-@query(f"SELECT doc_id, array_to_string({_ENT}, '|') AS entities FROM documents WHERE lang = 'en'")
+@query(f"SELECT doc_id, array_to_string({_ENT}, '|') AS entities FROM documents")
 def statutory_entities(spark, d):
     return docs(spark, d).select("doc_id", F.array_join(K.entities(F.col("text")), "|").alias("entities"))
 
