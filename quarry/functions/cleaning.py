@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.functions.lexical import bound
+
 # Characters and what replaces them.
 LIGATURES = {
     "ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "ft", "ﬆ": "st",
@@ -75,17 +77,16 @@ def is_structured(lines: Column) -> Column:
 
 
 def _join_lines(lines: Column) -> Column:
-    parts = F.filter(F.transform(lines, strip), lambda s: s != "")
-
-    def add(done: Column, line: Column) -> Column:
-        glue = F.endswith(done, F.lit("-")) & ~F.endswith(done, F.lit(" --"))
-        return (
-            F.when(done == "", line)
-            .when(glue, F.concat(F.regexp_replace(done, "-$", ""), line))
-            .otherwise(F.concat(done, F.lit(" "), line))
+    """Lines joined by blanks; one that ends with a hyphen, but not with a dash, is joined to the next without it."""
+
+    def fixed(parts: Column) -> Column:
+        hyphen = lambda line: F.endswith(line, F.lit("-")) & ~F.endswith(line, F.lit(" --")) & (line != "--")
+        glued = lambda line, i: (
+            F.when(i == F.size(parts) - 1, line).when(hyphen(line), F.regexp_replace(line, "-$", "")).otherwise(F.concat(line, F.lit(" ")))
         )
+        return F.array_join(F.transform(parts, glued), "")
 
-    return F.aggregate(parts, F.lit(""), add)
+    return bound(F.filter(F.transform(lines, strip), lambda s: s != ""), fixed)
 
 
 def unwrap(text: Column) -> Column:
@@ -109,8 +110,8 @@ def tidy_spaces(text: Column) -> Column:
 
 
 def clean(text: Column, unicode: bool = True, boilerplate: bool = True, lines: bool = True, spaces: bool = True) -> Column:
-    if unicode:
-        text = harmonise(nfkc(text))
+    if unicode:  # ASCII texts are in normal form: only the others pass through Python
+        text = harmonise(F.coalesce(nfkc(F.when(F.rlike(text, F.lit(r"[^\x00-\x7F]")), text)), text))
     if boilerplate:
         text = drop_boilerplate(text)
     if lines:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,27 +39,52 @@ def _starts(n: Column, size: int, overlap: int) -> Column:
     return F.when(n == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), last, F.lit(step)))
 
 
-def _finish(chunks: DataFrame, doc_col: str, suffix: str) -> DataFrame:
-    total = F.size("pieces") if "pieces" in chunks.columns else F.count("*").over(Window.partitionBy(doc_col))
-    out = chunks.withColumn("total_chunks", total)
-    return out.withColumn(
+def _named(chunks: DataFrame, doc_col: str, suffix: str) -> DataFrame:
+    return chunks.withColumn(
         "chunk_id", F.format_string(f"%s_{suffix}_%03d", F.regexp_replace(F.col(doc_col).cast("string"), r"\.", "_"), F.col("chunk_index"))
     ).withColumn("strategy", F.lit(suffix))
 
 
-def chunk_words(docs: DataFrame, size: int = 300, overlap: int = 50, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Sliding windows of `size` words that share `overlap`; the last one ends with the text. Texts without words give no chunk."""
+def _finish(chunks: DataFrame, doc_col: str, suffix: str) -> DataFrame:
+    total = F.size("pieces") if "pieces" in chunks.columns else F.count("*").over(Window.partitionBy(doc_col))
+    return _named(chunks.withColumn("total_chunks", total), doc_col, suffix)
+
+
+def word_windows(docs: DataFrame, size: int = 300, overlap: int = 50, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """chunk_words without the contents, for plans that need places and counts alone."""
+    check_window(size, overlap)
+    rows = docs.select(F.col(doc_col), F.size(words(F.coalesce(F.col(text_col), F.lit("")))).alias("n"))
+    rows = rows.withColumn("pieces", _starts(F.col("n"), size, overlap))
+    out = rows.select(doc_col, "n", F.size("pieces").alias("total_chunks"), F.posexplode("pieces").alias("chunk_index", "token_start"))
+    out = out.withColumn("token_end", F.least(F.col("token_start") + size, F.col("n"))).withColumn("token_count", F.col("token_end") - F.col("token_start"))
+    return _named(out.drop("n"), doc_col, "tokenaware")
+
+
+def chunk_words(docs: DataFrame, size: int = 300, overlap: int = 50, doc_col: str = "doc_id", text_col: str = "text", strategy: str = "tokenaware") -> DataFrame:
+    """Sliding windows of `size` words that share `overlap`; the last one ends with the text. Texts without words give no chunk.
+
+    The windows are cut before the rows are multiplied, so that no row carries the whole text.
+    """
     check_window(size, overlap)
     rows = docs.select(F.col(doc_col), words(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
-    rows = rows.withColumn("pieces", _starts(F.size("w"), size, overlap))
-    out = rows.select(doc_col, "w", "pieces", F.posexplode("pieces").alias("chunk_index", "token_start"))
-    out = out.withColumn("token_end", F.least(F.col("token_start") + size, F.size("w")))
-    out = out.withColumn("content", F.array_join(F.slice("w", F.col("token_start") + 1, F.lit(size)), " "))
-    out = out.withColumn("token_count", F.col("token_end") - F.col("token_start"))
-    out = _finish(out, doc_col, "tokenaware")
+
+    def window(s: Column) -> Column:
+        return F.struct(s.alias("s"), F.least(s + size, F.size("w")).alias("e"), F.array_join(F.slice("w", s + 1, F.lit(size)), " ").alias("c"))
+
+    rows = rows.select(doc_col, F.transform(_starts(F.size("w"), size, overlap), window).alias("pieces"))
+    out = rows.select(doc_col, F.size("pieces").alias("total_chunks"), F.posexplode("pieces").alias("chunk_index", "p"))
+    out = out.select(doc_col, "total_chunks", "chunk_index", F.col("p.s").alias("token_start"), F.col("p.e").alias("token_end"), (F.col("p.e") - F.col("p.s")).alias("token_count"), F.col("p.c").alias("content"))
+    out = _named(out, doc_col, strategy)
     return out.select(doc_col, "chunk_id", "chunk_index", "total_chunks", "token_start", "token_end", "token_count", "content", "strategy")
 
 
+def chunk_fixed(docs: DataFrame, size: int = 300, overlap: int = 60, count_by: str = "chars", doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Fixed windows by characters or by tokens (words)."""
+    if count_by not in ("chars", "tokens"):
+        raise ValueError("count_by is 'chars' or 'tokens'")
+    return chunk_chars(docs, size, overlap, doc_col, text_col) if count_by == "chars" else chunk_words(docs, size, overlap, doc_col, text_col, "fixed")
+
+
 def chunk_chars(docs: DataFrame, size: int = 300, overlap: int = 60, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Sliding windows of `size` characters; char_start and char_end are those of the window, content is trimmed, blank windows go."""
     check_window(size, overlap)
@@ -68,12 +95,12 @@ def chunk_chars(docs: DataFrame, size: int = 300, overlap: int = 60, doc_col: st
         lambda s: F.struct(s.alias("s"), F.trim(F.col("t").substr(s + 1, F.lit(size))).alias("c")),
     )
     rows = rows.withColumn("pieces", F.filter(pieces, lambda p: p["c"] != ""))
-    out = rows.select(doc_col, "t", "pieces", F.posexplode("pieces").alias("chunk_index", "p"))
+    out = rows.select(doc_col, F.length("t").alias("n"), F.size("pieces").alias("total_chunks"), F.posexplode("pieces").alias("chunk_index", "p"))
     out = out.select(
-        doc_col, "pieces", "chunk_index", F.col("p.s").alias("char_start"),
-        F.least(F.col("p.s") + size, F.length("t")).alias("char_end"), F.col("p.c").alias("content"),
+        doc_col, "total_chunks", "chunk_index", F.col("p.s").alias("char_start"),
+        F.least(F.col("p.s") + size, F.col("n")).alias("char_end"), F.col("p.c").alias("content"),
     )
-    return _finish(out, doc_col, "fixed").drop("pieces")
+    return _named(out, doc_col, "fixed")
 
 
 def _packed(pieces: Column, most: int, glue: str) -> Column:
@@ -105,14 +132,57 @@ def chunk_paragraphs(docs: DataFrame, most: int = 450, doc_col: str = "doc_id",
     return _explode(docs, doc_col, _packed(paras, most, "\n\n"), "para")
 
 
-def chunk_recursive(docs: DataFrame, most: int = 350, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Split at blank lines, then lines, sentences and words where a piece is too long, and pack the pieces."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+SEPARATORS = ("\n\n", "\n", ". ", " ")
+
+
+def recursive_pieces(text: Column, most: int) -> Column:
+    """A text split at blank lines, lines, sentences, words and at last characters, each only where a piece has more than `most` estimated tokens; pieces are stripped, blank ones go."""
     pieces = F.array(text)
-    for sep in (r"\n\n", r"\n", r"\. ", " "):
-        pieces = F.flatten(F.transform(pieces, lambda p, s=sep: F.when(estimated_tokens(p) <= most, F.array(p)).otherwise(F.split(p, s))))
-    pieces = F.filter(F.transform(pieces, F.trim), lambda p: p != "")
-    return _explode(docs, doc_col, _packed(pieces, most, "\n\n"), "recursive")
+    trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+
+    def split_long(pieces: Column, pattern: str) -> Column:
+        parts = lambda p: F.filter(F.transform(F.split(p, pattern), trimmed), lambda x: x != "")
+        return F.flatten(F.transform(pieces, lambda p: F.when(estimated_tokens(p) <= most, F.array(p)).otherwise(parts(p))))
+
+    for sep in SEPARATORS:
+        pieces = split_long(pieces, re.escape(sep))
+    return F.flatten(F.transform(pieces, lambda p: F.when(estimated_tokens(p) <= most, F.array(p)).otherwise(F.split(p, ""))))
+
+
+def merged_pieces(pieces: Column, most: int, overlap: int) -> Column:
+    """Runs of pieces whose tokens fit `most`, joined by blank lines; a new run begins with the last pieces of the one before that fit `overlap` tokens."""
+    piece = "struct<t:string,n:int>"
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast(f"array<{piece}>").alias("cur"), F.lit(0).alias("n"))
+    glued = lambda cur: F.regexp_replace(F.array_join(F.transform(cur, lambda p: p["t"]), "\n\n"), r"^\s+|\s+$", "")
+
+    def carried(cur: Column) -> Column:
+        begin = F.struct(F.array().cast(f"array<{piece}>").alias("kept"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+
+        def take(acc: Column, p: Column) -> Column:
+            fits = acc["open"] & (acc["n"] + p["n"] <= overlap)
+            return F.struct(F.when(fits, F.array_prepend(acc["kept"], p)).otherwise(acc["kept"]).alias("kept"), (acc["n"] + F.when(fits, p["n"]).otherwise(0)).alias("n"), fits.alias("open"))
+
+        return F.aggregate(F.reverse(cur), begin, take)
+
+    def add(acc: Column, p: Column) -> Column:
+        full = (F.size(acc["cur"]) > 0) & (acc["n"] + p["n"] > most)
+        tail = F.when(full, carried(acc["cur"]))
+        return F.struct(
+            F.when(full, F.array_append(acc["done"], glued(acc["cur"]))).otherwise(acc["done"]).alias("done"),
+            F.array_append(F.when(full, tail["kept"]).otherwise(acc["cur"]), p).alias("cur"),
+            (F.when(full, tail["n"]).otherwise(acc["n"]) + p["n"]).alias("n"),
+        )
+
+    sized = F.transform(pieces, lambda p: F.struct(p.alias("t"), estimated_tokens(p).alias("n")))
+    last = lambda acc: F.when((F.size(acc["cur"]) > 0) & (glued(acc["cur"]) != ""), F.array_append(acc["done"], glued(acc["cur"]))).otherwise(acc["done"])
+    return F.aggregate(sized, start, add, last)
+
+
+def chunk_recursive(docs: DataFrame, most: int = 350, overlap: int = 50, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """recursive_pieces, merged up to `most` estimated tokens with up to `overlap` tokens carried over. Blank texts give no chunk."""
+    check_window(most, overlap)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return _explode(docs, doc_col, merged_pieces(recursive_pieces(text, most), most, overlap), "recursive")
 
 
 def sections(text: Column) -> Column:
@@ -123,7 +193,7 @@ def sections(text: Column) -> Column:
     def add(acc: Column, line: Column) -> Column:
         title = F.trim(F.regexp_replace(F.trim(line), r"^#{1,6}\s*", ""))
         heading = F.rlike(line, F.lit(HEADING)) & (title != "") & (F.length(title) <= 150)
-        entry = F.struct(acc["at"].alias("offset"), title.alias("title"))
+        entry = F.named_struct(F.lit("offset"), acc["at"], F.lit("title"), title)  # struct() would lose its names beside a generator
         return F.struct(
             (acc["at"] + F.length(line) + 1).alias("at"),
             F.when(heading, F.array_append(acc["found"], entry)).otherwise(acc["found"]).alias("found"),
@@ -137,30 +207,75 @@ def active_section(found: Column, offset: Column) -> Column:
     return F.element_at(F.filter(found, lambda s: s["offset"] <= offset), -1)["title"]
 
 
-def page_of(offset: Column, boundaries: Column) -> Column:
-    """Page whose [start, end] holds the offset, both ends included; the last page beyond them, else 1."""
+def page_of(offset: Column, boundaries: Column, text: Column | None = None) -> Column:
+    """Page whose [start, end] holds the offset, both ends included; the last page beyond them, else 1. Without boundaries, form feeds of the text before the offset end pages."""
     inside = F.filter(boundaries, lambda b: (b["start"] <= offset) & (offset <= b["end"]))
     last = F.element_at(boundaries, -1)
     return (
-        F.when(F.size(boundaries) == 0, 1)
+        F.when(F.size(boundaries) == 0, 1 if text is None else F.size(F.split(F.substring(text, F.lit(1), offset), "\f")))
         .when(F.size(inside) > 0, F.get(inside, F.lit(0))["page"])
         .when(offset > last["end"], last["page"])
         .otherwise(1)
     )
 
 
-def chunk_statistics(chunks: DataFrame) -> DataFrame:
-    """Per strategy: chunks, characters and tokens, their means, extremes, population deviation around the rounded mean, and chunks that end a sentence."""
-    mean = chunks.groupBy("strategy").agg(F.round(F.avg("token_count"), 1).alias("avg_tokens"))
-    ends = F.rlike(F.trim("content"), F.lit(r"[.!?:;]$")).cast("double")
-    rows = chunks.join(F.broadcast(mean), "strategy")  # a row a strategy
-    return rows.groupBy("strategy").agg(
-        F.count("*").alias("total_chunks"), F.sum(F.length("content")).alias("total_chars"), F.sum("token_count").alias("total_tokens"),
-        F.round(F.avg(F.length("content")), 1).alias("avg_chars"), F.first("avg_tokens").alias("avg_tokens"),
-        F.min("token_count").alias("min_tokens"), F.max("token_count").alias("max_tokens"),
-        F.round(F.sqrt(F.avg((F.col("token_count") - F.col("avg_tokens")) * (F.col("token_count") - F.col("avg_tokens")))), 4).alias("std_tokens"),
+def chunk_statistics(chunks: DataFrame, document_tokens: DataFrame | None = None) -> DataFrame:
+    """Per strategy: chunks, characters and tokens, their means, extremes, population deviation around the rounded mean, and chunks that end a sentence.
+
+    One pass: the deviation follows from the sums of the counts and of their squares. document_tokens (one row, `document_tokens`) adds the tokens that
+    overlaps repeat, in % of the documents' own.
+    """
+    n, tokens = F.count("*"), F.col("token_count").cast("double")
+    ends = F.rlike(F.regexp_replace("content", r"\s+$", ""), F.lit("""[.?!:"']$""")).cast("double")
+    out = chunks.groupBy("strategy").agg(
+        n.alias("total_chunks"), F.sum(F.length("content")).alias("total_chars"), F.sum("token_count").alias("total_tokens"),
+        F.round(F.avg(F.length("content")), 1).alias("avg_chars"), F.round(F.avg("token_count"), 1).alias("avg_tokens"),
+        F.min("token_count").alias("min_tokens"), F.max("token_count").alias("max_tokens"), F.avg(tokens).alias("_m"), F.avg(tokens * tokens).alias("_s"),
         F.round(F.avg(ends) * 100, 2).alias("sentence_end_pct"),
     )
+    spread = F.col("_s") - 2 * F.col("avg_tokens") * F.col("_m") + F.col("avg_tokens") * F.col("avg_tokens")
+    out = out.withColumn("std_tokens", F.round(F.sqrt(F.greatest(F.lit(0.0), spread)), 4)).drop("_m", "_s")
+    if document_tokens is None:
+        return out
+    own = F.col("document_tokens")
+    more = F.when(own > 0, F.round((F.col("total_tokens") - own) / own * 100, 1)).otherwise(0.0)
+    return out.crossJoin(F.broadcast(document_tokens)).withColumn("overlap_overhead_pct", more).drop("document_tokens")  # one row
+
+
+def compare_strategies(docs: DataFrame, strategies: dict[str, DataFrame], doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """chunk_statistics of several chunkers' outputs over the same documents, by name."""
+    own = docs.agg(F.sum(estimated_tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("document_tokens"))
+    out = None
+    for name, chunks in strategies.items():
+        content = F.col("content")
+        part = chunks.select(F.lit(name).alias("strategy"), content.alias("content"), estimated_tokens(content).alias("token_count"))
+        out = part if out is None else out.unionByName(part)
+    return chunk_statistics(out, own)
+
+
+def boundary_preservation(docs: DataFrame, size: int = 300, overlap: int = 50, around: int = 20, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document of more than `size` words: chunks without and with overlap, words that the second chunk repeats, and whether the words around the first boundary stand whole in it."""
+    check_window(size, overlap)
+    w = words(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(doc_col, w.alias("w")).withColumn("n", F.size("w")).filter(F.col("n") > size)
+    idea = F.array_join(F.slice("w", F.lit(max(0, size - around) + 1), F.lit(around + min(around, size))), " ")
+    second = F.array_join(F.slice("w", F.lit(size - overlap + 1), F.lit(size)), " ")
+    return rows.select(
+        doc_col, F.col("n").alias("total_tokens"), F.size(_starts(F.col("n"), size, 0)).alias("chunks_plain"), F.size(_starts(F.col("n"), size, overlap)).alias("chunks_overlapping"),
+        F.lit(overlap).alias("shared_tokens"), F.contains(second, idea).alias("boundary_intact"),
+    )
+
+
+SYSTEM_TOKENS, QUERY_TOKENS, ANSWER_TOKENS = 550, 150, 1024  #: fixed values: parts of a prompt's budget beside the chunks
+
+
+def window_budget(window: Column, size: Column, overlap: Column, k: Column) -> Column:
+    """struct(retrieved, used, headroom, utilisation_pct, overhead_pct) of k chunks of `size` tokens in a model's window."""
+    used = k * size + SYSTEM_TOKENS + QUERY_TOKENS + ANSWER_TOKENS
+    return F.struct(
+        (k * size).alias("retrieved"), used.alias("used"), (window - used).alias("headroom"),
+        F.round(used / window * 100, 1).alias("utilisation_pct"), F.round(overlap / (size - overlap) * 100, 1).alias("overhead_pct"),
+    )
 
 
 def overlaps(chunks: DataFrame, doc_col: str = "doc_id") -> DataFrame:

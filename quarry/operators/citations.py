@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.operators.evaluation import is_refusal
 
@@ -19,11 +20,36 @@ CLAIMS = [
 ]
 
 
+#: Names under which retrieved rows of any shape may hold a registry's fields.
+SHAPES = {
+    "id": ("id", "chunk_id"), "text": ("text", "document", "verbatim_text", "content", "source_text"), "filename": ("filename", "source_document", "source"),
+    "section": ("section",), "page_number": ("page_number", "page"), "score": ("score", "similarity_score", "rerank_score", "hybrid_score"),
+}
+
+
 def registry(hits: DataFrame) -> DataFrame:
     """Marker [rank] of each retrieved row."""
     return hits.withColumn("marker", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("]")))
 
 
+def normalised(hits: DataFrame) -> DataFrame:
+    """Retrieved rows of any shape (columns, or a struct or map `metadata` beside them) with the registry's fields; a field that no name gives is null."""
+    meta = hits.schema["metadata"].dataType if "metadata" in hits.columns else None
+    inner = [f.name for f in meta.fields] if isinstance(meta, T.StructType) else None
+
+    def first(names: tuple[str, ...]) -> Column:
+        found = [F.col(n).cast("string") for n in names if n in hits.columns]
+        if inner is not None:
+            found += [F.col(f"metadata.{n}").cast("string") for n in names if n in inner]
+        elif meta is not None:
+            found += [F.col("metadata")[n].cast("string") for n in names]
+        return F.coalesce(*found) if found else F.lit(None).cast("string")
+
+    kinds = {"page_number": "int", "score": "double"}
+    keep = [c for c in ("answer_id", "query_id", "rank") if c in hits.columns]
+    return hits.select(*keep, *(first(names).cast(kinds.get(f, "string")).alias(f) for f, names in SHAPES.items()))
+
+
 def _markers(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(MARKER), F.lit(1)), lambda m: F.concat(F.lit("["), m, F.lit("]"))))
 
@@ -31,11 +57,13 @@ def _markers(text: Column) -> Column:
 def extract_claims(answers: DataFrame) -> DataFrame:
     """A row for each sentence of an answer and marker cited in it: answer_id, claim_no, claim, marker_no, marker.
 
-    Sentences end at . ! ? before white space that no marker follows.
+    Sentences end at . ! ? before white space that no marker follows. An answer whose markers stand in none of them is one claim.
     """
     lines = F.filter(F.transform(F.split("answer", "\n"), F.trim), lambda s: s != "")
     parts = F.flatten(F.transform(lines, lambda s: F.split(s, r"(?<=[.!?])\s+(?!\s*\[)")))
     claims = F.filter(F.transform(parts, F.trim), lambda s: F.size(_markers(s)) > 0)
+    whole = F.when(F.size(_markers(F.col("answer"))) > 0, F.array(F.trim("answer"))).otherwise(F.array().cast("array<string>"))
+    claims = F.when(F.size(claims) > 0, claims).otherwise(whole)
     rows = answers.select("answer_id", F.posexplode(claims).alias("claim_no", "claim"))
     return rows.select("answer_id", "claim_no", "claim", F.posexplode(_markers(F.col("claim"))).alias("marker_no", "marker"))
 

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.chunking import estimated_tokens
+from quarry.operators.context import render
 
 # Single words and phrases that refer back.
-CUE_WORDS = (
-    "it its they them their that this these those such penalties rules deadline timeline logs stored retention"
-).split()
+CUE_WORDS = [
+    "it", "its", "they", "them", "their", "that", "this", "these", "those", "such", "penalties", "rules", "deadline", "timeline", "logs", "stored",
+    "retention",
+]
 CUE_PHRASES = ["after that", "the initial", "what about", "how long do", "supervisory penalties"]
 
 
@@ -82,3 +84,29 @@ def summarise(turns: DataFrame, budget: int, reserve: int = 0) -> DataFrame:
     topics = F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == "user", F.struct("turn", F.substring("text", 1, 60).alias("t"))))), lambda x: F.trim(x["t"]))
     text = F.concat(F.lit("[PREVIOUS TURNS SUMMARY: "), F.array_join(topics, "; "), F.lit("]"))
     return middle.groupBy("conv_id").agg(F.count("*").alias("compressed_turns"), text.alias("summary"))
+
+
+def message(role: str, content: Column) -> Column:
+    return F.struct(F.lit(role).alias("role"), content.alias("content"))
+
+
+def user_message(question: Column, context: Column, template: str = "Context:\n{context}\n\nQuestion: {question}") -> Column:
+    """struct(role, content, has_context, context_tokens): the stripped question, set into the template with its context where there is one."""
+    question, context = F.trim(question), F.trim(F.coalesce(context, F.lit("")))
+    has = context != ""
+    text = F.when(has, render(template, {"context": context, "question": question})).otherwise(question)
+    return F.struct(F.lit("user").alias("role"), text.alias("content"), has.alias("has_context"), F.when(has, estimated_tokens(context)).otherwise(0).alias("context_tokens"))
+
+
+def api_messages(turns: DataFrame) -> DataFrame:
+    """Per conversation: its messages as array<struct(role, content)> in order, their number, and the number of user turns. A conversation's turns are few."""
+    item = F.struct("turn", F.struct("role", F.trim(F.coalesce("text", F.lit(""))).alias("content")).alias("m"))
+    listed = F.transform(F.array_sort(F.collect_list(item)), lambda x: x["m"])
+    return turns.groupBy("conv_id").agg(listed.alias("messages"), F.count("*").alias("n_messages"), F.count_if(F.col("role") == "user").alias("user_turns"))
+
+
+def chat_messages(turns: DataFrame, system: str, k: int = 6) -> DataFrame:
+    """For each user turn: the system message, the k messages before it, and the question itself as array<struct(role, content)>."""
+    rows = history_before(turns, k).filter("role = 'user'")
+    past = F.transform("history", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
+    return rows.select("conv_id", "turn", F.concat(F.array(message("system", F.lit(system))), past, F.array(message("user", F.col("text")))).alias("messages"))

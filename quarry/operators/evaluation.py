@@ -16,6 +16,7 @@ REFUSALS = [
     "no information",
     "not provided in the regulatory",
 ]
+# Words that carry no evidence in an answer's sentence.
 WEAK_KEYWORDS = ["based", "provided", "regulatory", "context", "according", "must", "these", "their", "under"]
 
 
@@ -236,3 +237,54 @@ def answer_summary(results: DataFrame) -> DataFrame:
     failed = results.filter("verdict <> 'PASS'").groupBy("verdict").agg(F.count("*").alias("n"))
     histogram = failed.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("verdict", "n")))).alias("failures"))
     return totals.crossJoin(F.broadcast(histogram))  # a row each
+
+
+CITED = r"\[(\d+|[\w.\-]+\.(?:pdf|txt|md|html|json))\]"
+
+
+def citation_accuracy(answers: DataFrame, registry: DataFrame) -> DataFrame:
+    """Per answer: markers (repeated ones count), fabricated and supported ones, and the share of supported ones.
+
+    A marker's claim is the first sentence that holds it. It is supported by its row's text where three words in a row of the claim stand in it (a longer run holds
+    one of three), else where 0.4 of the claim's words of four characters do. Without markers the share is 1 for refusals, else 0.
+    answers: answer_id, answer; registry: answer_id, marker, text.
+    """
+    text = F.coalesce("answer", F.lit(""))
+    found = F.transform(F.regexp_extract_all(text, F.lit(CITED), F.lit(1)), lambda m: F.concat(F.lit("["), m, F.lit("]")))
+    said = F.split(text, r"(?<=[.!?])\s+")
+    claim = lambda m: F.coalesce(F.get(F.filter(said, lambda s: F.contains(s, m)), F.lit(0)), F.lit(""))
+    pairs = F.transform(found, lambda m: F.struct(m.alias("marker"), claim(m).alias("claim")))
+    rows = answers.select("answer_id", F.explode(pairs).alias("p")).select("answer_id", "p.marker", "p.claim")
+    rows = rows.join(registry.select("answer_id", "marker", F.lower("text").alias("low"), F.lit(True).alias("known")), ["answer_id", "marker"], "left")
+    clean = F.lower(F.trim(F.regexp_replace("claim", r"\[[^\]]+\]", "")))
+    rows = rows.withColumn("w", F.filter(F.split(clean, r"\s+"), lambda x: x != "")).withColumn("k", F.regexp_extract_all(clean, F.lit(r"(?U)\b[a-z0-9_\-]{4,}\b"), F.lit(0)))
+    run = F.exists(F.transform("w", lambda _, i: F.array_join(F.slice("w", i + 1, F.lit(3)), " ")), lambda g: (F.size(F.split(g, " ")) == 3) & F.contains(F.col("low"), g))
+    share = F.size(F.filter("k", lambda x: F.contains(F.col("low"), x))) / F.greatest(F.lit(1), F.size("k"))
+    rows = rows.withColumn("good", F.coalesce(F.col("known") & (F.col("low") != "") & (run | (share >= 0.40)), F.lit(False)))
+    per = rows.groupBy("answer_id").agg(F.count("*").alias("markers"), F.count_if(F.col("known").isNull()).alias("fabricated"), F.count_if("good").alias("supported"))
+    out = answers.select("answer_id", is_refusal(text).alias("refusal")).join(per, "answer_id", "left").na.fill(0, ["markers", "fabricated", "supported"])
+    precision = F.when(F.col("markers") > 0, F.col("supported") / F.col("markers")).when(F.col("refusal"), 1.0).otherwise(0.0)
+    return out.select("answer_id", "markers", "fabricated", "supported", precision.alias("citation_precision"))
+
+
+def source_recall(expected: Column, retrieved: Column, refused: Column) -> Column:
+    """Share of the expected sources (repeated ones count) among the retrieved ones; without expected ones 1 if nothing was retrieved or the answer refuses, else 0."""
+    met = F.size(F.filter(expected, lambda s: F.array_contains(retrieved, s)))
+    return F.when(F.size(expected) > 0, met / F.size(expected)).otherwise(F.when((F.size(retrieved) == 0) | refused, 1.0).otherwise(0.0))
+
+
+def evaluate_cases(cases: DataFrame) -> DataFrame:
+    """Whole verdicts of answered cases: correctness, grounding, citation_precision, source_recall, overall, verdict.
+
+    cases: test_id, answer, facts (array), answerable, context (the retrieved texts), expected_sources and retrieved_sources (arrays), citation_precision.
+    """
+    rows = cases.withColumns(
+        {
+            "refused": is_refusal(F.coalesce("answer", F.lit(""))), "correctness": correctness(F.col("answer"), F.col("facts"), F.col("answerable")),
+            "grounding": grounding(F.col("answer"), F.col("context")),
+        }
+    )
+    rows = rows.withColumn("source_recall", source_recall(F.col("expected_sources"), F.col("retrieved_sources"), F.col("refused")))
+    v = answer_verdict(*(F.col(c) for c in ("correctness", "grounding", "citation_precision", "source_recall", "answerable", "refused")))
+    rows = rows.withColumn("v", v)
+    return rows.select("test_id", "answerable", "refused", "correctness", "grounding", "citation_precision", "source_recall", "v.overall", "v.verdict")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import fresh_folder
+
 REQUIRED = [
     "chunk_id", "source", "filename", "document_id", "file_type", "strategy", "chunk_index", "total_chunks", "section",
     "page_number", "token_count", "char_start", "char_end",
@@ -19,7 +22,7 @@ EMBEDDING_RATES = {"text-embedding-3-small": 0.02, "text-embedding-3-large": 0.1
 def ingest_status(docs: DataFrame, text_col: str, chars: Column, chunks: Column) -> DataFrame:
     """status INGESTED or SKIPPED with the stage and error that skipped a document; no document disappears."""
     text = F.col(text_col)
-    stage = F.when(text.isNull() | (F.trim(text) == ""), "LOADING").when(chars == 0, "CLEANING").when(chunks == 0, "CHUNKING")
+    stage = F.when(text.isNull() | ~F.rlike(text, F.lit(r"\S")), "LOADING").when(chars == 0, "CLEANING").when(chunks == 0, "CHUNKING")
     error = F.when(stage == "LOADING", "EMPTY_DOCUMENT").when(stage == "CLEANING", "EMPTY_AFTER_CLEANING").when(stage == "CHUNKING", "NO_CHUNKS")
     return docs.withColumns({"stage": stage, "error_type": error, "status": F.when(stage.isNull(), "INGESTED").otherwise("SKIPPED")})
 
@@ -70,35 +73,48 @@ def embedding_plan(chunks: DataFrame, cache: DataFrame, batch: int = 10, order_c
 
 
 def running_index(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Number rows from 0 in order: a window inside buckets of the first order column, and offsets from the buckets' counts."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.select(order[0].alias("o")).selectExpr(f"percentile_approx(o, array({', '.join(str(i / n) for i in range(1, n))})) AS c").first()["c"] if n > 1 else None
-    bucket = sum(((order[0] > F.lit(c)).cast("int") for c in sorted(set(cuts or []))), F.lit(0))
-    put = rows.withColumn("_bucket", bucket)
-    counts = put.groupBy("_bucket").count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_bucket", before.alias("_before"))  # a row a bucket
-    put = put.withColumn("_nth", F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)))
-    return put.join(F.broadcast(offsets), "_bucket").withColumn(name, F.col("_before") + F.col("_nth") - 1).drop("_bucket", "_before", "_nth")
-
-
-def embedding_ledger(plan: DataFrame, model: str = "text-embedding-3-small") -> DataFrame:
-    """Per action: chunks, tokens, batches, and the cost spent or saved."""
+    """Number rows from 0 in order: one range shuffle, places inside the sorted ranges, and the counts of the ranges before. Ties are numbered in any order.
+
+    The ranges are written to the shared folder, since their bounds are sampled and would differ if they were computed again.
+    """
+    spark = rows.sparkSession
+    path = fresh_folder(spark, "running-index")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed.write.parquet(path)
+    placed = spark.read.schema(placed.schema).parquet(path)
+    part, nth = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    offsets, at = [], 0
+    for r in placed.groupBy(part.alias("part")).count().orderBy("part").collect():  # a row a range
+        offsets.append((r["part"], at))
+        at += r["count"]
+    before = F.broadcast(spark.createDataFrame(offsets, "_part long, _before long"))
+    return placed.withColumn("_part", part).join(before, "_part").withColumn(name, F.col("_before") + nth).drop("_part", "_before", "_at")
+
+
+def embedding_ledger(plan: DataFrame, model: str = "text-embedding-3-small", failed: DataFrame | None = None) -> DataFrame:
+    """Per action: chunks, tokens, batches, and the cost spent or saved. Chunks of `failed` (chunk_id) count as FAILED instead of EMBED."""
     rate = EMBEDDING_RATES.get(model, 0.02)
+    if failed is not None:
+        lost = failed.select("chunk_id").distinct().withColumn("_lost", F.lit(True))
+        plan = plan.join(lost, "chunk_id", "left").withColumn("action", F.when(F.col("_lost") & (F.col("action") == "EMBED"), "FAILED").otherwise(F.col("action"))).drop("_lost")
     return plan.groupBy("action").agg(
         F.count("*").alias("chunks"), F.sum("token_count").alias("tokens"), F.count_distinct("batch").alias("batches"),
         F.round(F.sum("token_count") / 1e6 * rate, 6).alias("cost"),
     )
 
 
-def embed(chunks: DataFrame, provider: Callable[[list[str]], list[list[float]]], batch: int = 10, attempts: int = 3, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
-    """Vectors from a pluggable provider, called on batches inside Arrow partitions; transient errors are tried again, a batch that goes on failing gets its error."""
+def embed(chunks: DataFrame, provider: Callable[[list[str]], list[list[float]]], batch: int = 10, attempts: int = 3, id_col: str = "chunk_id", text_col: str = "content", first_wait: float = 0.5, factor: float = 2.0, longest_wait: float = 8.0) -> DataFrame:
+    """Vectors from a pluggable provider, called on batches inside Arrow partitions; transient errors are tried again after `first_wait` seconds, each time `factor` times as long but at most
+    `longest_wait`; a batch that goes on failing gets its error."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for a in range(0, len(frame), batch):
                 part, vectors, error = frame.iloc[a : a + batch], None, None
-                for _ in range(attempts):
+                for k in range(attempts):
+                    if k:
+                        time.sleep(min(longest_wait, first_wait * factor ** (k - 1)))
                     try:
                         vectors, error = provider(part[text_col].fillna("").tolist()), None
                         break
@@ -110,6 +126,20 @@ def embed(chunks: DataFrame, provider: Callable[[list[str]], list[list[float]]],
     return chunks.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, embedding array<float>, error string")
 
 
+def merged_vectors(chunks: DataFrame, new: DataFrame, cached: DataFrame, order_col: str = "position") -> DataFrame:
+    """Each chunk's vector, the new one before the cached one, with its origin (new, cached or failed) and a preview; order_col gives the chunks' order back."""
+    fresh = new.filter(F.size("embedding") > 0).groupBy("chunk_id").agg(F.first("embedding").alias("_new"))
+    old = cached.filter(F.size("embedding") > 0).groupBy("chunk_id").agg(F.first("embedding").alias("_old"))
+    rows = chunks.select("chunk_id", order_col).join(fresh, "chunk_id", "left").join(old, "chunk_id", "left")
+    origin = F.when(F.col("_new").isNotNull(), "new").when(F.col("_old").isNotNull(), "cached").otherwise("failed")
+    rows = rows.withColumns({"embedding": F.coalesce("_new", "_old"), "origin": origin}).drop("_new", "_old")
+    return rows.withColumn("preview", vector_preview(F.col("embedding")))
+
+
+def vector_preview(vec: Column, n: int = 8, digits: int = 6) -> Column:
+    return F.transform(F.slice(vec, 1, n), lambda x: F.round(x.cast("double"), digits))
+
+
 def hashing_embedder(dim: int = 64) -> Callable[[list[str]], list[list[float]]]:
     """A deterministic stand-in for a model: signed counts of hashed words, unit length."""
 
@@ -138,8 +168,8 @@ def check_dimension(records: DataFrame, dimension: int, vec_col: str = "embeddin
 
 
 def upsert(current: DataFrame, incoming: DataFrame, key: str = "id") -> DataFrame:
-    """Incoming rows, and current ones whose key they don't hold. Of incoming rows with one key the one of largest version stays."""
-    last = Window.partitionBy(key).orderBy(F.desc("version"))
+    """Incoming rows, and current ones whose key they don't hold. Of incoming rows with one key the one of largest version stays; of equal versions the one whose row has the smallest hash."""
+    last = Window.partitionBy(key).orderBy(F.desc("version"), F.xxhash64(*incoming.columns))
     new = incoming.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
     return current.join(new.select(key), key, "left_anti").unionByName(new)
 

@@ -108,3 +108,22 @@ def rewrite_uplift(turns: DataFrame, raw_hits: DataFrame, rewritten_hits: DataFr
     top = lambda df, name: df.groupBy("conv_id", "turn").agg(F.max("score").alias(name))
     rows = V.rewrite(turns).join(top(raw_hits, "raw_top"), ["conv_id", "turn"], "left").join(top(rewritten_hits, "rewritten_top"), ["conv_id", "turn"], "left")
     return rows.withColumn("uplift", F.col("rewritten_top") - F.col("raw_top"))
+
+
+def ask_turns(turns: DataFrame, corpus: DataFrame, embedder: Callable[[list[str]], list[list[float]]], generator: Generator, **options) -> tuple[DataFrame, DataFrame]:
+    """Answer every user turn of conversations: rewritten with its history, embedded, retrieved for, answered and audited.
+
+    turns: conv_id, turn, role, text; corpus and options as in answer_questions. Returns (answers: conv_id, turn, is_follow_up, rewritten, action, answer and the audit; the turns with an
+    assistant's turn after each user turn that had none).
+    """
+    from quarry.operators.ingest import embed
+
+    asked = V.rewrite(turns).withColumn("query_id", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    vectors = embed(asked, embedder, id_col="query_id", text_col="rewritten").select("query_id", F.col("embedding").alias("query_vec"))
+    questions = asked.select("query_id", F.col("rewritten").alias("question")).join(vectors, "query_id")
+    answered = answer_questions(questions, corpus, generator, **options)
+    out = asked.select("query_id", "conv_id", "turn", "is_follow_up", "rewritten").join(answered, "query_id").drop("query_id")
+    replied = turns.filter("role = 'assistant'").select("conv_id", F.col("turn").alias("at"))
+    missing = out.withColumn("at", F.col("turn") + 1).join(replied, ["conv_id", "at"], "left_anti")
+    said = missing.select("conv_id", F.col("at").cast(turns.schema["turn"].dataType).alias("turn"), F.lit("assistant").alias("role"), F.col("answer").alias("text"))
+    return out, turns.select("conv_id", "turn", "role", "text").unionByName(said)

@@ -148,3 +148,11 @@ def cost_projection(requests: DataFrame, volumes: list[int]) -> DataFrame:
     grid = tiers.crossJoin(requests.sparkSession.createDataFrame([(v,) for v in volumes], "volume long"))  # fixed size
     each = F.col("prompt_tokens") / 1e6 * F.col("in_rate") + F.col("completion_tokens") / 1e6 * F.col("out_rate")
     return requests.crossJoin(F.broadcast(grid)).select("*", F.round(each * F.col("volume"), 6).alias("projected_cost"))
+
+
+def invalidate(entries: DataFrame, keys: DataFrame | None = None, key_col: str = "key") -> tuple[DataFrame, DataFrame]:
+    """(entries that stay, entries removed): those whose key is among `keys` go, all without `keys`. Hit and miss counters live in the requests and are kept."""
+    if keys is None:
+        return entries.filter(F.lit(False)), entries
+    gone = keys.select(key_col).distinct()
+    return entries.join(gone, key_col, "left_anti"), entries.join(gone, key_col, "left_semi")

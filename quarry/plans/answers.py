@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +16,7 @@ from quarry.operators.chunking import estimated_tokens
 from quarry.plans.registry import query, table
 from quarry.plans.retrieval import rounded
 from quarry.plans.texts import candidates
+from quarry.session import fresh_folder
 from quarry.streaming import answers as SA
 from quarry.streaming import usage as SU
 
@@ -39,7 +38,17 @@ def pack_stop(spark, d):
     return P.pack_until_full(_hits(spark, d), 1500).select("query_id", "rank", "id", "token_count", "used")
 
 
-@query()
+_GREEDY = f"""WITH RECURSIVE {_V}, pw AS (SELECT h.*, nw.n AS words FROM h JOIN nw ON nw.doc_id = h.id),
+pk(query_id, rank, used, dropped, cut, packed) AS (SELECT DISTINCT query_id, 0, 0, 0, false, CAST([] AS VARCHAR[]) FROM pw
+ UNION ALL SELECT query_id, pw.rank, CASE WHEN tk <= 1500 - used THEN used + tk WHEN 1500 - used > 60 AND NOT cut THEN used + greatest(1, CAST(floor(least(words, greatest(10, (1500 - used) // 2)) * 1.3) AS INTEGER)) ELSE used END,
+ dropped + CASE WHEN tk <= 1500 - used OR (1500 - used > 60 AND NOT cut) THEN 0 ELSE 1 END, cut OR tk > 1500 - used,
+ CASE WHEN tk <= 1500 - used THEN list_append(packed, '{{"id":' || pw.id || ',"tokens":' || tk || ',"truncated":false}}')
+  WHEN 1500 - used > 60 AND NOT cut THEN list_append(packed, '{{"id":' || pw.id || ',"tokens":' || greatest(1, CAST(floor(least(words, greatest(10, (1500 - used) // 2)) * 1.3) AS INTEGER)) || ',"truncated":true}}') ELSE packed END
+ FROM pk JOIN pw USING (query_id) WHERE pw.rank = (SELECT min(x.rank) FROM pw x WHERE x.query_id = pk.query_id AND x.rank > pk.rank))
+SELECT query_id, CAST(used AS INTEGER) AS used, CAST(dropped AS INTEGER) AS dropped, cut AS truncated, '[' || array_to_string(packed, ',') || ']' AS packed FROM pk WHERE rank = (SELECT max(x.rank) FROM pw x WHERE x.query_id = pk.query_id)"""
+
+
+@query(_GREEDY)
 def pack_greedy(spark, d):
     out = P.pack_greedy(_hits(spark, d), 1500)
     return out.select("query_id", "used", "dropped", "truncated", F.to_json("packed").alias("packed"))
@@ -194,7 +203,10 @@ def cache_simulation(spark, d):
     return U.cache_statistics(requests(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS (SELECT event_id AS seq, user_id AS key, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+f(key, seq, n, born, outcome) AS (SELECT key, seq, n, ts, 'MISS' FROM e WHERE n = 1
+ UNION ALL SELECT e.key, e.seq, e.n, CASE WHEN epoch_us(e.ts) - epoch_us(f.born) > 3600000000 THEN e.ts ELSE f.born END, CASE WHEN epoch_us(e.ts) - epoch_us(f.born) > 3600000000 THEN 'EXPIRED' ELSE 'HIT' END
+ FROM f JOIN e ON e.key = f.key AND e.n = f.n + 1) SELECT seq, key, outcome FROM f""")
 def cache_simulation_ttl(spark, d):
     return U.simulate_ttl(requests(spark, d).select("seq", "key", "ts"), 3600).select("seq", "key", "outcome")
 
@@ -299,8 +311,8 @@ def _answers(spark, d):
 @query("SELECT doc_id AS request_id, md5(text) AS digest, CAST(len(string_split(text, ' ')) AS INTEGER) AS tokens, 'COMPLETE' AS status FROM documents")
 def stream_token_fold(spark, d):
     """Events written as files, read as a stream, folded by request with state."""
-    folder = tempfile.mkdtemp(prefix="quarry-events-") if not spark.conf.get("spark.checkpoint.dir", None) else spark.conf.get("spark.checkpoint.dir") + "/token-events"
-    SA.replay(_answers(spark, d)).repartition(4).write.mode("overwrite").parquet(folder)
+    folder = fresh_folder(spark, "token-events")
+    SA.replay(_answers(spark, d)).write.parquet(folder)
     folded = SU.run_to_end(SA.fold_stream(SU.read_events(spark, folder), timeout_ms=0), "append")
     return folded.select("request_id", F.md5("answer").alias("digest"), "tokens", "status")
 

@@ -157,7 +157,19 @@ def statutory_entities(spark, d):
     return docs(spark, d).select("doc_id", F.array_join(K.entities(F.col("text")), "|").alias("entities"))
 
 
-@query()
+_SAL = f"CASE WHEN len(list_filter({{0}}, lambda x: NOT list_contains({_STOP}, x) AND length(x) > 1)) > 0 THEN list_filter({{0}}, lambda x: NOT list_contains({_STOP}, x) AND length(x) > 1) ELSE {{0}} END"
+_CROSS = f"""rt AS (SELECT query_id, query_text, {_TOK.format('query_text')} AS tk FROM qt), ru AS (SELECT query_id, query_text, list_distinct({_SAL.format('tk')}) AS wanted, {_ENT.replace('lower(text)', 'lower(query_text)')} AS asked FROM rt),
+rd AS (SELECT doc_id, lower(text) AS low, {_ENT} AS given, list_transform(list_filter(list_transform(string_split(regexp_replace(lower(text), '([.!?\\n])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: length(s) > 10), lambda s: {_TOK.format('s')}) AS said FROM documents),
+rc AS (SELECT dr.query_id, dr.id, dr.rank, dr.score, lower(CAST(dr.label AS VARCHAR)) AS sec, coalesce(wanted, []) AS wanted, coalesce(asked, []) AS asked, low, given, said FROM dr JOIN rd ON rd.doc_id = dr.id LEFT JOIN ru ON ru.query_id = dr.query_id WHERE dr.rank <= 10),
+rp AS (SELECT *, CASE WHEN len(wanted) = 0 THEN 0.0 ELSE least(1.0, 1.25 * coalesce(list_max(list_transform(said, lambda s: len(list_intersect(wanted, s)) / len(wanted))), 0.0)) END AS sentence,
+ CASE WHEN len(asked) > 0 THEN len(list_filter(asked, lambda e: len(list_filter(given, lambda g: contains(g, e) OR contains(e, g))) > 0)) / len(asked) WHEN len(given) > 0 THEN 0.5 ELSE 0.2 END AS entity,
+ 0.5 + least(0.35, 0.07 * len(list_filter({K.OPERATIVE!r}, lambda m: contains(low, m)))) - CASE WHEN len(list_filter({K.INTRODUCTORY!r}, lambda p: contains(sec, p) OR contains(left(low, 100), p))) > 0 THEN 0.35 ELSE 0.0 END AS direct,
+ greatest(0.0, least(1.0, score)) AS vector FROM rc),
+rs AS (SELECT *, least(1.0, 0.4 * sentence + 0.3 * entity + 0.2 * direct + 0.1 * vector) AS rerank_score FROM rp),
+rr AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, score DESC, rank) AS INTEGER) AS final_rank FROM rs)"""
+
+
+@query(f"""WITH {_DENSE}, {_QT}, {_CROSS} SELECT query_id, final_rank, id, rank AS initial_rank, rank - final_rank AS rank_delta, CASE WHEN rank > final_rank THEN 'PROMOTED' WHEN rank < final_rank THEN 'DEMOTED' ELSE 'UNCHANGED' END AS status, round(rerank_score, 6) AS rerank_score FROM rr WHERE final_rank <= 3""")
 def rerank_movement(spark, d):
     out = R.rerank(candidates(spark, d, 10), 3)
     return rounded(out.select("query_id", "final_rank", "id", F.col("rank").alias("initial_rank"), "rank_delta", "status", "rerank_score"), "rerank_score")
@@ -185,7 +197,17 @@ def chunk_chars(spark, d):
     return H.chunk_chars(docs(spark, d), 300, 60).select("doc_id", "chunk_index", "char_start", "char_end", F.md5("content").alias("digest"))
 
 
-@query()
+_EST = "CASE WHEN {n} = 0 THEN 0 ELSE greatest(1, CAST(floor({n} * 1.3) AS INTEGER)) END"
+_NW = "len(list_filter(regexp_split_to_array({0}, '\\s+'), lambda x: x <> ''))"
+_PARA = f"""WITH RECURSIVE pl AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\\n\\s*\\n+'), lambda x: trim(x)), lambda x: x <> '') AS ps FROM documents),
+pe AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM pl), pt AS (SELECT doc_id, p, i, {_NW.format('p')} AS nw FROM pe), pz AS (SELECT doc_id, p, i, {_EST.format(n='nw')} AS n FROM pt),
+g(doc_id, i, chunk, used) AS (SELECT doc_id, i, 0, n FROM pz WHERE i = 1 UNION ALL
+ SELECT g.doc_id, pz.i, CASE WHEN used > 0 AND used + n > 450 THEN chunk + 1 ELSE chunk END, CASE WHEN used > 0 AND used + n > 450 THEN n ELSE used + n END FROM g JOIN pz ON pz.doc_id = g.doc_id AND pz.i = g.i + 1),
+pc AS (SELECT doc_id, chunk, string_agg(p, chr(10) || chr(10) ORDER BY i) AS content FROM g JOIN pz USING (doc_id, i) GROUP BY 1, 2),
+pn AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS total, {_NW.format('content')} AS nw FROM pc)"""
+
+
+@query(f"""{_PARA} SELECT doc_id, doc_id || '_para_' || lpad(CAST(chunk AS VARCHAR), 3, '0') AS chunk_id, CAST(chunk AS INTEGER) AS chunk_index, CAST(total AS INTEGER) AS total_chunks, {_EST.format(n='nw')} AS token_count, content FROM pn""")
 def chunk_paragraphs(spark, d):
     return H.chunk_paragraphs(docs(spark, d)).select("doc_id", "chunk_id", "chunk_index", "total_chunks", "token_count", "content")
 
@@ -195,13 +217,26 @@ def chunk_recursive(spark, d):
     return H.chunk_recursive(docs(spark, d)).select("doc_id", "chunk_id", "chunk_index", "total_chunks", "token_count", "content")
 
 
-@query()
+_SECTIONS = f"""sx AS (SELECT doc_id, string_split('# Head' || chr(10) || text || chr(10) || 'Section 2: Scope' || chr(10) || '1.2. Terms of use' || chr(10), chr(10)) AS ls FROM documents),
+sl AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM sx),
+so AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS off, trim(regexp_replace(trim(line), '^#{{1,6}}\\s*', '')) AS title FROM sl),
+se AS (SELECT doc_id, 0 AS "offset", '{H.PREAMBLE}' AS title, 0 AS i FROM documents UNION ALL SELECT doc_id, CAST(off AS INTEGER), title, i FROM so WHERE regexp_matches(line, '{H.HEADING}') AND title <> '' AND length(title) <= 150)"""
+
+
+@query(f'WITH {_SECTIONS} SELECT doc_id, "offset", title FROM se')
 def sections(spark, d):
     text = F.concat(F.lit("# Head\n"), F.col("text"), F.lit("\nSection 2: Scope\n1.2. Terms of use\n"))
     out = docs(spark, d).select("doc_id", F.explode(H.sections(text)).alias("s"))
     return out.select("doc_id", "s.offset", "s.title")
 
 
+@query(f"""WITH {_SECTIONS}, w AS (SELECT doc_id, unnest([0, 10, 200, 2000]) AS off FROM documents) SELECT doc_id, off, (SELECT arg_max(title, i) FROM se WHERE se.doc_id = w.doc_id AND se."offset" <= w.off) AS section FROM w""")
+def active_section(spark, d):
+    text = F.concat(F.lit("# Head\n"), F.col("text"), F.lit("\nSection 2: Scope\n1.2. Terms of use\n"))
+    rows = docs(spark, d).select("doc_id", H.sections(text).alias("s"), F.explode(F.array(*map(F.lit, (0, 10, 200, 2000)))).alias("off"))
+    return rows.select("doc_id", "off", H.active_section(F.col("s"), F.col("off")).alias("section"))
+
+
 @query("""WITH o AS (SELECT doc_id, unnest([0, 50, 101, 150, 400]) AS off FROM documents)
 SELECT doc_id, off, CASE WHEN off BETWEEN 0 AND 100 THEN 1 WHEN off BETWEEN 102 AND 200 THEN 2 WHEN off > 200 THEN 2 ELSE 1 END AS page FROM o""")
 def page_lookup(spark, d):
@@ -212,7 +247,7 @@ def page_lookup(spark, d):
 
 @query(f"""WITH {_CW}, k AS (SELECT content, token_end - token_start AS tc FROM cw), a AS (SELECT round(avg(tc), 1) AS m FROM k)
 SELECT 'tokenaware' AS strategy, count(*) AS total_chunks, CAST(sum(length(content)) AS BIGINT) AS total_chars, CAST(sum(tc) AS BIGINT) AS total_tokens, round(avg(length(content)), 1) AS avg_chars, max(m) AS avg_tokens,
-CAST(min(tc) AS INTEGER) AS min_tokens, CAST(max(tc) AS INTEGER) AS max_tokens, round(sqrt(avg((tc - m) * (tc - m))), 4) AS std_tokens, round(avg(CASE WHEN regexp_matches(trim(content), '[.!?:;]$') THEN 1.0 ELSE 0.0 END) * 100, 2) AS sentence_end_pct FROM k, a""")
+CAST(min(tc) AS INTEGER) AS min_tokens, CAST(max(tc) AS INTEGER) AS max_tokens, round(sqrt(avg((tc - m) * (tc - m))), 4) AS std_tokens, round(avg(CASE WHEN regexp_matches(regexp_replace(content, '\\s+$', ''), '[.?!:"'']$') THEN 1.0 ELSE 0.0 END) * 100, 2) AS sentence_end_pct FROM k, a""")
 def chunk_stats(spark, d):
     return H.chunk_statistics(H.chunk_words(docs(spark, d), 300, 50))
 
@@ -263,7 +298,7 @@ pp AS (SELECT chunk_id, token_count, CASE WHEN cached THEN 'SKIP' ELSE 'EMBED' E
 
 
 def _plan(spark, d):
-    chunks = H.chunk_words(docs(spark, d), 300, 50).withColumn("position", F.col("doc_id") * 1000 + F.col("chunk_index"))
+    chunks = H.word_windows(docs(spark, d), 300, 50).withColumn("position", F.col("doc_id") * 1000 + F.col("chunk_index"))
     cache = chunks.filter("doc_id % 4 = 0").select("chunk_id", F.array(F.lit(1.0)).alias("embedding"))
     return I.embedding_plan(chunks.select("chunk_id", "token_count", "position"), cache)
 

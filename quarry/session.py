@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -17,6 +20,29 @@ def ship_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
 
 
+SHARED_DIR_SETTING = "spark.checkpoint.dir"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors and the driver share: spark.checkpoint.dir of the session.
+
+    Where it is unset and all runs in one process (tests), a fresh temporary folder is chosen once for the session; on a cluster that is an
+    error, since executors would write to disks of their own.
+    """
+    found = spark.conf.get(SHARED_DIR_SETTING, None)
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"set {SHARED_DIR_SETTING} to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="quarry-shared-")
+        spark.conf.set(SHARED_DIR_SETTING, found)
+    return found.rstrip("/")
+
+
+def fresh_folder(spark: SparkSession, label: str) -> str:
+    """A name in the shared folder that nothing else has."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def local_session(cpus: int = 8, partitions: int | None = None, **conf: str) -> SparkSession:
     """A session on this machine, for tests and benchmarks; on a cluster use the session that spark-submit gives."""
     builder = (

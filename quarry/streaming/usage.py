@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators.ingest import upsert
+from quarry.session import fresh_folder
+
 
 def hourly(events: DataFrame, lateness: str = "2 hours") -> DataFrame:
     """Events by hour and type; the watermark bounds the state, hours are final once it has passed them."""
@@ -16,12 +17,22 @@ def hourly(events: DataFrame, lateness: str = "2 hours") -> DataFrame:
 
 
 def run_to_end(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there now and return its result; for bounded inputs and tests."""
-    spark = stream.sparkSession
-    name = f"q{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Run a stream over what is there now and return its result, from the shared folder; for bounded inputs and tests.
+
+    A micro-batch writes its own folder, so that one that runs again replaces it. With mode "complete" the last batch is the result, else all are.
+    """
+    spark, folder, epochs = stream.sparkSession, fresh_folder(stream.sparkSession, "stream"), []
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        epochs.append(epoch)
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={epoch}")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    if not epochs:
+        return spark.createDataFrame([], stream.schema)
+    parts = [max(epochs)] if mode == "complete" else sorted(set(epochs))
+    return spark.read.schema(stream.schema).parquet(*(f"{folder}/out/batch={e}" for e in parts))
 
 
 def read_events(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -30,6 +41,33 @@ def read_events(spark: SparkSession, path: str, glob: str | None = None) -> Data
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(glob or path)
 
 
+def upsert_stream(files: DataFrame, folder: str, checkpoint: str, build, key: str = "id"):
+    """Upsert what `build` makes of each micro-batch (with a `version`) into a table that is written anew as folder/version=<batch>; `latest` reads it.
+
+    A batch reads the version before its own and writes its own whole, so that a batch that runs again gives the same table.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        old = latest(batch.sparkSession, folder, before=epoch)
+        new = build(batch)
+        merged = upsert(new.limit(0) if old is None else old, new, key)
+        merged.write.mode("overwrite").parquet(f"{folder}/version={epoch:09d}")
+
+    return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
+    """The last finished version of a table of upsert_stream; None before the first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    done = [f.getPath() for f in fs.listStatus(path) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    names = sorted((p.getName(), p.toString()) for p in done)
+    names = [p for n, p in names if before is None or int(n.partition("=")[2]) < before]
+    return spark.read.parquet(names[-1]) if names else None
+
+
 def ingest_stream(files: DataFrame, index_path: str, checkpoint: str, build):
     """Append what `build` makes of each micro-batch to an index; a batch writes its own folder, so that a batch that runs again replaces it."""
 

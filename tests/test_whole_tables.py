@@ -41,9 +41,13 @@ def test_every_twentieth_vector_asks_all_others(spark, tables):
 def test_truth_is_every_other_row_of_the_label(spark, tables):
     d, stored = tables
     for r in retrieval.truth(spark, d).collect():
-        q = r["query_id"]
-        want = [i for i, (_, label) in stored.items() if label == stored[q][1] and i != q]
-        assert sorted(r["relevant"]) == sorted(want) and set(r["sources"]) == {f"s{i % 40}" for i in want}
+        want = [i for i, (_, label) in stored.items() if label == stored[r["query_id"]][1] and i != r["query_id"]]
+        assert r["wanted"] == len(want)
+    for r in retrieval.relevance_verdicts(spark, d).collect():
+        q, i = r["query_id"], r["id"]
+        same = [j for j, (_, label) in stored.items() if label == stored[q][1] and j != q]
+        want = "relevant" if i in same else "peripheral" if i % 40 in {j % 40 for j in same} else "irrelevant"
+        assert r["verdict"] == want
 
 
 def test_margins_read_the_whole_ranking(spark, tables):
