@@ -4,16 +4,12 @@ from __future__ import annotations
 
 import contextlib
 import math
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.session import ship_package
-
-SHARED_DIR_SETTING = "spark.checkpoint.dir"
+from quarry.session import shared_dir, ship_package
 
 #: Rows of an Arrow batch while an operator writes: texts are long, and a batch is held by the JVM and by Python.
 ARROW_ROWS = "1000"
@@ -43,21 +39,6 @@ def small_batches(spark: SparkSession):
         spark.conf.set(ARROW_SETTING, own)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share: spark.checkpoint.dir of the session.
-
-    Where it is unset and all runs in one process (tests), a fresh temporary folder is chosen once for the session; on a cluster that is an
-    error, since executors would write to disks of their own.
-    """
-    found = spark.conf.get(SHARED_DIR_SETTING, None)
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError(f"set {SHARED_DIR_SETTING} to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="quarry-shared-")
-        spark.conf.set(SHARED_DIR_SETTING, found)
-    return found.rstrip("/")
-
-
 def delete_folder(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
