@@ -6,7 +6,7 @@ import base64
 import bisect
 import gzip
 import hashlib
-import io
+import itertools
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -23,13 +23,17 @@ from quarry.llm.common import Workspace, shuffle_partitions
 RUN_ROWS = 50_000  #: captures of one locally sorted run
 SAMPLES_A_RUN = 32  #: regular samples of each run, from which the merge's ranges are cut
 FILE_BYTES = 64 << 20  #: a WARC file is closed beyond this size
+SLICE_ROWS = 100_000  #: captures of one merge, about
+MOST_SAMPLES = 1 << 17  #: samples that reach the driver, about
+READ_BYTES = 4 << 20  #: of an archive's records that are read together
+TASK_BYTES = 16 << 20  #: of records that one task reads, about
 EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
 
 RUN_SCHEMA = (
     "run string, nth int, url_key string, capture_ts long, page_id long, url string, record_type string, "
     "refers_to long, path string, offset long, length long, sample boolean"
 )
-RECORD_SCHEMA = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, url string, path string, offset long"
+RECORD_SCHEMA = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, url string, path string, offset long, url_key string, capture_ts long, capture_rank long"
 
 
 def url_key(url: str | None) -> str:
@@ -112,7 +116,7 @@ def _record(page_id, url: str, ts: int, kind: str, refers_to, payload: bytes, di
     return gzip.compress(raw, compresslevel=4, mtime=0)
 
 
-def _writer(folder: str):
+def _writer(folder: str, run_rows: int):
     def write(batches):
         fs, root = pafs.FileSystem.from_uri(folder)
         entries, out, path, at = [], None, "", 0
@@ -132,7 +136,7 @@ def _writer(folder: str):
                 if out is None:
                     # A task that runs again writes under another name; only files named in the kept rows are ever read.
                     path, at = f"{root}/{uuid.uuid4().hex}.warc.gz", 0
-                    out = fs.open_output_stream(path)
+                    out = fs.open_output_stream(path, compression=None)  # members are compressed one by one; the name alone would compress them again
                 payload, url, page = r["payload"] or b"", (r["url"] or "").replace("\r", "%0D").replace("\n", "%0A"), r["page_id"]
                 first = r["first_id"]
                 kind = "revisit" if first is not None and page is not None and first != page else "response"
@@ -144,7 +148,7 @@ def _writer(folder: str):
                 if at >= FILE_BYTES:
                     out.close()
                     out = None
-                if len(entries) >= RUN_ROWS:
+                if len(entries) >= run_rows:
                     yield run()
         if out is not None:
             out.close()
@@ -154,54 +158,49 @@ def _writer(folder: str):
     return write
 
 
-def _parse(raw: io.BufferedIOBase) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, headers, payload) of each record of a .warc.gz stream, one gzip member at a time."""
-    buffer, offset = b"", 0
-    while True:
-        member, parts = zlib.decompressobj(wbits=31), []
-        used = 0
-        while not member.eof:
-            chunk = buffer or raw.read(1 << 20)
-            buffer = b""
-            if not chunk:
-                if parts or used:
-                    raise ValueError("archive ends within a record")
-                return
-            used += len(chunk)
-            parts.append(member.decompress(chunk))
-        buffer = member.unused_data
-        used -= len(buffer)
-        record = b"".join(parts)
-        head, _, rest = record.partition(b"\r\n\r\n")
-        lines = head.decode("utf-8", "surrogatepass").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at {offset}")
-        headers = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
-        block = rest[: int(headers["Content-Length"])]
-        yield offset, headers, block.partition(b"\r\n\r\n")[2]
-        offset += used
+def _parse(blob: bytes) -> tuple[dict[str, str], bytes]:
+    """(headers, payload) of one record, a gzip member of its own."""
+    try:
+        record = zlib.decompress(blob, wbits=31)
+    except zlib.error as e:
+        raise ValueError("no whole record") from e
+    head, _, rest = record.partition(b"\r\n\r\n")
+    lines = head.decode("utf-8", "surrogatepass").split("\r\n")
+    if not lines[0].startswith("WARC/"):
+        raise ValueError("no WARC record")
+    headers = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
+    block = rest[: int(headers["Content-Length"])]
+    return headers, block.partition(b"\r\n\r\n")[2]
 
 
 def _reader(folder: str):
+    """Read records at the index's places; a task's rows come by path and offset, so that each archive is opened once and read forwards."""
+
     def read(batches):
         fs, _ = pafs.FileSystem.from_uri(folder)
         names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+        path, raw = None, None
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                rows = []
-                with fs.open_input_stream(path, buffer_size=1 << 20) as raw:
-                    for offset, h, payload in _parse(raw):
-                        kind, digest = h["WARC-Type"], h["WARC-Payload-Digest"].removeprefix("sha1:")
-                        if kind == "response" and payload_digest(payload) != digest:
-                            raise ValueError(f"payload of {path} at {offset} differs from its digest")
-                        page, refers = h["X-Capture-Number"], h.get("X-Refers-To-Capture-Number")
-                        rows.append((int(page) if page else None, kind, int(refers) if refers else None, len(payload) if kind == "response" else None, digest, h["WARC-Target-URI"], path, offset))
-                        if len(rows) >= 5000:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                            rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            rows = []
+            for r in batch.to_pylist():
+                if r["path"] != path:
+                    if raw is not None:
+                        raw.close()
+                    path, raw = r["path"], fs.open_input_file(r["path"])
+                headers, payload = _parse(raw.read_at(r["length"], r["offset"]))
+                kind, digest = headers["WARC-Type"], headers["WARC-Payload-Digest"].removeprefix("sha1:")
+                if kind == "response" and payload_digest(payload) != digest:
+                    raise ValueError(f"payload of {path} at {r['offset']} differs from its digest")
+                page, refers = headers["X-Capture-Number"], headers.get("X-Refers-To-Capture-Number")
+                page, refers = int(page) if page else None, int(refers) if refers else None
+                if (page, kind) != (r["page_id"], r["record_type"]):
+                    raise ValueError(f"the index names another record than stands in {path} at {r['offset']}")
+                rows.append((page, kind, refers, len(payload) if kind == "response" else None, digest, headers["WARC-Target-URI"], path, r["offset"], r["url_key"], r["capture_ts"], r["capture_rank"]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        if raw is not None:
+            raw.close()
 
     return read
 
@@ -219,7 +218,7 @@ def write_archives(ws: Workspace, pages: DataFrame, id_col: str, url_col: str, h
     marked = caps.join(copies, "sha1", "left").select("page_id", "url", "payload", "first_id")
     folder = f"{ws.base}/archives"
     _make_folder(ws, folder)
-    return ws.save(marked.mapInArrow(_writer(folder), RUN_SCHEMA), "runs")
+    return ws.save(marked.mapInArrow(_writer(folder, RUN_ROWS), RUN_SCHEMA), "runs")
 
 
 def _make_folder(ws: Workspace, folder: str) -> None:
@@ -230,12 +229,15 @@ def _make_folder(ws: Workspace, folder: str) -> None:
 def merge_index(ws: Workspace, runs: DataFrame) -> DataFrame:
     """Merge sorted runs into one index ordered by (url_key, capture_ts, page_id).
 
-    Regular samples of every run (at most SAMPLES_A_RUN + 1 a run) are cut into ranges of the composite key, so that
-    the captures of one URL may spread over ranges. A task merges its slice of every run with a loser tree; a
+    Regular samples of the runs (about MOST_SAMPLES at most: of more, those with the smallest hashes) are cut into ranges of the composite key of about SLICE_ROWS captures, so that
+    the captures of one URL may spread over ranges. A task merges its slice of every run with a loser tree over the runs' keys; the columns are taken in the merged order. A
     range's rank offset is the sum of the ranges before it.
     """
-    n = shuffle_partitions(ws.spark)
-    picks = sorted((r["url_key"], r["capture_ts"], -1 if r["page_id"] is None else r["page_id"]) for r in runs.filter("sample").select("url_key", "capture_ts", "page_id").collect())
+    total, sampled = runs.agg(F.count("*"), F.count_if("sample")).first()
+    n = max(shuffle_partitions(ws.spark), -(-total // SLICE_ROWS))
+    thin = max(1, -(-sampled // MOST_SAMPLES))
+    few = runs.filter("sample").filter(F.pmod(F.xxhash64("run", "nth"), F.lit(thin)) == 0).select("url_key", "capture_ts", "page_id").toArrow()
+    picks = sorted(zip(*(few.column(c).to_pylist() for c in ("url_key", "capture_ts")), (-1 if p is None else p for p in few.column("page_id").to_pylist()), strict=True))
     cuts = sorted({picks[len(picks) * i // n] for i in range(1, n)}) if picks else []
     shared = ws.spark.sparkContext.broadcast(cuts)
     names = [x.split()[0] for x in RUN_SCHEMA.split(", ")]
@@ -247,15 +249,16 @@ def merge_index(ws: Workspace, runs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(where, pa.int32())], [*batch.schema.names, "slice"])
 
     def merge(table: pa.Table) -> pa.Table:
-        by_run: dict[str, list] = {}
-        for r in table.to_pylist():
-            by_run.setdefault(r["run"], []).append(((r["url_key"], r["capture_ts"], -1 if r["page_id"] is None else r["page_id"], r["path"], r["offset"]), r))
-        runs = [sorted(v, key=lambda x: x[1]["nth"]) for _, v in sorted(by_run.items())]
-        rows = [r | {"place": i} for i, (_, r) in enumerate((key, r) for key, r in LoserTree([((k, _Row(r)) for k, r in run) for run in runs]))]
-        return pa.Table.from_pylist([{k: v for k, v in r.items() if k in keep} for r in rows], schema=keep_schema)
-
-    keep = ["slice", "place", "url_key", "capture_ts", "page_id", "url", "record_type", "refers_to", "path", "offset", "length"]
-    keep_schema = pa.schema([("slice", pa.int32()), ("place", pa.int64()), ("url_key", pa.string()), ("capture_ts", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+        table = table.sort_by([("run", "ascending"), ("nth", "ascending")])  # a slice of a run comes in the run's own order
+        run = table.column("run").to_pylist()
+        page = [-1 if p is None else p for p in table.column("page_id").to_pylist()]
+        keys = list(zip(table.column("url_key").to_pylist(), table.column("capture_ts").to_pylist(), page, table.column("path").to_pylist(), table.column("offset").to_pylist(), range(len(run)), strict=True))
+        bounds = [i for i in range(len(run)) if i == 0 or run[i] != run[i - 1]] + [len(run)]
+        order = [key[-1] for key in LoserTree([itertools.islice(keys, a, b) for a, b in itertools.pairwise(bounds)])]
+        merged = table.select(keep).take(pa.array(order, pa.int64()))
+        return merged.add_column(1, "place", pa.array(range(len(order)), pa.int64()))
+
+    keep = ["slice", "url_key", "capture_ts", "page_id", "url", "record_type", "refers_to", "path", "offset", "length"]
     ddl = "slice int, place long, url_key string, capture_ts long, page_id long, url string, record_type string, refers_to long, path string, offset long, length long"
     sliced = runs.mapInArrow(slices, RUN_SCHEMA + ", slice int").select(*names, "slice")
     merged = ws.save(sliced.groupBy("slice").applyInArrow(merge, ddl), "index")
@@ -267,18 +270,17 @@ def merge_index(ws: Workspace, runs: DataFrame) -> DataFrame:
     return merged.join(starts, "slice").withColumn("capture_rank", F.col("before") + F.col("place")).drop("before", "place", "slice")
 
 
-class _Row(dict):
-    """A row that never decides a comparison: keys of equal captures are told apart by path and offset before."""
-
-    def __lt__(self, other):
-        return False
-
-
 def read_archives(ws: Workspace, index: DataFrame) -> DataFrame:
-    """Read every archive that the index names, whole and in order, and resolve revisits to their response's payload."""
+    """Read every record that the merged index names, at its path, offset and length, and resolve revisits to their response's payload.
+
+    Records are dealt out by stretches of READ_BYTES of an archive; the number of tasks follows from the bytes that the index counts.
+    """
     folder = f"{ws.base}/archives"
-    paths = index.select("path").distinct()
-    records = ws.save(paths.mapInArrow(_reader(folder), RECORD_SCHEMA), "records")
+    held = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(ws.spark.sparkContext.defaultParallelism, -(-held // TASK_BYTES))
+    stretch = F.floor(F.col("offset") / READ_BYTES)
+    places = index.select("path", "offset", "length", "page_id", "record_type", "url_key", "capture_ts", "capture_rank").repartition(tasks, "path", stretch).sortWithinPartitions("path", "offset")
+    records = ws.save(places.mapInArrow(_reader(folder), RECORD_SCHEMA), "records")
     full = records.filter("record_type = 'response'").select(F.col("page_id").alias("ref"), F.col("payload_bytes").alias("ref_bytes"))
     first = records.filter("record_type = 'revisit'").select(F.col("refers_to").alias("ref")).distinct()
     full = ws.save(full.join(first, "ref", "left_semi").groupBy("ref").agg(F.max("ref_bytes").alias("ref_bytes")), "referred")
@@ -300,7 +302,7 @@ def archive_pages(
     its id, since pages carry none. Columns other than the three are ignored; an empty table gives two empty ones.
 
     Returns (records, index): what the archives hold (page_id, record_type, refers_to, payload_bytes, payload_digest,
-    url, path, offset), and the captures ordered by (url_key, capture_ts, page_id) with their capture_rank.
+    url, path, offset, and url_key, capture_ts and capture_rank of the index through which they were read), and the captures ordered by (url_key, capture_ts, page_id) with their capture_rank.
     """
     ws = Workspace(pages.sparkSession, "warc")
     runs = write_archives(ws, pages, id_col, url_col, html_col, min_payload)
