@@ -19,7 +19,10 @@ LEAST_SHARD, MOST_SHARD = 1024, 200_000  #: vectors of a shard
 FEW_SHARDS = 8
 QUERY_GROUP, PACK = 32_768, 1024  #: queries that meet a shard in one task, and rows of one packed blob
 AUDITED, AUDIT_RECALL = 64, 0.99
+MOST_DRAWN = 2048  #: queries at most that are held against a whole shard for an audit
+FEW_LINKS = 64  #: links in one shard up to which a query names them, so that a link found from one side alone counts on both
 BATCH = 512
+NAMED, COUNTED, NEEDED, AUDIT = range(4)  #: kinds of a search task's rows
 
 
 class Hnsw:
@@ -228,27 +231,48 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def links_in_shard(graph: Hnsw, shard_x: np.ndarray, shard_ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, threshold: float):
-    """Yield (query rows, shard rows) of the verified links of each batch of queries.
+def audited_beam(graph: Hnsw, shard_x: np.ndarray, shard_ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, threshold: float) -> tuple[int, int, int]:
+    """(beam, true links of the audited queries, of these found): the narrowest doubled beam that passes.
 
-    The beam starts narrow. A query whose beam holds nothing below the threshold may have missed links: its beam is
-    doubled, and beyond an eighth of the shard it is compared with all of it. Queries drawn for audit are compared with the whole shard; while
-    their recall is below AUDIT_RECALL the beam is doubled for all.
+    Queries are drawn and compared with the whole shard until AUDITED of them have links but too few to fill the beam, or MOST_DRAWN are drawn; full beams widen on their
+    own. The beam is doubled until the mean over audited queries of the share of their links that is found reaches AUDIT_RECALL.
     """
-    slack = 1e-4  # the graph's similarities are in single precision
-    drawn = np.random.default_rng(len(q)).permutation(len(q))[:AUDITED]
-    truth = (q[drawn] @ shard_x.T >= threshold) & (q_ids[drawn][:, None] != shard_ids[None])
     ef = min(FIRST_BEAM, len(shard_ids))
-    while truth.any() and ef < len(shard_ids):
-        ids, _ = graph.search(q[drawn], ef)
+    drawn = np.random.default_rng(len(q)).permutation(len(q))[:MOST_DRAWN]
+    picked, truths, have = [], [], 0
+    for a in range(0, len(drawn), 4 * AUDITED):
+        part = drawn[a : a + 4 * AUDITED]
+        truth = (q[part] @ shard_x.T >= threshold) & (q_ids[part][:, None] != shard_ids[None])
+        some = np.flatnonzero((truth.sum(1) > 0) & (truth.sum(1) < ef - 1))
+        picked.append(part[some])
+        truths.append(truth[some])
+        have += len(some)
+        if have >= AUDITED:
+            break
+    rows, truth = (np.concatenate(picked), np.concatenate(truths)) if picked else (np.zeros(0, np.int64), np.zeros((0, len(shard_ids)), bool))
+    hits = 0
+    while len(rows):
+        ids, _ = graph.search(q[rows], ef)
         row, col = np.nonzero(ids >= 0)
         found = np.zeros(truth.shape, bool)
         found[row, graph.order[ids[row, col]]] = True
-        if (found & truth).sum() >= AUDIT_RECALL * np.minimum(truth.sum(1), max(1, ef - 1)).sum():
+        each = (found & truth).sum(1)
+        hits = int(each.sum())
+        if (each / truth.sum(1)).mean() >= AUDIT_RECALL or ef >= len(shard_ids):
             break
         ef *= 2
+    return min(ef, len(shard_ids)), int(truth.sum()), hits
+
+
+def links_in_shard(graph: Hnsw, shard_x: np.ndarray, shard_ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, threshold: float, ef: int):
+    """Yield (query rows, shard rows) of the verified links of each batch of queries; all links of a query come in one batch.
+
+    The beam starts at `ef`, which an audit has passed (see audited_beam). A query whose beam holds nothing below the threshold may have missed links: its beam is
+    doubled, and beyond an eighth of the shard it is compared with all of it.
+    """
+    slack = 1e-4  # the graph's similarities are in single precision
     most = max(4 * ef, len(shard_ids) // 8)
-    step = max(1, min(BATCH, (1 << 26) // (len(shard_ids) + 1)))
+    step = max(1, min(BATCH, (1 << 25) // (len(shard_ids) + 1)))
     for a in range(0, len(q), step):
         todo, width = np.arange(a, min(a + step, len(q))), ef
         while todo.size:
@@ -311,13 +335,19 @@ def near_vectors(
     """Link vectors whose cosine, in double precision, is at least `threshold`, and unite them into components.
 
     Vectors are dealt to shards by the hash of their id; each shard builds a navigable small-world graph. Every vector queries every
-    shard (see links_in_shard). Each task counts its queries' links and passes on only the links that its
-    union-find needed, so a dense group costs counts and a forest, not all its pairs.
+    shard, with a beam that audits have passed (see audited_beam, links_in_shard). Each task passes on only the links that its
+    union-find needed, so a dense group costs counts and a forest, not all its pairs. A query with up to FEW_LINKS links in a shard names them: a link that one side alone has found
+    counts on both. Of a query with more links the task gives their number.
 
     Returns id, n_links (other ids linked directly), component_id (the smallest id reachable, itself included), kept (id is its component's).
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, and vectors of unequal length don't link.
     Rows with a null id have no links and a null component, and aren't kept. Rows that repeat an id don't link with each other. Other columns are ignored.
     """
+    return near_vectors_and_audit(vectors, threshold, id_col, vec_col)[0]
+
+
+def near_vectors_and_audit(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """near_vectors, and one row (truths, hits): true links of all audited queries, and those that the graphs found at the beams that were used."""
     spark = vectors.sparkSession
     ws = Workspace(spark, "neighbours")
     zero = F.forall(vec_col, lambda x: x == 0)
@@ -349,22 +379,34 @@ def near_vectors(
             graph = Hnsw.load(g.column("graph")[0].as_py())
             names = np.unique(np.concatenate([q_ids, c_ids]))
             q_at, c_at = np.searchsorted(names, q_ids), np.searchsorted(names, c_ids)
-            forest, counts = Forest(len(names)), np.zeros(len(names), np.int64)
-            for row, col in links_in_shard(graph, cx, c_ids, qx, q_ids, threshold):
+            forest, shard = Forest(len(names)), g.column("shard")[0].as_py()
+            ef, truths, hits = audited_beam(graph, cx, c_ids, qx, q_ids, threshold)
+            out.append((AUDIT, truths, hits, shard, 0))
+            for row, col in links_in_shard(graph, cx, c_ids, qx, q_ids, threshold, ef):
                 pair = np.unique(np.stack([q_at[row], c_at[col]], axis=1), axis=0)
-                counts += np.bincount(pair[:, 0], minlength=len(names))
-                out += [(int(names[u]), int(names[v]), 0) for u, v in forest.join(pair[:, 0], pair[:, 1])]
-            out += [(int(names[i]), None, int(counts[i])) for i in np.flatnonzero(counts)]
-        cols = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in cols], ["u", "v", "n"])
+                own, first, count = np.unique(pair[:, 0], return_index=True, return_counts=True)
+                for i, at, n in zip(own.tolist(), first.tolist(), count.tolist(), strict=True):
+                    if n <= FEW_LINKS:
+                        out += [(NAMED, int(names[i]), int(names[v]), shard, 1) for v in pair[at : at + n, 1].tolist()]
+                    else:
+                        out.append((COUNTED, int(names[i]), None, shard, n))
+                out += [(NEEDED, int(names[u]), int(names[v]), shard, 0) for u, v in forest.join(pair[:, 0], pair[:, 1])]
+        cols = list(zip(*out, strict=True)) or [[], [], [], [], []]
+        kinds = [pa.int32(), *[pa.int64()] * 4]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["kind", "u", "v", "shard", "n"])
 
     keys = ("dim", "shard", "group")
-    found = ws.save(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "u long, v long, n long"), "links")
-    counts = found.filter("v IS NULL").groupBy("u").agg(F.sum("n").alias("n_links"))
-    components = connected_components(ws, found.filter("v IS NOT NULL").select("u", "v"))
+    found = ws.save(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "kind int, u long, v long, shard long, n long"), "links")
+    named, counted = found.filter(F.col("kind") == NAMED), found.filter(F.col("kind") == COUNTED).groupBy("u", "shard").agg(F.max("n").alias("n"))
+    # A link from one side stands in the other vector's shard as well; where that side has counted its links there, the count holds.
+    both = named.select("u", "v", "shard").unionByName(named.select(F.col("v").alias("u"), F.col("u").alias("v"), F.pmod(F.xxhash64("u", F.lit("shard")), F.lit(shards).cast("long")).alias("shard")))
+    both = both.distinct().join(counted.select("u", "shard"), ["u", "shard"], "left_anti")
+    counts = both.select("u", F.lit(1).cast("long").alias("n")).unionByName(counted.select("u", "n")).groupBy("u").agg(F.sum("n").alias("n_links"))
+    audit = found.filter(F.col("kind") == AUDIT).agg(F.coalesce(F.sum("u"), F.lit(0).cast("long")).alias("truths"), F.coalesce(F.sum("v"), F.lit(0).cast("long")).alias("hits"))
+    components = connected_components(ws, found.filter(F.col("kind") == NEEDED).select("u", "v"))
     ids = vectors.select(F.col(id_col))
     key = ids[id_col].cast("long")
-    return (
+    out = (
         ids.join(counts, key == counts["u"], "left")
         .join(components, key == components["node"], "left")
         .select(
@@ -374,3 +416,4 @@ def near_vectors(
         )
         .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
     )
+    return out, audit
