@@ -17,9 +17,7 @@ NO_SOURCE = "\x00none"
 
 def word_count(text_col: str) -> Column:
     """White-space separated words of a text; 0 without a text."""
-    trimmed = F.trim(F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"\s+", " "))
-    spaces = F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit("")))
-    return F.when(trimmed == "", 0).otherwise(spaces + 1).cast("long")
+    return F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(r"\S+")).cast("long")
 
 
 def weights_at(shares: dict[str, float], exponent: float) -> dict[str, float]:
@@ -100,7 +98,7 @@ def mix_sources(
     dealt to blocks by hash; every epoch is a permutation of the blocks by hash, the last one ends where its budget does, inside
     a block at the first text in hash order that doesn't fit. Only sums of blocks are ordered by source.
 
-    Returns all columns of `docs`, mix_tokens, mix_epoch (from 0), mix_block, mix_place (the block's place in the epoch). A null source is a source
+    Returns all columns of `docs` but earlier ones of these names, mix_tokens, mix_epoch (from 0), mix_block, mix_place (the block's place in the epoch). A null source is a source
     of its own. Null and empty texts have no tokens and are in every whole epoch; if no text has tokens, every row comes once. Repeated rows and rows with null ids are mixed like others,
     those that fall together in a cut block by their whole row's hash. Only the number of sources is held by the driver.
     """
@@ -140,7 +138,7 @@ def mix_sources(
         F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"),
     )
     joined = rows.join(plan, ["s", "b"])
-    own = [F.col(f"own_{k}").alias(c) for k, c in enumerate(docs.columns)]
+    own = [F.col(f"own_{k}").alias(c) for k, c in enumerate(docs.columns) if c.lower() not in ("mix_tokens", "mix_epoch", "mix_block", "mix_place")]
     new = [F.col("n").alias("mix_tokens"), F.col("epoch").alias("mix_epoch"), F.col("b").alias("mix_block"), F.col("place").alias("mix_place")]
     in_block = Window.partitionBy("s", "b", "epoch").orderBy("h", "n").rowsBetween(Window.unboundedPreceding, 0)
     cut = joined.filter("room IS NOT NULL").withColumn("used", F.sum("n").over(in_block)).filter("used <= room")
