@@ -18,6 +18,7 @@ HASHED_DIMS, CURVE_DIMS, CURVE_BITS = 64, 4, 12
 #: Fixed value: the pre-token pattern of the byte-level BPE vocabulary.
 PRE_TOKENS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 BATCH_CHARS = 1 << 20
+PARTITION_BYTES = 64 << 20  #: of ids in one range of the curve
 
 
 class ByteBpe:
@@ -200,6 +201,8 @@ def pack_along_curve(
     ws = Workspace(spark, "packing")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     tokens = ws.save(rows.mapInArrow(_tokenise(tokenizer_path, pattern, end_id), "id long, curve long, n long, ids binary"), "tokens")
-    ordered = tokens.repartitionByRange(shuffle_partitions(spark), "curve", "id", "n").sortWithinPartitions("curve", "id", "n")
+    held = (tokens.agg(F.sum("n")).first()[0] or 0) * _tokenizer(tokenizer_path, pattern).dtype.itemsize
+    parts = max(shuffle_partitions(spark), -(-held // PARTITION_BYTES))
+    ordered = tokens.repartitionByRange(parts, "curve", "id", "n").sortWithinPartitions("curve", "id", "n")
     pieces = ordered.mapInArrow(_pack(length, _tokenizer(tokenizer_path, pattern).dtype.itemsize), PIECE_SCHEMA)
     return pieces.select(F.col("id").alias(id_col), "start", "length", "doc_tokens", "sequence_id", "offset", "ids")
