@@ -34,7 +34,7 @@ def tokenizer_path() -> str:
 
 def op1_warc_capture_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     records, _ = archive_pages(_table(spark, sf_dir, "pages"), min_payload=0)
-    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_rank")
 
 
 def op2_byte_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,14 +98,38 @@ _BASE32 = " || ".join(
     for j in range(4)
 )
 
+def _crc_table() -> list[int]:
+    """The 256 remainders of the CRC-32 polynomial."""
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        out.append(n)
+    return out
+
+
+_CRC32 = f"xor(4294967295, list_reduce(list_transform(hex, lambda x: CAST('0x' || x AS BIGINT)), lambda c, b: xor({_crc_table()}[CAST(xor(c, b) & 255 AS INTEGER) + 1], c >> 8), 4294967295))"
+
 _SQL = {
     "op1_warc_capture_archive": f"""
-        WITH h AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+        WITH h AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex, regexp_extract(coalesce(url, ''), '^[a-zA-Z]+://([^/?#]*)', 1) AS host, regexp_extract(coalesce(url, ''), '^[a-zA-Z]+://[^/?#]*([^#]*)', 1) AS rest FROM pages),
+        u AS (SELECT page_id, CASE WHEN host = '' THEN '' ELSE lower(array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN rest = '' THEN '/' WHEN left(rest, 1) = '?' THEN '/' || rest ELSE rest END) END AS url_key FROM h),
+        r AS (SELECT page_id, url_key, row_number() OVER (ORDER BY CAST(url_key AS BLOB), page_id % 1000000000, page_id) - 1 AS capture_rank FROM u),
         f AS (SELECT hex, min(page_id) AS first_id FROM h GROUP BY hex)
         SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
                CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
-               CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
-        FROM h JOIN f USING (hex)""",
+               CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to, url_key, capture_rank
+        FROM h JOIN f USING (hex) JOIN r USING (page_id)""",
+    "op2_byte_balanced_shards": f"""
+        WITH h AS (SELECT doc_id, text, coalesce(sha1(text), '') AS grp, strlen(coalesce(text, '')) + 1 AS size,
+                regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS hex FROM documents),
+        g AS (SELECT grp, min(doc_id) AS lead, sum(size) AS held FROM h GROUP BY grp),
+        o AS (SELECT doc_id, size, hex, grp, held, sum(size) OVER w - size / 2 AS middle, sum(size) OVER () AS total, row_number() OVER w - 1 AS i
+              FROM h JOIN g USING (grp) WINDOW w AS (ORDER BY lead, grp, doc_id, size)),
+        c AS (SELECT *, least(15, CAST(floor(middle * 16 / total) AS INTEGER)) AS cut FROM o),
+        m AS (SELECT *, CASE WHEN count(*) OVER p > 1 AND held <= 0.01 * total / 16 AND min(cut) OVER p <> max(cut) OVER p
+              THEN least(15, CAST(floor((min(middle) OVER p + max(middle) OVER p) / 2 * 16 / total) AS INTEGER)) ELSE cut END AS shard FROM c WINDOW p AS (PARTITION BY grp))
+        SELECT doc_id, CAST(size AS BIGINT) AS size, CAST({_CRC32} AS BIGINT) AS text_crc32, 'bytes' AS law, shard, CAST(i - min(i) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM m""",
     "op4_hnsw_near_vectors": """
         WITH RECURSIVE v AS (
             SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -76,6 +77,65 @@ def test_archives(spark):
     assert records.count() == index.count() == 0
 
 
+def test_archives_of_many_runs_and_one_hot_url(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RUN_ROWS", 40)
+    monkeypatch.setattr(warc, "SLICE_ROWS", 20)
+    rng = random.Random(2)
+    ids = list(range(400))
+    rng.shuffle(ids)
+    rows = [(i, "http://hot.org/page" if i % 3 else f"http://h{i % 7}.org/{i % 11}", f"body {i % 90}") for i in ids]
+    records, index = warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
+    ranked = [(r["url_key"], r["capture_ts"], r["page_id"]) for r in index.orderBy("capture_rank").collect()]
+    assert ranked == sorted((warc.url_key(u), i, i) for i, u, _ in rows)
+    got = records.orderBy("capture_rank").collect()
+    assert [(r["url_key"], r["capture_ts"], r["page_id"]) for r in got] == ranked
+    first = {}
+    for i, _, body in sorted(rows):
+        first.setdefault(body, i)
+    assert all((r["record_type"], r["refers_to"]) == (("response", None) if first[f"body {r['page_id'] % 90}"] == r["page_id"] else ("revisit", r["page_id"] % 90)) for r in got)
+
+
+def independent_temperature(tokens, limit):
+    """The largest shares ** a, a on a fine grid, with which no source is repeated more than `limit` times."""
+    total = sum(tokens.values())
+    for a in np.arange(0, 1.00001, 0.0005):
+        raw = {s: (n / total) ** a for s, n in tokens.items() if n}
+        weights = {s: x / sum(raw.values()) for s, x in raw.items()}
+        if max(weights[s] * total / tokens[s] for s in weights) <= limit + 1e-9:
+            return weights
+
+
+def test_mixing_against_a_grid_of_exponents(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join("w" for _ in range(rng.randrange(1, 40))), "en", rng.choices("abcd", [60, 25, 10, 5])[0]) for i in range(1500)]
+    out = mixing.mix_sources(docs_frame(spark, rows), max_repetition=2.5).toPandas()
+    tokens = Counter()
+    for _, t, _, s in rows:
+        tokens[s] += len(t.split())
+    want = independent_temperature(tokens, 2.5)
+    got = out.groupby("source").mix_tokens.sum()
+    total = sum(tokens.values())
+    assert all(abs(got[s] - want[s] * total) <= 0.002 * total + 40 for s in tokens)
+    assert out.groupby(["doc_id", "mix_epoch"]).size().max() == 1  # an epoch holds a text once
+    assert all(got[s] <= 2.5 * tokens[s] + 1 for s in tokens)
+
+
+def brute_base(text):
+    """n_words, places of the base phrases, first and last start, labels."""
+    words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or "").encode())
+    phrases = {"gpl": b"gnu general public license", "apache": b"apache license", "cc-by": b"cc by", "mit": b"mit license"}
+    at = [(i, label) for label, p in phrases.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+    return len(words), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None), ",".join(sorted({x for _, x in at}))
+
+
+def test_base_phrases_against_brute_force(spark, corpus):
+    rng = random.Random(5)
+    parts = ["MIT", "License", "license", "cc", "BY", "apache", "gnu", "general", "public", "é", "x1", "-", "\n", "mit license", "GNU General Public License"]
+    rows = corpus + [(100 + i, rng.choice([" ", "/", ", "]).join(rng.choice(parts) for _ in range(rng.randrange(0, 40))), "en", "a") for i in range(80)]
+    got = sorted((tuple(r) for r in licenses.label_rows(licenses.scan_licenses(docs_frame(spark, rows))).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()), key=str)
+    assert got == sorted(((i, *brute_base(t)) for i, t, _, _ in rows), key=str)
+
+
 def test_mixing(spark, corpus):
     docs = docs_frame(spark, corpus)
     out = mixing.mix_sources(docs, max_repetition=2.0).toPandas()
@@ -122,6 +182,44 @@ def test_near_vectors(spark):
     assert neighbours.near_vectors(vectors(spark, [])).count() == 0
 
 
+def test_near_vectors_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LEAST_SHARD", 100)
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(150, 16))
+    x = np.concatenate([base[rng.integers(0, 150, 500)] + 0.1 * rng.normal(size=(500, 16)), np.repeat(base[:1], 150, axis=0) + 0.02 * rng.normal(size=(150, 16))])
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)]
+    out, audit = neighbours.near_vectors_and_audit(vectors(spark, rows))
+    got = {r["vec_id"]: r for r in out.collect()}
+    unit = neighbours._unit(x.astype(np.float32))
+    link = unit @ unit.T >= 0.95
+    np.fill_diagonal(link, False)
+    comp = np.arange(len(x))
+    for _ in range(60):
+        comp = np.minimum(comp, np.where(link, comp[None], 9999).min(1))
+    found = np.array([got[i]["n_links"] for i in range(len(x))])
+    assert found.sum() >= 0.99 * link.sum() and (found <= link.sum(1)).all() and link.sum() > 1000
+    assert [got[i]["component_id"] for i in range(len(x))] == comp.tolist()
+    row = audit.first()
+    assert row["truths"] > 100 and row["hits"] >= 0.9 * row["truths"]
+
+
+def test_top_k_ties_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATES_A_BLOCK", 50)
+    monkeypatch.setattr(topk, "QUERIES_A_BLOCK", 4)
+    rows = [(i, [0.5, 0.5, float(i % 3) / 4, 0.0]) for i in range(300)]
+    out, pairs = topk.top_k_and_survivors(vectors(spark, rows), F.col("vec_id") % 20 == 0, k=20)
+    got = {}
+    for r in out.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    whole = np.floor(64 * np.array([v for _, v in rows])).astype(int)
+    for q in range(0, 300, 20):
+        score = whole @ whole[q]
+        best = [i for i in np.lexsort((np.arange(300), -score)) if i != q][:20]
+        assert got[q] == [(i, score[i]) for i in best]
+    steps = {r["step"]: r["pairs"] for r in pairs.collect()}
+    assert steps[0] == 15 * 300 and steps[max(steps)] < steps[0]
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.integers(-2, 3, 6) / 8]) for i in range(120)] + [(120, None), (140, [None] * 6), (141, [float("inf")] * 6), (None, [1.0] * 6), (160, [1.0])]
