@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,10 @@ BATCH_TOKENS = 2 << 20
 BLOB_TOKENS = 1 << 19
 CACHED_WORDS = 150_000  #: words whose hashes a Python worker remembers
 TASK_TEXTS = 512  #: texts of small shards that share a task
-SHARD_TEXTS = 1024  #: texts of one shard beyond which it is dealt out in pairs of blocks
+SHARD_TEXTS = 1024  #: texts of one shard beyond which it is taken apart around pivots, then dealt out in pairs of blocks
+PIVOT_TEXTS = 128  #: texts that one task compares with their pivot
+PIVOT_ROUNDS = 4  #: pivots that a large shard is taken apart around; what no pivot parts is dealt out in pairs of blocks
+HOT_TEXTS = 1 << 16  #: counted texts of a token beyond which its bucket is dealt to several tasks
 GROUPS = (32, 64, 128, 256, 512, 1024, 2048, 4096)
 FANOUT = 16
 
@@ -138,16 +142,22 @@ def unpack(blob: bytes) -> np.ndarray:
     return rows
 
 
-def _prefixes(size: int, percent: int, parts: int, shared):
-    """(part, blob) rows. A token that a batch holds very often is passed on once for each different set there, like any other."""
+def _prefixes(size: int, percent: int, parts: int, hot_parts: int, shared):
+    """(part, blob) rows. A token that a batch holds very often is passed on once for each different set there, like any other.
+
+    Parts from `parts` on hold the hot tokens, dealt by set: their buckets have no task of their own.
+    """
 
     def run(batches):
-        last = shared.value
+        last, hot = shared.value
         held, total, sigs = [], 0, set()
 
         def out():
             rows = np.concatenate(held)
             part = (rows["token"] % np.uint64(parts)).astype(np.int32)
+            if len(hot):
+                is_hot = np.isin(rows["token"], hot)
+                part[is_hot] = parts + (rows["hi"][is_hot] % hot_parts).astype(np.int32)
             order = np.argsort(part, kind="stable")
             rows, part = rows[order], part[order]
             first = np.flatnonzero(np.diff(part, prepend=-1))
@@ -183,15 +193,15 @@ def _prefixes(size: int, percent: int, parts: int, shared):
     return run
 
 
-MEMBER = "leader long, hi long"
+MEMBER = "leader long, hi long, token long"
 
 
-def _buckets(percent: int):
+def _buckets(percent: int, parts: int):
     """For each token that different sets share: which sets may link there, under the name of the smallest of them.
 
     Two sets that link do so at their first shared token in the order; there the overlap is no more than the tokens that either set has
     from that place on. A set is left out of a bucket if no other set there passes that and the size bound. Sets go by the first
-    half of their signature.
+    half of their signature. A part from `parts` on holds sets of hot tokens: all of them stay, under the token, which is named later.
     """
 
     def fit(a, b):
@@ -219,6 +229,9 @@ def _buckets(percent: int):
         again = np.zeros(len(rows), bool)  # the same set from another batch
         again[1:] = (rows["token"][1:] == rows["token"][:-1]) & (rows["hi"][1:] == rows["hi"][:-1])
         rows = rows[~again]
+        if table.column("part")[0].as_py() >= parts:
+            tokens = pa.array(rows["token"].view(np.int64))
+            return pa.Table.from_arrays([pa.nulls(len(rows), pa.int64()), pa.array(rows["hi"]), tokens], ["leader", "hi", "token"])
         first = np.flatnonzero(np.concatenate([[True], rows["token"][1:] != rows["token"][:-1]])) if len(rows) else np.zeros(0, int)
         size = np.diff(np.append(first, len(rows)))
         two = first[size == 2]
@@ -234,7 +247,7 @@ def _buckets(percent: int):
             if len(g) > 1:
                 out.append(np.stack([np.full(len(g), g["hi"].min()), g["hi"]], axis=1))
         all_ = np.unique(np.concatenate(out), axis=0)
-        return pa.Table.from_arrays([pa.array(all_[:, k]) for k in range(2)], ["leader", "hi"])
+        return pa.Table.from_arrays([pa.array(all_[:, 0]), pa.array(all_[:, 1]), pa.nulls(len(all_), pa.int64())], ["leader", "hi", "token"])
 
     return run
 
@@ -360,6 +373,73 @@ def _shards(size: int, percent: int):
     return run
 
 
+def _beside_pivots(size: int, percent: int):
+    """For each text of a shard but its pivot: whether it links with the pivot; texts too far from it to link with any that does are left out."""
+
+    def run(table: pa.Table) -> pa.Table:
+        uid, leader, pivot = (table.column(c).to_numpy() for c in ("uid", "leader", "pivot"))
+        texts, sets, out = table.column("text"), {}, []
+        for k in np.flatnonzero(uid == pivot).tolist():
+            sets[int(pivot[k])] = shingle_set(texts[k].as_py(), size)
+        for k in np.flatnonzero(uid != pivot).tolist():
+            a, b = sets[int(pivot[k])], shingle_set(texts[k].as_py(), size)
+            both = shared_count(a, b)
+            union = len(a) + len(b) - both
+            if 100 * both >= (2 * percent - 100) * union:
+                out.append((int(leader[k]), int(uid[k]), int(pivot[k]), 100 * both >= percent * union))
+        cols = list(zip(*out, strict=True)) or [[], [], [], []]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["leader", "uid", "pivot", "linked"])
+
+    return run
+
+
+def _met(ws: Workspace, rows: DataFrame, places: DataFrame) -> DataFrame:
+    """Texts (uid, text) at all their places (uid and further columns). A text goes to its places in one list, which its prefix and the blocks of its largest shard bound."""
+    listed = places.groupBy("uid").agg(F.collect_list(F.struct(*[c for c in places.columns if c != "uid"])).alias("at"))
+    listed = ws.save(listed, "listed")
+    near = passing(rows, "uid", membership_filter(listed, "uid")).dropDuplicates(["uid"])
+    return near.join(listed, "uid").select("uid", "text", F.explode("at").alias("at")).select("uid", "text", "at.*")
+
+
+def _blocks(texts: str, size: int | None = None):
+    return F.ceil(F.col(texts) / (size or SHARD_TEXTS))
+
+
+def _apart(ws: Workspace, rows: DataFrame, members: DataFrame, size: int, percent: int) -> tuple[list, list, DataFrame]:
+    """Take shards of more than SHARD_TEXTS texts apart around pivots: (links, places of what still has to meet, members left).
+
+    Each round, every text of such a shard is compared with one text drawn from it, the pivot. Those that link with it are one component and
+    need no comparison among each other. Jaccard distance is a metric: a text whose distance to the pivot is more than twice a link's can link with none of them.
+    So they only have to meet the texts between, and leave the shard. A group of near copies costs its own size, not the square of it.
+    """
+    links, places = [], []
+    for turn in range(PIVOT_ROUNDS):
+        drawn = F.min_by("uid", F.xxhash64("uid", F.lit(turn))).alias("pivot")
+        pivots = ws.save(members.groupBy("leader").agg(drawn, F.count("*").alias("m")).filter(F.col("m") > SHARD_TEXTS), "pivots")
+        if pivots.limit(1).count() == 0:
+            break
+        inside = members.join(pivots, "leader").filter("uid <> pivot").withColumn("block", F.pmod(F.xxhash64("uid"), _blocks("m", PIVOT_TEXTS)))
+        lead = pivots.withColumn("uid", F.col("pivot")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), _blocks("m", PIVOT_TEXTS) - 1)))
+        to = [*(F.col(c) for c in ("uid", "leader", "pivot")), F.xxhash64("leader", "block").alias("task")]
+        met = _met(ws, rows, inside.select(*to).unionByName(lead.select(*to)))
+        found = met.groupBy("task").applyInArrow(_beside_pivots(size, percent), "leader long, uid long, pivot long, linked boolean")
+        found = ws.save(found, "beside")
+        links.append(found.filter("linked").select(F.col("pivot").alias("u"), F.col("uid").alias("v")))
+        sides = found.groupBy("leader").agg(F.count_if("linked").alias("own"), F.count_if(~F.col("linked")).alias("between"))
+        own, between, spot = _blocks("own"), _blocks("between"), F.xxhash64("uid")
+        meeting = (
+            found.join(sides.filter("own > 0 AND between > 0"), "leader")
+            .withColumn("block", F.when(F.col("linked"), F.pmod(spot, own)).otherwise(own + F.pmod(spot, between)))
+            .withColumn("other", F.explode(F.when(F.col("linked"), F.sequence(own, own + between - 1)).otherwise(F.sequence(F.lit(0).cast("long"), own - 1))))
+            .select(F.xxhash64("leader", F.lit(turn)).alias("leader"), "uid", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
+        )
+        places.append(meeting.withColumn("task", F.xxhash64("leader", "b1", "b2")))
+        gone = found.filter("linked").select("leader", "uid").unionByName(pivots.select("leader", F.col("pivot").alias("uid")))
+        members = ws.save(members.join(gone, ["leader", "uid"], "left_anti"), "left")
+    return links, places, members
+
+
 def jaccard_components(
     docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -368,8 +448,8 @@ def jaccard_components(
     Equal sets are one class. Candidates: every set's prefix in a global order (hash order, with the most frequent tokens last)
     is dealt out by token, in packed blobs of numbers; each token's bucket of two sets or more becomes a member list under its smallest set. The texts of a list meet in one
     shard, where an R-tree over hashed token counts bounds overlaps by summed coordinate minima and surviving pairs are verified on whole sets, unless a link has united them already.
-    Shards of more than SHARD_TEXTS texts are dealt out as pairs of blocks. Nothing is capped: every pair that
-    can link meets in some shard.
+    Shards of more than SHARD_TEXTS texts are first taken apart around pivots, by the triangle inequality; what is left of them is dealt out as pairs of blocks. The bucket of a token
+    of more than HOT_TEXTS texts is dealt to several tasks by set. Nothing is capped: every pair that can link meets in some shard, or is united there by a pivot.
 
     Returns id, n_shingles (set size), component_id (the smallest id reachable by links, itself included). Null, empty and blank texts have no
     shingles and link with nothing. Rows with a null id link too, but carry a hash of their text as component if no id is smaller. Rows that repeat an id must
@@ -382,29 +462,35 @@ def jaccard_components(
     first = ws.save(rows.mapInArrow(_summaries(size), SETS), "sets")
     sets = first.filter("token IS NULL").select("uid", "n", "hi", "lo")
     often = first.filter("token IS NOT NULL").groupBy("token").agg(F.sum("texts").alias("texts"))
-    often = often.orderBy(F.desc("texts"), "token").limit(FREQUENT_TOKENS).select("token").toArrow().column("token").to_numpy()
-    last = spark.sparkContext.broadcast(np.sort(np.array(often, np.int64).view(np.uint64)))
+    often = often.orderBy(F.desc("texts"), "token").limit(FREQUENT_TOKENS).toArrow()
+    tokens, texts = often.column("token").to_numpy().view(np.uint64), often.column("texts").to_numpy()
+    hot = texts > HOT_TEXTS
+    hot_parts = max(shuffle_partitions(spark), int(texts[hot].sum()) // PART_ROWS)
+    shared = spark.sparkContext.broadcast((np.sort(tokens), np.sort(tokens[hot])))
     classes = ws.save(sets.filter("n > 0").groupBy("hi", "lo").agg(F.min("uid").alias("rep"), F.count("*").alias("copies")), "classes")
     total = sets.agg(F.sum("n")).first()[0] or 0
     parts = max(shuffle_partitions(spark), total * (100 - percent) // 100 // PART_ROWS)
-    blobs = rows.mapInArrow(_prefixes(size, percent, parts, last), BLOB)
-    members = ws.save(blobs.groupBy("part").applyInArrow(_buckets(percent), MEMBER).distinct(), "members")
+    blobs = rows.mapInArrow(_prefixes(size, percent, parts, hot_parts, shared), BLOB)
+    members = ws.save(blobs.groupBy("part").applyInArrow(_buckets(percent, parts), MEMBER).distinct(), "members")
+    if hot.any():  # FREQUENT_TOKENS rows at most
+        named = members.filter("token IS NOT NULL").groupBy("token").agg(F.min("hi").alias("least"))
+        members = members.join(F.broadcast(named), "token", "left").withColumn("leader", F.coalesce("leader", "least"))
     members = ws.save(members.join(classes.select("hi", F.col("rep").alias("uid")), "hi").select("leader", "uid").distinct(), "named")
+    links, places, members = _apart(ws, rows, members, size, percent)
     counts = ws.save(members.groupBy("leader").agg(F.count("*").alias("m")), "counts")
     tasks = members.count() // TASK_TEXTS + 1
     placed = (
         members.join(counts, "leader")
-        .withColumn("blocks", F.ceil(F.col("m") / SHARD_TEXTS))
+        .withColumn("blocks", _blocks("m"))
         .withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .select("leader", "blocks", "uid", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
         .withColumn("task", F.when(F.col("blocks") > 1, F.xxhash64("leader", "b1", "b2")).otherwise(F.pmod(F.xxhash64("leader"), F.lit(tasks))))
+        .drop("blocks")
     )
-    listed = placed.groupBy("uid").agg(F.collect_list(F.struct("task", "leader", "block", "b1", "b2")).alias("at"))
-    listed = ws.save(listed, "listed")  # a text's lists are bounded by its own prefix, and by the blocks of its largest shard
-    near = passing(rows, "uid", membership_filter(listed, "uid")).dropDuplicates(["uid"])
-    dealt = near.join(listed, "uid").select("uid", "text", F.explode("at").alias("at")).select("uid", "text", "at.*")
-    edges = ws.save(dealt.groupBy("task").applyInArrow(_shards(size, percent), "u long, v long").distinct(), "links")
+    dealt = _met(ws, rows, reduce(DataFrame.unionByName, places, placed))
+    links.append(dealt.groupBy("task").applyInArrow(_shards(size, percent), "u long, v long"))
+    edges = ws.save(reduce(DataFrame.unionByName, links).distinct(), "links")
     united = connected_components(ws, edges)
     classes = classes.join(united, classes["rep"] == united["node"], "left").select("hi", "lo", F.coalesce("component", "rep").alias("component"))
     classes = ws.save(classes, "components")

@@ -274,6 +274,30 @@ def test_jaccard(spark, corpus, monkeypatch, shard):
         assert shingles.jaccard_components(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1 << 16, 3])
+def test_jaccard_of_large_drifting_groups(spark, monkeypatch, hot):
+    """Groups whose texts drift apart step by step: some link with a pivot, some only with texts that do, some through chains alone."""
+    monkeypatch.setattr(shingles, "SHARD_TEXTS", 4)
+    monkeypatch.setattr(shingles, "HOT_TEXTS", hot)
+    rng = np.random.default_rng(8)
+    rows, i = [], 0
+    shared = [f"s{k}" for k in range(60)]
+    for group in range(3):
+        words = shared + [f"g{group}w{k}" for k in range(60)]
+        for step in range(25):
+            i += 1
+            rows.append((i, " ".join(words), "en", "a"))
+            at = int(rng.integers(0, len(words)))
+            words[at : at + 1] = [f"g{group}n{step}"] * (1 + step % 2)
+            if step % 9 == 8:  # a jump: beyond a link, near enough to matter to the pivot's bound
+                words[40:52] = [f"g{group}j{step}x{k}" for k in range(12)]
+    rows += [(i + k, " ".join(shared[k:]), "en", "b") for k in range(1, 30)]
+    out = shingles.jaccard_components(docs_frame(spark, rows)).collect()
+    truth = brute_components(rows)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == truth
+    assert 1 < len({c for _, c in truth.values()}) < len(rows)
+
+
 def brute_repeats(corpus, length):
     seen = Counter()
     for _, t, _, _ in corpus:
