@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.bestfit import pack_best_fit
 from quarry.llm.language import identify_languages
 from quarry.llm.licenses import label_rows, scan_licenses
 from quarry.llm.mixing import mix_sources
@@ -20,16 +21,17 @@ from quarry.llm.topk import exact_top_k
 from quarry.llm.warc import archive_pages
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
+WORD_TOKENIZER_FILE = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(file: str = TOKENIZER_FILE) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER_FILE)
+    return public_tokenizers.path(file)
 
 
 def op1_warc_capture_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +81,11 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digests(_table(spark, sf_dir, "documents"), length=400, keep="none")
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_best_fit(_table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER_FILE), capacity=2048, end_id=0)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 _QUERIES = (
     op1_warc_capture_archive,
     op2_byte_balanced_shards,
@@ -90,6 +97,7 @@ _QUERIES = (
     op8_segment_top_k,
     op9_kneser_ney_language,
     op10_suffix_repeats,
+    op12_best_fit_packing,
 )
 
 _BASE32 = " || ".join(
