@@ -26,13 +26,13 @@ def bound_workers(spark: SparkSession) -> None:
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession):
-    """ARROW_ROWS rows a batch inside the block, where the session has no smaller number; the session's own setting comes back."""
+def small_batches(spark: SparkSession, rows: int = int(ARROW_ROWS)):
+    """`rows` rows a batch inside the block, where the session has no smaller number; the session's own setting comes back."""
     own = spark.conf.get(ARROW_SETTING)
-    if 0 < int(own) <= int(ARROW_ROWS):
+    if 0 < int(own) <= rows:
         yield
         return
-    spark.conf.set(ARROW_SETTING, ARROW_ROWS)
+    spark.conf.set(ARROW_SETTING, str(rows))
     try:
         yield
     finally:

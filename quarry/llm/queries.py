@@ -12,8 +12,10 @@ from quarry.llm.bestfit import pack_best_fit
 from quarry.llm.language import identify_languages
 from quarry.llm.licenses import label_rows, scan_licenses
 from quarry.llm.mixing import mix_sources
+from quarry.llm.negatives import mine_hard_negatives
 from quarry.llm.neighbours import near_vectors
 from quarry.llm.packing import pack_along_curve
+from quarry.llm.repair import damage, digests_of_all
 from quarry.llm.repeats import repeat_digests
 from quarry.llm.sharding import shard_by_bytes
 from quarry.llm.shingles import jaccard_components
@@ -81,11 +83,21 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digests(_table(spark, sf_dir, "documents"), length=400, keep="none")
 
 
+def op11_ball_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label, positives=5, negatives=5, low=80, high=100, scale=256)
+
+
 def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_best_fit(_table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER_FILE), capacity=2048, end_id=0)
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return digests_of_all(damage(turns), turns)
+
+
 _QUERIES = (
     op1_warc_capture_archive,
     op2_byte_balanced_shards,
@@ -97,7 +109,9 @@ _QUERIES = (
     op8_segment_top_k,
     op9_kneser_ney_language,
     op10_suffix_repeats,
+    op11_ball_tree_negatives,
     op12_best_fit_packing,
+    op13_conversation_repair,
 )
 
 _BASE32 = " || ".join(
@@ -172,6 +186,51 @@ _SQL = {
             FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.w) = len(c.w) WHERE q.vec_id % 20 = 0),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op11_ball_tree_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS l, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS w FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.l = b.l AS same, CAST(list_inner_product(a.w, b.w) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.w) = len(b.w) WHERE a.vec_id % 100 = 0),
+        p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+        n AS (SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+              FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+        SELECT * FROM n WHERE rank <= 5""",
+    "op13_conversation_repair": f"""
+        WITH RECURSIVE h AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   regexp_extract_all(hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))), '..') AS hex FROM conversations),
+        c AS (SELECT *, CAST({_CRC32} AS BIGINT) % 20 AS fault FROM h),
+        m AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+                     CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy FROM c WHERE fault <> 0),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(role || ':' || text), copy) AS i FROM m),
+        f AS (SELECT conv_id, turn, i, role, text, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+                     CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                          WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM o),
+        p AS (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000000 WHEN fault = 'truncated' THEN 5 ELSE 0 END AS stay,
+                     CASE WHEN initial = 'u' THEN 0 ELSE 1 END AS as_u, CASE WHEN initial = 'a' THEN 0 ELSE 1 END AS as_a, CASE WHEN initial = 's' THEN 0 ELSE 1000000000 END AS as_s FROM f),
+        d(conv_id, i, t, s, u, a) AS (
+            SELECT DISTINCT conv_id, CAST(0 AS BIGINT), {{'c': CAST(0 AS BIGINT), 'l': ''}}, {{'c': CAST(1000000000 AS BIGINT), 'l': ''}}, {{'c': CAST(1000000000 AS BIGINT), 'l': ''}}, {{'c': CAST(1000000000 AS BIGINT), 'l': ''}} FROM f
+            UNION ALL
+            SELECT p.conv_id, p.i, {{'c': t.c + 2, 'l': t.l || 'D'}},
+                   list_sort([{{'c': s.c + 2, 'l': s.l || 'D'}}, {{'c': t.c + stay + as_s, 'l': t.l || 'K'}}])[1],
+                   list_sort([{{'c': u.c + 2, 'l': u.l || 'D'}}, {{'c': t.c + stay + as_u, 'l': t.l || ['K', 'R'][as_u + 1]}}, {{'c': s.c + stay + as_u, 'l': s.l || ['K', 'R'][as_u + 1]}},
+                              {{'c': u.c + 5 + stay + as_u, 'l': u.l || 'I' || ['K', 'R'][as_u + 1]}}, {{'c': a.c + stay + as_u, 'l': a.l || ['K', 'R'][as_u + 1]}}])[1],
+                   list_sort([{{'c': a.c + 2, 'l': a.l || 'D'}}, {{'c': t.c + 5 + stay + as_a, 'l': t.l || 'I' || ['K', 'R'][as_a + 1]}}, {{'c': s.c + 5 + stay + as_a, 'l': s.l || 'I' || ['K', 'R'][as_a + 1]}},
+                              {{'c': u.c + stay + as_a, 'l': u.l || ['K', 'R'][as_a + 1]}}, {{'c': a.c + 5 + stay + as_a, 'l': a.l || 'I' || ['K', 'R'][as_a + 1]}}])[1]
+            FROM d JOIN p ON p.conv_id IS NOT DISTINCT FROM d.conv_id AND p.i = d.i + 1),
+        e AS (SELECT conv_id, list_sort([t, {{'c': s.c + 10, 'l': s.l || 'II'}}, {{'c': u.c + 5, 'l': u.l || 'I'}}, a])[1] AS best FROM d QUALIFY i = max(i) OVER (PARTITION BY conv_id)),
+        k AS (SELECT conv_id, best.c AS cost, best.l AS audit, unnest(range(1, len(best.l) + 1)) AS pos FROM e),
+        l AS (SELECT *, substr(audit, pos, 1) AS letter, len(replace(left(audit, pos), 'I', '')) AS i, len(replace(left(audit, pos), 'D', '')) - len(replace(audit, 'D', '')) % 2 AS place FROM k),
+        r AS (SELECT l.conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN place % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY pos) AS repaired
+              FROM l JOIN f ON f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.i = greatest(l.i, 1) WHERE letter <> 'D' GROUP BY l.conv_id),
+        g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                     count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+        SELECT q.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               coalesce(best.c, 0) AS cost, coalesce(best.l, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) q LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM q.conv_id
+        LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM q.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM q.conv_id""",
 }
 
 

@@ -35,14 +35,21 @@ def segment_statistics(x: np.ndarray, segments: int) -> np.ndarray:
     )
 
 
-def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """All inner products of two blocks of whole numbers, exactly: by a float product where every partial sum is a whole number that the float holds."""
+LOWEST, HIGHEST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+FAR = 1 << 62  #: larger scaled components count as this
+
+
+def exact_scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """All inner products of two blocks of whole numbers, exactly: by a float product where every partial sum is a whole number that the float holds. Those beyond a long count as its ends."""
     most = int(np.abs(q).max(initial=0)) * int(np.abs(c).max(initial=0)) * q.shape[1]
     if most < 1 << 24:
-        return q.astype(np.float32) @ c.astype(np.float32).T
+        return (q.astype(np.float32) @ c.astype(np.float32).T).astype(np.int64)
     if most < 1 << 53:
-        return q.astype(np.float64) @ c.astype(np.float64).T
-    return np.einsum("id,jd->ij", q, c)
+        return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
+    if most < 1 << 63:
+        return np.einsum("id,jd->ij", q.astype(np.int64), c.astype(np.int64))
+    exact = q.astype(np.int64).astype(object) @ c.astype(np.int64).astype(object).T
+    return np.minimum(np.maximum(exact, LOWEST), HIGHEST).astype(np.int64)
 
 
 def tree_order(x: np.ndarray) -> np.ndarray:
@@ -96,7 +103,7 @@ def block_top_k(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarr
 
 def _kth_best(scores: np.ndarray, k: int) -> np.ndarray:
     n = scores.shape[1]
-    return np.partition(scores, n - k, axis=1)[:, n - k] if n >= k else np.full(len(scores), -np.inf)
+    return np.partition(scores, n - k, axis=1)[:, n - k] if n >= k else np.full(len(scores), LOWEST)
 
 
 def _some_top_k(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, tree: Candidates, k: int, counts: np.ndarray):
@@ -109,8 +116,12 @@ def _some_top_k(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, tree: Candi
     tried = min(len(sizes), -(-(k + 1) // GROUP) + 1)
     picks = np.argsort(-coarse, axis=1, kind="stable")[:, :tried]
     near = np.minimum((tree.starts[picks][:, :, None] + np.arange(GROUP)).reshape(len(q), -1), tree.n)
-    first = np.einsum("qd,qcd->qc", qf, tree.x[np.minimum(near, tree.n - 1)].astype(np.float64))
-    first[(near == tree.n) | (c_ids[np.minimum(near, tree.n - 1)] == q_ids[:, None])] = -np.inf
+    tried = tree.x[np.minimum(near, tree.n - 1)]
+    if int(np.abs(q).max(initial=0)) * int(np.abs(tree.x).max(initial=0)) * q.shape[1] < 1 << 53:
+        first = np.einsum("qd,qcd->qc", qf, tried.astype(np.float64)).astype(np.int64)
+    else:
+        first = np.concatenate([exact_scores(q[i : i + 1], x) for i, x in enumerate(tried)])
+    first[(near == tree.n) | (c_ids[np.minimum(near, tree.n - 1)] == q_ids[:, None])] = LOWEST
     floor = _kth_best(first, k)
     # Groups, coarse to fine.
     alive = np.ones(coarse.shape, bool)
@@ -120,7 +131,7 @@ def _some_top_k(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, tree: Candi
         alive &= bound >= (floor - slack)[:, None]
         counts[1 + level] += int((alive * sizes).sum())
     # Rows of the groups that are left, the most promising groups first.
-    best, found = np.full((len(q), k), -np.inf), []
+    best, found = np.full((len(q), k), LOWEST), []
     for g in np.argsort(-np.where(alive, coarse, -np.inf).max(0), kind="stable").tolist():
         rows = np.flatnonzero(alive[:, g])
         cols = np.arange(tree.starts[g], tree.starts[g] + sizes[g])
@@ -134,20 +145,20 @@ def _some_top_k(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, tree: Candi
             rows, cols, live = rows[r], cols[c], live[r][:, c]
         if not live.size:
             continue
-        exact = _products(q[rows], tree.x[cols]).astype(np.float64)
+        exact = exact_scores(q[rows], tree.x[cols])
         live &= (exact >= floor[rows, None]) & (q_ids[rows][:, None] != c_ids[cols][None])
         r, c = np.nonzero(live)
         found.append((rows[r], cols[c], exact[r, c]))
         if len(r):
-            both = np.concatenate([best[rows], np.where(live, exact, -np.inf)], axis=1)
+            both = np.concatenate([best[rows], np.where(live, exact, LOWEST)], axis=1)
             best[rows] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
             floor = np.maximum(floor, best.min(axis=1))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     rows, cols, score = (np.concatenate(x) for x in zip(*found, strict=True))
     keep = score >= floor[rows]
-    rows, cols, score = rows[keep], cols[keep], score[keep].astype(np.int64)
-    order = np.lexsort((c_ids[cols], -score, rows))
+    rows, cols, score = rows[keep], cols[keep], score[keep]
+    order = np.lexsort((c_ids[cols], ~score, rows))
     rows, cols, score = rows[order], cols[order], score[order]
     first_k = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
     return rows[first_k], cols[first_k], score[first_k]
@@ -157,7 +168,7 @@ def _pack(scale: int):
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
         x = np.array(table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64)
-        whole = np.floor(scale * x).astype("<i8").reshape(len(ids), -1)
+        whole = np.clip(np.floor(scale * x), -FAR, FAR).astype("<i8").reshape(len(ids), -1)
         order = tree_order(whole)
         ids, whole = ids[order], whole[order]
         small = np.abs(whole).max(initial=0) < 1 << 15
@@ -196,7 +207,7 @@ def exact_top_k(
     best exact score so far; exact scores of the survivors give the block's best k, and a window the best k of all.
 
     Vectors that are null, empty, or hold null or non-finite components take no part; nor do rows with a null id. Vectors are compared
-    with those of equal length only. Rows with the query's own id are not its candidates. Ties go to smaller ids. No query or no
+    with those of equal length only. Rows with the query's own id are not its candidates. Ties go to smaller ids. Scaled components beyond 2**62 count as 2**62, scores beyond a long as its ends. No query or no
     candidate gives no rows; columns other than id and vector are ignored. Returns query_id, rank (from 1), id, score.
     """
     return top_k_and_survivors(vectors, is_query, k, scale, id_col, vec_col)[0]
