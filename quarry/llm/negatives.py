@@ -16,7 +16,7 @@ from quarry.llm.topk import FAR, HIGHEST, LOWEST, exact_scores, usable
 LEAF = 64  #: rows of a tree's leaf
 BLOCK_BYTES, TREE_BYTES = 1 << 18, 16 << 20  #: of a packed block and of the blocks of one tree
 QUERIES_A_BLOCK, LEAST_TREE_ROWS = 256, 4096
-LEAVES_AT_ONCE = 16
+LEAVES_AT_ONCE = 8
 
 
 class BallTree:
@@ -70,7 +70,7 @@ class BallTree:
             some = alive.any(0)
             leaf = spans[cols, 1] - spans[cols, 0] <= LEAF
             for k in np.flatnonzero(some & leaf).tolist():
-                found.append((*spans[cols[k]].tolist(), upper[:, k], lower[:, k], alive[:, k]))
+                found.append((*spans[cols[k]].tolist(), upper[:, k], lower[:, k], alive[:, k].copy()))
             inner = np.flatnonzero(some & ~leaf)
             if not len(inner):
                 break
@@ -85,21 +85,16 @@ def search(tree: BallTree, ids: np.ndarray, labels: np.ndarray, q: np.ndarray, l
     """(query, window, row id, score) of the k best rows of the same label, or of other labels, in each of a query's windows of scores; ties to smaller ids. Also the pairs in leaves that were opened.
 
     low and high: queries x windows, both included. A node goes for a query when its upper bound is under all windows' lower ends or strictly beneath the scores to beat there, or its lower bound over all
-    upper ends. Leaves are opened the most promising first, a few at a time, so that later ones meet scores that are harder to beat.
+    upper ends. Each query's most promising leaf is opened first, so that the others meet scores to beat; then the rest, the most promising first and a few at a time.
     """
     n, windows = low.shape
     beat, beat_id = low.copy(), np.full(low.shape, HIGHEST)  # the k-th best so far, or what the window asks
     best: list[np.ndarray] = [np.zeros(0, np.int64)] * 3  # query * windows + window, id, score
     opened = 0
-    left = tree.leaves(q.astype(np.float64), labels, low.min(1).astype(np.float64), high.max(1).astype(np.float64), same)
-    left.sort(key=lambda leaf: -float(leaf[2][leaf[4]].max()))
-    at, size = 0, 1
-    while at < len(left):
-        some, at, size = left[at : at + size], at + size, min(2 * size, LEAVES_AT_ONCE)
-        open_to = [leaf[4] & ((leaf[2][:, None] >= beat) & (leaf[3][:, None] <= high) & (low <= high)).any(1) for leaf in some]
-        some, open_to = [s for s, o in zip(some, open_to, strict=True) if o.any()], [o for o in open_to if o.any()]
-        if not some:
-            continue
+
+    def look(some: list, open_to: list[np.ndarray]) -> None:
+        """Meet the rows of some leaves with the queries that each is open to."""
+        nonlocal best, opened
         rows = np.flatnonzero(np.any(open_to, axis=0))
         cols = np.concatenate([np.arange(leaf[0], leaf[1]) for leaf in some])
         mask = np.repeat(np.stack(open_to, 1)[rows], [leaf[1] - leaf[0] for leaf in some], axis=1)
@@ -121,6 +116,23 @@ def search(tree: BallTree, ids: np.ndarray, labels: np.ndarray, q: np.ndarray, l
             last = place == k - 1
             beat[own[0][last] // windows, w], beat_id[own[0][last] // windows, w] = own[2][last], own[1][last]
             best = [np.concatenate([b[~touched], o[place < k]]) for b, o in zip(best, own, strict=True)]
+
+    left = tree.leaves(q.astype(np.float64), labels, low.min(1).astype(np.float64), high.max(1).astype(np.float64), same)
+    if left:
+        first = np.argmax(np.stack([np.where(leaf[4], leaf[2], -np.inf) for leaf in left]), axis=0)
+        for at in np.unique(first).tolist():
+            own = left[at][4] & (first == at)
+            if own.any():
+                look([left[at]], [own])
+                left[at][4][own] = False
+    left = [leaf for leaf in left if leaf[4].any()]
+    left.sort(key=lambda leaf: -float(leaf[2][leaf[4]].max()))
+    for at in range(0, len(left), LEAVES_AT_ONCE):
+        some = left[at : at + LEAVES_AT_ONCE]
+        open_to = [leaf[4] & ((leaf[2][:, None] >= beat) & (leaf[3][:, None] <= high) & (low <= high)).any(1) for leaf in some]
+        some, open_to = [s for s, o in zip(some, open_to, strict=True) if o.any()], [o for o in open_to if o.any()]
+        if some:
+            look(some, open_to)
     return best[0] // windows, best[0] % windows, best[1], best[2], opened
 
 
