@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,17 +92,15 @@ def failure_taxonomy(truth: DataFrame, judged: DataFrame, metrics: DataFrame) ->
     return rows.select("query_id", kind.alias("failure"), (kind != "NONE").alias("is_failure"))
 
 
-def tuning_candidates(configs: DataFrame, pairs: DataFrame, passes_filter: Column) -> DataFrame:
-    """The rows that each configuration reads: (config_id, query_id, id, score, r, alive, and the other columns of `pairs`).
+def tuning_candidates(configs: DataFrame, ranking: Callable[[int, bool], DataFrame]) -> DataFrame:
+    """The rows that each configuration reads: (config_id, query_id, id, score, r, alive, and the other columns of the rankings).
 
-    configs: config_id, k, score_threshold, apply_filter (few rows: the largest k is read first, so that no ranking is deeper). Ranks don't depend on the
-    threshold: they are taken once with and once without the filter.
+    configs: config_id, k, score_threshold, apply_filter (few rows: the largest k is read first, so that no ranking is deeper). ranking(k, filtered) gives the k best rows of each
+    query: ranks don't depend on the threshold and are taken once with and once without the filter.
     """
-    deepest = configs.agg(F.max("k")).first()[0] or 0
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("id"))
-    ranked = lambda rows, flag: rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= deepest).withColumn("filtered", F.lit(flag))
-    both = ranked(pairs, False).unionByName(ranked(pairs.filter(passes_filter), True))
-    deep = both.join(F.broadcast(configs), (F.col("filtered") == F.col("apply_filter")) & (F.col("r") <= F.col("k")))
+    deepest = configs.agg(F.max("k")).first()[0] or 1
+    read = lambda flag: ranking(deepest, flag).withColumnRenamed("rank", "r").withColumn("filtered", F.lit(flag))
+    deep = read(False).unionByName(read(True)).join(F.broadcast(configs), (F.col("filtered") == F.col("apply_filter")) & (F.col("r") <= F.col("k")))
     return deep.withColumn("alive", F.col("score") >= F.col("score_threshold")).drop("filtered", "apply_filter", "k", "score_threshold")
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from quarry.functions import vectors as V
 from quarry.functions.lexical import keyword_parts
 from quarry.functions.rerank import cross_parts
+from quarry.operators.ranking import all_pairs as similarity_matrix  # noqa: F401
+from quarry.operators.ranking import best_rows
 
 BROADCAST_QUERIES = 4096  #: queries that are broadcast at a time
 
@@ -54,18 +56,9 @@ def scored_pairs(queries: DataFrame, corpus: DataFrame, metric: str = "cosine",
     return pairs.withColumn("score", score).filter("score IS NOT NULL").drop("query_vec", "query_norm", "vec", "vec_norm")
 
 
-def ranked(pairs: DataFrame, k: int | None = None, bottom: bool = False) -> DataFrame:
-    """Rank each query's rows by score, ties to smaller ids; keep the first k."""
-    order = [F.col("score") if bottom else F.desc("score"), F.col("id")]
-    out = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
-    return out if k is None else out.filter(F.col("rank") <= k)
-
-
-def top_k(queries: DataFrame, corpus: DataFrame, k: int = 3, where: Column | None = None, metric: str = "cosine", skip_own: bool = False) -> DataFrame:
-    """The k best rows of each query; `where` is applied before ranking, so it reaches the scan. An empty corpus gives no rows."""
-    if k <= 0:
-        raise ValueError("k is 1 at least")
-    return ranked(scored_pairs(queries, corpus if where is None else corpus.filter(where), metric, skip_own), k)
+def top_k(queries: DataFrame, corpus: DataFrame, k: int = 3, where: Column | None = None, metric: str = "cosine", skip_own: bool = False, **more) -> DataFrame:
+    """The k best rows of each query (best_rows); `where` is applied before ranking, so it reaches the scan. An empty corpus gives no rows."""
+    return best_rows(queries, corpus if where is None else corpus.filter(where), k, metric, skip_own, **more)
 
 
 def gate(hits: DataFrame, min_score: float) -> DataFrame:
@@ -152,21 +145,6 @@ def rerank(candidates: DataFrame, k: int = 3) -> DataFrame:
     return out.withColumn("status", status).filter(F.col("final_rank") <= k)
 
 
-def similarity_matrix(samples: DataFrame) -> DataFrame:
-    """(a, b, similarity) of all ordered pairs of a sample, the diagonal included; each unordered pair is computed once.
-
-    One side is broadcast in blocks. The output has the square of the sample's rows.
-    """
-    s = samples.select("id", V.doubles("vec").alias("vec")).withColumn("norm", V.norm(F.col("vec")))
-    half, left = None, once_a_row(s)
-    for block in blocks_of(s, "id"):
-        part = left.alias("x").join(F.broadcast(block).alias("y"), F.col("x.id") < F.col("y.id"))
-        part = part.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), V.cosine(F.col("x.vec"), F.col("y.vec"), F.col("x.norm"), F.col("y.norm")).alias("similarity"))
-        half = part if half is None else half.unionByName(part)
-    mirror = half.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")
-    return half.unionByName(mirror).unionByName(s.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
-
-
 def dimension_report(vectors: DataFrame, vec_col: str = "vec") -> DataFrame:
     """Rows, smallest and largest dimension, whether they agree, and the common dimension (-1 if mixed)."""
     return vectors.agg(

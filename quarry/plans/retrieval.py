@@ -42,10 +42,6 @@ def _top(k: int, **kw):
     return lambda spark, d: R.top_k(asks(spark, d).drop("query_label"), corpus(spark, d), k, skip_own=True, **kw)
 
 
-def _pairs(spark, d) -> DataFrame:
-    return R.scored_pairs(asks(spark, d).drop("query_label"), corpus(spark, d), skip_own=True)
-
-
 @query(f"WITH {_V} SELECT query_id, rank, id, round(score, 6) AS score, round(1 - score, 6) AS distance FROM r WHERE rank <= 5")
 def topk_cosine(spark, d):
     hits = _top(5)(spark, d)
@@ -73,9 +69,8 @@ def topk_dot(spark, d):
 SELECT 'top' AS side, query_id, rank, id, round(score, 4) AS score FROM r WHERE rank <= 3
 UNION ALL SELECT 'bottom', query_id, br, id, round(score, 4) FROM b WHERE br <= 3""")
 def top_bottom_k(spark, d):
-    pairs = _pairs(spark, d)
-    best = R.ranked(pairs, 3).withColumn("side", F.lit("top"))
-    worst = R.ranked(pairs, 3, bottom=True).withColumn("side", F.lit("bottom"))
+    best = _top(3)(spark, d).withColumn("side", F.lit("top"))
+    worst = _top(3, bottom=True)(spark, d).withColumn("side", F.lit("bottom"))
     return rounded(best.unionByName(worst).select("side", "query_id", "rank", "id", "score"), "score", n=4)
 
 
@@ -120,9 +115,8 @@ SELECT a.query_id, coalesce(n, 0) AS eliminated, round(pp, 6) AS plain_precision
 round(CASE WHEN pp = 0 THEN CASE WHEN coalesce(fp, 0) > 0 THEN 100.0 ELSE 0.0 END ELSE (coalesce(fp, 0) - pp) / pp * 100 END, 4) AS gain_pct
 FROM a LEFT JOIN b USING (query_id) LEFT JOIN g USING (query_id)""")
 def filtered_vs_unfiltered(spark, d):
-    pairs = R.scored_pairs(asks(spark, d), corpus(spark, d), skip_own=True, carry=("query_label",))
-    good = F.col("label") == F.col("query_label")
-    out = R.filter_effect(R.ranked(pairs, 5), R.ranked(pairs.filter(good), 5), good)
+    hits = lambda **more: R.top_k(asks(spark, d), corpus(spark, d), 5, skip_own=True, carry=("query_label",), **more)
+    out = R.filter_effect(hits(), hits(match=("query_label", "label")), F.col("label") == F.col("query_label"))
     return rounded(rounded(out, "plain_precision", "filtered_precision"), "gain_pct", n=4)
 
 
@@ -251,9 +245,9 @@ su AS (SELECT *, 0.35 * mrr + 0.30 * top1_rate + 0.25 * "precision" + 0.10 * hit
 def _grid(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("source_document"))
     there = corpus(spark, d).join(docs.select("id"), "id", "left_semi")
-    pairs = R.scored_pairs(asks(spark, d), there, skip_own=True, carry=("query_label",))
+    ranking = lambda k, filtered: R.top_k(asks(spark, d), there, k, skip_own=True, carry=("query_label",), match=("query_label", "label") if filtered else None)
     configs = spark.createDataFrame(_CONFIGS, "config_id int, k int, score_threshold double, apply_filter boolean")
-    deep = E.tuning_candidates(configs, pairs, F.col("label") == F.col("query_label"))
+    deep = E.tuning_candidates(configs, ranking)
     deep = acceptable(deep.join(docs, "id"), spark, d)
     good = F.coalesce(F.col("label") == F.col("query_label"), F.lit(False)) | F.col("own_source")
     return E.tuning_grid(configs, asks(spark, d).select("query_id"), deep.withColumn("good", good))
