@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +40,15 @@ def _starts(n: Column, size: int, overlap: int) -> Column:
     return F.when(n == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), last, F.lit(step)))
 
 
+def unnested(rows: DataFrame, pieces: str, at: str, piece: str, *keep: Column | str) -> DataFrame:
+    """A row for each element of an array, with its place; none for null and empty arrays.
+
+    Of posexplode Spark infers that the array isn't empty and repeats the expression that makes it in a filter below, so that a text is cut twice, or once for every reference in it. The outer form has
+    no such filter, and the one on the place can't move below it.
+    """
+    return rows.select(*keep, F.posexplode_outer(pieces).alias(at, piece)).filter(F.col(at).isNotNull())
+
+
 def _named(chunks: DataFrame, doc_col: str, suffix: str) -> DataFrame:
     return chunks.withColumn(
         "chunk_id", F.format_string(f"%s_{suffix}_%03d", F.regexp_replace(F.col(doc_col).cast("string"), r"\.", "_"), F.col("chunk_index"))
@@ -55,7 +65,7 @@ def word_windows(docs: DataFrame, size: int = 300, overlap: int = 50, doc_col: s
     check_window(size, overlap)
     rows = docs.select(F.col(doc_col), F.size(words(F.coalesce(F.col(text_col), F.lit("")))).alias("n"))
     rows = rows.withColumn("pieces", _starts(F.col("n"), size, overlap))
-    out = rows.select(doc_col, "n", F.size("pieces").alias("total_chunks"), F.posexplode("pieces").alias("chunk_index", "token_start"))
+    out = unnested(rows, "pieces", "chunk_index", "token_start", doc_col, "n", F.size("pieces").alias("total_chunks"))
     out = out.withColumn("token_end", F.least(F.col("token_start") + size, F.col("n"))).withColumn("token_count", F.col("token_end") - F.col("token_start"))
     return _named(out.drop("n"), doc_col, "tokenaware")
 
@@ -72,7 +82,7 @@ def chunk_words(docs: DataFrame, size: int = 300, overlap: int = 50, doc_col: st
         return F.struct(s.alias("s"), F.least(s + size, F.size("w")).alias("e"), F.array_join(F.slice("w", s + 1, F.lit(size)), " ").alias("c"))
 
     rows = rows.select(doc_col, F.transform(_starts(F.size("w"), size, overlap), window).alias("pieces"))
-    out = rows.select(doc_col, F.size("pieces").alias("total_chunks"), F.posexplode("pieces").alias("chunk_index", "p"))
+    out = unnested(rows, "pieces", "chunk_index", "p", doc_col, F.size("pieces").alias("total_chunks"))
     out = out.select(doc_col, "total_chunks", "chunk_index", F.col("p.s").alias("token_start"), F.col("p.e").alias("token_end"), (F.col("p.e") - F.col("p.s")).alias("token_count"), F.col("p.c").alias("content"))
     out = _named(out, doc_col, strategy)
     return out.select(doc_col, "chunk_id", "chunk_index", "total_chunks", "token_start", "token_end", "token_count", "content", "strategy")
@@ -95,7 +105,7 @@ def chunk_chars(docs: DataFrame, size: int = 300, overlap: int = 60, doc_col: st
         lambda s: F.struct(s.alias("s"), F.trim(F.col("t").substr(s + 1, F.lit(size))).alias("c")),
     )
     rows = rows.withColumn("pieces", F.filter(pieces, lambda p: p["c"] != ""))
-    out = rows.select(doc_col, F.length("t").alias("n"), F.size("pieces").alias("total_chunks"), F.posexplode("pieces").alias("chunk_index", "p"))
+    out = unnested(rows, "pieces", "chunk_index", "p", doc_col, F.length("t").alias("n"), F.size("pieces").alias("total_chunks"))
     out = out.select(
         doc_col, "total_chunks", "chunk_index", F.col("p.s").alias("char_start"),
         F.least(F.col("p.s") + size, F.col("n")).alias("char_end"), F.col("p.c").alias("content"),
@@ -121,7 +131,7 @@ def _packed(pieces: Column, most: int, glue: str) -> Column:
 
 def _explode(docs: DataFrame, doc_col: str, pieces: Column, suffix: str) -> DataFrame:
     rows = docs.select(F.col(doc_col), pieces.alias("pieces"))
-    out = rows.select(doc_col, "pieces", F.posexplode("pieces").alias("chunk_index", "content"))
+    out = unnested(rows, "pieces", "chunk_index", "content", doc_col, "pieces")
     return _finish(out.withColumn("token_count", estimated_tokens(F.col("content"))), doc_col, suffix).drop("pieces")
 
 
@@ -278,14 +288,54 @@ def window_budget(window: Column, size: Column, overlap: Column, k: Column) -> C
     )
 
 
-def overlaps(chunks: DataFrame, doc_col: str = "doc_id") -> DataFrame:
-    """For each chunk and the next of its document: tokens shared by their windows, and whether the texts share them."""
+def longest_border(head: list[str], tail: list[str]) -> int:
+    """Length of the longest beginning of `head` that is an end of `tail`, by the prefix function of the two put together."""
+    joined = [*head, None, *tail]  # no token equals the one between
+    border = [0] * len(joined)
+    for i in range(1, len(joined)):
+        k = border[i - 1]
+        while k and joined[i] != joined[k]:
+            k = border[k - 1]
+        border[i] = k + (joined[i] == joined[k])
+    return border[-1] if tail else 0
+
+
+def _shared(most: int):
+    @F.pandas_udf("struct<tokens:int,text:string>")
+    def run(a: pd.Series, tail: pd.Series, head: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, end, begin in zip(a, tail, head, strict=True):
+            end, begin = list(end), list(begin)
+            n = longest_border(begin[: most + 2], end)
+            if not n:  # a word may be cut where the chunk begins or ends: then the text is compared
+                n = next((k for k in range(min(len(begin), 2 * most), 0, -1) if text.endswith(" ".join(begin[:k]))), 0)
+            out.append((n, " ".join(begin[:n])))
+        return pd.DataFrame(out, columns=["tokens", "text"])
+
+    return run
+
+
+def overlaps(chunks: DataFrame, overlap: int, doc_col: str = "doc_id") -> DataFrame:
+    """For each chunk and the next of its document, what the texts themselves share: the longest run of at most overlap + 2 words that ends the one and begins the other, by the prefix function of both ends; where
+    there is none, the longest run of at most twice `overlap` words with which the text ends; else the words that the windows' places share, where the chunks have them.
+
+    Columns: chunk_a, chunk_b, expected, shared (words), shared_text, is_overlapping. Null contents share nothing.
+    """
     order = Window.partitionBy(doc_col).orderBy("chunk_index")
-    rows = chunks.withColumns({"next_id": F.lead("chunk_id").over(order), "next_start": F.lead("token_start").over(order), "next_content": F.lead("content").over(order)})
-    rows = rows.filter("next_id IS NOT NULL").withColumn("shared", F.greatest(F.lit(0), F.col("token_end") - F.col("next_start")))
-    head = F.array_join(F.slice(F.split("next_content", " "), F.lit(1), F.greatest(F.lit(1), F.col("shared"))), " ")
-    same = (F.col("shared") > 0) & F.endswith(F.col("content"), head)
-    return rows.select(F.col("chunk_id").alias("chunk_a"), F.col("next_id").alias("chunk_b"), "shared", same.alias("text_agrees"))
+    ends = ["token_start", "token_end"] if "token_start" in chunks.columns else []
+    places = [F.lead("token_start").over(order).alias("next_start"), "token_end"] if ends else []
+    rows = chunks.withColumn("content", F.coalesce("content", F.lit(""))).select(doc_col, "chunk_id", "content", F.lead("chunk_id").over(order).alias("next_id"), F.lead("content").over(order).alias("next_content"), *places)
+    rows = rows.filter("next_id IS NOT NULL").select(
+        "chunk_id", "next_id", F.trim("content").alias("a"), F.slice(F.reverse(words(F.col("content"))), 1, overlap + 2).alias("back"), F.slice(words(F.col("next_content")), 1, max(2 * overlap, overlap + 2)).alias("head"), *(["token_end", "next_start"] if ends else [])
+    )
+    a = F.col("a").substr(F.greatest(F.lit(1), F.length("a") - F.length(F.array_join("head", " ")) + 1), F.length("a"))  # what may be shared
+    found = rows.withColumn("s", _shared(overlap)(a, F.reverse("back"), F.col("head")))
+    by_place = F.greatest(F.lit(0), F.col("token_end") - F.col("next_start")) if ends else F.lit(0)
+    shared = F.when(F.col("s.tokens") > 0, F.col("s.tokens")).otherwise(by_place)
+    return found.select(
+        F.col("chunk_id").alias("chunk_a"), F.col("next_id").alias("chunk_b"), F.lit(overlap).alias("expected"), shared.cast("int").alias("shared"), F.col("s.text").alias("shared_text"),
+        ((F.col("s.tokens") > 0) | (by_place > 0)).alias("is_overlapping"),
+    )
 
 
 def trace(chunks: DataFrame, docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", context: int = 120) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from quarry.operators.chunking import unnested
 from pyspark.sql import types as T
 
 from quarry.operators.evaluation import is_refusal
@@ -64,8 +66,8 @@ def extract_claims(answers: DataFrame) -> DataFrame:
     claims = F.filter(F.transform(parts, F.trim), lambda s: F.size(_markers(s)) > 0)
     whole = F.when(F.size(_markers(F.col("answer"))) > 0, F.array(F.trim("answer"))).otherwise(F.array().cast("array<string>"))
     claims = F.when(F.size(claims) > 0, claims).otherwise(whole)
-    rows = answers.select("answer_id", F.posexplode(claims).alias("claim_no", "claim"))
-    return rows.select("answer_id", "claim_no", "claim", F.posexplode(_markers(F.col("claim"))).alias("marker_no", "marker"))
+    rows = unnested(answers.select("answer_id", claims.alias("claims")), "claims", "claim_no", "claim", "answer_id")
+    return unnested(rows.withColumn("markers", _markers(F.col("claim"))), "markers", "marker_no", "marker", "answer_id", "claim_no", "claim")
 
 
 def resolve(claims: DataFrame, reg: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.session import fresh_folder
+from quarry.session import stored
 
 REQUIRED = [
     "chunk_id", "source", "filename", "document_id", "file_type", "strategy", "chunk_index", "total_chunks", "section",
@@ -65,7 +65,7 @@ def embedding_plan(chunks: DataFrame, cache: DataFrame, batch: int = 10, order_c
     Batches are cut by running counts inside ranges of the order, so that no task sees all rows.
     """
     known = cache.filter(F.size("embedding") > 0).select("chunk_id").distinct().withColumn("cached", F.lit(True))
-    rows = chunks.join(known, "chunk_id", "left").withColumn("cached", F.coalesce("cached", F.lit(False)) & F.lit(not force))
+    rows = stored(chunks.join(known, "chunk_id", "left").withColumn("cached", F.coalesce("cached", F.lit(False)) & F.lit(not force)), "embedding-plan")
     todo = rows.filter(~F.col("cached"))
     numbered = running_index(todo, [F.col(order_col), F.col("chunk_id")], "nth")
     done = rows.filter("cached").withColumns({"action": F.lit("SKIP"), "batch": F.lit(None).cast("long")})
@@ -78,11 +78,8 @@ def running_index(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     The ranges are written to the shared folder, since their bounds are sampled and would differ if they were computed again.
     """
     spark = rows.sparkSession
-    path = fresh_folder(spark, "running-index")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    placed.write.parquet(path)
-    placed = spark.read.schema(placed.schema).parquet(path)
+    placed = stored(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "running-index")
     part, nth = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     offsets, at = [], 0
     for r in placed.groupBy(part.alias("part")).count().orderBy("part").collect():  # a row a range

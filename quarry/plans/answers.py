@@ -135,11 +135,17 @@ def grounding(spark, d):
     return rounded(made_answers(spark, d).select("answer_id", E.grounding(F.col("answer"), F.col("context")).alias("grounding")), "grounding")
 
 
-@query("""WITH x AS (SELECT doc_id, text, regexp_split_to_array(text, '\\s+') AS w FROM documents)
-SELECT doc_id, round(CASE WHEN doc_id % 5 = 0 THEN 0.0 ELSE 2 / 3 * 0.85 + CASE WHEN len(list_filter(w, lambda z: z <> '')) < 15 THEN 0.0 ELSE 0.15 END END, 6) AS correctness FROM x""")
+_BARE = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]', '', 'g')"
+
+
+@query(f"""WITH x AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda z: z <> '') AS w, [substr(text, 1, 12), substr(text, 3, 12), 'no such fact anywhere', left(text, 6) || '#'] AS facts FROM documents),
+y AS (SELECT doc_id, text, len(w) AS n, len(facts) AS f, len(list_filter(facts, lambda f: contains(lower(text), lower(f)) OR contains({_BARE.format('text')}, trim({_BARE.format('f')})))) AS met FROM x)
+SELECT doc_id, round(CASE WHEN doc_id % 5 = 0 THEN CASE WHEN len(list_filter({E.REFUSALS!r}, lambda p: contains(lower(text), p))) > 0 THEN 1.0 ELSE 0.0 END
+ ELSE least(1.0, met / greatest(1, f) * 0.85 + CASE WHEN n < 15 AND f > 2 THEN 0.0 ELSE 0.15 END) END, 6) AS correctness FROM y""")
 def correctness(spark, d):
+    """Facts: two that stand in the text, one that doesn't, one that does without its last character."""
     docs = table(spark, d, "documents")
-    facts = F.array(F.substring("text", 1, 12), F.upper(F.substring("text", 3, 12)), F.lit("no such fact anywhere"))
+    facts = F.array(F.substring("text", 1, 12), F.substring("text", 3, 12), F.lit("no such fact anywhere"), F.concat(F.substring("text", 1, 6), F.lit("#")))
     return rounded(docs.select("doc_id", E.correctness(F.col("text"), facts, F.col("doc_id") % 5 != 0).alias("correctness")), "correctness")
 
 
@@ -191,11 +197,11 @@ def status_breakdown(spark, d):
 _JSON = "array_to_string(list_transform(string_split(q, ''), lambda c: CASE WHEN c = '\\' THEN '\\\\' WHEN unicode(c) < 128 THEN c ELSE '\\u' || lpad(lower(to_hex(unicode(c))), 4, '0') END), '')"
 
 
-@query(f"""WITH h AS (SELECT doc_id, lower(trim(regexp_replace(replace(left(text, 60), '"', ''), '\\s+', ' ', 'g'))) AS q FROM documents)
+@query(f"""WITH h AS (SELECT doc_id, lower(trim(regexp_replace(replace(text, '"', ''), '\\s+', ' ', 'g'))) AS q FROM documents)
 SELECT doc_id, substr(sha256('{{"f": "", "k": 3, "m": "gpt-x", "q": "' || {_JSON} || '"}}'), 1, 24) AS key FROM h""")
 def cache_key(spark, d):
-    docs = table(spark, d, "documents").withColumn("h", F.substring("text", 1, 60))
-    return docs.select("doc_id", U.cache_key(F.replace(F.col("h"), F.lit('"'), F.lit("")), F.lit(3), F.lit("GPT-x "), F.lit(None).cast("string")).alias("key"))
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", U.cache_key(F.replace(F.col("text"), F.lit('"'), F.lit("")), F.lit(3), F.lit("GPT-x "), F.lit(None).cast("string")).alias("key"))
 
 
 @query(f"""WITH {_REQ} SELECT count(*) AS requests, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, 0::BIGINT AS expirations, round(count(*) FILTER (hit) / count(*) * 100, 2) AS hit_rate_pct FROM au""")

@@ -77,7 +77,7 @@ def _records(spark, d):
 
 
 #: Chunks that stand at the hint, before it, in part, or nowhere.
-_SPANS = """sp AS (SELECT doc_id, text AS t, substr(text, 41, 120) AS c, unnest([0, 1, 2, 3]) AS k FROM documents WHERE length(text) >= 200),
+_SPANS = """sp AS (SELECT doc_id, text AS t, substr(text, 41, 120) AS c, unnest([0, 1, 2, 3]) AS k FROM documents),
 sq AS (SELECT doc_id, k, t, CASE k WHEN 0 THEN c WHEN 1 THEN c WHEN 2 THEN left(c, 60) || '##' || substr(c, 61) ELSE '#nowhere#' END AS c, CASE k WHEN 1 THEN 100 ELSE 20 END AS hint FROM sp),
 sr AS (SELECT *, regexp_replace(c, '^\\s+|\\s+$', '', 'g') AS cl, length(t) AS n, CASE WHEN strpos(substr(t, hint + 1), c) > 0 THEN strpos(substr(t, hint + 1), c) - 1 + hint ELSE -1 END AS h0, strpos(t, c) - 1 AS h1 FROM sq),
 ss AS (SELECT *, left(cl, 50) AS hd, right(cl, 50) AS tl, greatest(0, hint - 200) AS lo FROM sr),
@@ -85,13 +85,13 @@ st AS (SELECT *, CASE WHEN strpos(substr(t, lo + 1), hd) > 0 THEN strpos(substr(
 su AS (SELECT *, CASE WHEN b >= 0 AND strpos(substr(t, b + 1), tl) > 0 THEN strpos(substr(t, b + 1), tl) - 1 + b ELSE -1 END AS l FROM st)"""
 
 
-@query(f"""WITH {_SPANS} SELECT doc_id, k, CAST(CASE WHEN h0 >= 0 THEN h0 WHEN h1 >= 0 THEN h1 WHEN b >= 0 THEN b ELSE least(hint, n) END AS INTEGER) AS "start",
-CAST(CASE WHEN h0 >= 0 THEN h0 + length(c) WHEN h1 >= 0 THEN h1 + length(c) WHEN b >= 0 AND l >= 0 THEN l + length(tl) WHEN b >= 0 THEN least(n, b + length(c)) ELSE least(least(hint, n) + length(c), n) END AS INTEGER) AS "end" FROM su""")
+@query(f"""WITH {_SPANS} SELECT doc_id, k, CAST(CASE WHEN t = '' OR c = '' THEN 0 WHEN h0 >= 0 THEN h0 WHEN h1 >= 0 THEN h1 WHEN b >= 0 THEN b ELSE least(hint, n) END AS INTEGER) AS "start",
+CAST(CASE WHEN t = '' OR c = '' THEN 0 WHEN h0 >= 0 THEN h0 + length(c) WHEN h1 >= 0 THEN h1 + length(c) WHEN b >= 0 AND l >= 0 THEN l + length(tl) WHEN b >= 0 THEN least(n, b + length(c)) ELSE least(least(hint, n) + length(c), n) END AS INTEGER) AS "end" FROM su""")
 def chunk_spans(spark, d):
     c = F.substring("text", 41, 120)
     kinds = [(0, c, 20), (1, c, 100), (2, F.concat(F.substring(c, 1, 60), F.lit("##"), c.substr(F.lit(61), F.lit(120))), 20), (3, F.lit("#nowhere#"), 20)]
     forms = F.array(*(F.struct(F.lit(k).alias("k"), t.alias("c"), F.lit(h).alias("h")) for k, t, h in kinds))
-    rows = docs(spark, d).filter(F.length("text") >= 200).select("doc_id", "text", F.explode(forms).alias("f"))
+    rows = docs(spark, d).select("doc_id", "text", F.explode(forms).alias("f"))
     return rows.select("doc_id", "f.k", M.find_span(F.col("text"), F.col("f.c"), F.col("f.h")).alias("s")).select("doc_id", "k", "s.start", "s.end")
 
 

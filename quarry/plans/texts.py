@@ -13,6 +13,7 @@ from quarry.operators import cleaning as CO
 from quarry.operators import ingest as I
 from quarry.operators import retrieval as R
 from quarry.plans.registry import query, table
+from quarry.session import stored
 from quarry.plans.retrieval import ASKING, asks, corpus, rounded
 from quarry.sources.files import with_html_text
 
@@ -252,10 +253,23 @@ def chunk_stats(spark, d):
     return H.chunk_statistics(H.chunk_words(docs(spark, d), 300, 50))
 
 
-@query(f"""WITH {_CW}, n AS (SELECT *, lead(chunk_id) OVER o AS nid, lead(token_start) OVER o AS ns FROM cw WINDOW o AS (PARTITION BY doc_id ORDER BY chunk_index))
-SELECT chunk_id AS chunk_a, nid AS chunk_b, greatest(0, token_end - ns) AS shared, true AS text_agrees FROM n WHERE nid IS NOT NULL""")
+#: The longest shared run of words, every length tried; then the text's own end; then the places.
+_LAP = """n AS (SELECT chunk_id, content, lead(chunk_id) OVER o AS nid, lead(content) OVER o AS nc, {place} AS place FROM {chunks} WINDOW o AS (PARTITION BY doc_id ORDER BY chunk_index)),
+lw AS (SELECT chunk_id, nid, place, trim(content) AS a, list_filter(regexp_split_to_array(content, '\\s+'), lambda x: x <> '') AS x, list_filter(regexp_split_to_array(nc, '\\s+'), lambda x: x <> '') AS y FROM n WHERE nid IS NOT NULL),
+lb AS (SELECT *, coalesce(list_max(list_filter(range(1, {most} + 3), lambda k: k <= len(x) AND k <= len(y) AND x[len(x) - k + 1:len(x)] = y[1:k])), 0) AS t FROM lw),
+lf AS (SELECT *, CASE WHEN t > 0 THEN t ELSE coalesce(list_max(list_filter(range(1, least(len(y), 2 * {most}) + 1), lambda k: ends_with(a, array_to_string(y[1:k], ' ')))), 0) END AS k FROM lb)
+SELECT chunk_id AS chunk_a, nid AS chunk_b, {most} AS expected, CAST(CASE WHEN k > 0 THEN k ELSE place END AS INTEGER) AS shared, array_to_string(y[1:k], ' ') AS shared_text, k > 0 OR place > 0 AS is_overlapping FROM lf"""
+
+
+@query("WITH " + _CW + ", " + _LAP.format(chunks="cw", most=50, place="greatest(0, token_end - lead(token_start) OVER o)"))
 def chunk_overlap(spark, d):
-    return H.overlaps(H.chunk_words(docs(spark, d), 300, 50))
+    return H.overlaps(H.chunk_words(docs(spark, d), 300, 50), 50)
+
+
+@query("WITH " + _CC + ", ci AS (SELECT *, doc_id || '_fixed_' || lpad(CAST(chunk_index AS VARCHAR), 3, '0') AS chunk_id FROM cc), " + _LAP.format(chunks="ci", most=20, place="0"))
+def chunk_overlap_chars(spark, d):
+    """Windows of characters, which cut words: the shared run often shows in the text alone."""
+    return H.overlaps(H.chunk_chars(docs(spark, d), 300, 60), 20)
 
 
 @query(f"""WITH {_CC} SELECT doc_id, doc_id || '_fixed_' || lpad(CAST(chunk_index AS VARCHAR), 3, '0') AS chunk_id, true AS file_exists, 1.0 AS similarity_score, true AS is_verified,
@@ -298,9 +312,10 @@ pp AS (SELECT chunk_id, token_count, CASE WHEN cached THEN 'SKIP' ELSE 'EMBED' E
 
 
 def _plan(spark, d):
-    chunks = H.word_windows(docs(spark, d), 300, 50).withColumn("position", F.col("doc_id") * 1000 + F.col("chunk_index"))
+    windows = H.word_windows(docs(spark, d), 300, 50).select("doc_id", "chunk_id", "token_count", (F.col("doc_id") * 1000 + F.col("chunk_index")).alias("position"))
+    chunks = stored(windows, "windows")  # the plan reads them more than once; texts are cut here alone
     cache = chunks.filter("doc_id % 4 = 0").select("chunk_id", F.array(F.lit(1.0)).alias("embedding"))
-    return I.embedding_plan(chunks.select("chunk_id", "token_count", "position"), cache)
+    return I.embedding_plan(chunks.drop("doc_id"), cache)
 
 
 @query(f"{_PLAN} SELECT chunk_id, action, batch FROM pp")

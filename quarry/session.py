@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import re
 import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -38,9 +40,37 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Folders of this process that results may still read; they go when the process ends.
+_FOLDERS: list[str] = []
+
+
+def _delete_folders() -> None:
+    spark = SparkSession.getActiveSession()
+    while spark is not None and _FOLDERS:
+        with contextlib.suppress(Exception):  # the gateway may be gone already
+            delete_folder(spark, _FOLDERS.pop())
+
+
+atexit.register(_delete_folders)
+
+
 def fresh_folder(spark: SparkSession, label: str) -> str:
-    """A name in the shared folder that nothing else has."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A name in the shared folder that nothing else has. What is written there is deleted when the process ends; results that have to outlive it are written elsewhere."""
+    folder = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _FOLDERS.append(folder)
+    return folder
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The rows, written once to the shared folder and read from there: for what a plan reads more than once, and to cut lineage."""
+    path = fresh_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def local_session(cpus: int = 8, partitions: int | None = None, **conf: str) -> SparkSession:
