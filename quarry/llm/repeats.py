@@ -324,11 +324,14 @@ def keyed(ws: Workspace, docs: DataFrame, id_col: str, text_col: str, uid: str =
     hashed = rows.select(F.col(uid).alias("uid"), F.xxhash64(text).alias("h"))
     torn = ws.save(hashed.groupBy("uid").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("uid"), "torn-ids")
     if torn.limit(1).count() == 0:
+        rows._quarry_torn = False
         return rows
     key, shared = free_name("_torn", rows.columns), membership_filter(torn, "uid")
     maybe = passing(rows, uid, shared).join(torn.select(F.col("uid").alias(key)), F.col(uid) == F.col(key), "left")
     maybe = maybe.withColumn(uid, F.when(F.col(key).isNotNull(), F.xxhash64(uid, text)).otherwise(F.col(uid))).drop(key)
-    return passing(rows, uid, shared, clear=True).unionByName(maybe)
+    out = passing(rows, uid, shared, clear=True).unionByName(maybe)
+    out._quarry_torn = True  # some id stands on several texts
+    return out
 
 
 def _by_text(ws: Workspace, windows: DataFrame) -> DataFrame:

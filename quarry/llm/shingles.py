@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import Workspace, connected_components, membership_filter, passing, shuffle_partitions
 from quarry.llm.neighbours import Forest
+from quarry.llm.repeats import keyed
 
 FREQUENT_TOKENS = 1 << 18  #: tokens at most that are ordered last because they are frequent
 FREQUENT_IN_PART = 3  #: texts of one batch that make a token count as repeated there
@@ -302,6 +303,97 @@ def groups_for(n: int) -> int:
     return next((g for g in GROUPS if 6 * g >= n), GROUPS[-1])
 
 
+VECTOR = "uid long, n long, counts binary"
+
+
+def widest(n: int, percent: int) -> int:
+    """Groups of the largest set that one of n tokens may link with."""
+    return groups_for(n * 100 // percent + 1)
+
+
+def _vectors(size: int, percent: int):
+    """Each text's token counts in as many groups as its largest partner has; groups are powers of two, so that narrower counts follow by adding up."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for uid, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                s = shingle_set(text.as_py(), size)
+                if len(s):
+                    counts = count_vectors([s], widest(len(s), percent))[0]
+                    rows.append((uid, len(s), zstandard.compress((counts.astype("<u2") if counts.max() < 1 << 16 else counts.astype("<i4")).tobytes(), 1)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["uid", "n", "counts"])
+
+    return run
+
+
+def _counts(blob: bytes, groups: int) -> np.ndarray:
+    raw = zstandard.decompress(blob)
+    return np.frombuffer(raw, "<u2" if len(raw) == 2 * groups else "<i4").astype(np.int32)
+
+
+def _narrower(counts: np.ndarray, groups: int) -> np.ndarray:
+    return counts.reshape(-1, groups).sum(0, dtype=np.int32)
+
+
+def candidate_groups(sizes: np.ndarray, counts: list[np.ndarray], percent: int) -> np.ndarray:
+    """The root of each set's group: sets whose count vectors allow a link are in one group. By R-trees over the vectors, a band of sizes each."""
+    forest, bands = Forest(len(sizes)), {}
+    for i, n in enumerate(sizes.tolist()):
+        bands.setdefault(groups_for(n), []).append(i)
+    for ga, asking in bands.items():
+        for gb, inside in bands.items():
+            asks = [i for i in asking if len(counts[i]) >= gb] if gb >= ga else []
+            if not asks:
+                continue
+            tree = CountTree(np.stack([_narrower(counts[i], gb) for i in inside]), sizes[inside], percent)
+            own = np.array(inside)
+            for i in asks:
+                points, _ = tree.search(_narrower(counts[i], gb), int(sizes[i]))
+                forest.join(np.full(len(points), i), own[points])
+    return forest.roots(np.arange(len(sizes)))
+
+
+def _grouped(percent: int):
+    """Member lists taken apart by count vectors: a list becomes one under each group's smallest set; sets alone in their group leave."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("leader", "ascending"), ("uid", "ascending")])
+        leader, uid, n = (table.column(c).to_numpy() for c in ("leader", "uid", "n"))
+        blobs, out = table.column("counts"), []
+        ends = [*(np.flatnonzero(leader[1:] != leader[:-1]) + 1).tolist(), len(leader)]
+        for a, b in zip([0, *ends], ends, strict=False):
+            counts = [_counts(blobs[k].as_py(), widest(int(n[k]), percent)) for k in range(a, b)]
+            root = candidate_groups(n[a:b].astype(np.int64), counts, percent)
+            many = np.bincount(root, minlength=b - a)[root] > 1
+            out.append(np.stack([uid[a:b][root[many]], uid[a:b][many]], axis=1))
+        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["leader", "uid"])
+
+    return run
+
+
+def _narrowed(ws: Workspace, rows: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+    """Member lists without the sets that no other set of the list can link with, by their count vectors: most lists only share a token by chance, and their texts need not move.
+
+    Lists of more than SHARD_TEXTS sets stay as they are; they are taken apart around pivots. A list all of whose members have one and the same larger list goes, since they meet there.
+    """
+    sizes = ws.save(members.groupBy("leader").agg(F.count("*").alias("m")), "sizes")
+    small = members.join(sizes.filter(F.col("m") <= SHARD_TEXTS), "leader").select("leader", "uid")
+    large = members.join(sizes.filter(F.col("m") > SHARD_TEXTS), "leader").select("leader", "uid")
+    asked = ws.save(small.select("uid").distinct(), "asked")
+    vectors = passing(rows, "uid", membership_filter(asked, "uid")).mapInArrow(_vectors(size, percent), VECTOR)
+    vectors = ws.save(vectors.dropDuplicates(["uid"]), "vectors")
+    tasks = members.count() // TASK_TEXTS + 1
+    met = small.join(vectors, "uid").withColumn("task", F.pmod(F.xxhash64("leader"), F.lit(tasks)))
+    left = ws.save(met.groupBy("task").applyInArrow(_grouped(percent), "leader long, uid long").unionByName(large).distinct(), "grouped")
+    counts = ws.save(left.groupBy("leader").agg(F.count("*").alias("m")), "grouped-sizes")
+    largest = left.join(counts, "leader").groupBy("uid").agg(F.max_by("leader", F.struct("m", "leader")).alias("largest"))
+    inside = left.join(largest, "uid").groupBy("leader").agg(F.min("largest").alias("a"), F.max("largest").alias("b")).filter("a = b AND a <> leader")
+    return ws.save(left.join(inside.select("leader"), "leader", "left_anti"), "narrowed")
+
+
 def shared_count(a: np.ndarray, b: np.ndarray) -> int:
     if len(a) > len(b):
         a, b = b, a
@@ -446,19 +538,20 @@ def jaccard_components(
     """Link texts whose sets of `size`-word shingles have a Jaccard similarity of `percent` % or more, and unite them.
 
     Equal sets are one class. Candidates: every set's prefix in a global order (hash order, with the most frequent tokens last)
-    is dealt out by token, in packed blobs of numbers; each token's bucket of two sets or more becomes a member list under its smallest set. The texts of a list meet in one
+    is dealt out by token, in packed blobs of numbers; each token's bucket of two sets or more becomes a member list under its smallest set. R-trees over the members' hashed token
+    counts take the lists apart (bounds by summed coordinate minima), before any text moves: what can link with no member leaves. The texts of a list meet in one
     shard, where an R-tree over hashed token counts bounds overlaps by summed coordinate minima and surviving pairs are verified on whole sets, unless a link has united them already.
     Shards of more than SHARD_TEXTS texts are first taken apart around pivots, by the triangle inequality; what is left of them is dealt out as pairs of blocks. The bucket of a token
     of more than HOT_TEXTS texts is dealt to several tasks by set. Nothing is capped: every pair that can link meets in some shard, or is united there by a pivot.
 
     Returns id, n_shingles (set size), component_id (the smallest id reachable by links, itself included). Null, empty and blank texts have no
-    shingles and link with nothing. Rows with a null id link too, but carry a hash of their text as component if no id is smaller. Rows that repeat an id must
-    repeat its text. Other columns are ignored. Shingles are compared by 64-bit fingerprints.
+    shingles and link with nothing. Rows with a null id link too, but carry a hash of their text as component if no id is smaller. Rows that repeat an id are nodes of their own if
+    their texts differ, and one node else; every row of the input has one row. Other columns are ignored. Shingles are compared by 64-bit fingerprints.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "shingles")
-    text = F.col(text_col).cast("string")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("uid"), text.alias("text"))
+    own = keyed(ws, docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "id", "text", "uid", "body")
+    rows = own.select("uid", F.col("body").alias("text"))
     first = ws.save(rows.mapInArrow(_summaries(size), SETS), "sets")
     sets = first.filter("token IS NULL").select("uid", "n", "hi", "lo")
     often = first.filter("token IS NOT NULL").groupBy("token").agg(F.sum("texts").alias("texts"))
@@ -476,6 +569,7 @@ def jaccard_components(
         named = members.filter("token IS NOT NULL").groupBy("token").agg(F.min("hi").alias("least"))
         members = members.join(F.broadcast(named), "token", "left").withColumn("leader", F.coalesce("leader", "least"))
     members = ws.save(members.join(classes.select("hi", F.col("rep").alias("uid")), "hi").select("leader", "uid").distinct(), "named")
+    members = _narrowed(ws, rows, members, size, percent)
     links, places, members = _apart(ws, rows, members, size, percent)
     counts = ws.save(members.groupBy("leader").agg(F.count("*").alias("m")), "counts")
     tasks = members.count() // TASK_TEXTS + 1
@@ -495,7 +589,9 @@ def jaccard_components(
     classes = classes.join(united, classes["rep"] == united["node"], "left").select("hi", "lo", F.coalesce("component", "rep").alias("component"))
     classes = ws.save(classes, "components")
     out = sets.join(classes, ["hi", "lo"], "left").select("uid", "n", F.coalesce("component", "uid").alias("component")).distinct()
-    ids = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("uid"))
-    return ids.join(ws.save(out, "result"), "uid").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")
-    )
+    out = own.select("id", "uid").join(ws.save(out, "result"), "uid")
+    if own._quarry_torn:  # a hash stands for the id of such rows: components are named anew
+        out = ws.save(out, "rows")
+        named = out.groupBy("component").agg(F.min(F.coalesce(F.col("id").cast("long"), F.col("uid"))).alias("least"))
+        out = out.join(named, "component").withColumn("component", F.col("least"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))

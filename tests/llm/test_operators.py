@@ -274,6 +274,33 @@ def test_jaccard(spark, corpus, monkeypatch, shard):
         assert shingles.jaccard_components(empty(spark)).count() == 0
 
 
+def test_jaccard_of_ids_on_several_texts(spark):
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(words), " ".join(words[:39]), " ".join(words[20:]), "x y z", None]
+    rows = [(1, texts[0]), (1, texts[3]), (1, texts[3]), (2, texts[1]), (0, texts[1]), (7, texts[2]), (None, texts[0]), (5, texts[4]), (5, "q")]
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_shingles"], r["component_id"] if (r["component_id"] or 0) >= 0 else "hash") for r in shingles.jaccard_components(docs_frame(spark, [(i, t, "en", "a") for i, t in rows])).collect())
+    low = {c for _, n, c in got if n in (35, 36)}
+    assert len(got) == len(rows) and len(low) == 1 and low <= {0, "hash"}
+    assert [r for r in got if r[1] not in (35, 36)] == [(1, 1, 1), (1, 1, 1), (5, 0, 5), (5, 1, 5), (7, 16, 7)]
+
+
+def test_vector_groups_lose_no_link():
+    rng = np.random.default_rng(5)
+    sets = []
+    for _ in range(60):
+        base = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 900)), dtype=np.uint64))
+        sets += [base, *(np.unique(np.concatenate([base[rng.random(len(base)) < 0.9], rng.integers(0, 1 << 63, len(base) // 20, dtype=np.uint64)])) for _ in range(3))]
+    sets = [s for s in sets if len(s)]
+    sizes = np.array([len(s) for s in sets])
+    counts = [shingles.count_vectors([s], shingles.widest(len(s), 80))[0] for s in sets]
+    root = shingles.candidate_groups(sizes, counts, 80)
+    for i in range(len(sets)):
+        for j in range(i):
+            o = len(np.intersect1d(sets[i], sets[j]))
+            assert 100 * o < 80 * (len(sets[i]) + len(sets[j]) - o) or root[i] == root[j]
+    assert len(set(root.tolist())) > 30  # unlike sets are apart
+
+
 @pytest.mark.parametrize("hot", [1 << 16, 3])
 def test_jaccard_of_large_drifting_groups(spark, monkeypatch, hot):
     """Groups whose texts drift apart step by step: some link with a pivot, some only with texts that do, some through chains alone."""
