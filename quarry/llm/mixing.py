@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import Workspace
 
-BLOCKS_A_SOURCE = 1024
+BLOCKS_A_SOURCE, ROWS_A_BLOCK = 1024, 1 << 16  #: blocks at least, and about the rows of a block where there are more
 PLAN_ROWS = 1 << 17  #: rows of the block plan up to which it is broadcast
 NO_SOURCE = "\x00none"
 
@@ -96,7 +96,7 @@ def mix_sources(
 
     A source's budget is the total budget times its weight: whole epochs, and a part of one more. Its texts are
     dealt to blocks by hash; every epoch is a permutation of the blocks by hash, the last one ends where its budget does, inside
-    a block at the first text in hash order that doesn't fit. Only sums of blocks are ordered by source.
+    a block at the first text in hash order that doesn't fit. Blocks are as many as the rows ask for; only sums of blocks are ordered by source, and inside a cut block only hashes and counts.
 
     Returns all columns of `docs` but earlier ones of these names, mix_tokens, mix_epoch (from 0), mix_block, mix_place (the block's place in the epoch). A null source is a source
     of its own. Null and empty texts have no tokens and are in every whole epoch; if no text has tokens, every row comes once. Repeated rows and rows with null ids are mixed like others,
@@ -105,7 +105,9 @@ def mix_sources(
     spark = docs.sparkSession
     ws = Workspace(spark, "mixing")
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE))
-    plain = docs.select(source.alias("s"), F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(BLOCKS_A_SOURCE)).alias("b"), word_count(text_col).alias("n"))
+    n_blocks = max(BLOCKS_A_SOURCE, math.ceil(docs.count() / ROWS_A_BLOCK))
+    block = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(n_blocks)).alias("b")
+    plain = docs.select(source.alias("s"), block, word_count(text_col).alias("n"))
     blocks = ws.save(plain.groupBy("s", "b").agg(F.sum("n").alias("n"), F.count("*").alias("rows")), "blocks")
     tokens = {r["s"]: r["n"] for r in blocks.groupBy("s").agg(F.sum("n").alias("n")).collect()}  # a row a source
     total = sum(tokens.values())
@@ -134,12 +136,24 @@ def mix_sources(
         plan = F.broadcast(plan)
     rows = docs.select(
         *(F.col(c).alias(f"own_{k}") for k, c in enumerate(docs.columns)),
-        source.alias("s"), F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(BLOCKS_A_SOURCE)).alias("b"), word_count(text_col).alias("n"),
+        source.alias("s"), block, word_count(text_col).alias("n"),
         F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"),
     )
     joined = rows.join(plan, ["s", "b"])
     own = [F.col(f"own_{k}").alias(c) for k, c in enumerate(docs.columns) if c.lower() not in ("mix_tokens", "mix_epoch", "mix_block", "mix_place")]
     new = [F.col("n").alias("mix_tokens"), F.col("epoch").alias("mix_epoch"), F.col("b").alias("mix_block"), F.col("place").alias("mix_place")]
-    in_block = Window.partitionBy("s", "b", "epoch").orderBy("h", "n").rowsBetween(Window.unboundedPreceding, 0)
-    cut = joined.filter("room IS NOT NULL").withColumn("used", F.sum("n").over(in_block)).filter("used <= room")
-    return joined.filter("room IS NULL").select(*own, *new).unionByName(cut.select(*own, *new))
+    cut = plan.filter("room IS NOT NULL")
+    # Rows of a cut block that are alike in hash and tokens stand for each other: so many of them fit, all but in one such group.
+    near = docs.select(source.alias("s"), block, F.col(id_col).alias("own_id"), F.col(text_col).alias("own_text")).join(cut, ["s", "b"])  # words are counted in cut blocks alone
+    near = near.select("s", "b", "epoch", "room", word_count("own_text").alias("n"), F.xxhash64(F.lit(seed), "own_id", "own_text").alias("h"))
+    alike = near.groupBy("s", "b", "epoch", "room", "h", "n").agg(F.count("*").alias("copies"))
+    in_block = Window.partitionBy("s", "b", "epoch").orderBy("h", "n").rowsBetween(Window.unboundedPreceding, -1)
+    free = F.col("room") - F.coalesce(F.sum(F.col("n") * F.col("copies")).over(in_block), F.lit(0))
+    fits = F.when(free < 0, 0).when(F.col("n") == 0, F.col("copies")).otherwise(F.least(F.col("copies"), F.floor(free / F.col("n"))))
+    fitting = ws.save(alike.withColumn("fits", fits).filter("fits > 0").select("s", "b", "epoch", "h", "n", "copies", "fits"), "fitting")
+    inside = joined.filter("room IS NOT NULL").join(fitting, ["s", "b", "epoch", "h", "n"])
+    whole = inside.filter("fits = copies")
+    nth = F.row_number().over(Window.partitionBy("s", "b", "epoch", "h", "n").orderBy(F.xxhash64(*(c for c in rows.columns if c.startswith("own_")))))
+    part = inside.filter("fits < copies").withColumn("nth", nth).filter("nth <= fits")  # copies of one text at most, in a block
+    kept = joined.filter("room IS NULL").select(*own, *new).unionByName(whole.select(*own, *new))
+    return kept.unionByName(part.select(*own, *new))

@@ -16,6 +16,7 @@ from quarry.llm.topk import usable
 LINKS, LINKS_BASE = 12, 24  #: neighbours of a node on upper layers and on the base layer
 BUILD_BEAM, FIRST_BEAM = 48, 32
 LEAST_SHARD, MOST_SHARD = 1024, 200_000  #: vectors of a shard
+SHARD_BYTES = 128 << 20  #: of a shard's vectors in double precision
 FEW_SHARDS = 8
 QUERY_GROUP, PACK = 32_768, 1024  #: queries that meet a shard in one task, and rows of one packed blob
 AUDITED, AUDIT_RECALL = 64, 0.99
@@ -353,8 +354,8 @@ def near_vectors_and_audit(vectors: DataFrame, threshold: float = 0.95, id_col:
     zero = F.forall(vec_col, lambda x: x == 0)
     good = vectors.filter(F.col(id_col).isNotNull() & usable(vec_col)).filter(~zero)
     rows = good.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), F.size(vec_col).alias("dim"))
-    n = rows.count()
-    shards = max(min(FEW_SHARDS, math.ceil(n / LEAST_SHARD)), math.ceil(n / MOST_SHARD), 1)
+    n, held = rows.agg(F.count("*"), F.coalesce(F.sum("dim"), F.lit(0)) * 8).first()
+    shards = max(min(FEW_SHARDS, math.ceil(n / LEAST_SHARD)), math.ceil(n / MOST_SHARD), math.ceil(held / SHARD_BYTES), 1)
     dealt = lambda m, name: F.pmod(F.xxhash64("id", F.lit(name)), F.lit(m).cast("long")).alias(name)
     graphs = ws.save(
         rows.select("id", "vec", "dim", dealt(shards, "shard")).groupBy("dim", "shard")

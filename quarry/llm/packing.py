@@ -189,7 +189,7 @@ def pack_along_curve(
 
     A document is its text's ids, those of added tokens in it included, and `end_id`. Its token counts, hashed to signed dimensions and normalised, are
     projected to four dimensions; the point's Hilbert key orders the documents. The table is range-partitioned by (key,
-    id), so that a group of copies that shares one key may spread over partitions; each partition fills its
+    id, length, hash of the ids), so that a group of copies that shares one key may spread over partitions; each partition fills its
     sequences one after another and cuts documents where a sequence is full. Only the last sequence of a partition is
     short.
 
@@ -203,6 +203,7 @@ def pack_along_curve(
     tokens = ws.save(rows.mapInArrow(_tokenise(tokenizer_path, pattern, end_id), "id long, curve long, n long, ids binary"), "tokens")
     held = (tokens.agg(F.sum("n")).first()[0] or 0) * _tokenizer(tokenizer_path, pattern).dtype.itemsize
     parts = max(shuffle_partitions(spark), -(-held // PARTITION_BYTES))
-    ordered = tokens.repartitionByRange(parts, "curve", "id", "n").sortWithinPartitions("curve", "id", "n")
+    order = ["curve", "id", "n", F.xxhash64("ids")]  # rows that are alike in all of these are interchangeable
+    ordered = tokens.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     pieces = ordered.mapInArrow(_pack(length, _tokenizer(tokenizer_path, pattern).dtype.itemsize), PIECE_SCHEMA)
     return pieces.select(F.col("id").alias(id_col), "start", "length", "doc_tokens", "sequence_id", "offset", "ids")

@@ -1,6 +1,7 @@
 """The operators' methods, without Spark."""
 
 import itertools
+import math
 import random
 from collections import Counter
 
@@ -76,6 +77,59 @@ def test_kneser_ney_sums_to_one_in_the_training_language():
         assert 0.9 < total <= 1.001
 
 
+class PlainKneserNey:
+    """Interpolated Kneser-Ney by its definition, over dictionaries of character tuples."""
+
+    def __init__(self, texts):
+        order, pad = language.ORDER, [language.PAD] * (language.ORDER - 1)
+        self.counts, self.alphabet = {n: Counter() for n in range(1, order + 1)}, set()
+        seen = set()
+        for t in texts:
+            codes = [*pad, *language.fold(t).tolist()]
+            self.alphabet |= set(codes[order - 1 :])
+            for i in range(order - 1, len(codes)):
+                self.counts[order][tuple(codes[i - order + 1 : i + 1])] += 1
+        for n in range(order, 1, -1):  # a lower order counts the different left neighbours
+            for gram in self.counts[n]:
+                if (n, gram) not in seen:
+                    seen.add((n, gram))
+                    self.counts[n - 1][gram[1:]] += 1
+        self.discount, self.total, self.kinds = {}, {}, {}
+        for n, grams in self.counts.items():
+            of = Counter(grams.values())
+            self.discount[n] = of[1] / (of[1] + 2 * of[2]) if of[1] and of[2] else 0.5
+            for gram, c in grams.items():
+                self.total[n, gram[:-1]] = self.total.get((n, gram[:-1]), 0) + c
+                self.kinds[n, gram[:-1]] = self.kinds.get((n, gram[:-1]), 0) + 1
+
+    def probability(self, gram):
+        if not gram:
+            return 1 / (len(self.alphabet) + 1)
+        n, below = len(gram), self.probability(gram[1:])
+        if (n, gram[:-1]) not in self.total:
+            return below
+        total, d = self.total[n, gram[:-1]], self.discount[n]
+        return max(self.counts[n][gram] - d, 0) / total + d * self.kinds[n, gram[:-1]] / total * below
+
+    def cross_entropy(self, text):
+        codes = [*[language.PAD] * (language.ORDER - 1), *language.fold(text).tolist()]
+        n = len(codes) - language.ORDER + 1
+        return -sum(math.log(self.probability(tuple(codes[i : i + language.ORDER]))) for i in range(n)) / n
+
+
+def test_kneser_ney_against_its_definition():
+    rng = random.Random(12)
+    prose = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 7))) for _ in range(n))
+    texts = {"a": [prose("aabbbcde", 40) for _ in range(6)] + ["a"], "b": [prose("bdéüxyz", 60) for _ in range(3)], "c": ["x y"]}
+    models = language.Models({k: language.fit(v) for k, v in texts.items()}, dict.fromkeys(texts, 1.0))
+    plain = {k: PlainKneserNey(v) for k, v in texts.items()}
+    asked = [prose("abcdeéxyzq", 8) for _ in range(60)] + ["a", "q", "𐐀 b", *texts["a"], prose("ab", 500)]
+    lengths, found = models.score(asked)
+    for row, n, text in zip(found, lengths, asked, strict=True):
+        assert n == len(language.fold(text))
+        assert np.allclose(row, [plain[k].cross_entropy(text) for k in models.languages], rtol=2e-5, atol=2e-5), text
+
+
 def test_long_texts_score_as_their_parts_together():
     texts = ["abc de " * 30_000, "x"]
     model = language.Models({"x": language.fit(["abc de abd ce"]), "y": language.fit(["xyz zyx"])}, {"x": 1.0, "y": 1.0})

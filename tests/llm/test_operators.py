@@ -120,6 +120,35 @@ def test_mixing_against_a_grid_of_exponents(spark):
     assert all(got[s] <= 2.5 * tokens[s] + 1 for s in tokens)
 
 
+def test_mixing_cuts_inside_blocks_of_copies(spark, monkeypatch):
+    """One block a source: the cut falls inside it, among copies too, and what fits is a prefix in the order of hash and tokens."""
+    monkeypatch.setattr(mixing, "BLOCKS_A_SOURCE", 1)
+    rows = [(7, "a b c", "en", "x")] * 40 + [(i, "w " * (i % 5), "en", "x") for i in range(100, 160)] + [(i, "v " * 9, "en", "y") for i in range(300, 320)]
+    out = mixing.mix_sources(docs_frame(spark, rows), target_entropy=0.99, max_repetition=None).toPandas()
+    tokens = Counter()
+    for _, t, _, s in rows:
+        tokens[s] += len(t.split())
+    _, weights, _ = mixing.temperature_weights(dict(tokens), target_entropy=0.99)
+    total = sum(tokens.values())
+    for s, n in tokens.items():
+        mine, budget = out[out.source == s], weights[s] * total
+        assert budget - 9 <= mine.mix_tokens.sum() <= budget + 1, s
+        per = Counter(zip(mine.doc_id, mine.mix_epoch, strict=True))
+        own = Counter(i for i, _, _, x in rows if x == s)
+        assert all(c <= own[i] for (i, _), c in per.items())
+
+
+def test_packing_is_the_same_when_it_runs_again(spark, corpus):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(1, f"text {k % 7} of one id", "en", "a") for k in range(60)] + corpus
+    runs = [sorted((r["doc_id"] or -1, r["start"], r["length"], r["sequence_id"], r["offset"], bytes(r["ids"])) for r in packing.pack_along_curve(docs_frame(spark, order).repartition(n), path, length=32).collect()) for order, n in ((rows, 3), (rows[::-1], 5))]
+    assert [r[:3] + r[5:] for r in runs[0]] != [] and len(runs[0]) == len({r[3:5] for r in runs[0]})
+    sequences = [sorted(Counter((s, b) for _, _, _, s, _, b in run).items()) for run in runs]
+    assert sum(len(b) for (_, b), _ in sequences[0]) == sum(len(b) for (_, b), _ in sequences[1])
+
+
 def brute_base(text):
     """n_words, places of the base phrases, first and last start, labels."""
     words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or "").encode())
@@ -501,6 +530,39 @@ def test_languages_of_long_texts_alone(spark, monkeypatch):
     assert all(r["rejected"] for r in out if r["doc_id"] >= 40)
 
 
+def test_pipeline_with_odd_rows(spark, tmp_path, corpus):
+    """Null and repeated ids, one id on several texts, a very long text, clashing extra columns, nulls in every column; and a table without rows."""
+    import corpus_pipeline as P
+
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7)))
+    long = " ".join(word() for _ in range(40_000))
+    rows = corpus + [(0, "another text under an id that is taken", "en", "a"), (700, long, "en", "a"), (701, long + " end", "en", None), (None, None, None, None), (None, corpus[1][1], "en", "c")]
+    docs = docs_frame(spark, rows)
+    columns = docs.columns
+    docs.write.parquet(str(tmp_path / "full/documents.parquet"))
+    docs.limit(0).write.parquet(str(tmp_path / "none/documents.parquet"))
+    for folder, there in (("full", True), ("none", False)):
+        now = spark.read.parquet(str(tmp_path / folder / "documents.parquet"))
+        kept = []
+        for name, stage in P.STAGES[:-1]:
+            now = stage(spark, now, str(tmp_path / folder))
+            now.write.parquet(str(tmp_path / folder / name))
+            now = spark.read.parquet(str(tmp_path / folder / name))
+            assert now.columns == columns
+            kept.append(now.count())
+        pieces = P.STAGES[-1][1](spark, now, str(tmp_path / folder)).toPandas()
+        assert (len(pieces) > 0) == there and all(n > 0 for n in kept) == there
+        if there:
+            near = spark.read.parquet(str(tmp_path / "full/near_copies"))
+            known = spark.read.parquet(str(tmp_path / "full/language")).filter("doc_id IN (700, 701)").count()
+            assert known in (0, 2) and near.filter("doc_id IN (700, 701)").count() == known // 2  # near copies of each other
+            assert near.filter("doc_id = 0 AND text LIKE 'another text%'").count() <= 1
+            texts = [r["text"] for r in near.select("text").collect() if r["text"]]
+            assert len(texts) == len(set(texts))
+            assert pieces.groupby("sequence_id").length.sum().max() <= 1024
+
+
 def test_pipeline_stages(spark, tmp_path, corpus):
     import corpus_pipeline as P
 
