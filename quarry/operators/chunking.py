@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import os
 import re
+from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +37,66 @@ def estimated_tokens(text: Column) -> Column:
     return F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(n * 1.3).cast("int")))
 
 
+class Tokenizer(Protocol):
+    """What chunking and budgets need of a tokenizer; an object of this kind is sent to the workers and used there on batches of texts."""
+
+    def encode_batch(self, texts: list[str]) -> list[list[int]]: ...
+
+    def decode(self, ids: list[int]) -> str: ...
+
+
+class FileTokenizer:
+    """A file of the tokenizers library; it is read once in each worker that uses it."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in _file_tokenizer(self.path).encode_batch(texts, add_special_tokens=False)]
+
+    def decode(self, ids: list[int]) -> str:
+        return _file_tokenizer(self.path).decode(ids, skip_special_tokens=False)
+
+
+@functools.cache
+def _file_tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer as Library
+
+    return Library.from_file(path)
+
+
+def count_tokens(rows: DataFrame, tokenizer: Tokenizer, text_col: str = "text", out: str = "token_count") -> DataFrame:
+    """Add the tokens that a tokenizer gives each text; 0 for null and empty ones."""
+
+    @F.pandas_udf("int")
+    def count(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(ids) for ids in tokenizer.encode_batch(texts.fillna("").tolist())], dtype="int32")
+
+    return rows.withColumn(out, count(F.col(text_col)))
+
+
+def chunk_tokens(docs: DataFrame, tokenizer: Tokenizer, size: int = 300, overlap: int = 50, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """chunk_words by a tokenizer's own tokens: windows of `size` ids that share `overlap`, each decoded. Texts without ids give no chunk."""
+    check_window(size, overlap)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for i, ids in enumerate(tokenizer.encode_batch([t or "" for t in batch.column("t").to_pylist()])):
+                starts = range(0, max(1, -(-(len(ids) - size) // (size - overlap)) + 1) * (size - overlap), size - overlap) if ids else ()
+                out += [(i, k, len(starts), a, min(a + size, len(ids)), tokenizer.decode(ids[a : a + size])) for k, a in enumerate(starts)]
+            columns = list(zip(*out, strict=True)) or [[]] * 6
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+            own = batch.column("d").take(pa.array(columns[0], pa.int64()))
+            yield pa.RecordBatch.from_arrays([own, *(pa.array(c, k) for c, k in zip(columns[1:], kinds, strict=True))], ["d", "chunk_index", "total_chunks", "token_start", "token_end", "content"])
+
+    rows = docs.select(F.col(doc_col).alias("d"), F.col(text_col).alias("t"))
+    kind = rows.schema["d"].dataType.simpleString()
+    found = rows.mapInArrow(run, f"d {kind}, chunk_index int, total_chunks int, token_start int, token_end int, content string").withColumnRenamed("d", doc_col)
+    return _named(found.withColumn("token_count", F.col("token_end") - F.col("token_start")), doc_col, "tokenaware")
+
+
 def _starts(n: Column, size: int, overlap: int) -> Column:
     """Window starts 0, step, ... up to the first window that reaches the end."""
     step = size - overlap

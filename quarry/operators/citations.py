@@ -87,8 +87,28 @@ def _informative(low: Column) -> Column:
     return F.when(F.size(kept) > 0, kept).otherwise(words)
 
 
+RUNS = range(8, 2, -1)  #: words of a supporting run, longest first
+
+
+def _longest_run(words: Column, run: Column) -> Column:
+    """struct(span, words, at): the first of the longest runs of 8 to 3 of a claim's words that stand in a row in the text, and the text's word that it begins at; null without one.
+
+    run: the text's words between blanks. Lengths are tried from the longest down, and the shorter ones only where no longer one was found.
+    """
+
+    def of(n: int) -> Column:
+        part = lambda i: F.array_join(F.slice(words, i, F.lit(n)), " ")
+        first = F.get(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1)), lambda i: F.contains(run, F.concat(F.lit(" "), part(i), F.lit(" ")))), F.lit(0))
+        before = lambda span: F.call_function("substring_index", run, F.concat(F.lit(" "), span, F.lit(" ")), F.lit(1))
+        at = lambda span: F.length(before(span)) - F.length(F.replace(before(span), F.lit(" "), F.lit("")))
+        found = F.transform(F.array(part(first)), lambda span: F.struct(span.alias("span"), F.lit(n).alias("words"), at(span).cast("int").alias("at")))
+        return F.when((F.size(words) >= n) & first.isNotNull(), F.get(found, F.lit(0)))
+
+    return F.coalesce(*(of(n) for n in RUNS))
+
+
 def verify(resolved: DataFrame) -> DataFrame:
-    """Hold each claim against its row: share of keywords found, numbers found, a run of three words found; status and confidence."""
+    """Hold each claim against its row: share of keywords found, numbers found, the longest run of words found with its place; status and confidence."""
     low = F.lower(F.trim(F.regexp_replace("claim", r"\[[^\]]+\]", "")))
     text = F.lower(F.col("text"))
     rows = resolved.withColumns({"_keys": _informative(low), "_numbers": F.regexp_extract_all(low, F.lit(NUMBER), F.lit(0))})
@@ -98,11 +118,8 @@ def verify(resolved: DataFrame) -> DataFrame:
             "_run": F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(text, F.lit(r"(?U)\b[a-z0-9_\-]+\b"), F.lit(0)), " "), F.lit(" ")),
         }
     )
-    # A longer run holds a run of three, so that three words decide whether there is one.
-    span = (F.size("_words") >= 3) & F.exists(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_words") - 2)),
-        lambda i: F.contains(F.col("_run"), F.concat(F.lit(" "), F.array_join(F.slice("_words", i, F.lit(3)), " "), F.lit(" "))),
-    )
+    rows = rows.withColumn("_span", _longest_run(F.col("_words"), F.col("_run")))
+    span = F.col("_span").isNotNull()
     ratio = F.size(F.filter("_keys", lambda k: F.contains(text, k))) / F.greatest(F.lit(1), F.size("_keys"))
     numbers = F.forall("_numbers", lambda x: F.contains(text, x))
     some = F.exists("_numbers", lambda x: F.contains(text, x))
@@ -114,7 +131,7 @@ def verify(resolved: DataFrame) -> DataFrame:
         .otherwise("UNSUPPORTED")
     )
     confidence = F.when(status == "FABRICATED_MARKER", 0.0).when(F.col("verified"), F.least(F.lit(1.0), F.col("keyword_ratio") + 0.3)).otherwise(F.col("keyword_ratio"))
-    return rows.select("answer_id", "claim_no", "claim", "marker_no", "marker", status.alias("status"), confidence.alias("confidence"))
+    return rows.select("answer_id", "claim_no", "claim", "marker_no", "marker", status.alias("status"), confidence.alias("confidence"), "_span.span", F.col("_span.words").alias("span_words"), F.col("_span.at").alias("span_at"))
 
 
 def audit(answers: DataFrame, verified: DataFrame) -> DataFrame:

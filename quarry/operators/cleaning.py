@@ -37,3 +37,18 @@ def corpus_rollup(cleaned: DataFrame) -> DataFrame:
         "reduction_pct",
         F.when(F.col("raw_chars") > 0, F.round((F.col("raw_chars") - F.col("cleaned_chars")) / F.col("raw_chars") * 100, 2)).otherwise(0.0),
     )
+
+
+SAMPLE_CHARS = 250
+
+
+def before_after(rows: DataFrame, raw: str = "text", cleaned: str = "cleaned_text") -> DataFrame:
+    """Raw and cleaned text side by side: characters, words, lines, and the trimmed first SAMPLE_CHARS characters of each. Null texts count as empty."""
+    out = rows
+    for name, column in (("raw", raw), ("cleaned", cleaned)):
+        text = F.coalesce(F.col(column), F.lit(""))
+        out = out.withColumns(
+            {f"{name}_chars": F.length(text), f"{name}_words": word_count(text), f"{name}_lines": F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, f"{name}_sample": F.btrim(F.substring(text, 1, SAMPLE_CHARS), F.lit(" \t\n\r"))}
+        )
+    gone = F.greatest(F.lit(0), F.col("raw_chars") - F.col("cleaned_chars"))
+    return out.withColumns({"chars_removed": gone, "reduction_pct": F.when(F.col("raw_chars") > 0, F.round(gone / F.col("raw_chars") * 100, 2)).otherwise(0.0)})

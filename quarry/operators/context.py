@@ -27,36 +27,45 @@ def pack_until_full(hits: DataFrame, budget: int, token_col: str = "token_count"
     return rows.filter((F.col("rank") == 1) | (F.col("used") <= budget))
 
 
-def pack_greedy(hits: DataFrame, budget: int, truncate: bool = True) -> DataFrame:
-    """Rows in rank order while they fit; the first that doesn't is cut to max(10, remaining / 2) words if more than 60 tokens remain; others are dropped, and smaller later ones still tried.
+def _packing(hits: DataFrame, budget: int, truncate: bool, with_text: bool) -> DataFrame:
+    """A query's parts folded in rank order: query_id, and acc with used, dropped, cut and an entry a part.
 
-    hits: query_id, rank, id, text. A query's rows are few (its k), so they are folded in one array. Returns query_id, used,
-    dropped, truncated, and packed (id, tokens, truncated).
+    hits: query_id, rank, id, text. A query's rows are few (its k), so they are folded in one array.
     """
-    item = F.struct("rank", "id", estimated_tokens(F.col("text")).alias("tokens"), F.size(words(F.col("text"))).alias("n_words"))
+    split = words(F.col("text"))
+    item = F.struct("rank", "id", estimated_tokens(F.col("text")).alias("tokens"), F.size(split).alias("n_words"), *([F.col("text"), split.alias("w")] if with_text else []))
     rows = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    kind = f"array<struct<id:{hits.schema['id'].dataType.simpleString()},tokens:int,truncated:boolean>>"
-    start = F.struct(
-        F.lit(0).alias("used"), F.lit(0).alias("dropped"), F.lit(False).alias("cut"), F.array().cast(kind).alias("packed")
-    )
+    kind = f"array<struct<rank:int,id:{hits.schema['id'].dataType.simpleString()},status:string,tokens:int,used:int{',text:string' if with_text else ''}>>"
+    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("dropped"), F.lit(False).alias("cut"), F.array().cast(kind).alias("parts"))
 
     def add(acc: Column, x: Column) -> Column:
         left = F.lit(budget) - acc["used"]
         fits = x["tokens"] <= left
         cut = ~fits & F.lit(truncate) & (left > 60) & ~acc["cut"]
         kept = F.least(x["n_words"], F.greatest(F.lit(10), F.floor(left / 2).cast("int")))
-        cut_tokens = F.greatest(F.lit(1), F.floor(kept * 1.3).cast("int"))
-        tokens = F.when(fits, x["tokens"]).otherwise(cut_tokens)
-        entry = F.struct(x["id"].alias("id"), tokens.alias("tokens"), cut.alias("truncated"))
+        tokens = F.when(fits, x["tokens"]).when(cut, F.greatest(F.lit(1), F.floor(kept * 1.3).cast("int"))).otherwise(0)
+        text = [F.when(fits, x["text"]).when(cut, F.array_join(F.slice(x["w"], F.lit(1), kept), " ")).otherwise("").alias("text")] if with_text else []
+        status = F.when(fits, "included").when(cut, "cut").otherwise("dropped")
+        entry = F.struct(x["rank"].cast("int").alias("rank"), x["id"].alias("id"), status.alias("status"), tokens.alias("tokens"), (acc["used"] + tokens).alias("used"), *text)
         return F.struct(
-            (acc["used"] + F.when(fits | cut, tokens).otherwise(0)).alias("used"),
-            (acc["dropped"] + F.when(fits | cut, 0).otherwise(1)).alias("dropped"),
-            (acc["cut"] | ~fits).alias("cut"),
-            F.when(fits | cut, F.array_append(acc["packed"], entry)).otherwise(acc["packed"]).alias("packed"),
-        )
-
-    out = rows.withColumn("acc", F.aggregate("items", start, add))
-    return out.select("query_id", "acc.used", "acc.dropped", F.col("acc.cut").alias("truncated"), "acc.packed")
+            (acc["used"] + tokens).alias("used"), (acc["dropped"] + F.when(fits | cut, 0).otherwise(1)).alias("dropped"), (acc["cut"] | ~fits).alias("cut"), F.array_append(acc["parts"], entry).alias("parts")
+        )
+
+    return rows.select("query_id", F.aggregate("items", start, add).alias("acc"))
+
+
+def pack_greedy(hits: DataFrame, budget: int, truncate: bool = True) -> DataFrame:
+    """Rows in rank order while they fit; the first that doesn't is cut to max(10, remaining / 2) words if more than 60 tokens remain; others are dropped, and smaller later ones still tried.
+
+    hits: query_id, rank, id, text. Returns query_id, used, dropped, truncated, and packed (id, tokens, truncated).
+    """
+    packed = F.transform(F.filter("acc.parts", lambda p: p["status"] != "dropped"), lambda p: F.struct(p["id"].alias("id"), p["tokens"].alias("tokens"), (p["status"] == "cut").alias("truncated")))
+    return _packing(hits, budget, truncate, with_text=False).select("query_id", "acc.used", "acc.dropped", F.col("acc.cut").alias("truncated"), packed.alias("packed"))
+
+
+def pack_parts(hits: DataFrame, budget: int, truncate: bool = True) -> DataFrame:
+    """pack_greedy's ledger, a row a part: query_id, rank, id, status (included, cut or dropped), the tokens it takes, the tokens used up to it, and the text that goes in."""
+    return _packing(hits, budget, truncate, with_text=True).select("query_id", F.explode("acc.parts").alias("p")).select("query_id", "p.*")
 
 
 def render(template: str, values: dict[str, Column]) -> Column:

@@ -46,14 +46,14 @@ def has_cues(q: Column) -> Column:
     return out
 
 
-def rewrite(turns: DataFrame) -> DataFrame:
-    """User turns with a stand-alone query: unchanged for the first one and without cues, else bound to the previous user turn."""
+def rewrite(turns: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """User turns with a stand-alone query: unchanged for the first one and without cues, else bound to the previous user turn. `keep` names columns that stay (text, previous)."""
     users = turns.filter("role = 'user'")
     prev = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     users = users.withColumn("previous", prev)
     bound = F.concat(F.col("text"), F.lit(" regarding "), F.substring("previous", 1, 50))
     follow = F.col("previous").isNotNull() & has_cues(F.col("text"))
-    return users.select("conv_id", "turn", follow.alias("is_follow_up"), F.when(follow, bound).otherwise(F.col("text")).alias("rewritten"))
+    return users.select("conv_id", "turn", follow.alias("is_follow_up"), F.when(follow, bound).otherwise(F.col("text")).alias("rewritten"), *keep)
 
 
 def message_tokens(role: Column, text: Column) -> Column:

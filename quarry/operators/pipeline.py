@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.rerank import cross_parts
 from quarry.functions.vectors import clip
 from quarry.operators import citations as C
 from quarry.operators import context as P
@@ -16,24 +17,41 @@ from quarry.operators import guardrail as G
 from quarry.operators import retrieval as R
 from quarry.operators.chunking import estimated_tokens
 from quarry.operators.evaluation import is_refusal
+from quarry.operators.ledger import StageLedger
 
 Generator = Callable[[list[str], dict], list[str]]
 
 
-def generate(prompts: DataFrame, generator: Generator, prompt_col: str = "prompt", out: str = "answer", batch: int = 16, options: dict | None = None) -> DataFrame:
-    """Add what a provider answers to each prompt; called on batches inside Arrow partitions. A null prompt isn't sent."""
+def generate(prompts: DataFrame, generator: Generator, prompt_col: str = "prompt", out: str = "answer", batch: int = 16, options: dict | None = None, error: str | None = None) -> DataFrame:
+    """Add what a provider answers to each prompt; called on batches inside Arrow partitions. A null prompt isn't sent.
+
+    Without `error`, what the provider raises ends the job. With it, that column says what went wrong with a row and its answer is null: a provider may put an exception in a prompt's place, which fails that row alone,
+    or raise one, which fails its batch. Each prompt is sent once.
+    """
+
+    def ask(texts: list[str]) -> list:
+        if error is None:
+            return generator(texts, options or {})
+        try:
+            answers = generator(texts, options or {})
+        except Exception as e:  # noqa: BLE001  a provider may raise anything
+            return [e] * len(texts)
+        return answers if len(answers) == len(texts) else [ValueError(f"{len(answers)} answers to {len(texts)} prompts")] * len(texts)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             answers: list = [None] * len(frame)
-            ask = [i for i, p in enumerate(frame[prompt_col]) if p is not None]
-            for a in range(0, len(ask), batch):
-                part = ask[a : a + batch]
-                for i, text in zip(part, generator([frame[prompt_col].iloc[i] for i in part], options or {}), strict=True):
+            wanted = [i for i, p in enumerate(frame[prompt_col]) if p is not None]
+            for a in range(0, len(wanted), batch):
+                part = wanted[a : a + batch]
+                for i, text in zip(part, ask([frame[prompt_col].iloc[i] for i in part]), strict=True):
                     answers[i] = text
+            if error is not None:
+                frame = frame.assign(**{error: [f"{type(x).__name__}: {x}" if isinstance(x, Exception) else None for x in answers]})
+                answers = [None if isinstance(x, Exception) else x for x in answers]
             yield frame.assign(**{out: answers})
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields) + f", `{out}` string"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields) + (f", `{error}` string" if error else "") + f", `{out}` string"
     return prompts.mapInPandas(run, schema)
 
 
@@ -48,17 +66,19 @@ def extractive_generator(prompts: list[str], options: dict) -> list[str]:
 
 def answer_questions(
     questions: DataFrame, corpus: DataFrame, generator: Generator, k: int = 3, min_similarity: float = 0.5, budget: int = 1500, template: str = "Answer from the sources.\n{context}\nQuestion: {question}",
-    skip_own: bool = False,
+    skip_own: bool = False, ledger: StageLedger | None = None,
 ) -> DataFrame:
-    """Retrieve, gate, pack, generate and audit for a table of questions.
+    """Retrieve, gate, pack, generate and audit for a table of questions. With a ledger each stage is run by itself and leaves its rows, tokens and seconds there.
 
     questions: query_id, question, query_vec; corpus: id, vec, text, source_document, section, page_number. Refused questions aren't sent to the provider.
     Returns query_id, action, answer, citations, citation_precision, verdict.
     """
-    hits = R.top_k(questions.select("query_id", "query_vec"), corpus, k, skip_own=skip_own)
+    stage = ledger.stage if ledger else lambda name, rows, token_col=None: rows
+    hits = R.top_k(questions.select("query_id", "query_vec"), corpus, k, skip_own=skip_own).withColumn("token_count", estimated_tokens(F.col("text")))
+    hits = stage("retrieve", hits, "token_count")
     assessed = G.assess(questions, hits, min_similarity, min_similarity)
-    good = G.answerable(hits, assessed, min_similarity).withColumn("token_count", estimated_tokens(F.col("text")))
-    packed = P.pack_until_full(good, budget)
+    good = stage("gate", G.answerable(hits, assessed, min_similarity), "token_count")
+    packed = stage("pack", P.pack_until_full(good, budget), "token_count")
     block = P.block_text(F.col("rank"), F.col("source_document"), F.col("section"), F.col("page_number"), F.col("id").cast("string"), F.col("text"))
     context = packed.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("context"))
     rows = questions.select("query_id", "question").join(context, "query_id", "left").join(assessed.select("query_id", "action"), "query_id")
@@ -66,9 +86,10 @@ def answer_questions(
     answered = generate(rows.withColumn("prompt", prompt), generator)
     refusals = G.refusals(assessed)
     answered = answered.join(refusals, "query_id", "left").withColumn("answer", F.coalesce("answer", "refusal")).withColumn("answer_id", F.col("query_id"))
+    answered = stage("generate", answered.withColumn("answer_tokens", estimated_tokens(F.col("answer"))), "answer_tokens")
     reg = C.registry(packed.withColumns({"answer_id": F.col("query_id"), "filename": F.col("source_document")}))
     audit = C.audit(answered, C.verify(C.resolve(C.extract_claims(answered), reg)))
-    return answered.select("answer_id", "query_id", "action", "answer").join(audit, "answer_id").drop("answer_id")
+    return stage("audit", answered.select("answer_id", "query_id", "action", "answer").join(audit, "answer_id").drop("answer_id"))
 
 
 def contrast(with_context: DataFrame, without: DataFrame) -> DataFrame:
@@ -103,6 +124,39 @@ def model_score(raw: Column) -> Column:
     return F.coalesce(clip(value / 10, 0.0, 1.0), F.lit(0.5))
 
 
+SCORE_PROMPT = "Rate from 0 to 10 how well the passage answers the question. Reply as JSON with the key score.\nQuestion: {question}\nPassage: {passage}"
+
+
+def model_rerank(candidates: DataFrame, scorer: Generator, k: int = 3) -> DataFrame:
+    """rerank with a model's scores; a row whose call fails has the cross score instead, and says so.
+
+    candidates as in rerank. Columns beside rerank's: scorer (model or fallback) and scorer_error.
+    """
+    prompt = P.render(SCORE_PROMPT, {"question": F.col("query_text"), "passage": F.coalesce("text", F.lit(""))})
+    scored = generate(candidates.withColumn("_prompt", prompt), scorer, "_prompt", "_raw", error="scorer_error")
+    cross = cross_parts(F.col("query_text"), F.col("text"), F.col("section"), F.col("score"))["score"]
+    failed = F.col("scorer_error").isNotNull() | F.col("_raw").isNull()
+    rows = scored.withColumns({"scorer": F.when(failed, "fallback").otherwise("model"), "rerank_score": F.when(failed, cross).otherwise(model_score(F.col("_raw")))})
+    return R.placed(rows.drop("_prompt", "_raw"), k)
+
+
+REWRITE_PROMPT = "Rewrite the question so that it stands alone.\nEarlier question: {previous}\nQuestion: {text}"
+SHORTEST_REWRITE = 10  #: characters; a shorter reply of a model isn't used
+
+
+def model_rewrite(turns: DataFrame, rewriter: Generator, force: bool = False) -> DataFrame:
+    """rewrite with a provider: first turns and those without a cue pass through (unless forced) and aren't sent; labels and quotes are stripped from replies; failed calls and replies of fewer than SHORTEST_REWRITE
+    characters have the heuristic's rewriting. Columns beside rewrite's: method (unchanged, model or heuristic) and error."""
+    rows = V.rewrite(turns, keep=("previous", "text"))
+    ask = F.col("previous").isNotNull() & (F.col("is_follow_up") | F.lit(force))
+    sent = rows.withColumn("_prompt", F.when(ask, P.render(REWRITE_PROMPT, {"previous": F.col("previous"), "text": F.coalesce("text", F.lit(""))})))
+    replied = generate(sent, rewriter, "_prompt", "_raw", error="error")
+    clean = F.trim(F.regexp_replace(F.regexp_replace(F.trim("_raw"), r"(?i)^(?:rewritten|standalone|stand-alone)?\s*(?:question|query)?\s*:\s*", ""), r"^[\"'\s]+|[\"'\s]+$", ""))
+    good = F.coalesce(F.length(clean) >= SHORTEST_REWRITE, F.lit(False))
+    method = F.when(F.col("_prompt").isNull(), "unchanged").when(good, "model").otherwise("heuristic")
+    return replied.select("conv_id", "turn", "is_follow_up", F.when(good, clean).otherwise(F.col("rewritten")).alias("rewritten"), method.alias("method"), "error")
+
+
 def rewrite_uplift(turns: DataFrame, raw_hits: DataFrame, rewritten_hits: DataFrame) -> DataFrame:
     """Top score of each follow-up as asked and as rewritten; hits have conv_id, turn, score."""
     top = lambda df, name: df.groupBy("conv_id", "turn").agg(F.max("score").alias(name))

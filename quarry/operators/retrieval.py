@@ -108,6 +108,24 @@ def filter_effect(plain: DataFrame, filtered: DataFrame, relevant: Column) -> Da
     )
 
 
+def precision_cases(cases: dict[str, tuple[DataFrame, DataFrame]], relevant: Column) -> DataFrame:
+    """A row a case: how a filter or a hybrid score changes what is retrieved. cases: name -> (plain rows, changed rows), each with query_id and id; `relevant` says of a row whether it is wanted.
+
+    Mean precision over the queries of the plain ranking without and with the change (0 for a query that is left without rows), the gain in % (100 from nothing to something), and the rows that only the change has brought.
+    """
+    out = None
+    share = F.avg(F.when(F.coalesce(relevant, F.lit(False)), 1.0).otherwise(0.0))
+    for name, (plain, changed) in cases.items():
+        both = plain.groupBy("query_id").agg(share.alias("a")).join(changed.groupBy("query_id").agg(share.alias("b")), "query_id", "left")
+        means = both.agg(F.count("*").alias("queries"), F.avg("a").alias("plain_precision"), F.avg(F.coalesce("b", F.lit(0.0))).alias("changed_precision"))
+        new = changed.join(plain.select("query_id", "id"), ["query_id", "id"], "left_anti").agg(F.count("*").alias("new_rows"))
+        row = means.crossJoin(F.broadcast(new)).withColumn("case", F.lit(name))  # one row a side
+        out = row if out is None else out.unionByName(row)
+    gain = (F.col("changed_precision") - F.col("plain_precision")) / F.col("plain_precision") * 100
+    nothing = F.when(F.col("changed_precision") > 0, 100.0).otherwise(0.0)
+    return out.select("case", "queries", "plain_precision", "changed_precision", F.when(F.col("plain_precision") == 0, nothing).otherwise(gain).alias("gain_pct"), "new_rows")
+
+
 def hybrid(candidates: DataFrame, k: int = 3, alpha: float = 0.7, pool_factor: int = 3, pool_most: int = 15) -> DataFrame:
     """Mix dense and keyword scores over the best min(k * pool_factor, pool_most) dense rows of each query.
 
@@ -138,7 +156,11 @@ def rerank(candidates: DataFrame, k: int = 3) -> DataFrame:
     rank_delta is the initial minus the final rank; status PROMOTED, DEMOTED or UNCHANGED.
     """
     scored = candidates.withColumn("parts", cross_parts(F.col("query_text"), F.col("text"), F.col("section"), F.col("score")))
-    scored = scored.withColumn("rerank_score", F.col("parts.score"))
+    return placed(scored.withColumn("rerank_score", F.col("parts.score")), k)
+
+
+def placed(scored: DataFrame, k: int) -> DataFrame:
+    """The k best of each query by rerank_score, then the vector score, with their movement."""
     place = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), F.desc("score"), "rank")
     out = scored.withColumn("final_rank", F.row_number().over(place)).withColumn("rank_delta", F.col("rank") - F.col("final_rank"))
     status = F.when(F.col("rank_delta") > 0, "PROMOTED").when(F.col("rank_delta") < 0, "DEMOTED").otherwise("UNCHANGED")

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.chunking import estimated_tokens
+
 # Dollars a million tokens.
 PROMPT_RATE, COMPLETION_RATE = 0.20, 0.80
 TIERS = [("premium", 2.50, 10.00), ("economy", 0.15, 0.60), ("balanced", 3.00, 15.00)]
@@ -102,11 +104,38 @@ def cache_statistics(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def audit_records(requests: DataFrame, answer_col: str = "answer") -> DataFrame:
-    """Preview, totals, cost and what a hit saved, for requests with prompt_tokens, completion_tokens, cache_hit."""
+# What a source without a field is recorded with.
+SOURCE_DEFAULTS = {"source_document": ("string", "Unknown"), "chunk_id": ("string", "N/A"), "section": ("string", "General"), "page_number": ("int", 1), "similarity_score": ("double", 0.0)}
+
+
+def sanitised_sources(sources: Column, fields: list[str]) -> Column:
+    """Sources (an array of structs with some of the fields) as an audit record keeps them: marker (its place in brackets where there is none), document, chunk, section, page and the score to four digits; null sources are left out, other fields go."""
+
+    def one(s: Column, i: Column) -> Column:
+        marker = F.concat(F.lit("["), (i + 1).cast("string"), F.lit("]"))
+        parts = [(F.coalesce(s["marker"].cast("string"), marker) if "marker" in fields else marker).alias("marker")]
+        for name, (kind, default) in SOURCE_DEFAULTS.items():
+            value = F.coalesce(s[name].cast(kind), F.lit(default).cast(kind)) if name in fields else F.lit(default).cast(kind)
+            parts.append((F.round(value, 4) if name == "similarity_score" else value).alias(name))
+        return F.when(s.isNotNull(), F.struct(*parts))
+
+    return F.array_compact(F.transform(F.coalesce(sources, F.array()), one))
+
+
+def audit_records(requests: DataFrame, answer_col: str = "answer", question_col: str | None = None, sources_col: str | None = None) -> DataFrame:
+    """Preview, totals, cost and what a hit saved, for requests with prompt_tokens, completion_tokens, cache_hit. Missing token counts are estimated from the trimmed question and answer, where the question is named;
+    sources are sanitised, where they are."""
+    answer = F.trim(F.coalesce(F.col(answer_col), F.lit("")))
+    rows = requests
+    if question_col is not None:
+        question = F.trim(F.coalesce(F.col(question_col), F.lit("")))
+        rows = rows.withColumns({question_col: question, "prompt_tokens": F.coalesce("prompt_tokens", estimated_tokens(question)), "completion_tokens": F.coalesce("completion_tokens", estimated_tokens(answer))})
+    if sources_col is not None:
+        fields = rows.schema[sources_col].dataType.elementType.fieldNames()
+        rows = rows.withColumn(sources_col, sanitised_sources(F.col(sources_col), fields))
     cost = request_cost(F.col("prompt_tokens"), F.col("completion_tokens"))
-    short = F.when(F.length(answer_col) > 140, F.concat(F.substring(answer_col, 1, 140), F.lit("..."))).otherwise(F.col(answer_col))
-    return requests.withColumns(
+    short = F.when(F.length(answer) > 140, F.concat(F.substring(answer, 1, 140), F.lit("..."))).otherwise(answer)
+    return rows.withColumns(
         {
             "answer_preview": short,
             "total_tokens": F.col("prompt_tokens") + F.col("completion_tokens"),

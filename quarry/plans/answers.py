@@ -13,6 +13,7 @@ from quarry.operators import evaluation as E
 from quarry.operators import jsonfix as J
 from quarry.operators import usage as U
 from quarry.operators.chunking import estimated_tokens
+from quarry.operators.ledger import StageLedger
 from quarry.plans.registry import query, table
 from quarry.plans.retrieval import rounded
 from quarry.plans.texts import candidates
@@ -54,6 +55,22 @@ def pack_greedy(spark, d):
     return out.select("query_id", "used", "dropped", "truncated", F.to_json("packed").alias("packed"))
 
 
+_PARTS = f"""WITH RECURSIVE {_V}, pw AS (SELECT h.*, nw.n AS words, list_filter(regexp_split_to_array(h.text, '\\s+'), lambda x: x <> '') AS w FROM h JOIN nw ON nw.doc_id = h.id),
+pk(query_id, rank, id, used, cut, status, tokens, kept) AS (SELECT DISTINCT query_id, 0, CAST(NULL AS BIGINT), 0, false, '', 0, '' FROM pw
+ UNION ALL SELECT query_id, pw.rank, pw.id, CASE WHEN tk <= 1500 - used THEN used + tk WHEN 1500 - used > 60 AND NOT cut THEN used + greatest(1, CAST(floor(least(words, greatest(10, (1500 - used) // 2)) * 1.3) AS INTEGER)) ELSE used END, cut OR tk > 1500 - used,
+ CASE WHEN tk <= 1500 - used THEN 'included' WHEN 1500 - used > 60 AND NOT cut THEN 'cut' ELSE 'dropped' END,
+ CASE WHEN tk <= 1500 - used THEN tk WHEN 1500 - used > 60 AND NOT cut THEN greatest(1, CAST(floor(least(words, greatest(10, (1500 - used) // 2)) * 1.3) AS INTEGER)) ELSE 0 END,
+ CASE WHEN tk <= 1500 - used THEN text WHEN 1500 - used > 60 AND NOT cut THEN array_to_string(w[1:greatest(10, (1500 - used) // 2)], ' ') ELSE '' END
+ FROM pk JOIN pw USING (query_id) WHERE pw.rank = (SELECT min(x.rank) FROM pw x WHERE x.query_id = pk.query_id AND x.rank > pk.rank))
+SELECT query_id, CAST(rank AS INTEGER) AS rank, id, status, CAST(tokens AS INTEGER) AS tokens, CAST(used AS INTEGER) AS used, md5(kept) AS digest FROM pk WHERE rank > 0"""
+
+
+@query(_PARTS)
+def pack_parts(spark, d):
+    """The packing's ledger: every part with what became of it, and the text that went in."""
+    return P.pack_parts(_hits(spark, d), 1500).select("query_id", "rank", "id", "status", "tokens", "used", F.md5("text").alias("digest"))
+
+
 @query("SELECT doc_id, 'Question: ' || left(text, 40) || chr(10) || 'Source: ' || source || ' (' || lang || ')' AS prompt, greatest(0, least(2048 - 100 - length(left(text, 40)) - 450 - 50, 1500)) AS budget FROM documents")
 def prompt_render(spark, d):
     docs = table(spark, d, "documents")
@@ -91,6 +108,8 @@ def citation_extract(spark, d):
 
 #: The made answer's claim with its three markers, held against both registry texts. Letters beyond ASCII become a capital, which bounds words but is in none.
 _LETTERS = "'[\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]', 'Z', 'g'"
+#: The first of the longest runs of eight to three words.
+_RUN = "coalesce(" + ", ".join(f"list_filter(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n - 1}], ' ')), lambda x: contains(run, ' ' || x || ' '))[1]" for n in C.RUNS) + ")"
 _CLAIM = f"""a AS (SELECT doc_id, text, list_extract(regexp_split_to_array(array_to_string(regexp_split_to_array(text, '\\s+')[1:9], ' '), '[.!?]\\s+'), -1) || '. [1] It takes 6 hours to report this at all. [2, Section 4] Nothing like that was said. [9] Plain end' AS claim FROM documents),
 b AS (SELECT *, regexp_replace(lower(trim(regexp_replace(claim, '\\[[^\\]]+\\]', '', 'g'))), {_LETTERS}) AS c FROM a),
 k AS (SELECT *, list_filter(regexp_extract_all(c, '\\b[a-z0-9_\\-]{{3,}}\\b'), lambda w: NOT list_contains({C.WEAK!r}, w)) AS keys, regexp_extract_all(c, '{C.NUMBER}') AS nums, regexp_extract_all(c, '\\b[a-z0-9_\\-]+\\b') AS w FROM b),
@@ -99,8 +118,10 @@ r AS (SELECT *, len(list_filter(keys, lambda x: contains(low, x))) / greatest(1,
  ' ' || array_to_string(regexp_extract_all(regexp_replace(low, {_LETTERS}), '\\b[a-z0-9_\\-]+\\b'), ' ') || ' ' AS run FROM m),
 v AS (SELECT *, (ratio >= 0.35 AND len(list_filter(nums, lambda x: NOT contains(low, x))) = 0) OR len(list_filter(nums, lambda x: contains(low, x))) > 0
  OR len(list_filter(range(1, len(w) - 1), lambda i: contains(run, ' ' || array_to_string(w[i:i + 2], ' ') || ' '))) > 0 AS ok FROM r),
+sp AS (SELECT *, {_RUN} AS span FROM v),
 s AS (SELECT doc_id AS answer_id, 0 AS claim_no, claim, CAST(marker_no AS INTEGER) AS marker_no, marker, CASE WHEN low IS NULL THEN 'FABRICATED_MARKER' WHEN ok THEN 'VERIFIED' WHEN ratio >= 0.25 THEN 'PARTIALLY_SUPPORTED' ELSE 'UNSUPPORTED' END AS status,
- round(CASE WHEN low IS NULL THEN 0.0 WHEN ok THEN least(1.0, ratio + 0.3) ELSE ratio END, 6) AS confidence FROM v)"""
+ round(CASE WHEN low IS NULL THEN 0.0 WHEN ok THEN least(1.0, ratio + 0.3) ELSE ratio END, 6) AS confidence,
+ span, CASE WHEN span IS NOT NULL THEN CAST(len(string_split(span, ' ')) AS INTEGER) END AS span_words, CASE WHEN span IS NOT NULL THEN CAST(length(left(run, strpos(run, ' ' || span || ' ') - 1)) - length(replace(left(run, strpos(run, ' ' || span || ' ') - 1), ' ', '')) AS INTEGER) END AS span_at FROM sp)"""
 
 
 @query(f"""WITH {_CLAIM} SELECT answer_id, count(*) AS citations, count(*) FILTER (status = 'VERIFIED') AS verified, count(*) FILTER (status = 'FABRICATED_MARKER') AS fabricated, count(*) FILTER (status IN ('UNSUPPORTED', 'FABRICATED_MARKER')) AS unsupported,
@@ -328,6 +349,20 @@ def token_fold(spark, d):
     return SA.fold(SA.replay(_answers(spark, d))).select("request_id", F.md5("answer").alias("digest"), "tokens", "status")
 
 
+@query(f"""WITH {_CLAIM}, au AS (SELECT answer_id, count(*) AS citations, count(*) FILTER (status = 'VERIFIED') AS verified, count(*) FILTER (status = 'FABRICATED_MARKER') AS fabricated, count(*) FILTER (status IN ('UNSUPPORTED', 'FABRICATED_MARKER')) AS unsupported,
+round(count(*) FILTER (status = 'VERIFIED') / count(*), 6) AS citation_precision, CASE WHEN count(*) FILTER (status = 'FABRICATED_MARKER') > 0 THEN 'REJECTED' WHEN count(*) FILTER (status = 'UNSUPPORTED') > 0 THEN 'FLAGGED' ELSE 'PASS' END AS verdict FROM s GROUP BY answer_id)
+SELECT au.*, 'COMPLETE' AS status, CAST(len(string_split(array_to_string(regexp_split_to_array(text, '\\s+')[1:9], ' ') || '. [1] It takes 6 hours to report this at all. [2, Section 4] Nothing like that was said. [9] Plain end', ' ')) AS INTEGER) AS tokens, fabricated > 0 AS has_fabricated, false AS is_fallback FROM au JOIN documents ON doc_id = answer_id""")
+def stream_citation_audit(spark, d):
+    """Cited answers of all documents as events in files, every seventh event twice, read as a stream; each is audited against the sources that came first, once it is whole."""
+    folder = fresh_folder(spark, "cited-events")
+    registry = made_registry(spark, d).withColumnRenamed("answer_id", "request_id")
+    events = SA.replay_cited(made_answers(spark, d).select(F.col("answer_id").alias("request_id"), "answer"), registry)
+    again = events.filter(F.pmod(F.xxhash64("request_id", "seq"), F.lit(7)) == 0)
+    events.unionByName(again).repartition(F.xxhash64("request_id", "seq")).write.parquet(f"{folder}/in")
+    SA.audited_answers(SU.read_events(spark, f"{folder}/in"), folder, timeout_ms=0).awaitTermination()
+    return rounded(spark.read.parquet(f"{folder}/audits").drop("batch"), "citation_precision")
+
+
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_hourly(spark, d):
     events = SU.read_events(spark, f"{d}/events.parquet", f"{d}/events.parque[t]")  # a glob, since the table may be one file
@@ -338,6 +373,28 @@ def stream_hourly(spark, d):
 @query()
 def question_runs(spark, d):
     """Retrieval, gate, packing, a stand-in generator and the citation audit in one plan."""
+    return rounded(_run(spark, d), "citation_precision")
+
+
+_STAGES = f"""WITH {_V}, e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+t AS (SELECT h.*, list_cosine_similarity(a.v, b.v) AS score FROM h JOIN e a ON a.vec_id = h.query_id JOIN e b ON b.vec_id = h.id WHERE h.query_id IN (SELECT doc_id FROM documents)),
+g AS (SELECT query_id, max(score) AS top, count(*) FILTER (score >= 0.3) AS good FROM t GROUP BY 1),
+w AS (SELECT t.*, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS nth, sum(tk) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM t JOIN g USING (query_id) WHERE score >= 0.3 AND top >= 0.3 AND good >= 1),
+p AS (SELECT * FROM w WHERE rank = 1 OR used <= 1500)
+SELECT 'retrieve' AS stage, count(*) AS rows, CAST(sum(tk) AS BIGINT) AS tokens, true AS timed FROM t UNION ALL SELECT 'gate', count(*), CAST(sum(tk) AS BIGINT), true FROM w
+UNION ALL SELECT 'pack', count(*), CAST(sum(tk) AS BIGINT), true FROM p"""
+
+
+@query(_STAGES)
+def stage_ledger(spark, d):
+    """Rows and tokens of the first stages of question_runs, observed while they run; seconds are measured, so only that there are any is compared."""
+    ledger = StageLedger()
+    _run(spark, d, ledger)
+    rows = ledger.rows(spark).filter("stage IN ('retrieve', 'gate', 'pack')")
+    return rows.select("stage", "rows", "tokens", (F.col("latency_seconds") > 0).alias("timed"))
+
+
+def _run(spark, d, ledger=None):
     from quarry.operators.pipeline import answer_questions, extractive_generator
     from quarry.plans.retrieval import asks, corpus
     from quarry.plans.texts import question_texts
@@ -345,5 +402,4 @@ def question_runs(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("source_document"))
     rows = corpus(spark, d).join(docs, "id").withColumns({"section": F.col("label").cast("string"), "page_number": F.lit(1)})
     questions = asks(spark, d).join(question_texts(spark, d).withColumnRenamed("query_text", "question"), "query_id")
-    out = answer_questions(questions, rows, extractive_generator, k=5, min_similarity=0.3, skip_own=True)
-    return rounded(out, "citation_precision")
+    return answer_questions(questions, rows, extractive_generator, k=5, min_similarity=0.3, skip_own=True, ledger=ledger)

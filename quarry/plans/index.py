@@ -18,6 +18,8 @@ from quarry.plans.texts import _CC, _CW, _EST, _NW, docs
 from quarry.session import fresh_folder
 from quarry.sources import collections as L
 from quarry.sources import tables as S
+from quarry.streaming import usage as SU
+from quarry.streaming.uploads import UploadIndex
 
 #: Documents as loosely described chunks: paths of three extensions, some without a file name, section, page or strategy.
 _LOOSE = """ch AS (SELECT doc_id, text, 'corpus/' || coalesce(source, 'none') || CASE doc_id % 3 WHEN 0 THEN '.txt' WHEN 1 THEN '.tar.pdf' ELSE '' END AS source, CASE WHEN doc_id % 5 = 0 THEN 'named-' || doc_id || '.md' WHEN doc_id % 5 = 1 THEN '' END AS filename,
@@ -129,11 +131,12 @@ def boundary_preservation(spark, d):
     return H.boundary_preservation(docs(spark, d), 100, 25)
 
 
-@query("""WITH g AS (SELECT w, s, o, k FROM (VALUES (8192), (4096)) a(w), (VALUES (300, 50), (500, 100)) b(s, o), (VALUES (4), (10)) c(k))
-SELECT w, s, o, k, k * s AS retrieved, k * s + 1724 AS used, w - k * s - 1724 AS headroom, round((k * s + 1724) / w * 100, 1) AS utilisation_pct, round(o / (s - o) * 100, 1) AS overhead_pct FROM g""")
+@query(f"""WITH {_CW}, n AS (SELECT doc_id, CAST(max(total_chunks) AS INTEGER) AS k FROM cw GROUP BY 1), g AS (SELECT * FROM n, (VALUES (8192), (4096)) a(w))
+SELECT doc_id, CAST(w AS INTEGER) AS w, k, k * 300 AS retrieved, k * 300 + 1724 AS used, CAST(w - k * 300 - 1724 AS INTEGER) AS headroom, round((k * 300 + 1724) / w * 100, 1) AS utilisation_pct, round(50 / 250 * 100, 1) AS overhead_pct FROM g""")
 def window_budget(spark, d):
-    grid = spark.createDataFrame([(w, s, o, k) for w in (8192, 4096) for s, o in ((300, 50), (500, 100)) for k in (4, 10)], "w int, s int, o int, k int")
-    return grid.select("*", H.window_budget(*map(F.col, "wsok")).alias("b")).select("w", "s", "o", "k", "b.*")
+    """What is left of two models' windows if all chunks of a document are retrieved."""
+    whole = H.word_windows(docs(spark, d), 300, 50).filter("chunk_index = 0").select("doc_id", F.col("total_chunks").alias("k"), F.explode(F.array(F.lit(8192), F.lit(4096))).alias("w"))
+    return whole.select("doc_id", "w", "k", H.window_budget(F.col("w"), F.lit(300), F.lit(50), F.col("k")).alias("b")).select("doc_id", "w", "k", "b.*")
 
 
 _ACC = """ca AS (SELECT doc_id, list_extract(regexp_split_to_array(array_to_string(regexp_split_to_array(text, '\\s+')[1:9], ' '), '[.!?]\\s+'), -1) || '.' AS s1, lower(text) AS low FROM documents),
@@ -253,11 +256,33 @@ def audit_round_trip(spark, d):
     return back.agg(F.count("*").alias("requests"), F.count_if(F.col("status") == "error").alias("errors"), F.sum("prompt_tokens").alias("prompt_tokens"), F.max(F.col("request_id").cast("long")).alias("last"))
 
 
-@query("""WITH c AS (SELECT query_id, t FROM (SELECT doc_id AS query_id, unnest([1, 2, 3, 4, 5]) AS t FROM documents)) SELECT query_id, t AS k, CASE t WHEN 1 THEN 'MISSING_NAME' WHEN 2 THEN 'UNSUPPORTED_FORMAT' WHEN 3 THEN 'EMPTY_FILE' WHEN 4 THEN 'BAD_OVERLAP' END AS problem FROM c""")
+@query("""WITH u AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN ' ' WHEN 1 THEN lang || doc_id || '.exe' WHEN 2 THEN lang || '.MD' WHEN 3 THEN doc_id || '.tar.html' WHEN 4 THEN 'none' ELSE lang || '.txt' END AS name,
+ CASE WHEN doc_id % 7 = 3 THEN 0 ELSE strlen(text) * CASE WHEN doc_id % 11 = 5 THEN 20000 ELSE 1 END END AS size, CAST(n_chars AS BIGINT) AS chunk, doc_id % 90 - 5 AS lap FROM documents)
+SELECT doc_id, name, CASE WHEN trim(name) = '' THEN 'MISSING_NAME' WHEN NOT list_contains(['.txt', '.md', '.markdown', '.html', '.htm', '.pdf'], lower(regexp_extract(name, '(\\.[^.]+)$', 1))) THEN 'UNSUPPORTED_FORMAT' WHEN size = 0 THEN 'EMPTY_FILE' WHEN size > 10485760 THEN 'TOO_LARGE'
+ WHEN chunk < 50 OR chunk > 2000 THEN 'BAD_CHUNK_SIZE' WHEN lap < 0 OR lap >= chunk THEN 'BAD_OVERLAP' END AS problem FROM u""")
 def upload_checks(spark, d):
+    """Every document as an upload: its bytes are the size, its characters the chunk size asked for; names and overlaps follow from its id."""
     from quarry.sources.files import upload_problem
 
-    forms = [(1, " ", 5, 10), (2, "a.exe", 5, 10), (3, "a.txt", 0, 10), (4, "a.md", 5, 400), (5, "b.html", 5, 10)]
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(n).alias("n"), F.lit(s).alias("s"), F.lit(o).alias("o")) for k, n, s, o in forms))).alias("f")
-    rows = docs(spark, d).select(F.col("doc_id").alias("query_id"), each)
-    return rows.select("query_id", "f.k", upload_problem(F.col("f.n"), F.col("f.s"), F.lit(300), F.col("f.o")).alias("problem"))
+    i = F.col("doc_id")
+    name = F.when(i % 6 == 0, " ").when(i % 6 == 1, F.concat("lang", i.cast("string"), F.lit(".exe"))).when(i % 6 == 2, F.concat("lang", F.lit(".MD"))).when(i % 6 == 3, F.concat(i.cast("string"), F.lit(".tar.html"))).when(i % 6 == 4, "none").otherwise(F.concat("lang", F.lit(".txt")))
+    size = F.when(i % 7 == 3, 0).otherwise(F.octet_length("text") * F.when(i % 11 == 5, 20000).otherwise(1))
+    rows = docs(spark, d).select("doc_id", name.alias("name"), size.alias("size"), (i % 90 - 5).alias("lap"), F.col("n_chars").alias("chunk"))
+    return rows.select("doc_id", "name", upload_problem(F.col("name"), F.col("size"), F.col("chunk"), F.col("lap")).alias("problem"))
+
+
+UPLOAD_DIMENSION = 64
+
+
+@query()
+def upload_to_searchable(spark, d):
+    """The pages as uploaded files, streamed through checks, loading, cleaning, chunking and embedding into a keyed table that is searched at once: every twentieth page's first chunk has to find a record with its text."""
+    index = UploadIndex(spark, fresh_folder(spark, "upload-index"), I.hashing_embedder(UPLOAD_DIMENSION), UPLOAD_DIMENSION)
+    pages = SU.read_events(spark, f"{d}/pages.parquet", f"{d}/pages.parque[t]")  # a glob, since the table may be one file
+    uploads = pages.select(F.concat(F.lit("page "), F.col("page_id").cast("string"), F.lit(".html")).alias("filename"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"))
+    index.stream(uploads, fresh_folder(spark, "upload-checkpoint")).awaitTermination()
+    records = index.records.read()
+    asked = records.filter("chunk_index = 0 AND pmod(CAST(regexp_extract(filename, '([0-9]+)', 1) AS BIGINT), 20) = 0").select("filename", F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"), F.col("document").alias("said"))
+    hits = index.search(asked, 1, carry=("said",)).select("query_id", (F.col("document") == F.col("said")).alias("found"))
+    found = asked.select("filename", "query_id").join(hits, "query_id", "left").select("filename", F.coalesce("found", F.lit(False)).alias("found"))
+    return index.ledger.read().join(found, "filename", "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import cleaning as C
@@ -13,6 +13,7 @@ from quarry.operators import cleaning as CO
 from quarry.operators import ingest as I
 from quarry.operators import retrieval as R
 from quarry.operators.keywords import KeywordIndex
+from quarry.operators.lookups import pages_of, sections_of
 from quarry.plans.registry import query, table
 from quarry.session import stored
 from quarry.plans.retrieval import ASKING, asks, corpus, rounded
@@ -148,6 +149,33 @@ def rank_movement(spark, d):
     return R.rank_movement(c, R.hybrid(c, k=5, alpha=0.65), 5)
 
 
+_CASES = f"""{_hybrid_sql(9, 3, 0.6)}, hm8 AS (SELECT *, 0.8 * dense_score + (1 - 0.8) * keyword_score AS h8 FROM hp), hr8 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY h8 DESC, dense_rank) AS r8 FROM hm8),
+df AS (SELECT dp.*, q.label AS ql FROM dp JOIN embeddings q ON q.vec_id = dp.query_id), fo AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM df WHERE label = ql),
+fs AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM df WHERE label IN (1, 2, 3)), dh AS (SELECT dr.* FROM dr JOIN documents ON doc_id = dr.id),
+x AS (SELECT 'filter_own_label' AS kase, 0 AS side, query_id, id FROM dr WHERE rank <= 3 UNION ALL SELECT 'filter_own_label', 1, query_id, id FROM fo WHERE n <= 3 UNION ALL SELECT 'filter_scope', 0, query_id, id FROM dr WHERE rank <= 2
+ UNION ALL SELECT 'filter_scope', 1, query_id, id FROM fs WHERE n <= 2 UNION ALL SELECT 'hybrid_60', 0, query_id, id FROM dh WHERE rank <= 3 UNION ALL SELECT 'hybrid_60', 1, query_id, id FROM hr WHERE rank <= 3
+ UNION ALL SELECT 'hybrid_80', 0, query_id, id FROM dh WHERE rank <= 3 UNION ALL SELECT 'hybrid_80', 1, query_id, id FROM hr8 WHERE r8 <= 3),
+y AS (SELECT kase, side, query_id, avg(CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END) AS share FROM x JOIN embeddings a ON a.vec_id = x.query_id JOIN embeddings b ON b.vec_id = x.id GROUP BY 1, 2, 3),
+m AS (SELECT a.kase, count(*) AS queries, avg(a.share) AS pa, avg(coalesce(b.share, 0)) AS pb FROM y a LEFT JOIN y b ON b.kase = a.kase AND b.query_id = a.query_id AND b.side = 1 WHERE a.side = 0 GROUP BY 1),
+w AS (SELECT c.kase, count(*) AS new_rows FROM x c LEFT JOIN x p ON p.kase = c.kase AND p.side = 0 AND p.query_id = c.query_id AND p.id = c.id WHERE c.side = 1 AND p.id IS NULL GROUP BY 1)
+SELECT m.kase AS "case", queries, round(pa, 6) AS plain_precision, round(pb, 6) AS changed_precision, round(CASE WHEN pa = 0 THEN CASE WHEN pb > 0 THEN 100.0 ELSE 0.0 END ELSE (pb - pa) / pa * 100 END, 4) AS gain_pct, coalesce(new_rows, 0) AS new_rows FROM m LEFT JOIN w USING (kase)"""
+
+
+@query(_CASES)
+def precision_cases(spark, d):
+    """Two filters and two hybrid mixtures against the plain ranking."""
+    top = lambda k, **more: R.top_k(asks(spark, d), corpus(spark, d), k, skip_own=True, carry=("query_label",), **more)
+    dense = candidates(spark, d, 15).join(asks(spark, d).select("query_id", "query_label"), "query_id")
+    near = dense.filter("rank <= 3")
+    cases = {
+        "filter_own_label": (top(3), top(3, match=("query_label", "label"))),
+        "filter_scope": (top(2), top(2, where=F.col("label").isin(1, 2, 3))),
+        "hybrid_60": (near, R.hybrid(dense, k=3, alpha=0.6)),
+        "hybrid_80": (near, R.hybrid(dense, k=3, alpha=0.8)),
+    }
+    return rounded(rounded(R.precision_cases(cases, F.col("label") == F.col("query_label")), "plain_precision", "changed_precision"), "gain_pct", n=4)
+
+
 #: Letters beyond ASCII become underscores, since only ASCII letters bound words here.
 _ASCII = "regexp_replace(lower(text), '[\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]', '_', 'g')"
 _ENT = "list_sort(list_distinct(list_concat(" + ", ".join(f"regexp_extract_all({_ASCII}, '{p}')" for p in K.ENTITIES) + ")))"
@@ -238,11 +266,42 @@ def active_section(spark, d):
     return rows.select("doc_id", "off", H.active_section(F.col("s"), F.col("off")).alias("section"))
 
 
-@query("""WITH o AS (SELECT doc_id, unnest([0, 50, 101, 150, 400]) AS off FROM documents)
-SELECT doc_id, off, CASE WHEN off BETWEEN 0 AND 100 THEN 1 WHEN off BETWEEN 102 AND 200 THEN 2 WHEN off > 200 THEN 2 ELSE 1 END AS page FROM o""")
+@query(f"""WITH {_SECTIONS}, {_CC} SELECT doc_id, chunk_index, char_start, (SELECT arg_max(title, i) FROM se WHERE se.doc_id = cc.doc_id AND se."offset" <= cc.char_start) AS section FROM cc""")
+def chunk_sections(spark, d):
+    """Chunks and sections as two tables, joined as of the chunk's start; the sections are those of the framed text, so that places fall before, on and after headings."""
+    text = F.concat(F.lit("# Head\n"), F.col("text"), F.lit("\nSection 2: Scope\n1.2. Terms of use\n"))
+    found = docs(spark, d).select("doc_id", F.posexplode(H.sections(text)).alias("position", "s")).select("doc_id", "position", "s.offset", "s.title")
+    chunks = H.chunk_chars(docs(spark, d), 300, 60).select("doc_id", "chunk_index", "char_start")
+    return sections_of(chunks, found)
+
+
+@query(f"""WITH {_CC}, li AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), lu AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM li),
+pg AS (SELECT doc_id, i AS page, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS a, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 2 AS b FROM lu),
+pl AS (SELECT doc_id, arg_max(page, i) AS last, max(b) AS e FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY b, a) AS i FROM pg WHERE a <= b) GROUP BY 1)
+SELECT cc.doc_id, chunk_index, char_start, CAST(coalesce((SELECT min(page) FROM pg WHERE pg.doc_id = cc.doc_id AND a <= char_start AND char_start <= b), CASE WHEN char_start > e THEN last END, 1) AS INTEGER) AS page_number FROM cc LEFT JOIN pl USING (doc_id)""")
+def chunk_pages(spark, d):
+    """Chunks and pages as two tables; every line is a page, and a line break lies between two."""
+    lines = docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    upto = F.sum(F.length("line") + 1).over(Window.partitionBy("doc_id").orderBy("i"))
+    pages = lines.select("doc_id", (F.col("i") + 1).alias("page"), (upto - F.length("line") - 1).alias("start"), (upto - 2).alias("end")).filter("start <= end")
+    return pages_of(H.chunk_chars(docs(spark, d), 300, 60).select("doc_id", "chunk_index", "char_start"), pages)
+
+
+@query("""WITH li AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents), lu AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM li),
+pg AS (SELECT doc_id, i AS page, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS a, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 2 AS b FROM lu),
+o AS (SELECT doc_id, unnest([0, 50, 101, length(text) // 2, length(text) + 400]) AS off FROM documents), e AS (SELECT doc_id, max(page) AS last, max(b) AS z FROM pg GROUP BY 1)
+SELECT doc_id, CAST(off AS INTEGER) AS off, CAST(coalesce((SELECT min(page) FROM pg WHERE pg.doc_id = o.doc_id AND a <= off AND off <= b), CASE WHEN off > z THEN last END, 1) AS INTEGER) AS page FROM o JOIN e USING (doc_id)""")
 def page_lookup(spark, d):
-    page = lambda p, a, b: F.struct(F.lit(p).alias("page"), F.lit(a).alias("start"), F.lit(b).alias("end"))
-    rows = docs(spark, d).select("doc_id", F.array(page(1, 0, 100), page(2, 102, 200)).alias("b"), F.explode(F.array(*map(F.lit, (0, 50, 101, 150, 400)))).alias("off"))
+    """Five places of every document in pages held as an array: each line is a page."""
+    lines = F.split("text", "\n")
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<page:int,start:int,end:int>>").alias("found"))
+
+    def add(acc, line):
+        page = F.struct((F.size(acc["found"]) + 1).alias("page"), acc["at"].alias("start"), (acc["at"] + F.length(line) - 1).alias("end"))
+        return F.struct((acc["at"] + F.length(line) + 1).alias("at"), F.array_append(acc["found"], page).alias("found"))
+
+    places = F.array(*map(F.lit, (0, 50, 101)), F.floor(F.length("text") / 2).cast("int"), F.length("text") + 400)
+    rows = docs(spark, d).select("doc_id", F.aggregate(lines, start, add, lambda acc: acc["found"]).alias("b"), F.explode(places).alias("off"))
     return rows.select("doc_id", "off", H.page_of(F.col("off"), F.col("b")).alias("page"))
 
 
@@ -272,8 +331,9 @@ def chunk_overlap_chars(spark, d):
     return H.overlaps(H.chunk_chars(docs(spark, d), 300, 60), 20)
 
 
-@query(f"""WITH {_CC} SELECT doc_id, doc_id || '_fixed_' || lpad(CAST(chunk_index AS VARCHAR), 3, '0') AS chunk_id, true AS file_exists, 1.0 AS similarity_score, true AS is_verified,
-CAST(least(length(text), char_end + 120) - greatest(0, char_start - 120) AS INTEGER) AS context_chars FROM cc JOIN documents USING (doc_id)""")
+@query(f"""WITH {_CC} SELECT doc_id, doc_id || '_fixed_' || lpad(CAST(chunk_index AS VARCHAR), 3, '0') AS chunk_id, text IS NOT NULL AS file_exists, coalesce(score, 0.0) AS similarity_score, coalesce(score, 0.0) > 0 AS is_verified, context_chars
+FROM (SELECT doc_id, chunk_index, text, CASE WHEN contains(trim(regexp_replace(substr(text, char_start + 1, char_end - char_start), '\\s+', ' ', 'g')), trim(regexp_replace(content, '\\s+', ' ', 'g'))) THEN 1.0 WHEN contains(text, left(content, 50)) THEN 0.95 ELSE 0.0 END AS score,
+CAST(least(length(text), char_end + 120) - greatest(0, char_start - 120) AS INTEGER) AS context_chars FROM cc LEFT JOIN documents USING (doc_id))""")
 def trace(spark, d):
     return H.trace(H.chunk_chars(docs(spark, d), 300, 60), docs(spark, d))
 

@@ -139,12 +139,42 @@ def load_documents(files: DataFrame) -> DataFrame:
         F.when(F.col("kind").isNull(), "UNSUPPORTED_FORMAT")
         .when(F.col("length") == 0, "EMPTY_FILE")
         .when(F.col("parse_error").isNotNull(), F.col("parse_error"))
-        .when(F.trim(F.coalesce("text", F.lit(""))) == "", "EMPTY_CONTENT")
+        .when(~F.rlike(F.coalesce("text", F.lit("")), F.lit(r"\S")), "EMPTY_CONTENT")
     )
     words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
     return rows.withColumns({"error_type": error, "char_count": F.length("text"), "word_count": words}).drop("parse_error")
 
 
+def in_path_order(files: DataFrame) -> DataFrame:
+    """Files with their `position` in the order of their lower-cased paths, counted from 0; numbered inside ranges, not in one task."""
+    from quarry.operators.ingest import running_index
+
+    return running_index(files, [F.lower("path"), F.col("path")], "position")
+
+
+#: What a strict load raises for an error type; a parser's own errors are a ValueError.
+STRICT = {"UNSUPPORTED_FORMAT": NotImplementedError, "EMPTY_FILE": ValueError, "EMPTY_CONTENT": ValueError, "PARSER_UNAVAILABLE": ImportError}
+
+
+def load_file(spark: SparkSession, path: str) -> DataFrame:
+    """One file as a document (one row), or an error: FileNotFoundError, NotImplementedError for its format, ImportError without a parser, ValueError where it is empty or can't be read."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        rows = load_documents(scan_folder(spark, path, recursive=False)).collect()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        rows = []
+    if not rows:
+        raise FileNotFoundError(path)
+    if len(rows) > 1:
+        raise IsADirectoryError(path)
+    if problem := rows[0]["error_type"]:
+        raise STRICT.get(problem, ValueError)(f"{path}: {problem}")
+    return load_documents(scan_folder(spark, path, recursive=False))
+
+
 def intake(loaded: DataFrame) -> DataFrame:
     ok = F.col("error_type").isNull()
     return loaded.agg(

@@ -7,6 +7,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from quarry.operators import citations as C
+from quarry.session import stored
 
 FOLDED = "request_id long, answer string, tokens int, status string"
 
@@ -67,3 +71,90 @@ def fold_stream(events: DataFrame, timeout_ms: int = 600_000) -> DataFrame:
 
     kind = "ProcessingTimeTimeout" if timeout_ms else "NoTimeout"
     return events.groupBy("request_id").applyInPandasWithState(step, FOLDED, "seqs array<int>, payloads array<string>, finish int", "append", kind)
+
+
+CITED = "request_id long, answer string, tokens int, status string, sources string"
+SOURCES = "array<struct<rank:int,marker:string,filename:string,id:long,text:string>>"
+
+
+def replay_cited(answers: DataFrame, registry: DataFrame) -> DataFrame:
+    """Answers (request_id, answer) as events whose first one, `sources`, carries the registry (request_id, rank, marker, filename, id, text) as JSON."""
+    own = registry.groupBy("request_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("rank", "marker", "filename", "id", "text")))).alias("json"))
+    events = replay(answers).join(own, "request_id", "left")
+    payload = F.when(F.col("event") == "sources", F.coalesce("json", F.lit("[]"))).otherwise(F.col("payload"))
+    return events.select("request_id", "seq", "event", payload.alias("payload"))
+
+
+def _cited_step(key, frames: Iterator[pd.DataFrame], state, timeout_ms: int) -> Iterator[pd.DataFrame]:
+    columns = [c.split()[0] for c in CITED.split(", ")]
+
+    def row(parts: dict[int, str], sources: str, status: str) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], "".join(parts[s] for s in sorted(parts)).strip(), len(parts), status, sources)], columns=columns)
+
+    if state.hasTimedOut:
+        seqs, payloads, _, sources, emitted = state.get
+        state.remove()
+        if not emitted:
+            yield row(dict(zip(seqs, payloads, strict=True)), sources, "OPEN")
+        return
+    seqs, payloads, end, sources, emitted = state.get if state.exists else ([], [], 0, "", False)
+    if emitted:  # a repeated or late event of an answer that is out
+        return
+    parts, failed = dict(zip(seqs, payloads, strict=True)), False
+    for f in frames:
+        for s, e, p in zip(f["seq"], f["event"], f["payload"], strict=True):
+            if e == "token":
+                parts[int(s)] = p
+            elif e == "sources":
+                sources = p
+            elif e in ("done", "error"):
+                end, failed = int(s), failed or e == "error"
+    whole = end > 0 and len(parts) >= end - 1 and sources != ""
+    if failed or whole:
+        yield row(parts, sources, "ERROR" if failed else "COMPLETE")
+        state.update(([], [], end, "", True))
+    else:
+        state.update((list(parts), list(parts.values()), end, sources, False))
+    if timeout_ms:
+        state.setTimeoutDuration(timeout_ms)
+
+
+def fold_cited(events: DataFrame, timeout_ms: int = 600_000) -> DataFrame:
+    """Streaming form of cited answers: state holds the sources beside the tokens, and an answer leaves once `done` has come and nothing before it is missing.
+
+    Events may come late, in any order and more than once: they count by their number, and what comes after the answer has left is passed over until the state expires. With a timeout an answer that
+    stays unfinished leaves as OPEN; 0 is for inputs that end, run with availableNow, where unfinished answers stay in the state.
+    """
+
+    def step(key, frames, state):
+        return _cited_step(key, frames, state, timeout_ms)
+
+    kind = "ProcessingTimeTimeout" if timeout_ms else "NoTimeout"
+    return events.groupBy("request_id").applyInPandasWithState(step, CITED, "seqs array<int>, payloads array<string>, finish int, sources string, emitted boolean", "append", kind)
+
+
+def audit_cited(folded: DataFrame) -> DataFrame:
+    """The citation audit of folded answers against the sources that came with them: audit's columns, status, and whether markers are fabricated and the answer is a fallback.
+
+    An answer is a fallback without sources, or if it refuses and cites nothing. Answers that are open or ended in an error aren't audited: their counts are null.
+    """
+    answers = folded.withColumnRenamed("request_id", "answer_id")
+    done = answers.filter("status = 'COMPLETE'")
+    listed = F.from_json("sources", SOURCES)
+    registry = done.select("answer_id", F.explode(listed).alias("s")).select("answer_id", "s.*")
+    audited = C.audit(done, C.verify(C.resolve(C.extract_claims(done), registry)))
+    fallback = (F.coalesce(F.size(listed), F.lit(0)) <= 0) | (C.is_refusal(F.col("answer")) & (F.col("citations") == 0))
+    return answers.join(audited, "answer_id", "left").select(
+        "answer_id", "status", "tokens", "citations", "verified", "fabricated", "unsupported", "citation_precision", "verdict", (F.col("fabricated") > 0).alias("has_fabricated"), F.when(F.col("status") == "COMPLETE", fallback).alias("is_fallback")
+    )
+
+
+def audited_answers(events: DataFrame, folder: str, timeout_ms: int = 600_000) -> StreamingQuery:
+    """Fold a stream of answer events and audit each micro-batch's finished answers; a batch writes its own folder under `folder`/audits, so that one that runs again replaces it."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        folded = stored(batch, "cited-batch")  # the audit reads it more than once; the state is stepped forward once
+        audit_cited(folded).write.mode("overwrite").parquet(f"{folder}/audits/batch={epoch}")
+
+    writer = fold_cited(events, timeout_ms).writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint")
+    return (writer if timeout_ms else writer.trigger(availableNow=True)).start()

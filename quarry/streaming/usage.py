@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators.ingest import upsert
 from quarry.session import fresh_folder
+from quarry.sources.keyed import KeyedTable, newest
 
 
 def hourly(events: DataFrame, lateness: str = "2 hours") -> DataFrame:
@@ -42,30 +42,20 @@ def read_events(spark: SparkSession, path: str, glob: str | None = None) -> Data
 
 
 def upsert_stream(files: DataFrame, folder: str, checkpoint: str, build, key: str = "id"):
-    """Upsert what `build` makes of each micro-batch (with a `version`) into a table that is written anew as folder/version=<batch>; `latest` reads it.
+    """Upsert what `build` makes of each micro-batch (with a `version`) into a keyed table; `latest` reads it.
 
-    A batch reads the version before its own and writes its own whole, so that a batch that runs again gives the same table.
+    A batch writes its own change file and nothing else; one that runs again replaces it.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        old = latest(batch.sparkSession, folder, before=epoch)
-        new = build(batch)
-        merged = upsert(new.limit(0) if old is None else old, new, key)
-        merged.write.mode("overwrite").parquet(f"{folder}/version={epoch:09d}")
+        KeyedTable(batch.sparkSession, folder, key).write(epoch, newest(build(batch), key))
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
-    """The last finished version of a table of upsert_stream; None before the first."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    done = [f.getPath() for f in fs.listStatus(path) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
-    names = sorted((p.getName(), p.toString()) for p in done)
-    names = [p for n, p in names if before is None or int(n.partition("=")[2]) < before]
-    return spark.read.parquet(names[-1]) if names else None
+def latest(spark: SparkSession, folder: str, key: str = "id") -> DataFrame | None:
+    """The rows of a table of upsert_stream; None before the first batch."""
+    return KeyedTable(spark, folder, key).read()
 
 
 def ingest_stream(files: DataFrame, index_path: str, checkpoint: str, build):
