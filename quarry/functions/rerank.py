@@ -35,7 +35,7 @@ def entities(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Stretches that end in . ! ? or a line break, of more than 10 characters."""
-    parts = F.transform(F.split(text, r"(?<=[.!?\n])\s+"), F.trim)
+    parts = F.transform(F.split(text, r"(?<=[.!?\n])\s+"), lambda s: F.trim(s))
     return F.filter(parts, lambda s: F.length(s) > 10)
 
 
