@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +20,10 @@ class StageLedger:
     def __init__(self):
         self._rows: list[tuple[str, int, int, float]] = []
 
-    def stage(self, name: str, rows: DataFrame, token_col: str | None = None) -> DataFrame:
+    def stage(self, name: str, rows: DataFrame | Callable[[], DataFrame], token_col: str | None = None) -> DataFrame:
+        """The stage's rows, stored; a function that makes them belongs to the stage's time."""
         seen, began = Observation(f"{name}-{len(self._rows)}"), time.perf_counter()
+        rows = rows() if callable(rows) else rows
         tokens = F.coalesce(F.sum(token_col), F.lit(0)).cast("long") if token_col else F.lit(0).cast("long")
         out = stored(rows.observe(seen, F.count(F.lit(1)).alias("rows"), tokens.alias("tokens")), f"stage-{name}")
         found = seen.get
