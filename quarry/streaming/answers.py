@@ -2,66 +2,125 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quarry.operators import citations as C
-from quarry.session import stored
+from quarry.operators.chunking import unnested
+from quarry.session import ship_package, stored
 
 FOLDED = "request_id long, answer string, tokens int, status string"
 
 
 def replay(answers: DataFrame) -> DataFrame:
-    """An answer as the events of a stream: sources, its tokens (all but the first led by a blank), done."""
-    parts = F.posexplode(F.split("answer", " ")).alias("pos", "piece")
-    tokens = answers.select("request_id", parts)
-    tokens = tokens.select("request_id", (F.col("pos") + 1).alias("seq"), F.lit("token").alias("event"), F.when(F.col("pos") > 0, F.concat(F.lit(" "), "piece")).otherwise(F.col("piece")).alias("payload"))
-    first = answers.select("request_id", F.lit(0).alias("seq"), F.lit("sources").alias("event"), F.lit("").alias("payload"))
-    last = answers.select("request_id", (F.size(F.split("answer", " ")) + 1).alias("seq"), F.lit("done").alias("event"), F.lit("").alias("payload"))
-    return first.unionByName(tokens).unionByName(last)
+    """An answer as the events of a stream: sources, its tokens (all but the first led by a blank), done. Its events stand beside each other, in order."""
+    event = lambda name, payload: F.struct(F.lit(name).alias("event"), payload.alias("payload"))
+    pieces = F.coalesce(F.split("answer", " "), F.array().cast("array<string>"))
+    tokens = F.transform(pieces, lambda p, i: event("token", F.when(i > 0, F.concat(F.lit(" "), p)).otherwise(p)))
+    events = F.concat(F.array(event("sources", F.lit(""))), tokens, F.array(event("done", F.lit(""))))
+    return unnested(answers.select("request_id", events.alias("events")), "events", "seq", "e", "request_id").select("request_id", "seq", "e.event", "e.payload")
+
+
+RUNS = "request_id {}, seq int, event string, payload string, sizes array<int>"
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbouring tokens of a request whose numbers follow each other as one row: the first one's number, their texts put together, and the characters of each."""
+    for batch in batches:
+        rows = batch.num_rows
+        ids, seq = batch.column("request_id"), pc.fill_null(batch.column("seq"), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        token = pc.fill_null(pc.equal(batch.column("event"), "token"), False).to_numpy(zero_copy_only=False) & batch.column("payload").is_valid().to_numpy(zero_copy_only=False)
+        same = pc.fill_null(pc.equal(ids.slice(1), ids.slice(0, max(0, rows - 1))), False).to_numpy(zero_copy_only=False)
+        follows = np.concatenate([[False], same & token[1:] & token[:-1] & (seq[1:] == seq[:-1] + 1)]) if rows else np.zeros(0, bool)
+        first = np.flatnonzero(~follows)
+        ends = pa.array(np.append(first, rows).astype(np.int32))
+        payload = batch.column("payload")
+        text = pc.binary_join(pa.ListArray.from_arrays(ends, pc.fill_null(payload, "")), "")
+        sizes = pa.ListArray.from_arrays(ends, pc.fill_null(pc.utf8_length(payload), 0))
+        at = pa.array(first)
+        alone = pa.array(token[first])
+        yield pa.RecordBatch.from_arrays(
+            [ids.take(at), batch.column("seq").take(at), batch.column("event").take(at), pc.if_else(alone, text, payload.take(at)), pc.if_else(alone, sizes, pa.scalar(None, sizes.type))], ["request_id", "seq", "event", "payload", "sizes"]
+        )
+
+
+def runs_of(events: DataFrame) -> DataFrame:
+    """Events (request_id, seq, event, payload) with runs of tokens put together where they stand in order, before anything is shuffled; `sizes` cuts a run into its tokens again."""
+    ship_package(events.sparkSession)
+    kind = events.schema["request_id"].dataType.simpleString()
+    return events.select("request_id", F.col("seq").cast("int").alias("seq"), "event", "payload").mapInArrow(_runs, RUNS.format(kind))
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """Batch form: each request's answer from its tokens in order, and COMPLETE, ERROR or OPEN."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("event") == "token", F.struct("seq", "payload")))), lambda x: x["payload"]), "")
+    """Batch form: each request's answer from its tokens in order, and COMPLETE, ERROR or OPEN.
+
+    Runs of tokens are shuffled, not tokens; runs of a request that overlap (repeated numbers) are cut into tokens and ordered one by one.
+    """
+    token = F.col("event") == "token"
+    parts = F.array_sort(F.collect_list(F.when(token, F.struct("seq", "payload", "sizes"))))
     has = lambda e: F.max((F.col("event") == e).cast("int")) == 1
     status = F.when(has("error"), "ERROR").when(has("done"), "COMPLETE").otherwise("OPEN")
-    return events.groupBy("request_id").agg(text.alias("answer"), F.count_if(F.col("event") == "token").cast("int").alias("tokens"), status.alias("status"))
+    per = runs_of(events).groupBy("request_id").agg(parts.alias("parts"), F.sum(F.when(token, F.coalesce(F.size("sizes"), F.lit(1))).otherwise(0)).cast("int").alias("tokens"), status.alias("status"))
+    overlap = F.exists(F.sequence(F.lit(1), F.size("parts")), lambda i: F.get("parts", i)["seq"] < F.get("parts", i - 1)["seq"] + F.size(F.get("parts", i - 1)["sizes"]))
+
+    def tokens_of(run):
+        start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<seq:int,payload:string>>").alias("found"))
+
+        def add(acc, n):
+            piece = F.struct((run["seq"] + F.size(acc["found"])).alias("seq"), F.substring(run["payload"], acc["at"], n).alias("payload"))
+            return F.struct((acc["at"] + n).alias("at"), F.array_append(acc["found"], piece).alias("found"))
+
+        whole = F.array(F.struct(run["seq"].alias("seq"), run["payload"].alias("payload")))
+        return F.when(run["sizes"].isNull(), whole).otherwise(F.aggregate(run["sizes"], start, add, lambda acc: acc["found"]))
+
+    pieces = F.when(F.coalesce(overlap, F.lit(False)), F.array_sort(F.flatten(F.transform("parts", tokens_of)))["payload"]).otherwise(F.col("parts")["payload"])
+    return per.select("request_id", F.array_join(pieces, "").alias("answer"), "tokens", "status")
+
+
+def _joined(runs: list[tuple[int, str, list[int]]]) -> tuple[str, int]:
+    """The text and the number of a request's tokens; runs that overlap are cut into tokens and ordered one by one."""
+    runs.sort(key=lambda r: r[:2])
+    if all(a + len(n) <= b for (a, _, n), (b, _, _) in itertools.pairwise(runs)):
+        return "".join(p for _, p, _ in runs), sum(len(n) for _, _, n in runs)
+    tokens = sorted((a + i, p[e - n[i] : e]) for a, p, n in runs for i, e in enumerate(itertools.accumulate(n)))
+    return "".join(p for _, p in tokens), len(tokens)
 
 
 def _step(key, frames: Iterator[pd.DataFrame], state, timeout_ms: int) -> Iterator[pd.DataFrame]:
+    seqs, payloads, sizes, end = ([], [], [], 0) if not state.exists else (*map(list, state.get[:3]), state.get[3])
     if timeout_ms and state.hasTimedOut:
-        seqs, payloads, _ = state.get
         state.remove()
-        text = "".join(p for _, p in sorted(zip(seqs, payloads, strict=True)))
-        yield pd.DataFrame([(key[0], text, len(seqs), "OPEN")], columns=["request_id", "answer", "tokens", "status"])
+        yield pd.DataFrame([(key[0], *_joined(list(zip(seqs, payloads, sizes, strict=True))), "OPEN")], columns=["request_id", "answer", "tokens", "status"])
         return
-    seqs, payloads, end = ([], [], 0) if not state.exists else (list(state.get[0]), list(state.get[1]), state.get[2])
     status = ""
     for f in frames:
-        for s, e, p in zip(f["seq"], f["event"], f["payload"], strict=True):
+        for s, e, p, n in zip(f["seq"], f["event"], f["payload"], f["sizes"], strict=True):
             if e == "token":
                 seqs.append(int(s))
-                payloads.append(p)
+                payloads.append(p or "")
+                sizes.append([0] if n is None else [int(x) for x in n])
             elif e in ("done", "error"):
                 end, status = int(s), "COMPLETE" if e == "done" else "ERROR"
-    if end and (status == "ERROR" or len(seqs) >= end - 1):
+    if end and (status == "ERROR" or sum(map(len, sizes)) >= end - 1):
         if state.exists:
             state.remove()
-        text = "".join(p for _, p in sorted(zip(seqs, payloads, strict=True)))
-        yield pd.DataFrame([(key[0], text, len(seqs), status or "COMPLETE")], columns=["request_id", "answer", "tokens", "status"])
+        yield pd.DataFrame([(key[0], *_joined(list(zip(seqs, payloads, sizes, strict=True))), status or "COMPLETE")], columns=["request_id", "answer", "tokens", "status"])
     else:
-        state.update((seqs, payloads, end))
+        state.update((seqs, payloads, sizes, end))
         if timeout_ms:
             state.setTimeoutDuration(timeout_ms)
 
 
 def fold_stream(events: DataFrame, timeout_ms: int = 600_000) -> DataFrame:
-    """Streaming form: state is keyed by request and dropped when its answer is complete, or after ten minutes without an event.
+    """Streaming form: runs of tokens are put together first; state is keyed by request and dropped when its answer is complete, or after ten minutes without an event.
 
     With a timeout the query goes on as long as there may be state; 0 is for inputs that end, run with availableNow.
     """
@@ -70,7 +129,7 @@ def fold_stream(events: DataFrame, timeout_ms: int = 600_000) -> DataFrame:
         return _step(key, frames, state, timeout_ms)
 
     kind = "ProcessingTimeTimeout" if timeout_ms else "NoTimeout"
-    return events.groupBy("request_id").applyInPandasWithState(step, FOLDED, "seqs array<int>, payloads array<string>, finish int", "append", kind)
+    return runs_of(events).groupBy("request_id").applyInPandasWithState(step, FOLDED, "seqs array<int>, payloads array<string>, sizes array<array<int>>, finish int", "append", kind)
 
 
 CITED = "request_id long, answer string, tokens int, status string, sources string"
