@@ -68,4 +68,6 @@ class UploadIndex:
         records = self.records.read()
         if records is None:
             raise ValueError("nothing has been uploaded")
-        return best_rows(queries, records.withColumnRenamed("embedding", "vec"), k, metric, **more)
+        asked = more.get("match", (None, None))[1]  # texts and metadata meet the rows that were found, they aren't ranked with
+        ranked = stored(best_rows(queries, records.select("id", F.col("embedding").alias("vec"), *([asked] if asked else [])), k, metric, **more), "found")
+        return ranked.join(records.drop("embedding", *([asked] if asked else [])), "id")
