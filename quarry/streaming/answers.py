@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import itertools
+import time
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -132,64 +134,90 @@ def fold_stream(events: DataFrame, timeout_ms: int = 600_000) -> DataFrame:
     return runs_of(events).groupBy("request_id").applyInPandasWithState(step, FOLDED, "seqs array<int>, payloads array<string>, sizes array<array<int>>, finish int", "append", kind)
 
 
-CITED = "request_id long, answer string, tokens int, status string, sources string"
+CITED = "request_id string, answer string, tokens int, status string, sources string"
 SOURCES = "array<struct<rank:int,marker:string,filename:string,id:long,text:string>>"
+BUCKETS = 4096  #: of requests; a bucket's open requests are one state, since a call of the state function costs milliseconds
+HELD = "requests array<string>, seqs array<array<int>>, payloads array<array<string>>, finish array<int>, sources array<string>, emitted array<boolean>, until array<long>"
 
 
 def replay_cited(answers: DataFrame, registry: DataFrame) -> DataFrame:
     """Answers (request_id, answer) as events whose first one, `sources`, carries the registry (request_id, rank, marker, filename, id, text) as JSON."""
     own = registry.groupBy("request_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("rank", "marker", "filename", "id", "text")))).alias("json"))
-    events = replay(answers).join(own, "request_id", "left")
-    payload = F.when(F.col("event") == "sources", F.coalesce("json", F.lit("[]"))).otherwise(F.col("payload"))
-    return events.select("request_id", "seq", "event", payload.alias("payload"))
+    events = replay(answers)
+    first = answers.select("request_id").join(own, "request_id", "left")  # the JSON meets an answer once, not each of its events
+    first = first.select("request_id", F.lit(0).cast(events.schema["seq"].dataType).alias("seq"), F.lit("sources").alias("event"), F.coalesce("json", F.lit("[]")).alias("payload"))
+    return events.filter("event <> 'sources'").unionByName(first)
 
 
-def _cited_step(key, frames: Iterator[pd.DataFrame], state, timeout_ms: int) -> Iterator[pd.DataFrame]:
-    columns = [c.split()[0] for c in CITED.split(", ")]
+@dataclass
+class _Held:
+    """What has come of a request. `until`: when it leaves without another event, in milliseconds; `emitted`: its answer is out."""
 
-    def row(parts: dict[int, str], sources: str, status: str) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], "".join(parts[s] for s in sorted(parts)).strip(), len(parts), status, sources)], columns=columns)
+    parts: dict[int, str] = field(default_factory=dict)
+    end: int = 0
+    sources: str = ""
+    emitted: bool = False
+    until: int = 0
 
-    if state.hasTimedOut:
-        seqs, payloads, _, sources, emitted = state.get
-        state.remove()
-        if not emitted:
-            yield row(dict(zip(seqs, payloads, strict=True)), sources, "OPEN")
-        return
-    seqs, payloads, end, sources, emitted = state.get if state.exists else ([], [], 0, "", False)
-    if emitted:  # a repeated or late event of an answer that is out
-        return
-    parts, failed = dict(zip(seqs, payloads, strict=True)), False
+    def row(self, request, status: str) -> tuple:
+        return request, "".join(self.parts[s] for s in sorted(self.parts)).strip(), len(self.parts), status, self.sources
+
+
+def _cited_step(key, frames: Iterator[pd.DataFrame], state, timeout_ms: int) -> Iterator[pd.DataFrame]:
+    """Steps a bucket of requests forward; answers leave once they are whole or failed, and unfinished ones when their time is over."""
+    held = {r: _Held(dict(zip(s, p, strict=True)), *rest) for r, s, p, *rest in zip(*state.get, strict=True)} if state.exists else {}
+    now, out, touched, failed = time.time_ns() // 1_000_000, [], set(), set()
+    if state.hasTimedOut:  # the first of them is due, whatever this clock says
+        now = max([now, *([min(h.until for h in held.values())] if held else [])])
     for f in frames:
-        for s, e, p in zip(f["seq"], f["event"], f["payload"], strict=True):
+        for r, s, e, p in zip(f["request_id"], f["seq"], f["event"], f["payload"], strict=True):
+            h = held.get(r)
+            if h is None:
+                h = held[r] = _Held()
+            if h.emitted:  # a repeated or late event of an answer that is out
+                continue
+            touched.add(r)
             if e == "token":
-                parts[int(s)] = p
+                h.parts[int(s)] = p or ""
             elif e == "sources":
-                sources = p
+                h.sources = p
             elif e in ("done", "error"):
-                end, failed = int(s), failed or e == "error"
-    whole = end > 0 and len(parts) >= end - 1 and sources != ""
-    if failed or whole:
-        yield row(parts, sources, "ERROR" if failed else "COMPLETE")
-        state.update(([], [], end, "", True))
-    else:
-        state.update((list(parts), list(parts.values()), end, sources, False))
-    if timeout_ms:
-        state.setTimeoutDuration(timeout_ms)
+                h.end = int(s)
+                if e == "error":
+                    failed.add(r)
+    for r in touched:
+        h = held[r]
+        if r in failed or (h.end > 0 and len(h.parts) >= h.end - 1 and h.sources != ""):
+            out.append(h.row(r, "ERROR" if r in failed else "COMPLETE"))
+            held[r] = h = _Held(end=h.end, emitted=True)
+        h.until = now + timeout_ms
+    for r in [r for r, h in held.items() if timeout_ms and h.until <= now]:
+        if not (h := held.pop(r)).emitted:
+            out.append(h.row(r, "OPEN"))
+    if held:
+        state.update(([*held], [list(h.parts) for h in held.values()], [list(h.parts.values()) for h in held.values()], *([getattr(h, c) for h in held.values()] for c in ("end", "sources", "emitted", "until"))))
+        if timeout_ms:
+            state.setTimeoutDuration(max(1, min(h.until for h in held.values()) - now))
+    elif state.exists:
+        state.remove()
+    if out:
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in CITED.split(", ")])
 
 
 def fold_cited(events: DataFrame, timeout_ms: int = 600_000) -> DataFrame:
     """Streaming form of cited answers: state holds the sources beside the tokens, and an answer leaves once `done` has come and nothing before it is missing.
 
     Events may come late, in any order and more than once: they count by their number, and what comes after the answer has left is passed over until the state expires. With a timeout an answer that
-    stays unfinished leaves as OPEN; 0 is for inputs that end, run with availableNow, where unfinished answers stay in the state.
+    stays unfinished leaves as OPEN; 0 is for inputs that end, run with availableNow, where unfinished answers stay in the state. State is keyed by buckets of requests, each request with a time of its own.
     """
 
     def step(key, frames, state):
         return _cited_step(key, frames, state, timeout_ms)
 
     kind = "ProcessingTimeTimeout" if timeout_ms else "NoTimeout"
-    return events.groupBy("request_id").applyInPandasWithState(step, CITED, "seqs array<int>, payloads array<string>, finish int, sources string, emitted boolean", "append", kind)
+    rows = events.select(F.pmod(F.xxhash64("request_id"), F.lit(BUCKETS)).alias("bucket"), F.col("request_id").cast("string").alias("request_id"), "seq", "event", "payload")
+    folded = rows.groupBy("bucket").applyInPandasWithState(step, CITED, HELD, "append", kind)
+    return folded.withColumn("request_id", F.col("request_id").cast("long"))
 
 
 def audit_cited(folded: DataFrame) -> DataFrame:
